@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from skarn.llm.decontaminate import op5_decontaminate
+from skarn.llm.quality import op9_quality
 from skarn.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 

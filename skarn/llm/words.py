@@ -37,10 +37,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def split(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a byte array."""
+#: ASCII that is neither letter nor digit: between the words where punctuation must not matter.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def split(buf: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a byte array: the runs of bytes that are not `between`."""
     inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~SPACE[buf]
+    inside[1:-1] = ~between[buf]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[::2], edge[1::2]
 
@@ -89,13 +93,13 @@ def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[np.ndarray,
         yield joined()
 
 
-def hashed_texts(texts: list[bytes], lower: bool = True) -> list[np.ndarray]:
+def hashed_texts(texts: list[bytes], lower: bool = True, between: np.ndarray = SPACE) -> list[np.ndarray]:
     """For each text the hashes of its words, in order."""
     out: list[list[np.ndarray]] = [[] for _ in texts]
     for buf, at, which in pieces(texts):
         if lower:
             buf = LOWER[buf]
-        starts, ends = split(buf)
+        starts, ends = split(buf, between)
         h = hashes(buf, starts, ends)
         first = np.append(np.searchsorted(starts, at), len(starts))
         for k, i in enumerate(which):
