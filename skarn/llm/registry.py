@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from skarn.llm.decontaminate import op5_decontaminate
+from skarn.llm.pii import op8_pii
 from skarn.llm.quality import op9_quality
 from skarn.llm.simhash import op10_simhash
 
 QUERIES = {
     "op5_decontaminate": op5_decontaminate,
+    "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
