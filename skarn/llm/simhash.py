@@ -86,7 +86,10 @@ def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, cfg: SimHashConfig) -> DataFrame:
-    """(doc_id, hi, lo): the fingerprint's words as signed longs, for every row; hi is 0 for 64 bits."""
+    """The columns of docs but `text`, plus the fingerprint's words hi and lo as signed longs (hi is 0 for 64 bits)."""
+    if cfg.bits not in (64, 128):
+        raise ValueError("fingerprints have 64 or 128 bits")
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(it):
         import pyarrow as pa
@@ -94,12 +97,11 @@ def fingerprints(docs: DataFrame, cfg: SimHashConfig) -> DataFrame:
         for batch, texts in batches(it):
             fp = np.array([fingerprint(t, cfg.shingle, cfg.bits // 64) for t in texts], np.uint64).reshape(len(texts), -1).view(np.int64)
             hi = fp[:, 0] if cfg.bits == 128 else np.zeros(len(texts), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi), pa.array(fp[:, -1])], names=["doc_id", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hi), pa.array(fp[:, -1])], names=[*kept, "hi", "lo"])
 
-    if cfg.bits not in (64, 128):
-        raise ValueError("fingerprints have 64 or 128 bits")
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, hi long, lo long")
+    plain = docs.select(*kept, F.col("text").cast("string"))
+    return plain.mapInArrow(run, plain.drop("text").withColumn("hi", F.lit(0).cast("long")).withColumn("lo", F.lit(0).cast("long")).schema)
 
 
 class BKTree:
@@ -217,24 +219,42 @@ _LOW = (1 << 64) - 1
 
 
 def duplicate_groups(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataFrame:
-    """(doc_id, hi, lo, component_id) for every row: component_id is the smallest doc_id reachable over links of at
-    most `radius` differing bits, its own included. Exact copies are collapsed to one node before any search."""
+    """For every row its columns but `text`, hi, lo, and root and component_id: one number for each component, and the
+    smallest doc_id reachable over links of at most `radius` differing bits, its own included. Exact copies are
+    collapsed to one node before any search."""
     cfg = cfg or SimHashConfig()
     prints = written(fingerprints(docs, cfg), "prints")
-    if cfg.bits == 64:
-        distinct = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("lo"))
-    else:
-        distinct = prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("hi", "lo"))
-    distinct = written(distinct, "distinct")
+    node = F.col("lo") if cfg.bits == 64 else F.xxhash64("hi", "lo")
+    distinct = written(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
     roots = connected_components(links(distinct.select("node", "hi", "lo"), cfg))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("hi", "lo", "component_id")
-    return prints.join(named, ["hi", "lo"]).select("doc_id", "hi", "lo", "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("hi", "lo", "root", "component_id")
+    return prints.join(named, ["hi", "lo"])
+
+
+def similar_config(rows: int, similarity: float = 0.8, shingle: int = 5, margin: float = 1.6) -> SimHashConfig:
+    """128-bit fingerprints for documents whose shingle sets have at least this Jaccard similarity.
+
+    The radius is the expected number of differing bits at that similarity plus `margin` standard deviations."""
+    apart = similar_apart(similarity)
+    radius = round(128 * apart + margin * math.sqrt(128 * apart * (1 - apart)))
+    return SimHashConfig(shingle, 128, radius, sampled_masks(128, rows, apart))
+
+
+def one_of_each(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataFrame:
+    """The rows of docs but for all except one of each group of near-duplicates: the one with the smallest doc_id
+    (a null one last), and of repeated rows one."""
+    cfg = cfg or similar_config(docs.count())
+    row = F.xxhash64(F.col("doc_id"), F.col("text"))
+    groups = duplicate_groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text"), cfg)
+    stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("_row"))
+    again = docs.withColumn("_row", row).join(stays, "_row")
+    return again.withColumn("_copy", F.expr("row_number() over (partition by _row order by _row)")).where("_copy = 1").select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text of `documents`."""
     from skarn.runtime import table
 
-    found = duplicate_groups(table(spark, sf_dir, "documents"))
+    found = duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("lo")), 16, "0").alias("fingerprint"), "component_id")
