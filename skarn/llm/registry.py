@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from skarn.llm.decontaminate import op5_decontaminate
+from skarn.llm.langid import op2_langid
 from skarn.llm.packing import op3_packing
 from skarn.llm.pii import op8_pii
 from skarn.llm.quality import op9_quality
 from skarn.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
     "op8_pii": op8_pii,
