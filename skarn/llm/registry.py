@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skarn.llm.ann import op1_ann
 from skarn.llm.decontaminate import op5_decontaminate
 from skarn.llm.langid import op2_langid
 from skarn.llm.packing import op3_packing
@@ -10,6 +11,7 @@ from skarn.llm.quality import op9_quality
 from skarn.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
