@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skarn.llm.ann import op1_ann
+from skarn.llm.chat import OP6_SQL, op6_chat
 from skarn.llm.decontaminate import op5_decontaminate
 from skarn.llm.langid import op2_langid
 from skarn.llm.packing import op3_packing
@@ -15,9 +16,12 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
     "op5_decontaminate": op5_decontaminate,
+    "op6_chat": op6_chat,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_chat": OP6_SQL,
+}
