@@ -10,11 +10,13 @@ from skarn.llm.packing import op3_packing
 from skarn.llm.pii import op8_pii
 from skarn.llm.quality import op9_quality
 from skarn.llm.simhash import op10_simhash
+from skarn.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_langid": op2_langid,
     "op3_packing": op3_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_chat": op6_chat,
     "op8_pii": op8_pii,
