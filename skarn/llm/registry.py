@@ -6,6 +6,7 @@ from skarn.llm.ann import op1_ann
 from skarn.llm.chat import OP6_SQL, op6_chat
 from skarn.llm.decontaminate import op5_decontaminate
 from skarn.llm.langid import op2_langid
+from skarn.llm.lm import op7_lm
 from skarn.llm.packing import op3_packing
 from skarn.llm.pii import op8_pii
 from skarn.llm.quality import op9_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_decontaminate": op5_decontaminate,
     "op6_chat": op6_chat,
+    "op7_lm": op7_lm,
     "op8_pii": op8_pii,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
