@@ -15,7 +15,6 @@ with a null conv_id; other columns are ignored; an empty table gives the extra c
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -66,8 +65,15 @@ def read(text: str) -> Messages:
 
 
 def _shared(a: str, b: str) -> int:
-    """The length of the common prefix."""
-    return len(os.path.commonprefix([a, b]))
+    """The length of the common prefix, by halving."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if a[lo:mid] == b[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
 
 
 @dataclass(frozen=True)
@@ -87,7 +93,7 @@ def formatted(messages: Messages, template: Template = marked_turns, probe: str
     before, turns, own, rewrites = template([]) if messages else "", [], [], False
     for k in range(len(messages)):
         now = template(messages[: k + 1])
-        start = _shared(before, now)
+        start = len(before) if now.startswith(before) else _shared(before, now)
         if start < len(before):
             # A trailer of the shorter prefix may give way; a change before the last turn's end rewrites history.
             rewrites |= bool(own) and start < own[-1][1]
