@@ -1,2 +1,9 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""All registered plans of the retrieval engine."""
+
+from __future__ import annotations
+
+from skarn.plans import document_queries, evaluation_queries, search_queries
+
+_PARTS = (search_queries, document_queries, evaluation_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
