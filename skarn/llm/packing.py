@@ -19,6 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.llm.subwords import subwords
+from skarn.llm.words import batches
 from skarn.runtime import parallelism, ship, table, written
 
 
@@ -28,83 +30,27 @@ class PackConfig:
     #: A file of a public tokenizer; None: word_bpe_49k.json.
     tokenizer: str | None = None
     end_id: int = 0
-    #: Words whose ids a task keeps at hand; beyond it the older half goes.
-    kept_words: int = 400_000
-
-
-class WordIds(dict):
-    """Ids of white-space separated words as little-endian bytes, encoded on first use.
-
-    This tokenizer's pre-tokenizer splits at all white space and at each change between letters and other characters,
-    and it lower-cases; so a word's ids do not depend on its neighbours, nor those of letters on punctuation after
-    them, which lets words share entries."""
-
-    _TAIL = ".,!?;:%$&*#|"
-
-    def __init__(self, path: str | None, most: int):
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.most = most
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(self._TAIL)
-        if core and core != word and core[-1].isalpha():
-            out = self[core] + self[word[len(core) :]]
-        elif word.isascii() and (low := word.lower()) != word and "<|" not in word:
-            out = self[low]
-        else:
-            out = self.encode(word)
-        if len(self) >= self.most:
-            for k in list(self)[: self.most // 2]:
-                del self[k]
-        self[word] = out
-        return out
-
-    def of(self, text: str) -> bytes:
-        """The ids of a text; the few separators on which Python and the tokenizer differ are left to the tokenizer."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
-
-
-_WORDS: dict[tuple, WordIds] = {}
-
-
-def word_ids(cfg: PackConfig) -> WordIds:
-    """One cache for each Python worker."""
-    key = (cfg.tokenizer, cfg.kept_words)
-    if key not in _WORDS:
-        _WORDS[key] = WordIds(*key)
-    return _WORDS[key]
+    #: Units (about words) whose ids a task keeps at hand.
+    kept_words: int = 1_500_000
 
 
 def pieces(docs: DataFrame, cfg: PackConfig) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) for every piece of every row."""
 
     def run(it):
-        import os
-
         import pyarrow as pa
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end, step = word_ids(cfg), np.array([cfg.end_id], "<u4").tobytes(), 4 * cfg.length
-        for whole in it:
-            for a in range(0, whole.num_rows, 2000):
-                batch = whole.slice(a, 2000)
-                out: list[tuple] = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    data = ids.of(text or "") + end
-                    for i, at in enumerate(range(0, len(data), step)):
-                        part = data[at : at + step]
-                        out.append((doc, i, at // 4, len(part) // 4, zlib.crc32(part)))
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids, step = subwords(cfg.tokenizer, cfg.kept_words), cfg.length
+        for batch, texts in batches(it, most=4 << 20):
+            flat, count = ids(texts)
+            out: list[tuple] = []
+            at = 0
+            for doc, n in zip(batch.column(0).to_pylist(), count.tolist(), strict=True):
+                data = np.append(flat[at : at + n], np.uint32(cfg.end_id)).astype("<u4")
+                at += n
+                out.extend((doc, i, lo, len(data[lo : lo + step]), zlib.crc32(data[lo : lo + step])) for i, lo in enumerate(range(0, n + 1, step)))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

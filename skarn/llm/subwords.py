@@ -1,7 +1,9 @@
 """Ids of a public tokenizer for many texts at once.
 
-Each distinct word of a batch is encoded once, and the ids are gathered for all its places in numpy. This holds for a
-tokenizer that lower-cases and splits at all white space: a word's ids then do not depend on its neighbours."""
+Each distinct unit of a batch is encoded once, and the ids are gathered for all its places in numpy. A unit is a run
+between white space, parted where an ASCII letter meets ASCII punctuation other than an apostrophe. This holds for a
+tokenizer that lower-cases and splits at just these places: a unit's ids then do not depend on its neighbours. Units are
+told apart by 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -11,60 +13,85 @@ import numpy as np
 
 from skarn.llm import words
 
-_TAIL = ".,!?;:%$&*#|"
+_KIND = np.full(256, 3, np.uint8)
+_KIND[words.SPACE] = 0
+_KIND[[b for b in range(128) if chr(b).isalpha()]] = 1
+_KIND[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = 2
+
+
+def units(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the units of a byte array."""
+    kind = np.zeros(len(buf) + 2, np.uint8)
+    kind[1:-1] = _KIND[buf]
+    a, b = kind[:-1], kind[1:]
+    # 1 and 2 meet exactly where their sum is 3 and neither is 0.
+    parted = ((a == 1) & (b == 2)) | ((a == 2) & (b == 1))
+    return np.flatnonzero((b != 0) & ((a == 0) | parted)), np.flatnonzero((a != 0) & ((b == 0) | parted))
 
 
 class Subwords:
-    """Texts as UTF-8 bytes to ids. Words met before are kept, at most `most` of them."""
+    """Texts as UTF-8 bytes to ids. Units met before are kept, at most `most` of them, in flat arrays."""
 
-    def __init__(self, path: str | None = None, most: int = 250_000):
+    def __init__(self, path: str | None = None, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.most, self.known = most, {}
+        self.most = most
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Adds words (ASCII letters in lower case) to the known ones.
-
-        Punctuation after a letter is a token of its own, so it is cut off and looked up by itself. Words of letters
-        alone go to the tokenizer in one string; its ids end a word where the vocabulary says so."""
-        known, letters, other, made = self.known, {}, {}, []
-        for w in new:
-            s = w.decode("utf-8", "replace")
-            if s.isalpha():
-                todo = ((w, s),)
-            else:
-                core = s.rstrip(_TAIL)
-                if core != s and core and core.lower()[-1].isalpha():
-                    head, tail = core.encode(), s[len(core) :]
-                    made.append((w, head, tail.encode()))
-                    todo = ((head, core), (made[-1][2], tail))
-                else:
-                    todo = ((w, s),)
-            for part, t in todo:
-                if part not in known:
-                    # A letter whose lower case is more than a letter (a dotted capital I) ends a word early.
-                    (letters if t.isalpha() and (t.isascii() or t.lower().isalpha()) else other)[part] = t
+    def _encode_each(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all in a row, number of ids of each). Units of letters alone go to the tokenizer in one string; its
+        ids end a unit where the vocabulary says so."""
+        text = [w.decode("utf-8", "replace") for w in new]
+        # A letter whose lower case is more than a letter (a dotted capital I) ends a unit early.
+        plain = np.array([t.isalpha() and (t.isascii() or t.lower().isalpha()) for t in text], bool)
+        size, parts = np.zeros(len(new), np.int32), []
+        letters = [t for t, p in zip(text, plain.tolist(), strict=True) if p]
         if letters:
-            ids = self.encode(" ".join(letters.values()))
-            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            ids = self.encode(" ".join(letters))
+            cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(letters):
-                data = ids.tobytes()
-                known.update(zip(letters, [data[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+                size[plain] = np.diff(np.concatenate([[0], cut]))
+                parts.append(ids)
             else:
-                other |= letters
-        if other:
-            found = self.tokenizer.encode_batch_fast(list(other.values()), add_special_tokens=False)
-            known.update((w, np.array(x.ids, np.uint32).tobytes()) for w, x in zip(other, found, strict=True))
-        for w, core, tail in made:
-            known[w] = known[core] + known[tail]
+                plain[:] = False
+        if not plain.all():
+            rest = np.flatnonzero(~plain)
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([text[i] for i in rest.tolist()], add_special_tokens=False)]
+            size[rest] = [len(x) for x in found]
+            parts.append(np.array([i for x in found for i in x], np.uint32))
+        # Plain units stand first, then the others: put them back in order.
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        at = np.empty(len(new), np.int64)
+        at[order] = np.cumsum(size[order]) - size[order]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+
+    def _learn(self, h: np.ndarray, new: list[bytes]) -> None:
+        if len(self.hash) + len(new) > self.most:
+            self._forget()
+        flat, size = self._encode_each(new)
+        start = (np.cumsum(size) - size + len(self.flat)).astype(np.int32)
+        at = np.searchsorted(self.hash, h)
+        self.hash, self.start, self.size = np.insert(self.hash, at, h), np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.flat = np.concatenate([self.flat, flat])
+
+    def _missing(self, distinct: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.ones(len(distinct), bool)
+        at = np.minimum(np.searchsorted(self.hash, distinct), len(self.hash) - 1)
+        return self.hash[at] != distinct
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -73,10 +100,10 @@ class Subwords:
         parts, count, owner = [], np.zeros(len(texts), np.int64), []
         for buf, at, which in words.pieces([b"" if i in whole else t for i, t in enumerate(texts)]):
             low = words.LOWER[buf]
-            starts, ends = words.split(low)
-            parts.append((low.tobytes(), starts, ends, words.hashes(low, starts, ends)))
+            starts, ends = units(low)
+            parts.append((low, starts.astype(np.int32), ends.astype(np.int32), words.hashes(low, starts, ends)))
             first = np.append(np.searchsorted(starts, at), len(starts))
-            owner.append(np.repeat(np.asarray(which), np.diff(first)))
+            owner.append(np.repeat(np.asarray(which, np.int32), np.diff(first)))
         if not parts:
             return np.zeros(0, np.uint32), count
         h = np.concatenate([p[3] for p in parts])
@@ -84,30 +111,33 @@ class Subwords:
         ranked = h[order]
         new = np.ones(len(h), bool)
         new[1:] = ranked[1:] != ranked[:-1]
-        inverse = np.empty(len(h), np.int64)
+        distinct, chosen = ranked[new], order[new]
+        del ranked
+        lost = self._missing(distinct)
+        if len(self.hash) + int(lost.sum()) > self.most:
+            self._forget()
+            lost[:] = True
+        if lost.any():
+            begin = np.cumsum([0, *(len(p[1]) for p in parts)])
+            want = chosen[lost]
+            piece = np.searchsorted(begin, want, side="right") - 1
+            text: list[bytes] = [b""] * len(want)
+            for k, (low, starts, ends, _) in enumerate(parts):
+                at = np.flatnonzero(piece == k)
+                j, data = want[at] - begin[k], low.tobytes()
+                for i, s, e in zip(at.tolist(), starts[j].tolist(), ends[j].tolist(), strict=True):
+                    text[i] = data[s:e]
+            self._learn(distinct[lost], text)
+        del parts, h
+        place = np.searchsorted(self.hash, distinct)
+        inverse = np.empty(len(order), np.int32)
         inverse[order] = np.cumsum(new) - 1
-        begin = np.cumsum([0, *(len(p[1]) for p in parts)])
-        chosen = order[new]
-        piece = np.searchsorted(begin, chosen, side="right") - 1
-        distinct: list[bytes] = [b""] * len(chosen)
-        for k, (data, starts, ends, _) in enumerate(parts):
-            at = np.flatnonzero(piece == k)
-            j = chosen[at] - begin[k]
-            for i, s, e in zip(at.tolist(), starts[j].tolist(), ends[j].tolist(), strict=True):
-                distinct[i] = data[s:e]
-        known = self.known
-        if missing := [w for w in distinct if w not in known]:
-            if len(known) + len(missing) > self.most:
-                keep = set(distinct)
-                self.known = known = {w: known[w] for w in keep if w in known}
-            self._learn(missing)
-        ids = [known[w] for w in distinct]
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        size = np.array([len(x) >> 2 for x in ids], np.int64)
-        n = size[inverse]
-        start = (np.cumsum(size) - size)[inverse]
-        out = flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        del order, new
+        n = self.size[place][inverse]
+        start = self.start[place][inverse]
         count = np.bincount(np.concatenate(owner), weights=n, minlength=len(texts)).astype(np.int64)
+        total = int(n.sum())
+        out = self.flat[np.repeat(start - (np.cumsum(n) - n).astype(np.int32), n) + np.arange(total, dtype=np.int32)]
         if whole:
             cut = np.split(out, np.cumsum(count)[:-1])
             for i, x in whole.items():
@@ -119,7 +149,7 @@ class Subwords:
 _HELD: dict[tuple, Subwords] = {}
 
 
-def subwords(path: str | None = None, most: int = 250_000) -> Subwords:
+def subwords(path: str | None = None, most: int = 1_500_000) -> Subwords:
     """One for each Python worker."""
     if (path, most) not in _HELD:
         _HELD[path, most] = Subwords(path, most)
