@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts the lineage: writes the frame to the shared folder and reads it back.
 
-    A lost executor then costs a re-read, never a recomputation of what lies before."""
+    A lost executor then costs a re-read, never a recomputation of what lies before. The shuffle files behind it are of
+    no use any more, so Spark removes them at the end of the write instead of at some later garbage collection."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skarn-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
