@@ -10,6 +10,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str | None] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,9 +39,10 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    if not found:
+        app = spark.sparkContext.applicationId
+        found = _OWN.setdefault(app, None) or "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
+        _OWN[app] = found
     return found
 
 
