@@ -13,12 +13,11 @@ ignored; an empty table gives an empty result."""
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import words
@@ -46,14 +45,16 @@ def _window_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(text: bytes, cfg: DedupConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, hash of the segment, place) of each anchor of a document, in order."""
+def anchors(text: bytes, cfg: DedupConfig) -> tuple[np.ndarray, ...]:
+    """(hash, hash of the segment, place, and the segment's ends seen from there) of each anchor, in order.
+
+    An anchor's segment holds the windows of which it is the anchor; these lie in a row, and each window has one."""
     n, w, reach = len(text), cfg.length - cfg.gram + 1, cfg.length - cfg.gram
     out: list[tuple] = []
-    last = -1
+    last = (-1, -1)
     for a in range(0, max(0, n - cfg.length + 1), cfg.chunk):
         b = min(a + cfg.chunk, n - cfg.length + 1)
-        lo, hi = max(0, a - reach), min(n, b + 2 * cfg.length)
+        lo, hi = max(0, a - reach), min(n, b + cfg.length)
         buf = np.frombuffer(text, np.uint8, hi - lo, lo)
         up, down = words._powers(len(buf) + 1)
         total = np.zeros(len(buf) + 1, np.uint64)
@@ -62,24 +63,24 @@ def anchors(text: bytes, cfg: DedupConfig) -> tuple[np.ndarray, np.ndarray, np.n
         h = words.mix((total[a - lo + cfg.gram : a - lo + cfg.gram + size] - total[a - lo : a - lo + size]) * down[a - lo : a - lo + size])
         low = np.uint64((1 << 24) - 1)
         # The place makes all values differ, so that of equal hashes the leftmost counts.
-        least = _window_least((h & ~low) | np.arange(size, dtype=np.uint64), w)
-        p = (least & low).astype(np.int64)
-        p = p[np.concatenate([[True], p[1:] != p[:-1]])]
-        if a + p[0] == last:
-            p = p[1:]
-        if not len(p):
-            continue
-        last = int(a + p[-1])
-        s, e = np.maximum(0, a + p - reach) - lo, np.minimum(n, a + p + cfg.length) - lo
-        seg = words.mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(1 << 32) + (a + p - lo - s).astype(np.uint64))
-        out.append((h[p], seg, a + p))
+        p = (_window_least((h & ~low) | np.arange(size, dtype=np.uint64), w) & low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        s, e = a + first, a + np.append(first[1:], len(p)) - 1 + cfg.length
+        p = p[first]
+        if a + p[0] == last[0]:
+            # The last anchor of the chunk before has windows in this one, too.
+            s[0] = last[1]
+            out[-1] = tuple(x[:-1] for x in out[-1])
+        last = (int(a + p[-1]), int(s[-1]))
+        seg = words.mix((total[e - lo] - total[s - lo]) * down[s - lo] + (e - s).astype(np.uint64) * np.uint64(1 << 32) + (a + p - s).astype(np.uint64))
+        out.append((h[p], seg, a + p, (s - a - p).astype(np.int32), (e - a - p).astype(np.int32)))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def all_anchors(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(uid, h, seg, at) for docs (uid, text)."""
+    """(uid, h, seg, at, a, b) for docs (uid, text)."""
 
     def run(it):
         import pyarrow as pa
@@ -89,113 +90,165 @@ def all_anchors(docs: DataFrame, cfg: DedupConfig) -> DataFrame:
             n = [len(x[0]) for x in found]
             if sum(n):
                 uid = np.repeat(np.asarray(batch.column(0), np.int64), n)
-                h, seg, at = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(at)], names=["uid", "h", "seg", "at"])
+                h, seg, at, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, h.view(np.int64), seg.view(np.int64), at, a, b)], names=["uid", "h", "seg", "at", "a", "b"])
+
+    return docs.mapInArrow(run, "uid long, h long, seg long, at long, a int, b int")
+
 
-    return docs.mapInArrow(run, "uid long, h long, seg long, at long")
+def _summed(found: DataFrame) -> DataFrame:
+    """Adds n; of equal segments in a batch one row is left, so that copies do not travel."""
 
+    def run(it):
+        import pyarrow as pa
 
-def repeated_starts(segments: list[tuple], cfg: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
-    """For segments (count, uid, start in the document, bytes): (segment, place in it) of all repeated windows."""
-    data = [s[3] for s in segments]
-    size = np.array([len(d) for d in data], np.int64)
-    text = np.frombuffer(b"".join(data), np.uint8)
-    begin = np.cumsum(size) - size
-    of = np.repeat(np.arange(len(data)), size)
+        for batch in it:
+            if batch.num_rows:
+                h, seg = (np.asarray(batch.column(i), np.int64) for i in (1, 2))
+                order = np.lexsort((seg, h))
+                new = np.ones(len(order), bool)
+                new[1:] = (h[order[1:]] != h[order[:-1]]) | (seg[order[1:]] != seg[order[:-1]])
+                first = np.flatnonzero(new)
+                left = batch.take(pa.array(order[first]))
+                yield pa.RecordBatch.from_arrays([*left.columns, pa.array(np.diff(np.append(first, len(order))))], names=["uid", "h", "seg", "at", "a", "b", "n"])
+
+    return found.select("uid", "h", "seg", "at", "a", "b").mapInArrow(run, "uid long, h long, seg long, at long, a int, b int, n long")
+
+
+def with_shared_core(text: np.ndarray, begin: np.ndarray, end: np.ndarray, rel: np.ndarray, group: np.ndarray, cfg: DedupConfig, parts: int = 8) -> np.ndarray:
+    """Which segments (text[begin:end], anchor at begin + rel) may hold a window that another of their group holds.
+
+    Windows that begin between two places before the anchor have a core in common; a window that two segments hold
+    lies around a core that both hold. So segments none of whose cores is met twice hold no repeat."""
+    up, down = words._powers(len(text) + 1)
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(words._VALUE[text] * up[:-1], out=total[1:])
+    keep = np.zeros(len(begin), bool)
+    cuts = np.linspace(0, cfg.length - cfg.gram, parts + 1).astype(np.int64)
+    at = begin + rel
+    for near, far in zip(cuts, cuts[1:], strict=False):
+        s, e = at - near, at + cfg.length - far
+        own = np.flatnonzero((s >= begin) & (e <= end))
+        core = words.mix((total[e[own]] - total[s[own]]) * down[s[own]]) ^ group[own]
+        order = np.argsort(core)
+        same = core[order[1:]] == core[order[:-1]]
+        keep[own[order[1:][same]]] = True
+        keep[own[order[:-1][same]]] = True
+    return keep
+
+
+def repeated_starts(text: np.ndarray, begin: np.ndarray, end: np.ndarray, n: np.ndarray, doc: np.ndarray, start: np.ndarray, cfg: DedupConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in it) of all repeated windows of segments text[begin:end], which lie in a row.
+
+    n: how often the segment occurs; doc and start: a document where it does, and the place there."""
+    of = np.repeat(np.arange(len(begin)), end - begin)
     place = np.arange(len(text)) - begin[of]
-    whole = size[of] - place >= cfg.length
+    whole = end[of] - begin[of] - place >= cfg.length
     order = suffix_array(text, cfg.length)
     order = order[whole[order]]
     repeated = np.zeros(len(text), bool)
     if len(order):
         same = common_prefixes(text, order, cfg.length)
         cut = np.concatenate([[0], np.flatnonzero(~same) + 1])
-        _, doc = np.unique(np.array([s[1] for s in segments], np.int64), return_inverse=True)
         # Segments of one document may overlap: a window counts once for each place in its document.
-        source = (doc[of[order]] << 40) | (np.array([s[2] for s in segments], np.int64)[of[order]] + place[order])
+        source = (np.unique(doc, return_inverse=True)[1][of[order]] << 40) | (start[of[order]] + place[order])
         many = np.minimum.reduceat(source, cut) != np.maximum.reduceat(source, cut)
         repeated[order[np.repeat(many, np.diff(np.append(cut, len(order))))]] = True
-    repeated |= whole & (np.array([s[0] for s in segments], np.int64)[of] > 1)
+    repeated |= whole & (n[of] > 1)
     at = np.flatnonzero(repeated)
     return of[at], place[at]
 
 
 def _covered(segments: DataFrame, cfg: DedupConfig) -> DataFrame:
-    """(h, seg, a, b): covered ranges, from the anchor, of segments (h, seg, n, uid, start, rel, bytes) sorted by h."""
+    """(h, seg, a, b): covered ranges, from the anchor, of segments (h, seg, n, uid, start, rel, bytes), sorted by h
+    and seg and all of an h in a partition."""
+
+    def solved(rows):
+        import pyarrow as pa
+
+        h, seg, n, uid, start, rel = (np.asarray(rows.column(i), np.int64) for i in range(6))
+        held = rows.column(6)
+        offset = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+        text = np.frombuffer(held.buffers()[2], np.uint8)[offset[0] : offset[-1]]
+        begin, end = offset[:-1] - offset[0], offset[1:] - offset[0]
+        # Rows that are repeated in the table have brought their segments twice.
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])
+        keep = np.flatnonzero(once & (n > 1))
+        one = np.flatnonzero(once)
+        keep = np.union1d(keep, one[with_shared_core(text, begin[one], end[one], rel[one], h[one].view(np.uint64), cfg)])
+        if not len(keep):
+            return None
+        size = (end - begin)[keep]
+        to = np.cumsum(size) - size
+        small = text[np.repeat(begin[keep] - to, size) + np.arange(int(size.sum()))]
+        of, place = repeated_starts(small, to, to + size, n[keep], uid[keep], start[keep], cfg)
+        if not len(of):
+            return None
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (place[1:] - place[:-1] > cfg.length)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(of)) - 1
+        own = keep[of[first]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[own], seg[own], place[first] - rel[own], place[last] + cfg.length - rel[own])], names=["h", "seg", "a", "b"])
 
     def run(it):
         import pyarrow as pa
 
-        def solved(rows):
-            of, place = repeated_starts([r[2:4] + (r[4], r[6]) for r in rows], cfg)
-            if not len(of):
-                return None
-            new = np.ones(len(of), bool)
-            new[1:] = (of[1:] != of[:-1]) | (place[1:] - place[:-1] > cfg.length)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(of)) - 1
-            own = of[first]
-            rel = np.array([r[5] for r in rows], np.int64)[own]
-            cols = [np.array([r[k] for r in rows], np.int64)[own] for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(place[first] - rel), pa.array(place[last] + cfg.length - rel)], names=["h", "seg", "a", "b"])
-
-        held, n = [], 0
+        rest = None
         for batch in it:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n >= cfg.array_bytes and row[0] != held[-1][0]:
-                    if (out := solved(held)) is not None:
+            batch = batch.set_column(6, "bytes", batch.column(6).cast(pa.large_binary()))
+            rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()
+            if not rows:
+                continue
+            rows = rows[0]
+            h = np.asarray(rows.column(0), np.int64)
+            offset = np.frombuffer(rows.column(6).buffers()[1], np.int64)[rows.column(6).offset :]
+            edge = np.flatnonzero(h[1:] != h[:-1]) + 1
+            at = 0
+            for e in edge.tolist():
+                if offset[e] - offset[at] >= cfg.array_bytes:
+                    if (out := solved(rows.slice(at, e - at))) is not None:
                         yield out
-                    held, n = [], 0
-                held.append(row)
-                n += len(row[6])
-        if held and (out := solved(held)) is not None:
+                    at = e
+            rest = rows.slice(at)
+        if rest is not None and rest.num_rows and (out := solved(rest)) is not None:
             yield out
 
     return segments.mapInArrow(run, "h long, seg long, a long, b long")
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of steps whose results are written: it does so as it collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def deduplicated(docs: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs (doc_id, text)."""
     cfg = cfg or DedupConfig()
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     found = written(all_anchors(docs.select("uid", "text"), cfg), "anchors")
-    segments = found.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at")).alias("one"))
-    shared = written(
-        segments.withColumn("all", F.expr("sum(n) over (partition by h)")).where(F.col("all") > 1).select("h", "seg", F.least("n", F.lit(2)).alias("n"), F.col("one.uid").alias("uid"), F.col("one.at").alias("at")),
-        "shared",
-    )
-    _release(spark)
+    # Summed up in the tasks first; then all of a hash meet once, and both the counting and the window use that.
+    met = _summed(found).repartition("h").groupBy("h", "seg").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("uid", "at", "a", "b")))
+    shared = written(met.withColumn("all", F.expr("sum(n) over (partition by h)")).withColumn("kinds", F.expr("count(1) over (partition by h)")).where(F.col("all") > 1).drop("all"), "shared")
 
     def cut(it):
         import pyarrow as pa
 
-        reach = cfg.length - cfg.gram
         for batch, texts in words.batches(it):
             out: list[tuple] = []
             for uid, rows, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 for r in rows:
-                    lo = max(0, r["at"] - reach)
-                    out.append((r["h"], r["seg"], r["n"], uid, lo, r["at"] - lo, text[lo : r["at"] + cfg.length]))
+                    lo = r["at"] + r["a"]
+                    out.append((r["h"], r["seg"], r["n"], uid, lo, -r["a"], text[lo : r["at"] + r["b"]]))
             for a in range(0, len(out), 20_000):
                 cols = list(zip(*out[a : a + 20_000], strict=True))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary())], names=["h", "seg", "n", "uid", "start", "rel", "bytes"])
 
-    wanted = shared.groupBy("uid").agg(F.collect_list(F.struct("h", "seg", "n", "at")).alias("rows"))
+    # A hash with a single segment, which occurs more than once: all of it repeats, and there is nothing to compare.
+    alone = shared.where(F.col("kinds") == 1).select("h", "seg", F.col("a").cast("long"), F.col("b").cast("long"))
+    wanted = shared.where(F.col("kinds") > 1).withColumn("n", F.least("n", F.lit(2))).groupBy("uid").agg(F.collect_list(F.struct("h", "seg", "n", "at", "a", "b")).alias("rows"))
     # Repeated rows have one uid, and one of them is enough here.
     texts = wanted.join(docs.select("uid", "text"), "uid").select("uid", "rows", "text")
-    parts = texts.mapInArrow(cut, "h long, seg long, n long, uid long, start long, rel long, bytes binary").dropDuplicates(["h", "seg"])
-    covered = written(_covered(parts.repartition("h").sortWithinPartitions("h", "seg"), cfg), "covered")
-    del parts, texts, wanted
-    _release(spark)
-    ranges = found.join(covered, ["h", "seg"]).select("uid", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("r")).groupBy("uid").agg(F.collect_set("r").alias("ranges"))
+    parts = texts.mapInArrow(cut, "h long, seg long, n long, uid long, start long, rel long, bytes binary")
+    covered = written(_covered(parts.repartition("h").sortWithinPartitions("h", "seg"), cfg).unionByName(alone), "covered")
+    ranges = found.select("uid", "h", "seg", "at").join(covered, ["h", "seg"]).select("uid", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")).alias("r")).groupBy("uid").agg(F.collect_set("r").alias("ranges"))
 
     def removed(it):
         import pyarrow as pa

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from skarn.llm import words
+
 _STEP = 40
 
 
@@ -90,16 +92,16 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix of the order but the first, whether it shares `most` bytes with the one before it."""
-    padded = np.concatenate([text, np.zeros(most + _STEP, np.uint8)])
-    word = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    same = np.zeros(max(0, len(order) - 1), bool)
-    alive = np.arange(len(same))
-    for done in range(0, most, 8):
-        if not len(alive):
-            break
-        lo = min(done, most - 8) if most >= 8 else 0
-        a, b = word[order[alive] + lo], word[order[alive + 1] + lo]
-        alive = alive[(np.ascontiguousarray(a).view(np.uint64) == np.ascontiguousarray(b).view(np.uint64))[:, 0]]
-    same[alive] = True
+    """For each suffix of the order but the first, whether it shares `most` bytes with the one before it (both have as
+    many): first by 64-bit hashes of these bytes, then byte for byte where the hashes agree."""
+    up, down = words._powers(len(text) + 1)
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(words._VALUE[text] * up[:-1], out=total[1:])
+    h = (total[order + most] - total[order]) * down[order]
+    same = h[1:] == h[:-1]
+    view = np.lib.stride_tricks.sliding_window_view(text, most) if len(text) >= most else None
+    at = np.flatnonzero(same)
+    for lo in range(0, len(at), 4096):
+        i = at[lo : lo + 4096]
+        same[i] = (view[order[i]] == view[order[i + 1]]).all(1)
     return same
