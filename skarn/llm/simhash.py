@@ -228,7 +228,9 @@ def duplicate_groups(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataF
     distinct = written(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
     roots = connected_components(links(distinct.select("node", "hi", "lo"), cfg))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("hi", "lo", "root", "component_id")
+    # Written, so that the join has an exchange on either side and a large component can be split.
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = rooted.join(least, "root").select("hi", "lo", "root", "component_id")
     return prints.join(named, ["hi", "lo"])
 
 
