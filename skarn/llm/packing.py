@@ -135,7 +135,8 @@ def packed(docs: DataFrame, cfg: PackConfig | None = None) -> DataFrame:
     sent = spark.sparkContext.broadcast(places(plan(counts, cfg.length)))
     begun = sizes.select("length", "part", F.expr("sum(n) over (partition by length order by part) - n").alias("begun"))
     ranked = (
-        cut.join(begun, ["length", "part"])
+        # The table of begun ranks grows with the number of parts: never broadcast, and the window uses the same exchange.
+        cut.join(begun.hint("merge"), ["length", "part"])
         .withColumn("rank", F.expr("begun + row_number() over (partition by part, length order by doc_id, piece, ids_crc32) - 1"))
         .select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     )
