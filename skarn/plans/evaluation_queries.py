@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from skarn.functions.citations import best_piece, citations, fact_keys, unverified
 from skarn.functions.text import contains_phrase, normalize
+from skarn.operators import answer
 from skarn.operators import evaluate as V
 from skarn.operators import logs
 from skarn.operators import search as S
-from skarn.plans.common import ASKED_SQL, POSTINGS_SQL, documents, questions, sparse_sql, spread
-from skarn.plans.search_queries import _sparse
+from skarn.operators.catalog import labelled
+from skarn.plans.common import ASKED_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
+from skarn.plans.search_queries import _seen, _sparse
 from skarn.plugins import overlap_reranker
 from skarn.runtime import shared_dir, table, written
+from skarn.settings import DEFAULT
+from skarn.sources.config import against_index
 
 
 def parse_citations(spark, sf_dir: str) -> DataFrame:
@@ -161,6 +165,22 @@ def stream_daily_outcomes(spark, sf_dir: str) -> DataFrame:
     return run_to_end(daily_outcomes(stream), name, f"{shared_dir(spark).rstrip('/')}/{name}")
 
 
+def evidence_in_index(spark, sf_dir: str) -> DataFrame:
+    """Benchmark items as facts expected in src0, src1 and src77: those that no document of these holds, and missing files."""
+    asked = questions(spark, sf_dir).select(F.col("question_id").cast("int"), F.lit(None).cast("string").alias("known_gap"), F.array(*map(F.lit, ("src0", "src1", "src77"))).alias("sources"), F.array(F.array("text")).alias("evidence"))
+    return against_index(asked, spread(documents(spark, sf_dir).select("source", "text"))).select("question_id", F.sha2("problem", 256).alias("problem"), "blocking")
+
+
+def answer_questions(spark, sf_dir: str) -> DataFrame:
+    """Every benchmark item answered from its five best internal documents by the extractive generator."""
+    hits = _sparse(spark, sf_dir, _seen(spark, sf_dir), k=DEFAULT.top_k).join(labelled(documents(spark, sf_dir).select("doc_id", "source", "text"), catalog(spark)), "doc_id")
+    none = F.lit(None).cast("int")
+    hits = hits.withColumns({"heading_path": F.lit(""), "page_start": none, "page_end": none, "ocr": F.lit(False)})
+    asked = answer.with_sources(questions(spark, sf_dir).select("question_id", F.col("text").alias("question")), hits)
+    got = answer.answered(asked)
+    return got.select("question_id", "route", F.size("sources").alias("n_sources"), "answer", F.size("citations.numbers").alias("n_cited"), F.size("unverified").alias("n_unverified"))
+
+
 def normalized_phrases(spark, sf_dir: str) -> DataFrame:
     """The form in which every benchmark item is looked up."""
     return table(spark, sf_dir, "benchmark").select("item_id", normalize(F.col("text")).alias("phrase"))
@@ -170,7 +190,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_citations, verify_facts, fact_counts, best_excerpt, eval_ranks, eval_retrieval, eval_threshold_study, quality_by_label, compare_runs, compare_settings,
-        log_summary, log_errors, log_gaps, log_last, stream_daily_outcomes, normalized_phrases,
+        log_summary, log_errors, log_gaps, log_last, stream_daily_outcomes, evidence_in_index, answer_questions, normalized_phrases,
     )
 }
 
@@ -185,7 +205,22 @@ _BM = f"{POSTINGS_SQL}, {ASKED_SQL}, {sparse_sql()}"
 _ZERO = "CAST(0 AS BIGINT)"
 _OVERLAP_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(replace(replace({}, 'İ', 'i'), 'I', 'ı')), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2 OR regexp_matches(w, '^\\p{{Nd}}+$')))"
 
+_ENDS = "list_transform(regexp_split_to_array(p, '\\s*[-–]\\s*'), lambda x: CAST(trim(x) AS BIGINT))"
 ORACLES = {
+    "parse_citations": f"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') || ' [' || (conv_id % 9) || '][' || turn || ', ' || (turn + 2) || '] and [2-4], [1-90]' || CASE WHEN conv_id % 9 = 0 THEN ' [not_found]' ELSE '' END AS t FROM conversations WHERE turn >= 0),
+n AS (SELECT *, flatten(list_transform(flatten(list_transform(regexp_extract_all(t, '\\[\\s*(\\p{{Nd}}+(?:\\s*[,\\-–]\\s*\\p{{Nd}}+)*)\\s*\\]', 1), lambda g: regexp_split_to_array(g, '\\s*,\\s*'))),
+  lambda p: CASE WHEN len({_ENDS}) = 2 AND {_ENDS}[2] - {_ENDS}[1] BETWEEN 1 AND 20 THEN range({_ENDS}[1], {_ENDS}[2] + 1) ELSE {_ENDS} END)) AS l FROM a),
+d AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS u FROM n)
+SELECT conv_id, turn, array_to_string(list_filter(u, lambda x: x BETWEEN 1 AND 5), ',') AS numbers, array_to_string(list_filter(u, lambda x: x NOT BETWEEN 1 AND 5), ',') AS invalid,
+  regexp_matches(t, '(?i)\\[\\s*NOT[_ ]FOUND\\s*\\]') AS not_found, sha256(trim(regexp_replace(t, '(?i)\\s*\\[\\s*NOT[_ ]FOUND\\s*\\]', '', 'g'))) AS clean_sha256 FROM d""",
+    "eval_threshold_study": f"""WITH {_BM}, {_HELD},
+q AS (SELECT item_id AS question_id, list_distinct({tokens_sql("text")}) AS words FROM benchmark),
+scored AS (SELECT h.question_id, round(len(list_intersect(words, toks.t)) / len(words), 6) AS new, regexp_matches(h.t, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(h.p)) AS held FROM held h JOIN q USING (question_id) JOIN toks USING (doc_id)),
+need AS (SELECT question_id, max(new) AS needed FROM scored WHERE held GROUP BY question_id),
+other AS (SELECT question_id, new AS score FROM scored WHERE question_id NOT IN (SELECT question_id FROM need)),
+w AS (SELECT min(needed) AS weakest, (SELECT question_id FROM need ORDER BY needed, question_id LIMIT 1) AS weakest_question FROM need),
+o AS (SELECT max(score) AS strongest, (SELECT question_id FROM other ORDER BY score DESC, question_id DESC LIMIT 1) AS strongest_question FROM other)
+SELECT *, round(floor(weakest / 10 / pow(10, floor(log10(weakest / 10)))) * pow(10, floor(log10(weakest / 10))), 6) AS suggested FROM w, o""",
     "verify_facts": "SELECT CAST(answer_id AS INT) AS answer_id, fact, cited, found_in FROM (VALUES (2, '4.100', '2', ''), (3, 'VPN-ERR-301', '1', '3'), (4, '24', '1', ''), (8, 'KLK-IT-07', '2', '3')) AS v(answer_id, fact, cited, found_in)",
     "fact_counts": """WITH plain AS (SELECT doc_id, translate(lower(replace(text, 'İ', 'i')), 'çğıöşüâîû', 'cgiosuaiu') AS t FROM documents),
 codes AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\\p{L}\\p{N}]+(?:[-_/][\\p{L}\\p{N}]+)+'), lambda x: regexp_matches(x, '\\p{Nd}') AND regexp_matches(x, '\\p{L}')) AS c FROM plain),
@@ -217,5 +252,8 @@ SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value
     "log_gaps": f"WITH {_LOG} SELECT trim(question) AS question, count(*) AS times FROM out WHERE outcome IN ('not found', 'nothing found') GROUP BY 1 ORDER BY times DESC, question LIMIT 20",
     "log_last": f"""WITH {_LOG} SELECT time, "user", question FROM log ORDER BY time DESC, "user", question LIMIT 25""",
     "stream_daily_outcomes": "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
+    "evidence_in_index": f"""WITH d AS (SELECT {_NORM.format("text")} AS t FROM documents WHERE source IN ('src0', 'src1', 'src77')),
+miss AS (SELECT item_id, text FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM d WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape({_NORM.format("benchmark.text")}))))
+SELECT CAST(item_id AS INT) AS question_id, sha256(problem) AS problem, true AS blocking FROM (SELECT item_id, 'src77 is not indexed' AS problem FROM benchmark UNION ALL SELECT item_id, 'no chunk holds ' || text FROM miss)""",
     "normalized_phrases": f"SELECT item_id, {_NORM.format('text')} AS phrase FROM benchmark",
 }
