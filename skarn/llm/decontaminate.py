@@ -116,8 +116,8 @@ def leaks(texts: list[bytes], index: SeedIndex, cfg: SeedConfig) -> list[list[tu
     return out
 
 
-def marked(docs: DataFrame, benchmark: DataFrame, cfg: SeedConfig | None = None) -> DataFrame:
-    """All columns of docs plus `leaks`: an array of (item_id, item_tokens, covered_tokens), empty for a clean document."""
+def marked(docs: DataFrame, benchmark: DataFrame, cfg: SeedConfig | None = None, name: str = "leaks") -> DataFrame:
+    """All columns of docs plus the leaks: an array of (item_id, item_tokens, covered_tokens), empty for a clean document."""
     import pyarrow as pa
 
     cfg = cfg or SeedConfig()
@@ -143,7 +143,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, cfg: SeedConfig | None = None)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(now, kind)], names=[*names, "leaks"])
 
         plain = plain.withColumn("_t", F.col(names[docs.columns.index("text")]).cast("string")).mapInArrow(run, schema)
-    return plain.toDF(*docs.columns, "leaks")
+    return plain.toDF(*docs.columns, name)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -306,8 +306,8 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """All columns of docs plus `pii`: base and added spans as strings, base counts, and the redacted text."""
+def with_spans(docs: DataFrame, name: str = "pii") -> DataFrame:
+    """All columns of docs plus a struct: base and added spans as strings, base counts, and the redacted text."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
@@ -335,7 +335,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
                     out.append({"base": said(base), "spans": said(base + added), **dict(zip(KINDS, n, strict=True)), "redacted": redacted(text, base + added) if base or added else None})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, shape).cast(_small(shape))], names=[*names, "pii"])
 
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, "pii")
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def _small(shape):

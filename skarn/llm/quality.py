@@ -173,8 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: QualityConfig | None = None,
     return model.fit(np.concatenate(bags) if bags else np.zeros((0, width), np.float32), np.array([len(b) for b in bags], np.int64), np.array([r.quality for r in rows], np.int64), cfg)
 
 
-def scored(docs: DataFrame, model: AttentionMIL, cfg: QualityConfig | None = None) -> DataFrame:
-    """All columns of docs plus `score`, in one pass without a shuffle."""
+def scored(docs: DataFrame, model: AttentionMIL, cfg: QualityConfig | None = None, name: str = "score") -> DataFrame:
+    """All columns of docs plus the score, in one pass without a shuffle."""
     cfg = cfg or QualityConfig()
     ship(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: AttentionMIL, cfg: QualityConfig | None = Non
     # Columns go by place, so clashing names do no harm.
     plain = docs.toDF(*names).withColumn("_t", F.col(names[docs.columns.index("text")]).cast("string"))
     schema = plain.drop("_t").withColumn("score", F.lit(0.0)).schema
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, "score")
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

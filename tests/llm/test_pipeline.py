@@ -98,3 +98,25 @@ def test_run_is_its_stages(spark, stages):
 
     assert e.queries()["pipeline"](spark, DATA).count() == stages["best_fit_packing"][1].count()
     assert [n for n, _ in cp.STAGES] == list(stages)
+
+
+def test_stages_on_awkward_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing names, empty tables: every stage keeps its columns and does not fail."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, leaks string, pii string, root long, row long, hi string, part int, quality string"
+    extra = (0.5, "l", "p", 1, 2, "h", 3, "q")
+    good = "The leave is twenty days and the form is here. " * 8
+    rows = [(1, good, "en", "s", 9, *extra), (1, good, "en", "s", 9, *extra), (None, good + "mail a.b@c.de", "en", "s", 9, *extra), (None, None, None, None, None, *extra), (3, "", "en", "s", 0, *extra), (4, "x " * 200000, "en", "s", 0, *extra), (5, "call +1 (555) 123-4567", None, "s", None, *extra)]
+    spark.createDataFrame([(1, 1, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None), (1, ""), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = spark.createDataFrame(rows, kind)
+    for docs in (full, full.where("false")):
+        n = docs.count()
+        for name, f in cp.STAGES[:-1]:
+            out = written(f(spark, docs, str(tmp_path)), name)
+            assert out.dtypes == docs.dtypes and out.count() <= n
+            docs = out
+        assert cp.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
+    kept = written(cp.near_duplicates(spark, full, str(tmp_path)), "kept")
+    assert kept.where("doc_id = 1").count() == 1
+    clean = {r.text for r in cp.personal_data(spark, full, str(tmp_path)).collect()}
+    assert "call <PHONE>" in clean and good + "mail <EMAIL>" in clean and None in clean
