@@ -6,4 +6,17 @@ from skarn.plans import document_queries, evaluation_queries, search_queries
 
 _PARTS = (search_queries, document_queries, evaluation_queries)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
-ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
+
+#: Columns that Spark gives as 32-bit integers where DuckDB counts in 64 bits.
+_INTEGERS = {
+    "tokenize_documents": ("n_tokens", "n_distinct"), "bm25_topk": ("rank",), "dense_topk": ("rank",), "hybrid_rrf": ("rank",), "rerank_threshold_topk": ("rank", "old_rank"),
+    "clean_repeated_lines": ("n_removed",), "history_last3": ("n_history",), "fact_counts": ("n",), "eval_ranks": ("source_rank",),
+}
+
+
+def _typed(name: str, sql: str) -> str:
+    columns = _INTEGERS.get(name, ())
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in columns)}) FROM ({sql})" if columns else sql
+
+
+ORACLES = {k: _typed(k, v) for p in _PARTS for k, v in p.ORACLES.items()}
