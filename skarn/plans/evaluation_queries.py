@@ -10,7 +10,6 @@ from skarn.functions.text import contains_phrase, normalize
 from skarn.operators import answer
 from skarn.operators import evaluate as V
 from skarn.operators import logs
-from skarn.operators import search as S
 from skarn.operators.catalog import labelled
 from skarn.plans.common import ASKED_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
 from skarn.plans.search_queries import _seen, _sparse
