@@ -31,7 +31,7 @@ class PackConfig:
     tokenizer: str | None = None
     end_id: int = 0
     #: Units (about words) whose ids a task keeps at hand.
-    kept_words: int = 1_500_000
+    kept_words: int = 1_000_000
 
 
 def pieces(docs: DataFrame, cfg: PackConfig) -> DataFrame:
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, cfg: PackConfig) -> DataFrame:
         import pyarrow as pa
 
         ids, step = subwords(cfg.tokenizer, cfg.kept_words), cfg.length
-        for batch, texts in batches(it, most=4 << 20):
+        for batch, texts in batches(it, most=3 << 20):
             flat, count = ids(texts)
             out: list[tuple] = []
             at = 0

@@ -32,7 +32,7 @@ def units(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Subwords:
     """Texts as UTF-8 bytes to ids. Units met before are kept, at most `most` of them, in flat arrays."""
 
-    def __init__(self, path: str | None = None, most: int = 1_500_000):
+    def __init__(self, path: str | None = None, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -149,7 +149,7 @@ class Subwords:
 _HELD: dict[tuple, Subwords] = {}
 
 
-def subwords(path: str | None = None, most: int = 1_500_000) -> Subwords:
+def subwords(path: str | None = None, most: int = 1_000_000) -> Subwords:
     """One for each Python worker."""
     if (path, most) not in _HELD:
         _HELD[path, most] = Subwords(path, most)

@@ -18,7 +18,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 #: Bytes taken at once; a longer text is cut at white space.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +107,7 @@ def hashed_texts(texts: list[bytes], lower: bool = True, between: np.ndarray = S
     return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
-def batches(it, column: str = "text", most: int = 8 << 20):
+def batches(it, column: str = "text", most: int = 4 << 20):
     """Arrow batches as (batch, list of bytes), cut so that the texts of one are about `most` bytes; null is empty."""
     import pyarrow as pa
     import pyarrow.compute as pc
