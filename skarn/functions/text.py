@@ -37,11 +37,15 @@ def fold(c: Column) -> Column:
 def search_tokens(c: Column, s: Settings = DEFAULT) -> Column:
     """The search words of a text, repeats included: codes that hold a digit (joined), numbers without separators, and
     words of two letters or more cut to a prefix. What follows an apostrophe is dropped."""
-    plain = F.regexp_replace(fold(c), APOSTROPHE, "")
-    codes = F.transform(F.filter(_all(plain, CODE), lambda x: x.rlike(r"\p{Nd}")), lambda x: F.regexp_replace(x, "[-_/]", ""))
-    runs = F.filter(_all(plain, TOKEN), lambda x: x.rlike(r"^\p{Nd}") | (F.length(x) > 1))
-    cut = F.transform(runs, lambda x: F.when(x.rlike(r"^\p{Nd}"), F.regexp_replace(x, "[.,]", "")).otherwise(F.substring(x, 1, s.prefix_letters)))
-    return F.concat(codes, cut)
+
+    def words(plain: Column) -> Column:
+        codes = F.transform(F.filter(_all(plain, CODE), lambda x: x.rlike(r"\p{Nd}")), lambda x: F.regexp_replace(x, "[-_/]", ""))
+        runs = F.filter(_all(plain, TOKEN), lambda x: x.rlike(r"^\p{Nd}") | (F.length(x) > 1))
+        cut = F.transform(runs, lambda x: F.when(x.rlike(r"^\p{Nd}"), F.regexp_replace(x, "[.,]", "")).otherwise(F.substring(x, 1, s.prefix_letters)))
+        return F.concat(codes, cut)
+
+    # As the variable of a function over an array of one, the folded text is made once and used twice.
+    return F.flatten(F.transform(F.array(F.regexp_replace(fold(c), APOSTROPHE, "")), words))
 
 
 def query_tokens(c: Column, s: Settings = DEFAULT) -> Column:

@@ -16,7 +16,8 @@ BLOCK_ROWS = 20_000
 
 def postings(docs: DataFrame, s: Settings = DEFAULT, key: str = "doc_id") -> DataFrame:
     """(key, term, tf, length): the counts of every search word of every text."""
-    words = docs.select(key, search_tokens(F.col("text"), s).alias("t")).select(key, F.size("t").alias("length"), F.explode("t").alias("term"))
+    # explode would put a filter on the size of the array, and with it the tokens, before itself a second time.
+    words = docs.select(key, search_tokens(F.col("text"), s).alias("t")).select(key, F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term is not null")
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 

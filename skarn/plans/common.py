@@ -25,8 +25,10 @@ def roles(spark: SparkSession) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals a small number of large files out to all cores before costly text work."""
-    return df.repartition(parallelism(df.sparkSession)) if df.rdd.getNumPartitions() < 4 else df
+    """Deals a few input partitions out to all cores before costly text work: a file of one row group is read by one
+    task however many splits it has. Inputs of many partitions stay as they are."""
+    wanted = parallelism(df.sparkSession)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < 4 * wanted else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
