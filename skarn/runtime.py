@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """An input of fewer partitions than the cluster has cores, dealt out to all of them; any other one as it is.
+
+    A small file is read by one task; what follows may cost far more than moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once a session: they may not share the driver's folders."""
     sc = spark.sparkContext
