@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import words
-from skarn.runtime import ship, table
+from skarn.runtime import dealt, ship, table
 
 
 @dataclass(frozen=True)
@@ -148,5 +148,5 @@ def marked(docs: DataFrame, benchmark: DataFrame, cfg: SeedConfig | None = None,
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     """One row for each pair of a document and a benchmark item that it leaks."""
-    found = marked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = marked(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.item_tokens", "leak.covered_tokens")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.words import batches
-from skarn.runtime import ship, table
+from skarn.runtime import dealt, ship, table
 
 
 @dataclass(frozen=True)
@@ -142,7 +142,7 @@ def predicted(docs: DataFrame, learned: tuple[list[str], np.ndarray], cfg: LangC
 
 def op2_langid(spark, sf_dir: str) -> DataFrame:
     """The language of every whole text of `documents`, learned from those that are not held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
     found = predicted(docs, learn(docs.where(~held).select("lang", "text")))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

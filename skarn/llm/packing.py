@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.subwords import subwords
 from skarn.llm.words import batches
-from skarn.runtime import parallelism, ship, table, written
+from skarn.runtime import dealt, parallelism, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -157,4 +157,4 @@ def packed(docs: DataFrame, cfg: PackConfig | None = None) -> DataFrame:
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of at most 2048 tokens."""
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))

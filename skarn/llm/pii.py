@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.runtime import ship, table
+from skarn.runtime import dealt, ship, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -346,5 +346,5 @@ def _small(shape):
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """Base counts and digest, and all spans, for every whole text of `documents`."""
-    found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = with_spans(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", *(F.col(f"pii.{k}").alias(f"n_{k}") for k in KINDS), F.sha2(F.col("pii.base").cast("binary"), 256).alias("base_sha256"), F.col("pii.spans").alias("spans"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import words
-from skarn.runtime import ship, table
+from skarn.runtime import dealt, ship, table
 
 
 @dataclass(frozen=True)
@@ -194,7 +194,7 @@ def scored(docs: DataFrame, model: AttentionMIL, cfg: QualityConfig | None = Non
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Quality score of every whole text of `documents`."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"))
     model = learn(docs, table(spark, sf_dir, "labels"))
     found = scored(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

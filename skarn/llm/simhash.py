@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm.components import connected_components
 from skarn.llm.words import batches
-from skarn.runtime import ship, written
+from skarn.runtime import dealt, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -256,7 +256,5 @@ def one_of_each(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataFrame:
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text of `documents`."""
-    from skarn.runtime import table
-
-    found = duplicate_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = duplicate_groups(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("lo")), 16, "0").alias("fingerprint"), "component_id")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from skarn.llm import words
 from skarn.llm.suffixes import common_prefixes, suffix_array
-from skarn.runtime import ship, table, written
+from skarn.runtime import dealt, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -276,4 +276,4 @@ def deduplicated(docs: DataFrame, cfg: DedupConfig | None = None) -> DataFrame:
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every whole text of `documents` without the bytes that a 200-byte string covers which starts twice."""
-    return deduplicated(table(spark, sf_dir, "documents"))
+    return deduplicated(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")))
