@@ -20,6 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.llm import similar
 from skarn.llm.components import connected_components
 from skarn.llm.words import batches
 from skarn.runtime import dealt, ship, table, written
@@ -243,12 +244,12 @@ def similar_config(rows: int, similarity: float = 0.8, shingle: int = 5, margin:
     return SimHashConfig(shingle, 128, radius, sampled_masks(128, rows, apart))
 
 
-def one_of_each(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataFrame:
+def one_of_each(docs: DataFrame, cfg: similar.SimilarConfig | None = None) -> DataFrame:
     """The rows of docs but for all except one of each group of near-duplicates: the one with the smallest doc_id
-    (a null one last), and of repeated rows one."""
-    cfg = cfg or similar_config(docs.count())
+    (a null one last), and of repeated rows one. Groups are joined by links that are verified on the shingle sets."""
     row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    groups = duplicate_groups(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), "text"), cfg)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text"))
+    groups = similar.groups(plain, cfg)
     stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("_row"))
     again = docs.withColumn("_row", row).join(stays, "_row")
     return again.withColumn("_copy", F.expr("row_number() over (partition by _row order by _row)")).where("_copy = 1").select(*docs.columns)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from skarn.llm import components, simhash, suffix_dedup, suffixes, words
+from skarn.llm import components, simhash, similar, suffix_dedup, suffixes, words
 from skarn.llm import decontaminate as dc
 
 WORDS = "the of and a to in is it on as by for with that this from at be was are".split()
@@ -130,6 +130,41 @@ def test_near_copies_keep_one(spark):
     assert kept == list(range(40))
 
 
+def tail_replaced(rng, n):
+    """A text of 90 shingles, and one that shares all but the last n of them: their similarity is (90 - n) / (90 + n)."""
+    ws = [f"u{rng.randrange(10**9)}" for _ in range(94)]
+    return " ".join(ws), " ".join(ws[: 94 - n] + [f"v{rng.randrange(10**9)}" for _ in range(n)])
+
+
+def test_near_copies_below_the_similarity_stay(spark):
+    rng = random.Random(10)
+    rows = []
+    for i in range(60):
+        a, b = tail_replaced(rng, 11 + i % 3)
+        rows += [(i, a), (100 + i, b)]
+    kept = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == sorted(i for i, _ in rows)
+
+
+def test_groups_equal_brute_force(spark):
+    rng = random.Random(11)
+    base = [text(rng, rng.randrange(1, 90), 300) for _ in range(60)]
+    rows = list(enumerate(base + [edited(rng, t, rng.choice([0.01, 0.03, 0.05])) for t in base * 2] + [edited(rng, base[0] + " " + base[1], 0.02) for _ in range(60)] + ["a b c", "A  b\tc", "", " "]))
+    sets = [frozenset(tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+            a, b = group[i], group[j]
+            group = [min(a, b) if g in (a, b) else g for g in group]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (20, 1):
+        got = similar.groups(df.selectExpr("doc_id", "doc_id as row", "text"), similar.SimilarConfig(count_bits=bits)).collect()
+        least = {}
+        for r in sorted(got):
+            least.setdefault(r.root, r.doc_id)
+        assert {r.doc_id: least[r.root] for r in got} == dict(enumerate(group))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.duplicate_groups(df).count() == 0 and simhash.one_of_each(df).count() == 0
