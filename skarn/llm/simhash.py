@@ -12,7 +12,6 @@ component has none; other columns are ignored; an empty table gives an empty res
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -48,22 +47,6 @@ def exact_masks(bits: int, radius: int, blocks: int = 6) -> tuple[int, ...]:
     return tuple(sum(block[i] for i in c) for c in combinations(range(blocks), blocks - radius))
 
 
-def sampled_masks(bits: int, rows: int, apart: float, recall: float = 0.98, seed: int = 7) -> tuple[int, ...]:
-    """Random masks for radii that no block scheme serves.
-
-    A mask has about log2(rows) - 2 bits, so that a shard keeps a few unrelated fingerprints at any input size; there
-    are as many masks as a pair whose bits differ with probability `apart` needs to meet with probability `recall`."""
-    width = min(bits // 3, max(8, math.ceil(math.log2(rows + 2)) - 2))
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** width))
-    rng = np.random.default_rng(seed)
-    return tuple(sum(1 << int(b) for b in rng.choice(bits, width, replace=False)) for _ in range(tables))
-
-
-def similar_apart(similarity: float) -> float:
-    """The expected share of differing bits at a Jaccard similarity: the angle between the shingle vectors over pi."""
-    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-
-
 def fingerprint(text: bytes, shingle: int, words: int = 1) -> list[int]:
     """The fingerprint as `words` unsigned 64-bit integers (seeds 42, 43, ...)."""
     import xxhash
@@ -235,15 +218,6 @@ def duplicate_groups(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataF
     return prints.join(named, ["hi", "lo"])
 
 
-def similar_config(rows: int, similarity: float = 0.8, shingle: int = 5, margin: float = 1.6) -> SimHashConfig:
-    """128-bit fingerprints for documents whose shingle sets have at least this Jaccard similarity.
-
-    The radius is the expected number of differing bits at that similarity plus `margin` standard deviations."""
-    apart = similar_apart(similarity)
-    radius = round(128 * apart + margin * math.sqrt(128 * apart * (1 - apart)))
-    return SimHashConfig(shingle, 128, radius, sampled_masks(128, rows, apart))
-
-
 def one_of_each(docs: DataFrame, cfg: similar.SimilarConfig | None = None) -> DataFrame:
     """The rows of docs but for all except one of each group of near-duplicates: the one with the smallest doc_id
     (a null one last), and of repeated rows one. Groups are joined by links that are verified on the shingle sets."""

@@ -146,6 +146,15 @@ def test_near_copies_below_the_similarity_stay(spark):
     assert kept == sorted(i for i, _ in rows)
 
 
+def test_pairs_at_the_similarity_meet_at_any_row_count(spark):
+    rng = random.Random(12)
+    pairs = [tail_replaced(rng, 10) for _ in range(150)]
+    for others in (0, 1500):
+        rows = [(i + k * 1000, t) for i, p in enumerate(pairs) for k, t in enumerate(p)] + [(5000 + i, text(rng, 40, 10**6)) for i in range(others)]
+        kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert kept == {i for i, _ in rows if not 1000 <= i < 5000}
+
+
 def test_groups_equal_brute_force(spark):
     rng = random.Random(11)
     base = [text(rng, rng.randrange(1, 90), 300) for _ in range(60)]
