@@ -8,7 +8,8 @@ The benchmark is the stated query set: it is read in blocks of bounded size, eac
 and the documents are passed over without a shuffle.
 
 Tokens are runs of letters and digits with A-Z lower-cased (other characters count as letters). Defined results: null
-and empty texts hold nothing; benchmark rows without text or with fewer tokens than the shortest mask are not searched;
+and empty texts hold nothing; benchmark rows without a token are not searched; items with fewer tokens than the shortest
+mask are leaked where all their tokens stand in a row;
 repeated rows on either side are treated each on its own; null ids are carried as they are; other columns do no harm;
 an empty table gives an empty result (documents) or leaves all documents clean (benchmark)."""
 
@@ -43,15 +44,20 @@ class SeedIndex:
 
     def __init__(self, items: list[tuple], cfg: SeedConfig):
         tokens = words.hashed_texts([(t or "").encode() for _, t in items], between=words.NOT_ALNUM)
-        keep = [i for i, t in enumerate(tokens) if len(t) >= min(map(len, cfg.masks))]
+        keep = [i for i, t in enumerate(tokens) if len(t)]
         self.ids, self.tokens = [items[i][0] for i in keep], [tokens[i] for i in keep]
         self.size = np.array([len(t) for t in self.tokens], np.int64)
         flat = np.concatenate(self.tokens) if keep else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(keep)), self.size)
         place = np.arange(len(flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        # Items that no mask fits are looked up whole, by the hash of all their tokens.
+        shortest = min(map(len, cfg.masks))
+        self.masks = (*cfg.masks, *("1" * n for n in sorted(set(self.size[self.size < shortest].tolist()))))
         found = []
-        for k, mask in enumerate(cfg.masks):
-            at = np.flatnonzero(place + len(mask) <= self.size[owner]) if keep else np.zeros(0, np.int64)
+        for k, mask in enumerate(self.masks):
+            own = self.size[owner]
+            at = np.flatnonzero(own == len(mask) if len(mask) < shortest else place + len(mask) <= own)
+            at = at[place[at] == 0] if len(mask) < shortest else at
             found.append((seeds(flat, mask, k)[at] if len(at) else np.zeros(0, np.uint64), owner[at], place[at]))
         h, self.owner, self.place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h, kind="stable")
@@ -72,18 +78,33 @@ def seeds(flat: np.ndarray, mask: str, number: int) -> np.ndarray:
     return words.mix(h + np.uint64(number))
 
 
+def stretches(same: np.ndarray, least: int, identity: float) -> list[tuple[int, int]]:
+    """All disjoint verified stretches (start, end) of a diagonal: the one with the largest sum, where an equal token
+    adds 1 - identity and another one takes identity, then the same on the left and on the right of it."""
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - identity, -identity))])
+    found, parts = [], [(0, len(same))]
+    while parts:
+        lo, hi = parts.pop()
+        if hi - lo < least:
+            continue
+        part = total[lo : hi + 1]
+        end = int(np.argmax(part - np.minimum.accumulate(part)))
+        start = int(np.argmin(part[: end + 1]))
+        start, end = lo + start, lo + end
+        if end == start:
+            continue
+        if end - start >= least and same[start:end].mean() >= identity:
+            found.append((start, end))
+        parts += [(lo, start), (end, hi)]
+    return found
+
+
 def verified(doc: np.ndarray, item: np.ndarray, shifts: list[int], cfg: SeedConfig) -> int:
     """Tokens of the item that lie in verified stretches on any of the diagonals (document place - item place)."""
     hit = np.zeros(len(item), bool)
     for shift in shifts:
         lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-        same = doc[lo + shift : hi + shift] == item[lo:hi]
-        # The stretch with the largest sum, where an equal token adds 1 - identity and another one takes identity.
-        total = np.concatenate([[0.0], np.cumsum(np.where(same, 1 - cfg.identity, -cfg.identity))])
-        below = np.minimum.accumulate(total)
-        end = int(np.argmax(total - below))
-        start = int(np.argmin(total[: end + 1]))
-        if end - start >= min(cfg.stretch, len(item)) and same[start:end].mean() >= cfg.identity:
+        for start, end in stretches(doc[lo + shift : hi + shift] == item[lo:hi], min(cfg.stretch, len(item)), cfg.identity):
             hit[lo + start : lo + end] = True
     return int(hit.sum())
 
@@ -97,7 +118,7 @@ def leaks(texts: list[bytes], index: SeedIndex, cfg: SeedConfig) -> list[list[tu
         return out
     flat, first = np.concatenate(tokens), np.cumsum(size) - size
     met: dict[tuple[int, int], set[int]] = {}
-    for k, mask in enumerate(cfg.masks):
+    for k, mask in enumerate(index.masks):
         h = seeds(flat, mask, k)
         at = np.flatnonzero(index.filter[(h >> np.uint64(42)).astype(np.int64)])
         if not len(at):
@@ -105,6 +126,10 @@ def leaks(texts: list[bytes], index: SeedIndex, cfg: SeedConfig) -> list[list[tu
         doc = np.searchsorted(first, at, side="right") - 1
         at, doc = (x[at + len(mask) <= first[doc] + size[doc]] for x in (at, doc))
         lo, hi = np.searchsorted(index.h, h[at]), np.searchsorted(index.h, h[at], side="right")
+        if k >= len(cfg.masks):
+            # One place of a whole item is enough.
+            one = np.unique(np.stack([doc, lo]), axis=1, return_index=True)[1]
+            at, doc, lo, hi = (x[one] for x in (at, doc, lo, hi))
         for p, d, a, b in zip(*(x[hi > lo].tolist() for x in (at, doc, lo, hi)), strict=True):
             for j in range(a, b):
                 met.setdefault((d, int(index.owner[j])), set()).add(int(p - first[d] - index.place[j]))

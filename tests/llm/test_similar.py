@@ -241,6 +241,23 @@ def test_verified_overlaps():
     assert dc.verified(doc, item, [4], cfg) == 0
 
 
+@pytest.mark.parametrize("tokens, gap", [(45, 15), (90, 30), (100, 22)])
+def test_parts_around_a_replaced_block_count_together(tokens, gap):
+    rng, cfg = random.Random(13), dc.SeedConfig()
+    item = [f"w{rng.randrange(10**6)}" for _ in range(tokens)]
+    a = (tokens - gap) // 2
+    quoted = " ".join(["before"] * 9 + item[:a] + [f"x{i}" for i in range(gap)] + item[a + gap :] + ["after"] * 9)
+    found = dc.leaks([quoted.encode()], dc.SeedIndex([(7, " ".join(item))], cfg), cfg)[0]
+    assert [i for i, _ in found] == [0] and found[0][1] >= tokens - gap
+
+
+def test_short_items_are_found_whole():
+    cfg = dc.SeedConfig()
+    index = dc.SeedIndex([(1, "What is the capital of Peru?"), (2, "Lima"), (3, " ".join(f"t{i}" for i in range(20))), (4, "")], cfg)
+    texts = ["He asked: what is the CAPITAL of Peru? Lima, said she. Lima!", "what is the capital", "of peru what is the capital", "the capital of peru is what", ""]
+    assert [[(index.ids[i], n) for i, n in sorted(x)] for x in dc.leaks([t.encode() for t in texts], index, cfg)] == [[(1, 6), (2, 1)], [], [], [], []]
+
+
 def test_leaks_are_found_and_clean_texts_are_not(spark):
     rng = random.Random(9)
     items = [(i, text(rng, rng.randrange(15, 60), 3000)) for i in range(40)]
