@@ -125,6 +125,18 @@ def test_added_spans_leave_base_ones_alone():
     assert "ann.lee" not in clean and "4111" not in clean and "10.0.0.1" not in clean and "20240101" in clean
 
 
+@pytest.mark.parametrize("t, want", [
+    ("Tel 555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]),
+    ("030 1234567 / 0171 1234567", ["030 1234567", "0171 1234567"]),
+    ("call +1 (826) 555-4081 190.137.223.204 now", ["+1 (826) 555-4081"]),
+    ("paid 2353820953013749 4550997810720808", ["4550997810720808"]),
+    ("paid 7536784127813050 4845168114407329", ["7536784127813050", "4845168114407329"]),
+])
+def test_numbers_beside_numbers_are_found(t, want):
+    base, added = pii.find(t, pii.model())
+    assert [t[s:e] for s, e, _ in added] == want
+
+
 def test_pii_frame(spark):
     rows = [(1, "a@b.co", "x"), (None, None, "x"), (2, "", "x"), (2, "", "x"), (3, "no " * 50000 + "+1 (555) 123-4567", "x")]
     got = pii.with_spans(spark.createDataFrame(rows, "doc_id long, text string, pii string").toDF("doc_id", "text", "spans")).collect()
