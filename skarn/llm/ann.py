@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by cosine, over shifted Hilbert curves.
 
-Each curve orders the unit vectors by the Hilbert index of a random, shifted projection. A query's candidates are its
-neighbours in a window on each curve; the windows are merged and the best candidates are reranked with the original
-vectors. Curves are cut into key ranges of a bounded number of rows; a query also visits the ranges next to its own, so
-its window is never cut short. Vectors travel to the ranges as bytes, one for each component.
+Each curve orders the vectors by the Hilbert index of a random, shifted projection of their unit vectors. The keys of all
+curves (not the vectors) are range-partitioned and sorted in Spark; there a query's window on each curve becomes a pair of
+keys. The queries then pass, with their windows, in blocks of a bounded number over the vectors, which stay where they
+are: on every chunk of vectors a query's windows are merged, and what lies in any of them is ranked by the exact measure.
 
-The window grows with the square root of the number of distinct vectors, the number of curves is fixed.
+How many rows a window takes on either side is measured, not guessed: for a bounded sample of the queries the nearest
+rows are found among all rows, and the window is the smallest one that holds the wanted share of them on some curve. So
+the recall holds at any number of rows and for any shape of the data, near-equal vectors in large numbers included; what
+changes is the work. Rows of equal keys are always taken together.
 
 Equal vectors are one class, searched once, so copies neither fill windows nor meet in a task; of a class only the
 smallest ids can be among a query's nearest. Defined results: vectors that are null, empty, zero, of another length
@@ -20,25 +23,28 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from skarn.runtime import ship, table, written
+from skarn.runtime import parallelism, ship, table, written
 
 
 @dataclass(frozen=True)
 class CurveConfig:
-    curves: int = 48
-    #: Dimensions and bits of a projection; their product is at most 56.
-    dims: int = 8
-    bits: int = 7
-    #: Rows on either side of a query, times the square root of the number of distinct vectors.
-    window: float = 1.5
+    curves: int = 16
+    #: Dimensions and bits of a projection; their product is at most 64.
+    dims: int = 4
+    bits: int = 16
     near: int = 5
-    #: Candidates kept from each window, and reranked for each query.
-    kept: int = 12
-    reranked: int = 32
-    #: Rows of a key range, at least eight windows.
-    range_rows: int = 100_000
+    #: The sample of queries on which windows are measured, the share of their nearest rows that these must hold, and
+    #: the rows that a window has on either side at least.
     sample: int = 200
+    target: float = 0.97
+    least: int = 256
+    #: Windows are cut on parts of this fraction of their size.
+    grain: int = 4
+    #: Queries that pass over the vectors at once, and bytes of vectors that are compared at once.
+    block_rows: int = 20_000
+    chunk_bytes: int = 16 << 20
     seed: int = 5
 
 
@@ -65,24 +71,37 @@ def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(unit: np.ndarray, ids: np.ndarray, curve: int, cfg: CurveConfig) -> np.ndarray:
-    """Sort keys of unit vectors on a curve: the Hilbert index, then eight bits of the id to part equal indexes."""
+def curve_keys(unit: np.ndarray, cfg: CurveConfig) -> np.ndarray:
+    """The sort keys of unit vectors, one column for each curve, as signed integers in the order of the indexes."""
     d = unit.shape[1]
-    g = np.random.default_rng([cfg.seed, curve, d])
-    to = np.linalg.qr(g.normal(size=(d, d)))[0][:, : min(cfg.dims, d)]
-    shift = g.uniform(-0.25, 0.25, to.shape[1])
-    # Projected components of random unit vectors have a deviation of d**-0.5; eight of these fit the grid.
-    grid = np.clip(((unit @ to) * math.sqrt(d) / 8 + 0.5 + shift) * (1 << cfg.bits), 0, (1 << cfg.bits) - 1)
-    tie = (ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
-    return ((hilbert(grid, cfg.bits) << np.uint64(8)) | tie).view(np.int64)
+    out = np.empty((len(unit), cfg.curves), np.int64)
+    for curve in range(cfg.curves):
+        g = np.random.default_rng([cfg.seed, curve, d])
+        to = np.linalg.qr(g.normal(size=(d, d)))[0][:, : min(cfg.dims, d)]
+        shift = g.uniform(-0.25, 0.25, to.shape[1])
+        # Projected components of random unit vectors have a deviation of d**-0.5; eight of these fit the grid.
+        grid = np.clip(((unit @ to) * math.sqrt(d) / 8 + 0.5 + shift) * (1 << cfg.bits), 0, (1 << cfg.bits) - 1)
+        out[:, curve] = (hilbert(grid, cfg.bits) ^ np.uint64(1 << 63)).view(np.int64)
+    return out
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, the largest component near 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if len(x) else x
 
 
 def _matrix(column) -> np.ndarray:
-    """An Arrow list column without nulls, all of one length, as a matrix of doubles."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    """An Arrow list column without nulls, all of one length, as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
+def _vectors(column) -> tuple[np.ndarray, np.ndarray]:
+    """(scaled vectors, their lengths) in double precision."""
+    x = scaled(_matrix(column).astype(np.float64))
+    return x, np.sqrt((x * x).sum(1))
+
+
 def usable(vectors: DataFrame, vector: str) -> DataFrame:
     """Rows whose vector can be searched, and whose length is the commonest (the smaller of equally common ones)."""
     v = F.col(vector)
@@ -91,139 +110,239 @@ def usable(vectors: DataFrame, vector: str) -> DataFrame:
     return good.where(F.size(v) == (size["d"] if size else 0))
 
 
-def nearest(vectors: DataFrame, asks, cfg: CurveConfig | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows for which `asks` (a condition on vec_id) holds, among all rows
-    (vec_id long, embedding array)."""
-    cfg = cfg or CurveConfig()
-    if cfg.dims * cfg.bits > 56:
-        raise ValueError("dims * bits may be 56 at most")
-    spark = vectors.sparkSession
-    ship(spark)
-    rows = usable(vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")), "embedding")
-    rows = rows.withColumn("cls", F.xxhash64("embedding"))
+def _classes(rows: DataFrame, asks, cfg: CurveConfig) -> DataFrame:
+    """(cls, embedding, ids, asks, keys): the distinct vectors with the smallest ids of each."""
     # A query never needs more than its `near` and itself of any class.
-    least = rows.select("cls", "vec_id").distinct().withColumn("r", F.expr("row_number() over (partition by cls order by vec_id)")).where(F.col("r") <= cfg.near + 1)
-    ids = least.groupBy("cls").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = written(rows.groupBy("cls").agg(F.first("embedding").alias("embedding"), F.max(asks).alias("asks")).join(ids, "cls"), "classes")
-    n = classes.count()
-    window = math.ceil(cfg.window * math.sqrt(max(n, 1)))
-    ranges = max(1, n // max(cfg.range_rows, 8 * window))
-    found = _in_windows(classes, _splits(classes, n, ranges, cfg), window, cfg)
-    best = (
-        found.groupBy("query", "cls")
-        .agg(F.max("near").alias("near"))
-        .withColumn("r", F.expr("row_number() over (partition by query order by near desc, cls)"))
-        .where(F.col("r") <= cfg.reranked)
-        .select("query", "cls")
-        .unionByName(classes.where("asks and size(ids) > 1").select(F.col("cls").alias("query"), "cls"))
-    )
-    pairs = best.join(classes.select("cls", "ids", F.col("embedding").alias("b")), "cls").join(classes.select(F.col("cls").alias("query"), F.col("embedding").alias("a")), "query")
+    least = rows.distinct().withColumn("r", F.expr("row_number() over (partition by embedding order by vec_id)")).where(F.col("r") <= cfg.near + 1)
+    ids = least.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    marked = ids.join(rows.where(asks).select("embedding", F.lit(True).alias("asks")).distinct(), "embedding", "left")
+    plain = marked.select(F.monotonically_increasing_id().alias("cls"), "embedding", "ids", F.coalesce("asks", F.lit(False)).alias("asks"))
 
-    def cosine(it):
+    def run(it):
         import pyarrow as pa
 
+        for whole in it:
+            for a in range(0, whole.num_rows, 4096):
+                batch = whole.slice(a, 4096)
+                x, length = _vectors(batch.column(1))
+                keys = curve_keys(x / length[:, None], cfg)
+                offsets = np.arange(0, keys.size + 1, cfg.curves, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1)))], names=[*batch.schema.names, "keys"])
+
+    schema = T.StructType([*plain.schema.fields, T.StructField("keys", T.ArrayType(T.LongType()))])
+    return written(plain.mapInArrow(run, schema), "classes")
+
+
+def _chunks(it, cfg: CurveConfig):
+    """Arrow batches of about `chunk_bytes` of vectors at most, from smaller and larger ones."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for whole in it:
+        if not whole.num_rows:
+            continue
+        row = max(1, 8 * len(whole.column(1).flatten()) // whole.num_rows)
+        step = max(1, cfg.chunk_bytes // row)
+        for a in range(0, whole.num_rows, step):
+            part = whole.slice(a, step)
+            if held and size + row * part.num_rows > cfg.chunk_bytes:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += row * part.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _best(score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n largest, and of all that are too close to the last of them to be told apart yet."""
+    if len(score) <= n:
+        return np.arange(len(score))
+    return np.flatnonzero(score >= np.partition(score, len(score) - n)[len(score) - n] - 1e-12)
+
+
+def _exact(x: np.ndarray, length: np.ndarray, q: np.ndarray, q_length: float) -> np.ndarray:
+    return (x * q).sum(1) / (length * q_length)
+
+
+def window_rows(classes: DataFrame, cfg: CurveConfig) -> int:
+    """The rows on either side that hold `target` of the nearest rows of the sampled queries on one of the curves."""
+    spark = classes.sparkSession
+    rows = classes.where("asks").orderBy(F.xxhash64("cls"), "cls").limit(cfg.sample).select("cls", "embedding", "keys").toArrow()
+    if not rows.num_rows:
+        return cfg.least
+    rows = rows.combine_chunks()
+    x, length = _vectors(rows.column("embedding").chunk(0))
+    keys, own = _matrix(rows.column("keys").chunk(0)), rows.column("cls").to_numpy()
+    sent = spark.sparkContext.broadcast((x / length[:, None], own))
+
+    def all_rows(it):
+        import pyarrow as pa
+
+        unit, own = sent.value
+        for batch in _chunks(it, cfg):
+            cls = batch.column(0).to_numpy()
+            v, size = _vectors(batch.column(1))
+            score = (unit @ v.T) / size
+            score[own[:, None] == cls[None]] = -np.inf
+            k = min(cfg.near, len(cls))
+            at = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), k)), pa.array(np.take_along_axis(score, at, 1).reshape(-1)), batch.column(2).take(pa.array(at.reshape(-1)))], names=["q", "score", "keys"])
+
+    found = classes.select("cls", "embedding", "keys").mapInArrow(all_rows, "q long, score double, keys array<long>")
+    top = found.withColumn("r", F.expr("row_number() over (partition by q order by score desc, keys)")).where((F.col("r") <= cfg.near) & (F.col("score") > float("-inf"))).select("q", "keys").toArrow()
+    if not top.num_rows:
+        return cfg.least
+    there, q = _matrix(top.column("keys").combine_chunks()), top.column("q").to_numpy()
+    ends = spark.sparkContext.broadcast((np.minimum(keys[q], there), np.maximum(keys[q], there)))
+
+    def between(it):
+        import pyarrow as pa
+
+        lo, hi = ends.value
+        n = np.zeros(lo.shape, np.int64)
         for batch in it:
             if batch.num_rows:
-                a, b = _matrix(batch.column(2)), _matrix(batch.column(3))
-                score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query", "ids", "score"])
+                k = np.sort(_matrix(batch.column(0)), axis=0)
+                for c in range(k.shape[1]):
+                    n[:, c] += np.searchsorted(k[:, c], hi[:, c]) - np.searchsorted(k[:, c], lo[:, c], side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n.size)), pa.array(n.reshape(-1))], names=["i", "n"])
 
-    ranked = pairs.select("query", "ids", "a", "b").mapInArrow(cosine, "query long, ids array<long>, score double")
-    top = (
-        ranked.select("query", "score", F.explode("ids").alias("vec_id"))
-        .withColumn("r", F.expr("row_number() over (partition by query order by score desc, vec_id)"))
-        .where(F.col("r") <= cfg.near + 1)
-        .select("query", "score", "vec_id")
-    )
-    asked = rows.where(asks).select(F.col("vec_id").alias("query_id"), F.col("cls").alias("query")).distinct()
-    return (
-        asked.join(top, "query")
-        .where("vec_id <> query_id")
-        .withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
-        .where(F.col("rank") <= cfg.near)
-        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    counted = classes.select("keys").mapInArrow(between, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(there.size, np.int64)
+    n[counted.column("i").to_numpy()] = counted.column("n").to_numpy()
+    return max(cfg.least, int(np.quantile(n.reshape(there.shape).min(1), cfg.target, method="higher")) + 1)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+def windows(classes: DataFrame, window: int, cfg: CurveConfig) -> DataFrame:
+    """(query, lo, hi): for each asking class its window's first and last key on each curve, by curve.
 
+    The sorted keys are cut into parts; a part's place in the whole order is the number of rows before it. A query's
+    window is made of whole parts and has `window` rows or more on either side, as far as there are any."""
+    grain = max(1, window // cfg.grain)
+    spark = classes.sparkSession
 
-def _splits(classes: DataFrame, n: int, ranges: int, cfg: CurveConfig) -> np.ndarray:
-    """Keys at which each curve is cut into `ranges` parts, from about `sample` rows for each part."""
-    if ranges == 1:
-        return np.zeros((cfg.curves, 0), np.int64)
-    share = min(1.0, cfg.sample * ranges / n)
-
-    def keys(it):
+    def cut(it):
         import pyarrow as pa
 
+        def part(curve, key, cls, asks):
+            return curve, int(key[0]), int(key[-1]), len(key), cls[asks].tolist()
+
+        rest = None
         for batch in it:
-            if batch.num_rows:
-                unit, ids = _unit(_matrix(batch.column(1))), np.asarray(batch.column(0), np.int64)
-                got = [curve_keys(unit, ids, c, cfg) for c in range(cfg.curves)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(cfg.curves), len(ids)).astype(np.int32)), pa.array(np.concatenate(got))], names=["curve", "key"])
-
-    chosen = classes.where(F.pmod("cls", F.lit(1 << 30)) < int(share * (1 << 30))).select("cls", "embedding")
-    cuts = chosen.mapInArrow(keys, "curve int, key long").groupBy("curve").agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000).alias("k"))
-    out = np.zeros((cfg.curves, ranges - 1), np.int64)
-    for r in cuts.collect():
-        out[r.curve] = r.k
-    return out
+            cols = [np.asarray(batch.column(i)) for i in range(3)] + [np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)]
+            if rest is not None:
+                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            out, at = [], 0
+            curve = cols[0]
+            while at < len(curve):
+                end = min(at + grain, int(np.searchsorted(curve, curve[at], side="right")))
+                if end == len(curve) and end - at < grain:
+                    break
+                out.append(part(int(curve[at]), *(x[at:end] for x in cols[1:])))
+                at = end
+            rest = [x[at:] for x in cols]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds(), strict=True)], names=names)
+        if rest is not None and len(rest[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*[part(int(rest[0][0]), *rest[1:])], strict=True), kinds(), strict=True)], names=names)
+
+    def kinds():
+        import pyarrow as pa
 
+        return pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())
 
-def _in_windows(classes: DataFrame, splits: np.ndarray, window: int, cfg: CurveConfig) -> DataFrame:
-    """(query, cls, near): the best of each query's window on each curve, by the product of the byte vectors."""
-    ranges = splits.shape[1] + 1
+    names = ["curve", "first", "last", "n", "asking"]
+    keys = classes.select("cls", "asks", F.posexplode("keys").alias("curve", "key")).select("curve", "key", "cls", "asks")
+    # Equal keys are parted by the class, in another order on each curve.
+    tie = F.xxhash64("cls", "curve")
+    ranged = keys.repartitionByRange(parallelism(spark), "curve", "key", tie).sortWithinPartitions("curve", "key", tie)
+    parts = written(ranged.mapInArrow(cut, "curve int, first long, last long, n long, asking array<long>"), "parts")
+    placed = parts.withColumn("at", F.expr("sum(n) over (partition by curve order by first, last, n rows between unbounded preceding and current row) - n"))
+    reach = window + grain
+    around = placed.withColumn("lo", F.expr(f"min(first) over (partition by curve order by at range between {reach} preceding and current row)")).withColumn("hi", F.expr(f"max(last) over (partition by curve order by at range between current row and {reach} following)"))
+    each = around.where("size(asking) > 0").select("curve", "lo", "hi", F.explode("asking").alias("query"))
+    by_curve = F.sort_array(F.collect_list(F.struct("curve", "lo", "hi")))
+    return each.groupBy("query").agg(by_curve.alias("w")).select("query", F.transform("w", lambda x: x["lo"]).alias("lo"), F.transform("w", lambda x: x["hi"]).alias("hi"))
 
-    def deal(it):
-        import pyarrow as pa
 
-        for whole in it:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                unit, ids = _unit(_matrix(batch.column(1))), np.asarray(batch.column(0), np.int64)
-                asks = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
-                top = np.abs(unit).max(1, keepdims=True)
-                small = np.round(unit * 127 / top).astype(np.int8)
-                small = pa.array([r.tobytes() for r in small], pa.binary())
-                scale = pa.array((top[:, 0] / 127).astype(np.float32))
-                for c in range(cfg.curves):
-                    key = curve_keys(unit, ids, c, cfg)
-                    own = np.searchsorted(splits[c], key, side="right")
-                    for step in (None, -1, 0, 1):
-                        # Every row as a candidate in its range; the asking rows as queries there and next to it.
-                        to = own if step is None else own + step
-                        rows = np.flatnonzero((to >= 0) & (to < ranges) & (asks | (step is None)))
-                        if len(rows):
-                            yield pa.RecordBatch.from_arrays([pa.array(to[rows] + c * ranges), pa.array(key[rows]), pa.array(ids[rows]), small.take(pa.array(rows)), scale.take(pa.array(rows)), pa.array(np.full(len(rows), step is not None))], names=["range", "key", "cls", "v", "scale", "asks"])
-
-    def search(group):
+def _passed(classes: DataFrame, block, cfg: CurveConfig) -> DataFrame:
+    """(query, ids, score): of each chunk of classes the best of each query of a block, by the exact measure."""
+    sent = classes.sparkSession.sparkContext.broadcast(block)
+
+    def run(it):
         import pyarrow as pa
 
-        key, ids, scale = (group.column(i).to_numpy() for i in (1, 2, 4))
-        asks = group.column(5).to_numpy()
-        v = np.frombuffer(b"".join(group.column(3).to_pylist()), np.int8).reshape(len(key), -1).astype(np.float32) * scale[:, None]
-        order = np.flatnonzero(~asks)
-        order = order[np.lexsort((ids[order], key[order]))]
-        there, own = v[order], ids[order]
-        out: list[tuple] = []
-        for i in np.flatnonzero(asks):
-            p = int(np.searchsorted(key[order], key[i])) if len(order) else 0
-            lo, hi = max(0, p - window), min(len(order), p + window + 1)
-            if lo >= hi:
-                continue
-            near = there[lo:hi] @ v[i]
-            near[own[lo:hi] == ids[i]] = -np.inf
-            best = np.argpartition(-near, min(cfg.kept, len(near) - 1))[: cfg.kept]
-            best = best[np.isfinite(near[best])]
-            out.append((np.full(len(best), ids[i]), own[lo:hi][best], near[best]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-        return pa.table({"query": cols[0], "cls": cols[1], "near": cols[2]})
-
-    dealt = classes.select("cls", "embedding", "asks").mapInArrow(deal, "range long, key long, cls long, v binary, scale float, asks boolean")
-    return dealt.groupBy("range").applyInArrow(search, "query long, cls long, near float")
+        query, q, q_length, lo, hi = sent.value
+        for batch in _chunks(it, cfg):
+            ids = batch.column(3)
+            first = ids.flatten().to_numpy()[np.asarray(ids.offsets)[:-1] - ids.offsets[0].as_py()] if len(ids) else np.zeros(0, np.int64)
+            x, length = _vectors(batch.column(1))
+            keys = _matrix(batch.column(2))
+            order = np.argsort(keys, axis=0, kind="stable")
+            a, b = (np.empty(lo.shape, np.int64) for _ in range(2))
+            for c in range(keys.shape[1]):
+                k = keys[order[:, c], c]
+                a[:, c], b[:, c] = np.searchsorted(k, lo[:, c]), np.searchsorted(k, hi[:, c], side="right")
+            unit = x / length[:, None]
+            out: list[tuple] = []
+            for i in range(len(query)):
+                hit = np.zeros(len(x), bool)
+                for c in range(keys.shape[1]):
+                    hit[order[a[i, c] : b[i, c], c]] = True
+                at = np.flatnonzero(hit)
+                if len(at):
+                    at = at[_best(unit[at] @ q[i], cfg.near + 1)]
+                    score = _exact(x[at], length[at], q[i], q_length[i])
+                    best = np.lexsort((first[at], -score))[: cfg.near + 1]
+                    out.append((np.full(len(best), query[i]), at[best], score[best]))
+            if out:
+                who, at, score = (np.concatenate(v) for v in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(who), ids.take(pa.array(at)), pa.array(score)], names=["query", "ids", "score"])
+
+    return classes.select("cls", "embedding", "keys", "ids").mapInArrow(run, "query long, ids array<long>, score double")
+
+
+def nearest(vectors: DataFrame, asks, cfg: CurveConfig | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows for which `asks` (a condition on vec_id) holds, among all rows
+    (vec_id long, embedding array)."""
+    cfg = cfg or CurveConfig()
+    if cfg.dims * cfg.bits > 64:
+        raise ValueError("dims * bits may be 64 at most")
+    ship(vectors.sparkSession)
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = usable(vectors.where("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)), "embedding")
+    classes = _classes(rows, asks, cfg)
+    bounds = windows(classes, window_rows(classes, cfg), cfg)
+    queries = written(classes.where("asks").select(F.col("cls").alias("query"), "embedding").join(bounds, "query"), "queries")
+    blocks = max(1, math.ceil(queries.count() / cfg.block_rows))
+    found = None
+    for b in range(blocks):
+        # A block is a bounded part of the stated queries; all classes pass by it.
+        rows_ = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if not rows_.num_rows:
+            continue
+        q, length = _vectors(rows_.column("embedding").chunk(0))
+        block = (rows_.column("query").to_numpy(), q, length, *(_matrix(rows_.column(n).chunk(0)) for n in ("lo", "hi")))
+        part = _passed(classes, block, cfg).withColumn("r", F.expr("row_number() over (partition by query order by score desc, ids[0])")).where(F.col("r") <= cfg.near + 1).drop("r")
+        part = part if blocks == 1 else written(part, "found")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    top = (
+        found.select("query", "score", F.explode("ids").alias("vec_id"))
+        .withColumn("r", F.expr("row_number() over (partition by query order by score desc, vec_id)"))
+        .where(F.col("r") <= cfg.near + 1)
+        .select("query", "score", "vec_id")
+    )
+    asked = rows.where(asks).select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(classes.where("asks").select(F.col("cls").alias("query"), "embedding"), "embedding").select("query_id", "query")
+    return (
+        asked.join(top, "query")
+        .where("vec_id <> query_id")
+        .withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
+        .where(F.col("rank") <= cfg.near)
+        .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    )
 
 
 def op1_ann(spark, sf_dir: str) -> DataFrame:
