@@ -219,14 +219,25 @@ def duplicate_groups(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataF
 
 
 def one_of_each(docs: DataFrame, cfg: similar.SimilarConfig | None = None) -> DataFrame:
-    """The rows of docs but for all except one of each group of near-duplicates: the one with the smallest doc_id
-    (a null one last), and of repeated rows one. Groups are joined by links that are verified on the shingle sets."""
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("string").alias("text"))
-    groups = similar.groups(plain, cfg)
-    stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("_row"))
-    again = docs.withColumn("_row", row).join(stays, "_row")
-    return again.withColumn("_copy", F.expr("row_number() over (partition by _row order by _row)")).where("_copy = 1").select(*docs.columns)
+    """The rows of docs but for all except one of each group of near-duplicates: the one with the smallest doc_id (a
+    null one last; of several the one whose doc_id and text have the smallest hash), and of rows that are alike in both
+    the one with the smallest hash of all columns.
+
+    SimHash groups (fingerprints of the same shingles, linked through BK-trees) propose which documents to compare
+    first. Groups are joined by links that are verified on the shingle sets; links beyond the radius are found, too."""
+    cfg = cfg or similar.SimilarConfig()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    doc, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    row = F.xxhash64(doc, text)
+    plain = own.select(doc.cast("long").alias("doc_id"), row.alias("row"), text.cast("string").alias("text"))
+    proposed = duplicate_groups(plain, SimHashConfig(shingle=cfg.shingle)).select("row", F.col("root").alias("group"))
+    groups = similar.groups(plain, cfg, written(proposed.distinct(), "proposed"))
+    stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
+    again = own.withColumn("row", row).join(stays, "row")
+    # Columns go by place, so no name of theirs clashes with the two that are added. Maps have no order and no hash.
+    hashed = ", ".join(n for n, t in own.dtypes if "map<" not in t and "variant" not in t)
+    return again.withColumn("copy", F.expr(f"row_number() over (partition by row order by xxhash64({hashed}))")).where("copy = 1").select(*names).toDF(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
