@@ -78,12 +78,13 @@ def phrase_pattern(phrase: Column) -> Column:
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
     """Whether the phrase stands in the text at the start of a word; both are normalized first."""
-    return F.regexp_like(normalize(text), phrase_pattern(normalize(phrase)))
+    # As variables, the normal forms are made once and used twice.
+    return F.exists(F.array(normalize(text)), lambda t: F.exists(F.array(normalize(phrase)), lambda p: contains_normalized(t, p)))
 
 
 def contains_normalized(text: Column, phrase: Column) -> Column:
-    """The same for sides that are normalized already."""
-    return F.regexp_like(text, phrase_pattern(phrase))
+    """The same for sides that are normalized already. Patterns are made only where the phrase stands in the text at all."""
+    return F.when(F.contains(text, phrase), F.regexp_like(text, phrase_pattern(phrase))).otherwise(F.when(text.isNotNull() & phrase.isNotNull(), F.lit(False)))
 
 
 def overlap_words(c: Column) -> Column:

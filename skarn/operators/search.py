@@ -14,11 +14,16 @@ from skarn.settings import DEFAULT, Settings
 BLOCK_ROWS = 20_000
 
 
+def counted(tokens: DataFrame, words: str, key: str = "doc_id") -> DataFrame:
+    """(key, term, tf, length): how often each word stands in the array `words`."""
+    # explode would put a filter on the size of the array, and with it the tokens, before itself a second time.
+    each = tokens.select(key, F.size(words).alias("length"), F.explode_outer(words).alias("term")).where("term is not null")
+    return each.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+
+
 def postings(docs: DataFrame, s: Settings = DEFAULT, key: str = "doc_id") -> DataFrame:
     """(key, term, tf, length): the counts of every search word of every text."""
-    # explode would put a filter on the size of the array, and with it the tokens, before itself a second time.
-    words = docs.select(key, search_tokens(F.col("text"), s).alias("t")).select(key, F.size("t").alias("length"), F.explode_outer("t").alias("term")).where("term is not null")
-    return words.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    return counted(docs.select(key, search_tokens(F.col("text"), s).alias("t")), "t", key)
 
 
 def weights(post: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -53,10 +58,21 @@ def sparse_topk(questions: DataFrame, weighted: DataFrame, rarity: DataFrame, k:
 
     allowed: the keys that may be found at all. Questions' words are joined with their rarity first, so the postings
     meet a small table; Spark broadcasts it when its measured size allows."""
+    scored = sparse_scores(questions, weighted, rarity, key, s)
+    return top(scored if allowed is None else scored.join(allowed.select(key), key, "left_semi"), k, key)
+
+
+def sparse_scores(questions: DataFrame, weighted: DataFrame, rarity: DataFrame, key: str = "doc_id", s: Settings = DEFAULT) -> DataFrame:
+    """(question_id, key, score) of every text that shares a word with a question.
+
+    Stored postings lie in folders by `part`, a hash of the word; the words of the questions then prune the folders."""
     asked = questions.select("question_id", F.explode(query_tokens(F.col("text"), s)).alias("term")).join(rarity.select("term", "idf"), "term")
-    index = weighted if allowed is None else weighted.join(allowed.select(key), key, "left_semi")
-    scored = index.select(key, "term", "weight").join(asked, "term").groupBy("question_id", key).agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
-    return top(scored, k, key)
+    on = ["term"]
+    if "part" in weighted.columns:
+        from skarn.operators.store import part
+
+        on, asked = ["part", "term"], asked.withColumn("part", part(F.col("term")))
+    return weighted.select(key, *on, "weight").join(asked, on).groupBy("question_id", key).agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -104,9 +120,12 @@ def search(
     superseded: bool = False,
     k: int | None = None,
     s: Settings = DEFAULT,
+    stored=None,
 ) -> DataFrame:
     """Candidates, optional reranking, threshold and top k in one plan.
 
+    stored: the index that `store.read` gives; without it the texts are cut into words for this search alone.
+
     index: (doc_id, text, access_level, status). A hybrid question without any search word is searched by its vector
     alone; a sparse one then finds nothing. Each leg gives `prefetch` rows at most."""
     if mode not in ("hybrid", "dense", "sparse"):
@@ -115,8 +134,12 @@ def search(
     seen = visible(index, levels, superseded)
     legs = []
     if mode != "dense":
-        post = postings(index.select("doc_id", "text"), s)
-        legs.append(sparse_topk(questions, weights(post, s), idf(post, index.count()), s.prefetch, seen, s=s))
+        if stored is not None:
+            weighted, rarity = stored.postings, stored.rarity
+        else:
+            post = postings(index.select("doc_id", "text"), s)
+            weighted, rarity = weights(post, s), idf(post, index.count())
+        legs.append(sparse_topk(questions, weighted, rarity, s.prefetch, seen, s=s))
     if mode != "sparse":
         if vectors is None or query_vectors is None:
             raise ValueError(f"mode {mode} needs vectors")

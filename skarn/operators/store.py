@@ -1,0 +1,55 @@
+"""The stored search index: texts are cut into search words once, when they are indexed; every search reads what is stored.
+
+Four tables under one path: `postings` (term, key, tf, length, weight) in folders by a hash of the term, so that a search
+reads the folders of its own words only; `terms` with the rarity of each; `words`, the distinct search words of each text,
+for reranking without the texts; `size`, the number of texts."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skarn.functions.text import search_tokens
+from skarn.operators import search
+from skarn.settings import DEFAULT, Settings
+
+#: Folders of postings; a search reads as many of them as it has words at most.
+PARTS = 64
+
+
+def part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+
+
+@dataclass(frozen=True)
+class Stored:
+    postings: DataFrame
+    rarity: DataFrame
+    words: DataFrame
+    size: int
+    key: str = "doc_id"
+
+
+def write(texts: DataFrame, path: str, s: Settings = DEFAULT, key: str = "doc_id") -> None:
+    """Indexes texts (key, text) at the path, in the place of what was there.
+
+    A text is cut into words once. A frequent word's postings are dealt to several tasks, so none of them holds a word
+    that a third of all texts have."""
+    root, tasks = path.rstrip("/"), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts.select(key, search_tokens(F.col("text"), s).alias("all")).write.mode("overwrite").parquet(f"{root}/tokens")
+    tokens = texts.sparkSession.read.parquet(f"{root}/tokens")
+    tokens.select(key, F.array_distinct("all").alias("words")).write.mode("overwrite").parquet(f"{root}/words")
+    post = search.weights(search.counted(tokens, "all", key), s).withColumn("part", part(F.col("term")))
+    dealt = post.repartition(tasks, "part", F.pmod(F.xxhash64(key), F.lit(max(1, tasks // PARTS)))).sortWithinPartitions("part", "term")
+    dealt.write.mode("overwrite").partitionBy("part").parquet(f"{root}/postings")
+    size = tokens.count()
+    search.idf(texts.sparkSession.read.parquet(f"{root}/postings"), size).write.mode("overwrite").parquet(f"{root}/terms")
+    texts.sparkSession.range(1).select(F.lit(size).alias("texts")).write.mode("overwrite").parquet(f"{root}/size")
+
+
+def read(spark: SparkSession, path: str, key: str = "doc_id") -> Stored:
+    """What `write` has left at the path."""
+    t = {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in ("postings", "terms", "words", "size")}
+    return Stored(t["postings"], t["terms"], t["words"], t["size"].first()["texts"], key)

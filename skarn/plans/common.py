@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.runtime import parallelism, table
+from skarn.operators import store
+from skarn.runtime import goes_with_session, parallelism, shared_path, table
 from skarn.settings import DEFAULT
 
 #: Labels of the sources of `documents`: src19 is not catalogued, src4 was replaced by src5, four are restricted.
@@ -35,6 +36,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> store.Stored:
+    """The search index of `documents`, which the first search of a session writes."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        path = shared_path(spark, "index")
+        store.write(spread(documents(spark, sf_dir).select("doc_id", "text")), path)
+        goes_with_session(spark, path)
+        _STORED[at] = path
+    return store.read(spark, _STORED[at])
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All items of `benchmark` as questions."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")

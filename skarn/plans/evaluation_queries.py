@@ -12,8 +12,7 @@ from skarn.operators import evaluate as V
 from skarn.operators import logs
 from skarn.operators.catalog import labelled
 from skarn.plans.common import ASKED_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
-from skarn.plans.search_queries import _seen, _sparse
-from skarn.plugins import overlap_reranker
+from skarn.plans.search_queries import _seen, _sparse, overlap_hits
 from skarn.runtime import shared_dir, table, written
 from skarn.settings import DEFAULT
 from skarn.sources.config import against_index
@@ -91,8 +90,8 @@ def eval_retrieval(spark, sf_dir: str) -> DataFrame:
 
 def eval_threshold_study(spark, sf_dir: str) -> DataFrame:
     """The threshold that every question with an answer survives, against the best hit of those without."""
-    hits = _sparse(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").join(questions(spark, sf_dir).select("question_id", F.col("text").alias("question")), "question_id")
-    scored = written(hits.withColumn("new", F.round(overlap_reranker(F.col("question"), F.col("text")), 6)).select("question_id", "new", contains_phrase(F.col("text"), F.col("question")).alias("held")), "scored")
+    hits = overlap_hits(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").join(questions(spark, sf_dir).select("question_id", F.col("text").alias("question")), "question_id")
+    scored = written(hits.select("question_id", F.round("overlap", 6).alias("new"), contains_phrase(F.col("text"), F.col("question")).alias("held")), "scored")
     needed = V.needed_score(scored.select("question_id", F.lit("text").alias("fact"), F.when(F.col("held"), F.col("new")).alias("score"))).where("needed is not null")
     others = scored.join(needed.select("question_id"), "question_id", "left_anti").select("question_id", F.col("new").alias("score"))
     study = V.threshold_study(needed, others)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skarn.functions.text import search_tokens
+from skarn.functions.text import query_tokens, search_tokens
 from skarn.operators import search as S
+from skarn.operators import store
 from skarn.operators.catalog import labelled
-from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
-from skarn.plugins import overlap_reranker
-from skarn.runtime import table, written
+from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, roles, sparse_sql, spread, stored, tokens_sql
+from skarn.plugins import overlap_score
+from skarn.runtime import goes_with_session, shared_path, table
 from skarn.settings import DEFAULT
 
 
@@ -21,23 +20,29 @@ def tokenize_documents(spark, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-def _postings(spark, sf_dir: str) -> DataFrame:
-    return S.postings(spread(documents(spark, sf_dir).select("doc_id", "text")))
-
-
 def term_document_frequency(spark, sf_dir: str) -> DataFrame:
-    """Every term with its document frequency and rarity."""
-    return S.idf(_postings(spark, sf_dir), documents(spark, sf_dir).count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    """Every term with its document frequency and rarity, as stored."""
+    return stored(spark, sf_dir).rarity.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_weights(spark, sf_dir: str) -> DataFrame:
-    return S.weights(_postings(spark, sf_dir)).select("doc_id", "term", "tf", "weight")
+    """The stored postings."""
+    return stored(spark, sf_dir).postings.select("doc_id", "term", "tf", "weight")
+
 
+def index_documents(spark, sf_dir: str) -> DataFrame:
+    """Indexes all documents anew and counts what is stored."""
+    path = shared_path(spark, "indexed")
+    store.write(spread(documents(spark, sf_dir).select("doc_id", "text")), path)
+    goes_with_session(spark, path)
+    index = store.read(spark, path)
+    sums = index.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("words"), F.round(F.sum("weight"), 2).alias("weight"))
+    return sums.crossJoin(index.rarity.agg(F.count("*").alias("terms"))).withColumn("texts", F.lit(index.size).cast("long"))
 
-def _sparse(spark, sf_dir: str, allowed=None, weighted=None, k: int = DEFAULT.prefetch) -> DataFrame:
-    # The weighted postings serve the rarity and every leg, so they are computed once.
-    weighted = written(S.weights(_postings(spark, sf_dir)), "postings") if weighted is None else weighted
-    return S.sparse_topk(questions(spark, sf_dir), weighted, S.idf(weighted, documents(spark, sf_dir).count()), k, allowed)
+
+def _sparse(spark, sf_dir: str, allowed=None, k: int = DEFAULT.prefetch) -> DataFrame:
+    index = stored(spark, sf_dir)
+    return S.sparse_topk(questions(spark, sf_dir), index.postings, index.rarity, k, allowed)
 
 
 def _seen(spark, sf_dir: str, levels=("internal",)) -> DataFrame:
@@ -68,20 +73,28 @@ def hybrid_rrf(spark, sf_dir: str) -> DataFrame:
 
 
 def search_access_filtered(spark, sf_dir: str) -> DataFrame:
-    """What each role finds, and how much of it is restricted."""
-    weighted = written(S.weights(_postings(spark, sf_dir)), "postings")
-    parts = []
-    for role, levels in DEFAULT.roles.items():
-        seen = _seen(spark, sf_dir, levels)
-        hits = _sparse(spark, sf_dir, seen, weighted).join(seen.select("doc_id", "access_level"), "doc_id")
-        parts.append(hits.groupBy(F.lit(role).alias("role"), "question_id").agg(F.count("*").alias("hits"), F.count_if(F.col("access_level") == "restricted").alias("restricted")))
-    return reduce(DataFrame.unionByName, parts)
+    """What each role finds, and how much of it is restricted: scores are made once, and each hit goes to the roles that
+    may see it."""
+    index = stored(spark, sf_dir)
+    current = labelled(documents(spark, sf_dir).select("doc_id", "source"), catalog(spark)).where("status = 'active'").select("doc_id", "access_level")
+    scored = S.sparse_scores(questions(spark, sf_dir), index.postings, index.rarity)
+    may = roles(spark).select("role", F.explode("access_levels").alias("access_level"))
+    seen = scored.join(current, "doc_id").join(F.broadcast(may), "access_level")
+    rank = F.row_number().over(Window.partitionBy("role", "question_id").orderBy(F.desc("score"), "doc_id"))
+    hits = seen.withColumn("rank", rank).where(F.col("rank") <= DEFAULT.prefetch)
+    return hits.groupBy("role", "question_id").agg(F.count("*").alias("hits"), F.count_if(F.col("access_level") == "restricted").alias("restricted"))
+
+
+def overlap_hits(spark, sf_dir: str) -> DataFrame:
+    """The 20 candidates of every question with their word overlap, from the stored words: no text is read."""
+    asked = questions(spark, sf_dir).select("question_id", query_tokens(F.col("text")).alias("asked"))
+    both = _sparse(spark, sf_dir).join(stored(spark, sf_dir).words, "doc_id").join(asked, "question_id")
+    return both.withColumn("overlap", overlap_score(F.col("asked"), F.col("words"))).drop("asked", "words")
 
 
 def rerank_threshold_topk(spark, sf_dir: str) -> DataFrame:
     """20 candidates, scored anew by word overlap; those under 0.3 go, the best 5 stay."""
-    hits = _sparse(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id").join(questions(spark, sf_dir).select("question_id", F.col("text").alias("question")), "question_id")
-    return S.reranked(hits, overlap_reranker(F.col("question"), F.col("text")), 5, 0.3).select("question_id", "doc_id", "score", "rank", "old_rank")
+    return S.reranked(overlap_hits(spark, sf_dir), F.col("overlap"), 5, 0.3).select("question_id", "doc_id", "score", "rank", "old_rank")
 
 
 def leak_check(spark, sf_dir: str) -> DataFrame:
@@ -95,12 +108,13 @@ _VISIBLE = "access_level = 'internal' AND status = 'active'"
 _CURRENT = "status = 'active'"
 _DENSE = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, term_document_frequency, bm25_weights, bm25_topk, dense_topk, hybrid_rrf, search_access_filtered, rerank_threshold_topk, leak_check)}
+QUERIES = {f.__name__: f for f in (tokenize_documents, term_document_frequency, bm25_weights, index_documents, bm25_topk, dense_topk, hybrid_rrf, search_access_filtered, rerank_threshold_topk, leak_check)}
 
 ORACLES = {
     "tokenize_documents": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",
     "term_document_frequency": f"WITH {POSTINGS_SQL} SELECT term, df, round(idf, 6) AS idf FROM rarity",
     "bm25_weights": f"WITH {POSTINGS_SQL} SELECT doc_id, term, tf, weight FROM weighted",
+    "index_documents": f"WITH {POSTINGS_SQL} SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words, round(sum(weight), 2) AS weight, (SELECT count(*) FROM rarity) AS terms, (SELECT count(*) FROM documents) AS texts FROM weighted",
     "bm25_topk": f"WITH {LABELS_SQL}, {POSTINGS_SQL}, {ASKED_SQL}, {sparse_sql(_VISIBLE)} SELECT question_id, doc_id, score, rank FROM sparse",
     "dense_topk": f"""SELECT * FROM (SELECT question_id, vec_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS rank
   FROM (SELECT q.vec_id AS question_id, e.vec_id, round({_DENSE.format(a="e.embedding", b="q.embedding")}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 20""",

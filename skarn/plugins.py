@@ -40,8 +40,12 @@ def count_words(text: str) -> int:
 
 def overlap_reranker(question: Column, text: Column) -> Column:
     """The share of a question's search words that a text holds: a score from 0 to 1."""
-    asked = query_tokens(question)
-    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, search_tokens(text))) / F.size(asked)).otherwise(F.lit(0.0))
+    return overlap_score(query_tokens(question), search_tokens(text))
+
+
+def overlap_score(asked: Column, words: Column) -> Column:
+    """The same from a question's distinct search words and a text's, which the index keeps."""
+    return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, words)) / F.size(asked)).otherwise(F.lit(0.0))
 
 
 def extractive_generator(question: Column, sources: Column) -> Column:

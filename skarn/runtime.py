@@ -45,28 +45,44 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only where driver and executors are one process, as in tests,
+    a temporary folder takes its place; on a cluster each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         found = _OWN.setdefault(app, None) or "file://" + tempfile.mkdtemp(prefix="skarn-shared-")
         _OWN[app] = found
     return found
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/skarn-{name}-{uuid.uuid4().hex}"
+
+
+def goes_with_session(spark: SparkSession, path: str) -> None:
+    """What has been written to the path is removed when the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Cuts the lineage: writes the frame to the shared folder and reads it back.
 
     A lost executor then costs a re-read, never a recomputation of what lies before. The shuffle files behind it are of
-    no use any more, so Spark removes them at the end of the write instead of at some later garbage collection."""
+    no use any more, so Spark removes them at the end of the write instead of at some later garbage collection. The table
+    itself goes with the session, since a result that reads it may be used until then."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/skarn-{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    goes_with_session(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -159,15 +159,28 @@ def test_workbook(spark):
 # --- chunks
 
 
-def test_no_headings():
-    (c,) = chunk.chunks_of("test.md", [(None, "Just text.")])
-    assert c[2] == "[test.md]\nJust text." and c[3] == ""
+def chunks_of(spark, source, pages):
+    df = chunk.chunked(spark.createDataFrame([(source, n, t) for n, t in pages], "source string, number int, markdown string"))
+    return [tuple(r) for r in df.orderBy("chunk_index").collect()]
 
 
-def test_heading_paths():
+def test_no_headings(spark):
+    (c,) = chunks_of(spark, "test.md", [(None, "Just text.")])
+    assert c == ("test.md", 0, "[test.md]\nJust text.", "", None, None, 3)
+
+
+def test_blocks(spark):
+    text = "## A\nright below\n\n## Label:\n- x\n- y\n\n| a |\n\n\n  \n2) item\n\n#no heading\n\n# B"
+    rows = chunk.blocks(spark.createDataFrame([("s", 1, text), ("s", None, None)], "source string, number int, markdown string")).orderBy("part", "sub").collect()
+    assert [(r.kind, r.text, r.level) for r in rows] == [
+        ("heading", "A", 2), ("paragraph", "right below", 0), ("paragraph", "Label:", 2), ("list", "- x\n- y", 0), ("table", "| a |", 0), ("list", "2) item", 0), ("paragraph", "#no heading", 0), ("heading", "B", 1),
+    ]
+
+
+def test_heading_paths(spark):
     text = "## Title\n\n## 5. Playbooks\n\n## PB-01\n\nfirst\n\n## 5.1 Deep\n\nsecond\n\n## Appendix\n\nthird\n\n## Label:\n\nfourth"
-    assert [c[3] for c in chunk.chunks_of("s", [(1, text)])] == ["5. Playbooks > PB-01", "5. Playbooks > 5.1 Deep", "5. Playbooks > Appendix"]
-    assert [c[3] for c in chunk.chunks_of("s", [(1, "# A\n\n### B\n\nx\n\n## C\n\ny")])] == ["A > B", "A > C"]
+    assert [c[3] for c in chunks_of(spark, "s", [(1, text)])] == ["5. Playbooks > PB-01", "5. Playbooks > 5.1 Deep", "5. Playbooks > Appendix"]
+    assert [c[3] for c in chunks_of(spark, "s", [(1, "# A\n\n### B\n\nx\n\n## C\n\ny")])] == ["A > B", "A > C"]
 
 
 @pytest.mark.parametrize(
@@ -179,8 +192,8 @@ def test_heading_paths():
         " ".join(f"w{i}" for i in range(3000)),
     ],
 )
-def test_long_blocks_lose_nothing(text):
-    out = chunk.chunks_of("doc", [(3, text)])
+def test_long_blocks_lose_nothing(spark, text):
+    out = chunks_of(spark, "doc", [(3, text)])
     assert len(out) > 1 and all(c[6] <= DEFAULT.chunk_tokens for c in out) and [c[1] for c in out] == list(range(len(out)))
     held = {w for c in out for w in c[2].split()}
     assert set(text.split()) <= held and {c[4] for c in out} == {3}
@@ -190,13 +203,31 @@ def test_long_blocks_lose_nothing(text):
         assert out[1][2].split("\n")[1].split(". ")[0] in out[0][2]
 
 
+def test_runs_of_sentences_against_a_plain_walk():
+    import random
+
+    rng, count = random.Random(6), lambda t: len(t.split())
+    for _ in range(300):
+        units = [" ".join(["w"] * rng.randrange(1, 7)) + "." for _ in range(rng.randrange(1, 12))]
+        budget, overlap = rng.randrange(6, 14), rng.randrange(0, 9)
+        size = [count(u) for u in units]
+        spans, a = [], 0
+        for b in range(1, len(units)):
+            if sum(size[a : b + 1]) > budget and a < b:
+                spans.append((a, b))
+                a = min(k for k in range(a, b + 1) if sum(size[k:b]) <= overlap)
+                a = a if sum(size[a : b + 1]) <= budget else b
+        runs = [units[x:y] for x, y in [*spans, (a, len(units))]]
+        assert chunk.sentences_grouped(" ".join(units), budget, overlap, count) == [" ".join(r) for r in runs]
+
+
 def test_chunked_frame_and_packing(spark):
     pages = spark.createDataFrame([("b", 2, "two"), ("b", 1, "# One\n\none"), ("n", None, "x"), ("e", None, None)], "source string, number int, markdown string")
     got = sorted((r.source, r.text, r.page_start, r.page_end) for r in chunk.chunked(pages).collect())
     assert got == [("b", "[b > One]\none\n\ntwo", 1, 2), ("n", "[n]\nx", None, None)]
     sizes = [3, 4, 9, 1, 1, 1]
     by_column = spark.createDataFrame([(sizes,)], "s array<int>").select(chunk.greedy_groups(F.col("s"), lambda x: x, 9).alias("g")).first().g
-    flat = [g for g, items in enumerate(chunk.packed(sizes, lambda x: x, 9)) for _ in items]
+    flat = [g for g, items in enumerate(chunk.grouped(sizes, sizes, 9)) for _ in items]
     assert by_column == flat == [0, 0, 1, 2, 2, 2]
 
 
