@@ -6,11 +6,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str | None] = {}
+_SCOPES: list[list[str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -68,20 +71,56 @@ def goes_with_session(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside are removed at its end, but for those that are kept for the one who called."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def filtered_early(spark: SparkSession):
+    """While this holds, a join of a large side with a `marked` one drops most of what will not match before the shuffle.
+
+    Spark makes a Bloom filter of the marked side, of a few megabytes whatever its size; the join itself stays exact."""
+    conf = "spark.sql.optimizer.runtime.bloomFilter."
+    return _set(spark, {f"{conf}enabled": "true", f"{conf}applicationSideScanSizeThreshold": "1b", f"{conf}creationSideThreshold": "1g", f"{conf}expectedNumItems": "4000000"})
+
+
+def marked(df: DataFrame, key: str) -> DataFrame:
+    """The frame under a condition on its key (long) that always holds: Spark filters by sides that have a condition."""
+    return df.where(f"{key} >= -9223372036854775808")
+
+
+def written(df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
     """Cuts the lineage: writes the frame to the shared folder and reads it back.
 
     A lost executor then costs a re-read, never a recomputation of what lies before. The shuffle files behind it are of
     no use any more, so Spark removes them at the end of the write instead of at some later garbage collection. The table
-    itself goes with the session, since a result that reads it may be used until then."""
+    itself goes with the innermost `scratch`, with the one around it if it is kept, or else with the session."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    scope = _SCOPES[: len(_SCOPES) - keep]
+    if scope:
+        scope[-1].append(path)
+    with _set(spark, {_CLEANUP: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     goes_with_session(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
