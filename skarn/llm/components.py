@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skarn.runtime import written
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node that can be reached, for every node of `edges` (a, b: long).
 
     Each round points every larger neighbour of a node at the node's smallest one, then every smaller neighbour, so
@@ -17,7 +17,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     aggregated by `min`, which combines before the shuffle."""
     links = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    # Each round makes the sum of the larger ends smaller until nothing changes, so this ends.
+    while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -28,4 +29,3 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skarn.llm import similar
 from skarn.llm.components import connected_components
 from skarn.llm.words import batches
-from skarn.runtime import dealt, ship, table, written
+from skarn.runtime import dealt, scratch, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -202,14 +202,19 @@ def _in_shards(rows: DataFrame, cfg: SimHashConfig) -> DataFrame:
 _LOW = (1 << 64) - 1
 
 
+def _nodes(docs: DataFrame, cfg: SimHashConfig, least: str) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of docs, their distinct ones as nodes with the smallest `least`), both written."""
+    prints = written(fingerprints(docs, cfg), "prints")
+    node = F.col("lo") if cfg.bits == 64 else F.xxhash64("hi", "lo")
+    return prints, written(prints.groupBy("hi", "lo").agg(F.min(least).alias("least")).withColumn("node", node), "distinct")
+
+
 def duplicate_groups(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataFrame:
     """For every row its columns but `text`, hi, lo, and root and component_id: one number for each component, and the
     smallest doc_id reachable over links of at most `radius` differing bits, its own included. Exact copies are
     collapsed to one node before any search."""
     cfg = cfg or SimHashConfig()
-    prints = written(fingerprints(docs, cfg), "prints")
-    node = F.col("lo") if cfg.bits == 64 else F.xxhash64("hi", "lo")
-    distinct = written(prints.groupBy("hi", "lo").agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
+    prints, distinct = _nodes(docs, cfg, "doc_id")
     roots = connected_components(links(distinct.select("node", "hi", "lo"), cfg))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Written, so that the join has an exchange on either side and a large component can be split.
@@ -218,12 +223,26 @@ def duplicate_groups(docs: DataFrame, cfg: SimHashConfig | None = None) -> DataF
     return prints.join(named, ["hi", "lo"])
 
 
+def linked_rows(docs: DataFrame, cfg: SimHashConfig) -> DataFrame:
+    """(x, y): row numbers of docs (row, text) whose fingerprints are linked, enough to span each component of rows."""
+    with scratch(docs.sparkSession):
+        return written(_linked_rows(docs, cfg), "linked", keep=True)
+
+
+def _linked_rows(docs: DataFrame, cfg: SimHashConfig) -> DataFrame:
+    prints, distinct = _nodes(docs, cfg, "row")
+    same = prints.join(distinct, ["hi", "lo"]).where("row <> least").select(F.col("row").alias("x"), F.col("least").alias("y"))
+    of = distinct.select("node", "least")
+    ends = links(distinct.select("node", "hi", "lo"), cfg).join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b")
+    return same.unionByName(ends.select("x", "y")).distinct()
+
+
 def one_of_each(docs: DataFrame, cfg: similar.SimilarConfig | None = None) -> DataFrame:
     """The rows of docs but for all except one of each group of near-duplicates: the one with the smallest doc_id (a
     null one last; of several the one whose doc_id and text have the smallest hash), and of rows that are alike in both
     the one with the smallest hash of all columns.
 
-    SimHash groups (fingerprints of the same shingles, linked through BK-trees) propose which documents to compare
+    SimHash links (fingerprints of the same shingles, searched through BK-trees) propose which documents to compare
     first. Groups are joined by links that are verified on the shingle sets; links beyond the radius are found, too."""
     cfg = cfg or similar.SimilarConfig()
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -231,13 +250,14 @@ def one_of_each(docs: DataFrame, cfg: similar.SimilarConfig | None = None) -> Da
     doc, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
     row = F.xxhash64(doc, text)
     plain = own.select(doc.cast("long").alias("doc_id"), row.alias("row"), text.cast("string").alias("text"))
-    proposed = duplicate_groups(plain, SimHashConfig(shingle=cfg.shingle)).select("row", F.col("root").alias("group"))
-    groups = similar.groups(plain, cfg, written(proposed.distinct(), "proposed"))
-    stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
+    with scratch(docs.sparkSession):
+        groups = similar.groups(plain, cfg, linked_rows(plain.select("row", "text"), SimHashConfig(shingle=cfg.shingle)))
+        stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
+        stays = written(stays, "stays", keep=True)
     again = own.withColumn("row", row).join(stays, "row")
     # Columns go by place, so no name of theirs clashes with the two that are added. Maps have no order and no hash.
     hashed = ", ".join(n for n, t in own.dtypes if "map<" not in t and "variant" not in t)
-    return again.withColumn("copy", F.expr(f"row_number() over (partition by row order by xxhash64({hashed}))")).where("copy = 1").select(*names).toDF(*docs.columns)
+    return again.withColumn("copy", F.expr(f"row_number() over (partition by row, {names[docs.columns.index('doc_id')]}, xxhash64({names[docs.columns.index('text')]}) order by xxhash64({hashed}))")).where("copy = 1").select(*names).toDF(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
