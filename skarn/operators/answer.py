@@ -13,6 +13,7 @@ from skarn.functions.citations import citations, unverified
 from skarn.functions.text import chunk_content, page_label, rewritten
 from skarn.operators.logs import rewrite_prompt
 from skarn.plugins import extractive_generator, routed
+from skarn.runtime import ship
 from skarn.settings import DEFAULT, Settings
 
 
@@ -120,3 +121,33 @@ def generate(messages: list[dict], route: list[Provider], local_only: bool = Fal
         except Unavailable as e:
             passed.append(f"{p.name}: {e}")
     raise NoProvider("; ".join(passed) or "no local provider")
+
+
+def generated(prompts: DataFrame, route: list[Provider], attempts: int = 3, first_wait: float = 1.0) -> DataFrame:
+    """Adds reply, provider, passed (why others were passed over) and error to rows (prompt, local_only).
+
+    Each row is asked on an executor, with retries and fallback; what no provider could answer has an error and no reply,
+    so one row never stops the others. A null prompt is not sent anywhere."""
+    ship(prompts.sparkSession)
+    names = prompts.columns
+    place = {c: names.index(c) for c in ("prompt", "local_only")}
+
+    def ask(text: str, local: bool) -> tuple[str | None, str | None, list[str], str | None]:
+        tried = [Provider(p.name, lambda m, p=p: with_retries(lambda: p.call(m), attempts, first_wait), p.local) for p in route]
+        try:
+            r = generate([{"role": "user", "content": text}], tried, local)
+            return r.text, r.provider, list(r.passed), None
+        except Exception as e:  # noqa: BLE001  one row's failure is that row's result
+            return None, None, [], f"{type(e).__name__}: {e}"
+
+    def run(it):
+        import pyarrow as pa
+
+        for batch in it:
+            said = [ask(t, bool(x)) if t is not None else (None, None, [], None) for t, x in zip(batch.column(place["prompt"]).to_pylist(), batch.column(place["local_only"]).to_pylist(), strict=True)]
+            cols = list(zip(*said, strict=True)) or [[], [], [], []]
+            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*names, "reply", "provider", "passed", "error"])
+
+    schema = prompts.withColumns({"reply": F.lit(None).cast("string"), "provider": F.lit(None).cast("string"), "passed": F.lit(None).cast("array<string>"), "error": F.lit(None).cast("string")}).schema
+    return prompts.mapInArrow(run, schema)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.citations import citations
-from skarn.functions.text import contains_normalized, normalize, round_down
+from skarn.functions.text import contains_normalized, normalize, round_down, verdict
 from skarn.settings import DEFAULT, Settings
 
 
@@ -95,6 +95,54 @@ def answer_status(r: dict[str, Column]) -> tuple[Column, Column, Column]:
     return status, diagnosis, r["verdict"].isNotNull() & (fine != (r["verdict"] == "correct"))
 
 
+def confidential_problems(r: dict[str, Column], local: tuple[str, ...]) -> Column:
+    """What went to a model that is not local although a source was confidential: any such answer or verdict fails a run.
+
+    r: levels (of the sources shown), answered_by and judged_by (provider names, null or empty for none); local: providers
+    inside the house."""
+    outside = lambda who: (F.coalesce(who, F.lit("")) != "") & ~F.coalesce(who, F.lit("")).isin(*local)
+    secret = F.arrays_overlap(r["levels"], F.array(*map(F.lit, DEFAULT.local_only)))
+    told = lambda who, what: F.when(secret & outside(who), F.concat(F.lit(f"confidential sources were {what} "), who))
+    return F.array_compact(F.array(told(r["answered_by"], "answered by"), told(r["judged_by"], "judged by")))
+
+
+def judge_prompt(question: Column, expected: Column, answer: Column) -> Column:
+    """What a judge is asked about an answer."""
+    task = "Compare the answer with the expected one. Reply with JSON alone: {\"verdict\": \"correct\", \"partial\" or \"wrong\", \"reason\": one sentence}."
+    return F.concat_ws("\n\n", F.lit(task), F.concat(F.lit("Question: "), question), F.concat(F.lit("Expected: "), expected), F.concat(F.lit("Answer: "), answer))
+
+
+def judged(answers: DataFrame, ask) -> DataFrame:
+    """Adds verdict, reason and judge_failed to answers (question, expected, answer); ask: prompt column to reply column.
+
+    A reply that is no verdict leaves the verdict null and says so; without an answer no judge is asked."""
+    reply = F.when(F.col("answer").isNotNull(), ask(judge_prompt(F.col("question"), F.col("expected"), F.col("answer"))))
+    out = answers.withColumn("_reply", reply).withColumn("_said", verdict(F.col("_reply")))
+    return out.withColumns({"verdict": F.col("_said.verdict"), "reason": F.col("_said.reason"), "judge_failed": F.col("answer").isNotNull() & F.col("_said").isNull()}).drop("_reply", "_said")
+
+
+def unverified_label(found: Column) -> Column:
+    """`fact (cited 1, stands in 2)` of an unverified fact."""
+    numbers = lambda a: F.array_join(F.transform(a, lambda n: n.cast("string")), ", ")
+    places = F.when(F.size(found["found_in"]) > 0, F.concat(F.lit("stands in "), numbers(found["found_in"]))).otherwise(F.lit("in no source"))
+    return F.concat(found["fact"], F.lit(" (cited "), numbers(found["cited"]), F.lit(", "), places, F.lit(")"))
+
+
+def ingested(text: Column, expected: Column) -> Column:
+    """Whether a read document holds what is expected of it, anywhere in a word; after `re:` stands a pattern."""
+    plain = F.contains(normalize(text), normalize(expected))
+    return F.when(expected.startswith("re:"), F.regexp_like(text, F.substring(expected, 4, 10_000))).otherwise(plain)
+
+
+def neighbours_overlap(chunks: DataFrame) -> DataFrame:
+    """(source, chunk_index, overlaps): whether a chunk begins, below its first line, with words that end the one before."""
+    body = F.regexp_replace("text", r"^\[[^\n]*\]\n", "")
+    before = F.lag("body").over(Window.partitionBy("source").orderBy("chunk_index"))
+    first = F.regexp_extract("body", r"(?s)^(.*?[.!?\u2026])(?:\s|$)", 1)
+    rows = chunks.withColumn("body", body).withColumn("before", before).withColumn("first", first)
+    return rows.select("source", "chunk_index", F.coalesce((F.col("first") != "") & F.col("before").isNotNull() & F.contains("before", "first"), F.lit(False)).alias("overlaps"))
+
+
 def _n(condition: Column, name: str) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False))).alias(name)
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from skarn.plans import document_queries, evaluation_queries, search_queries
+from skarn.plans import document_queries, engine_queries, evaluation_queries, search_queries
 
-_PARTS = (search_queries, document_queries, evaluation_queries)
+_PARTS = (search_queries, document_queries, evaluation_queries, engine_queries)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 #: Columns that Spark gives as 32-bit integers where DuckDB counts in 64 bits.
 _INTEGERS = {
     "tokenize_documents": ("n_tokens", "n_distinct"), "bm25_topk": ("rank",), "dense_topk": ("rank",), "hybrid_rrf": ("rank",), "rerank_threshold_topk": ("rank", "old_rank"),
     "clean_repeated_lines": ("n_removed",), "history_last3": ("n_history",), "fact_counts": ("n",), "eval_ranks": ("source_rank",),
+    "search_reranked": ("rank", "old_rank"), "answer_ranks": ("answer_rank",), "source_ranks": ("source_rank",), "model_replies": ("rewritten",),
 }
 
 

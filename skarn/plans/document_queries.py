@@ -23,44 +23,16 @@ def catalog_labels(spark, sf_dir: str) -> DataFrame:
     return C.labelled(documents(spark, sf_dir).select("doc_id", "source"), catalog(spark)).select("doc_id", "source", "access_level", "status", "replaced_by", "catalogued")
 
 
-_BROKEN = """
-[[document]]
-file = "a.pdf"
-access_level = "internal"
-[[document]]
-file = "a.pdf"
-access_level = "internal"
-[[document]]
-file = "b.pdf"
-access_level = "secret"
-[[document]]
-file = "c.pdf"
-access_level = "internal"
-status = "superseded"
-[[document]]
-file = "d.pdf"
-access_level = "internal"
-status = "superseded"
-replaced_by = "nowhere.pdf"
-[[document]]
-file = "e.pdf"
-access_level = "internal"
-effective_date = "2024-01-01"
-[[document]]
-file = "f.pdf"
-acess_level = "internal"
-[[document]]
-access_level = "internal"
-[[document]]
-file = "g.pdf"
-access_level = "restricted"
-status = "draft"
-"""
-
-
 def catalog_violations(spark, sf_dir: str) -> DataFrame:
-    """All broken rules of a broken catalog."""
-    return C.violations(C.parsed(spark, _BROKEN)).select("entry", F.coalesce("file", F.lit("")).alias("file"), "rule")
+    """All broken rules of a catalog with an entry for every document, whose fields are made of its id."""
+    n = F.col("doc_id")
+    name = lambda k: F.concat(F.lit("f"), k.cast("string"))
+    raw = documents(spark, sf_dir).select(
+        n.cast("int").alias("entry"), F.when(n % 17 == 0, "").when(n % 10 == 1, name(n - 1)).otherwise(name(n)).alias("file"), F.when(n % 5 == 0, "secret").otherwise("internal").alias("access_level"),
+        F.when(n % 7 == 0, "superseded").when(n % 7 == 1, "draft").otherwise("active").alias("status"), F.lit("2024-01-01").alias("effective_date"), F.when(n % 3 == 0, "date").when(n % 3 == 1, "str").alias("date_kind"),
+        F.when(n % 14 == 0, name(n + 1)).when(n % 28 == 9, "nowhere").alias("replaced_by"), F.when(n % 11 == 0, F.array(F.lit("file"), F.lit("acess_level"))).otherwise(F.array(F.lit("file"))).alias("fields"),
+    )
+    return C.violations(raw)
 
 
 def missing_catalog_files(spark, sf_dir: str) -> DataFrame:
@@ -133,7 +105,9 @@ def chunk_documents(spark, sf_dir: str) -> DataFrame:
 
 
 def _files(spark, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).groupBy("source").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ",").cast("binary"), 256).alias("file_hash"))
+    """Each source as a file. Its hash is a sum over its texts, so no task ever holds a source, and their order is none."""
+    digest = F.conv(F.substring(F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("text")), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return documents(spark, sf_dir).groupBy("source").agg(F.sha2(F.concat_ws("/", F.count("*").cast("string"), F.sum(digest).cast("string")).cast("binary"), 256).alias("file_hash"))
 
 
 def fingerprints(spark, sf_dir: str) -> DataFrame:
@@ -190,7 +164,7 @@ least AS (SELECT source, greatest(2, CAST(ceil(count(DISTINCT number) * 0.01) AS
 repeated AS (SELECT source, line_key, count(DISTINCT number) AS pages, any_value(least) AS least FROM cand JOIN least USING (source) WHERE line_key IS NOT NULL GROUP BY source, line_key HAVING count(DISTINCT number) >= any_value(least)),
 marked AS (SELECT c.*, r.line_key IS NOT NULL OR regexp_matches(c.line, '(?i)^\\s*(sayfa|page)\\s*\\p{Nd}+(\\s*(/|of)\\s*\\p{Nd}+)?\\s*$') AS out FROM cand c LEFT JOIN repeated r ON c.source = r.source AND c.line_key = r.line_key)"""
 _SIG = "none|450|50|v1|k1=1.2|b=0.75|avg=60|prefix=5"
-_PRINTS = f"""files AS (SELECT source, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS file_hash FROM documents GROUP BY source),
+_PRINTS = f"""files AS (SELECT source, sha256(count(*) || '/' || CAST(sum(CAST(('0x' || left(sha256(concat_ws('/', doc_id, text)), 12)) AS HUGEINT)) AS VARCHAR)) AS file_hash FROM documents GROUP BY source),
 {LABELS_SQL},
 lab AS (SELECT source, any_value(access_level) AS access_level, any_value(status) AS status, any_value(effective_date) AS effective_date, any_value(replaced_by) AS replaced_by, any_value(catalogued) AS catalogued FROM labelled GROUP BY source),
 prints AS (SELECT source, sha256(concat_ws('|', file_hash, '{_SIG}', access_level, status, coalesce(effective_date, 'None'), coalesce(replaced_by, 'None'))) AS fingerprint, catalogued FROM files JOIN lab USING (source))"""
@@ -209,9 +183,13 @@ _WORDS = "unnest(regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+'))"
 
 ORACLES = {
     "catalog_labels": f"WITH {LABELS_SQL} SELECT doc_id, source, access_level, status, replaced_by, catalogued FROM labelled",
-    "catalog_violations": """SELECT CAST(entry AS INT) AS entry, file, rule FROM (VALUES
-  (1, 'a.pdf', 'listed more than once'), (2, 'a.pdf', 'listed more than once'), (3, 'b.pdf', 'access level'), (4, 'c.pdf', 'superseded without replacement or the reverse'),
-  (5, 'd.pdf', 'replacement is not listed'), (6, 'e.pdf', 'date'), (7, 'f.pdf', 'access level'), (7, 'f.pdf', 'unknown field'), (8, '', 'no file'), (9, 'g.pdf', 'status')) AS v(entry, file, rule)""",
+    "catalog_violations": """WITH r AS (SELECT CAST(doc_id AS INT) AS entry, CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 10 = 1 THEN 'f' || (doc_id - 1) ELSE 'f' || doc_id END AS file, doc_id AS n,
+  CASE WHEN doc_id % 14 = 0 THEN 'f' || (doc_id + 1) WHEN doc_id % 28 = 9 THEN 'nowhere' END AS replaced_by FROM documents)
+SELECT entry, file, 'no file' AS rule FROM r WHERE file = '' UNION ALL SELECT entry, file, 'unknown field' FROM r WHERE n % 11 = 0 UNION ALL SELECT entry, file, 'access level' FROM r WHERE n % 5 = 0
+UNION ALL SELECT entry, file, 'status' FROM r WHERE n % 7 = 1 UNION ALL SELECT entry, file, 'date' FROM r WHERE n % 3 = 1
+UNION ALL SELECT entry, file, 'superseded without replacement or the reverse' FROM r WHERE (n % 7 = 0) <> (replaced_by IS NOT NULL)
+UNION ALL SELECT entry, file, 'listed more than once' FROM r WHERE file <> '' AND file IN (SELECT file FROM r GROUP BY file HAVING count(*) > 1)
+UNION ALL SELECT entry, file, 'replacement is not listed' FROM r WHERE replaced_by IS NOT NULL AND replaced_by NOT IN (SELECT file FROM r)""",
     "missing_catalog_files": "SELECT file FROM (SELECT 'src' || i AS file FROM range(19) t(i) UNION ALL SELECT 'src99') WHERE file NOT IN (SELECT source FROM documents)",
     "ocr_range_flag": """WITH c AS (SELECT l_orderkey AS order_key, min(l_linenumber) AS page_start, min(l_linenumber) + 1 AS page_end FROM lineitem GROUP BY l_orderkey)
 SELECT order_key, page_start, page_end, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = order_key AND l_returnflag = 'R' AND l_linenumber BETWEEN page_start AND page_end) AS ocr FROM c""",

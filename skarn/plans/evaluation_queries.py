@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.functions.citations import best_piece, citations, fact_keys, unverified
+from skarn.functions.citations import best_piece, citations, fact_keys
 from skarn.functions.text import contains_phrase, normalize
 from skarn.operators import answer
 from skarn.operators import evaluate as V
 from skarn.operators import logs
 from skarn.operators.catalog import labelled
-from skarn.plans.common import ASKED_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
+from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
 from skarn.plans.search_queries import _seen, _sparse, overlap_hits
 from skarn.runtime import shared_dir, table, written
 from skarn.settings import DEFAULT
@@ -20,7 +20,7 @@ from skarn.sources.config import against_index
 
 def parse_citations(spark, sf_dir: str) -> DataFrame:
     """Citations of made-up answers: each turn's text with markers made of its numbers; five sources each."""
-    turns = table(spark, sf_dir, "conversations").where("turn >= 0")
+    turns = table(spark, sf_dir, "conversations")
     mark = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
     conv, turn = F.col("conv_id") % 9, F.col("turn")
     answer = mark(F.coalesce("text", F.lit("")), " [", conv, "][", turn, ", ", turn + 2, "] and [2-4], [1-90]", F.when(conv == 0, " [not_found]").otherwise(""))
@@ -29,27 +29,6 @@ def parse_citations(spark, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", c.alias("c")).select("conv_id", "turn", text(F.col("c.numbers")).alias("numbers"), text(F.col("c.invalid")).alias("invalid"), "c.not_found", F.sha2(F.col("c.clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
-_SOURCES = ["Annual leave is 20 days; managers get 22 days.", "The allowance is 3.250 TL and 2.750 TL abroad.", "VPN-ERR-301 means an expired token. Form KLK-IT-07."]
-_ANSWERS = [
-    (1, "Leave is 22 days [1].", "How much leave after 8 years?"),
-    (2, "The allowance is 4.100 TL [2].", "Allowance?"),
-    (3, "VPN-ERR-301: the token expired [1].", "What is it?"),
-    (4, "Managers get 24 days [1].", "Managers?"),
-    (5, "The allowance is 3250 TL [2]. Fill in form klk it 07 [3].", "Allowance?"),
-    (6, "No sources but 99.", "Anything?"),
-    (7, "1. Leave is 20 days [1]\n2. After 8 years 22 days [1]", "After 8 years?"),
-    (8, "Use KLK-IT-07 [2].", "Which form?"),
-]
-
-
-def verify_facts(spark, sf_dir: str) -> DataFrame:
-    """Numbers and codes of eight answers that their sources do not hold."""
-    rows = spark.createDataFrame(_ANSWERS, "answer_id int, answer string, question string").withColumn("sources", F.array(*map(F.lit, _SOURCES)))
-    found = rows.select("answer_id", F.explode(unverified(F.col("answer"), F.col("sources"), F.col("question"))).alias("u"))
-    text = lambda a: F.concat_ws(",", F.transform(a, lambda n: n.cast("string")))
-    return found.select("answer_id", "u.fact", text(F.col("u.cited")).alias("cited"), text(F.col("u.found_in")).alias("found_in"))
-
-
 def fact_counts(spark, sf_dir: str) -> DataFrame:
     """Distinct number keys of every document, parts of numbers included."""
     d = spread(documents(spark, sf_dir).select("doc_id", "text"))
@@ -106,19 +85,18 @@ def quality_by_label(spark, sf_dir: str) -> DataFrame:
 
 
 def compare_runs(spark, sf_dir: str) -> DataFrame:
-    """Two runs over documents: by quality (odd ids only) and by toxicity (ids not divisible by three)."""
-    rows = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), "quality", "toxic")
-    old = rows.where("question_id % 2 = 1").withColumn("status", F.when(F.col("quality") == 1, "pass").otherwise("fail"))
-    new = rows.where("question_id % 3 <> 0").withColumn("status", F.when(F.col("toxic") == 1, "fail").when(F.col("quality") == 1, "pass").otherwise("partial"))
-    return V.compared(old, new)
+    """Two runs over documents: the labelled ones by quality, and all of them by toxicity and length."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("question_id"), "quality", "toxic")
+    old = labels.withColumn("status", F.when(F.col("quality") == 1, "pass").otherwise("fail"))
+    new = documents(spark, sf_dir).select(F.col("doc_id").alias("question_id"), "n_chars").join(labels, "question_id", "left")
+    return V.compared(old, new.withColumn("status", F.when(F.col("toxic") == 1, "fail").when(F.col("n_chars") > 500, "pass").otherwise("partial")))
 
 
 def compare_settings(spark, sf_dir: str) -> DataFrame:
-    """Settings that differ between two runs; one for each source and one for each language of the documents."""
+    """Settings that differ between two runs: one for each source of the documents in both, one for each language in one."""
     d = documents(spark, sf_dir)
-    old = d.groupBy(F.col("source").alias("key")).agg(F.min("lang").alias("value"))
-    new = d.where("doc_id % 2 = 0").groupBy(F.col("source").alias("key")).agg(F.max("lang").alias("value")).unionByName(d.groupBy(F.col("lang").alias("key")).agg(F.max("lang").alias("value")))
-    return V.settings_diff(old, new)
+    by = lambda key, value: d.groupBy(F.col(key).alias("key")).agg(value.alias("value"))
+    return V.settings_diff(by("source", F.min("lang")), by("source", F.max("lang")).unionByName(by("lang", F.max("lang"))))
 
 
 def _log(spark, sf_dir: str) -> DataFrame:
@@ -164,8 +142,9 @@ def stream_daily_outcomes(spark, sf_dir: str) -> DataFrame:
 
 
 def evidence_in_index(spark, sf_dir: str) -> DataFrame:
-    """Benchmark items as facts expected in src0, src1 and src77: those that no document of these holds, and missing files."""
-    asked = questions(spark, sf_dir).select(F.col("question_id").cast("int"), F.lit(None).cast("string").alias("known_gap"), F.array(*map(F.lit, ("src0", "src1", "src77"))).alias("sources"), F.array(F.array("text")).alias("evidence"))
+    """Benchmark items as facts expected in any of the sources: those that no document holds, and a file that is missing."""
+    named = F.array(*(F.lit(f"src{i}") for i in (*range(20), 77)))
+    asked = questions(spark, sf_dir).select(F.col("question_id").cast("int"), F.lit(None).cast("string").alias("known_gap"), named.alias("sources"), F.array(F.array("text")).alias("evidence"))
     return against_index(asked, spread(documents(spark, sf_dir).select("source", "text"))).select("question_id", F.sha2("problem", 256).alias("problem"), "blocking")
 
 
@@ -187,7 +166,7 @@ def normalized_phrases(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        parse_citations, verify_facts, fact_counts, best_excerpt, eval_ranks, eval_retrieval, eval_threshold_study, quality_by_label, compare_runs, compare_settings,
+        parse_citations, fact_counts, best_excerpt, eval_ranks, eval_retrieval, eval_threshold_study, quality_by_label, compare_runs, compare_settings,
         log_summary, log_errors, log_gaps, log_last, stream_daily_outcomes, evidence_in_index, answer_questions, normalized_phrases,
     )
 }
@@ -205,7 +184,7 @@ _OVERLAP_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(replace(rep
 
 _ENDS = "list_transform(regexp_split_to_array(p, '\\s*[-–]\\s*'), lambda x: CAST(trim(x) AS BIGINT))"
 ORACLES = {
-    "parse_citations": f"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') || ' [' || (conv_id % 9) || '][' || turn || ', ' || (turn + 2) || '] and [2-4], [1-90]' || CASE WHEN conv_id % 9 = 0 THEN ' [not_found]' ELSE '' END AS t FROM conversations WHERE turn >= 0),
+    "parse_citations": f"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') || ' [' || (conv_id % 9) || '][' || turn || ', ' || (turn + 2) || '] and [2-4], [1-90]' || CASE WHEN conv_id % 9 = 0 THEN ' [not_found]' ELSE '' END AS t FROM conversations),
 n AS (SELECT *, flatten(list_transform(flatten(list_transform(regexp_extract_all(t, '\\[\\s*(\\p{{Nd}}+(?:\\s*[,\\-–]\\s*\\p{{Nd}}+)*)\\s*\\]', 1), lambda g: regexp_split_to_array(g, '\\s*,\\s*'))),
   lambda p: CASE WHEN len({_ENDS}) = 2 AND {_ENDS}[2] - {_ENDS}[1] BETWEEN 1 AND 20 THEN range({_ENDS}[1], {_ENDS}[2] + 1) ELSE {_ENDS} END)) AS l FROM a),
 d AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS u FROM n)
@@ -219,7 +198,6 @@ other AS (SELECT question_id, new AS score FROM scored WHERE question_id NOT IN
 w AS (SELECT min(needed) AS weakest, (SELECT question_id FROM need ORDER BY needed, question_id LIMIT 1) AS weakest_question FROM need),
 o AS (SELECT max(score) AS strongest, (SELECT question_id FROM other ORDER BY score DESC, question_id DESC LIMIT 1) AS strongest_question FROM other)
 SELECT *, round(floor(weakest / 10 / pow(10, floor(log10(weakest / 10)))) * pow(10, floor(log10(weakest / 10))), 6) AS suggested FROM w, o""",
-    "verify_facts": "SELECT CAST(answer_id AS INT) AS answer_id, fact, cited, found_in FROM (VALUES (2, '4.100', '2', ''), (3, 'VPN-ERR-301', '1', '3'), (4, '24', '1', ''), (8, 'KLK-IT-07', '2', '3')) AS v(answer_id, fact, cited, found_in)",
     "fact_counts": """WITH plain AS (SELECT doc_id, translate(lower(replace(text, 'İ', 'i')), 'çğıöşüâîû', 'cgiosuaiu') AS t FROM documents),
 codes AS (SELECT doc_id, t, list_filter(regexp_extract_all(t, '[\\p{L}\\p{N}]+(?:[-_/][\\p{L}\\p{N}]+)+'), lambda x: regexp_matches(x, '\\p{Nd}') AND regexp_matches(x, '\\p{L}')) AS c FROM plain),
 nums AS (SELECT doc_id, regexp_extract_all(t, '\\p{Nd}+(?:[.,:/]\\p{Nd}+)*') AS n FROM codes),
@@ -231,17 +209,24 @@ cut AS (SELECT question_id, doc_id, w, flatten(list_transform(list_transform(str
 each AS (SELECT question_id, doc_id, w, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM cut),
 scored AS (SELECT *, {_OVERLAP_WORDS.format("piece")} AS own FROM each)
 SELECT question_id, doc_id, arg_max(piece, len(list_intersect(w, own)) * 1000000 - i) AS excerpt FROM scored WHERE len(own) > 0 GROUP BY question_id, doc_id""",
+    "answer_questions": f"""WITH {LABELS_SQL}, {POSTINGS_SQL}, {ASKED_SQL}, {sparse_sql("access_level = 'internal' AND status = 'active'", k=5)},
+hit AS (SELECT question_id, doc_id, regexp_replace(d.text, '^\\[[^\\n]*\\]\\n', '') AS text, {_OVERLAP_WORDS.format("b.text")} AS w FROM sparse JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = question_id WHERE rank = 1),
+cut AS (SELECT question_id, w, flatten(list_transform(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: CASE WHEN starts_with(x, '|') THEN [trim(x, ' |')] ELSE string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) END)) AS p FROM hit),
+each AS (SELECT question_id, w, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM cut), scored AS (SELECT *, {_OVERLAP_WORDS.format("piece")} AS own FROM each),
+best AS (SELECT question_id, arg_max(piece, len(list_intersect(w, own)) * 1000000 - i) AS piece FROM scored WHERE len(own) > 0 GROUP BY question_id), n AS (SELECT question_id, count(*) AS n FROM sparse GROUP BY question_id)
+SELECT b.item_id AS question_id, CASE WHEN n.n IS NULL THEN 'none' ELSE 'any' END AS route, CAST(coalesce(n.n, 0) AS INT) AS n_sources, CASE WHEN n.n IS NOT NULL THEN coalesce(piece || ' [1]', '[NOT_FOUND]') END AS answer,
+  CAST(CASE WHEN piece IS NULL THEN 0 ELSE 1 END AS INT) AS n_cited, 0 AS n_unverified FROM benchmark b LEFT JOIN n ON n.question_id = b.item_id LEFT JOIN best ON best.question_id = b.item_id""",
     "eval_ranks": f"WITH {_BM}, {_HELD} SELECT question_id, source_rank, holding FROM ranks",
     "eval_retrieval": f"""WITH {_BM}, {_HELD} SELECT count(*) AS questions, count(source_rank) AS "pass", {_ZERO} AS partial, count(*) - count(source_rank) AS fail, {_ZERO} AS known_gaps_not_passed, count(*) AS answerable, 5 AS top_k,
   count(*) FILTER (WHERE source_rank = 1) AS "hit@1", count(*) FILTER (WHERE source_rank <= 3) AS "hit@3", count(source_rank) AS "hit@k", round(avg(coalesce(1.0 / source_rank, 0)), 3) AS mrr, count(*) AS with_evidence, count(source_rank) AS evidence_found,
   count(*) AS phrases_ok, {_ZERO} AS verdict_correct, {_ZERO} AS verdict_partial, {_ZERO} AS verdict_wrong, count(*) AS not_judged, {_ZERO} AS disagreements, count(*) AS citations_ok, {_ZERO} AS invalid_citations, 0.0::DOUBLE AS avg_cited, {_ZERO} AS unanswerable,
   {_ZERO} AS unanswerable_ok, {_ZERO} AS off_topic, {_ZERO} AS off_topic_stopped, {_ZERO} AS no_sources, {_ZERO} AS unverified_answers, {_ZERO} AS leaks, 0.0::DOUBLE AS avg_retrieval_ms, 0.0::DOUBLE AS avg_llm_s, {_ZERO} AS input_tokens, {_ZERO} AS output_tokens FROM ranks""",
     "quality_by_label": """SELECT lang, count(*) FILTER (WHERE toxic <> 1 AND quality = 1) AS "pass", count(*) FILTER (WHERE toxic <> 1 AND quality <> 1) AS partial, count(*) FILTER (WHERE toxic = 1) AS fail FROM labels JOIN documents USING (doc_id) GROUP BY lang""",
-    "compare_runs": """WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS s FROM labels WHERE doc_id % 2 = 1), n AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'fail' WHEN quality = 1 THEN 'pass' ELSE 'partial' END AS s FROM labels WHERE doc_id % 3 <> 0)
+    "compare_runs": """WITH o AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS s FROM labels), n AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'fail' WHEN n_chars > 500 THEN 'pass' ELSE 'partial' END AS s FROM documents LEFT JOIN labels USING (doc_id))
 SELECT coalesce(o.doc_id, n.doc_id) AS question_id, o.s AS old_status, n.s AS new_status, CASE WHEN n.s IS NULL THEN 'only old' WHEN o.s IS NULL THEN 'only new'
   WHEN list_position(['fail', 'partial', 'pass'], n.s) > list_position(['fail', 'partial', 'pass'], o.s) THEN 'fixed' WHEN list_position(['fail', 'partial', 'pass'], n.s) < list_position(['fail', 'partial', 'pass'], o.s) THEN 'broken' ELSE 'same' END AS change
 FROM o FULL JOIN n ON o.doc_id = n.doc_id""",
-    "compare_settings": """WITH o AS (SELECT source AS key, min(lang) AS value FROM documents GROUP BY source), n AS (SELECT source AS key, max(lang) AS value FROM documents WHERE doc_id % 2 = 0 GROUP BY source UNION ALL SELECT lang, max(lang) FROM documents GROUP BY lang)
+    "compare_settings": """WITH o AS (SELECT source AS key, min(lang) AS value FROM documents GROUP BY source), n AS (SELECT source AS key, max(lang) AS value FROM documents GROUP BY source UNION ALL SELECT lang, max(lang) FROM documents GROUP BY lang)
 SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value FROM o FULL JOIN n ON o.key = n.key WHERE o.value IS DISTINCT FROM n.value""",
     "log_summary": f"""WITH {_LOG} SELECT strftime(time, '%Y-%m') AS month, count(*) AS questions, count(*) FILTER (WHERE outcome = 'answered') AS answered, count(*) FILTER (WHERE outcome = 'not found') AS not_found, count(*) FILTER (WHERE outcome = 'nothing found') AS nothing_found,
   count(*) FILTER (WHERE outcome = 'error') AS error, count(*) FILTER (WHERE confidential) AS confidential, count(*) FILTER (WHERE rewritten) AS rewritten, count(*) FILTER (WHERE fallback) AS fallback, {_ZERO} AS unverified,
@@ -250,7 +235,7 @@ SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value
     "log_gaps": f"WITH {_LOG} SELECT trim(question) AS question, count(*) AS times FROM out WHERE outcome IN ('not found', 'nothing found') GROUP BY 1 ORDER BY times DESC, question LIMIT 20",
     "log_last": f"""WITH {_LOG} SELECT time, "user", question FROM log ORDER BY time DESC, "user", question LIMIT 25""",
     "stream_daily_outcomes": "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
-    "evidence_in_index": f"""WITH d AS (SELECT {_NORM.format("text")} AS t FROM documents WHERE source IN ('src0', 'src1', 'src77')),
+    "evidence_in_index": f"""WITH d AS (SELECT {_NORM.format("text")} AS t FROM documents),
 miss AS (SELECT item_id, text FROM benchmark WHERE NOT EXISTS (SELECT 1 FROM d WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape({_NORM.format("benchmark.text")}))))
 SELECT CAST(item_id AS INT) AS question_id, sha256(problem) AS problem, true AS blocking FROM (SELECT item_id, 'src77 is not indexed' AS problem FROM benchmark UNION ALL SELECT item_id, 'no chunk holds ' || text FROM miss)""",
     "normalized_phrases": f"SELECT item_id, {_NORM.format('text')} AS phrase FROM benchmark",

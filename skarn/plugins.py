@@ -38,6 +38,22 @@ def count_words(text: str) -> int:
     return len(text.split())
 
 
+class SubwordCounter:
+    """Counts the ids of a public tokenizer's file, without special tokens; the file is read once in each process."""
+
+    _held: dict = {}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        if self.path not in self._held:
+            from tokenizers import Tokenizer
+
+            self._held[self.path] = Tokenizer.from_file(self.path)
+        return len(self._held[self.path].encode(text, add_special_tokens=False).ids)
+
+
 def overlap_reranker(question: Column, text: Column) -> Column:
     """The share of a question's search words that a text holds: a score from 0 to 1."""
     return overlap_score(query_tokens(question), search_tokens(text))

@@ -139,6 +139,11 @@ def authenticated(path: str, username: str, password: str, s: Settings = DEFAULT
     return user if user and fits else None
 
 
+def is_admin(role, admin_role: str = "hr_admin"):
+    """Whether a user of this role (a column) may change the index and the users."""
+    return F.coalesce(role == admin_role, F.lit(False))
+
+
 def admins_left(users: dict[str, dict], without: str, admin_role: str = "hr_admin") -> int:
     return sum(u["role"] == admin_role and n != without for n, u in users.items())
 
