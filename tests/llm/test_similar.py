@@ -212,14 +212,30 @@ def brute(rows, length):
     return out
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup(spark, hot):
     rng = random.Random(7)
     rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randrange(80)))) for i in range(60)] + [(60, "a" * 300), (61, None), (62, "ab" * 100), (62, "ab" * 100), (63, "\0" * 50), (None, "ü" * 40), (64, "ab")]
-    cfg = suffix_dedup.DedupConfig(length=12, gram=4, array_bytes=2000, chunk=37)
+    cfg = suffix_dedup.DedupConfig(length=12, gram=4, array_bytes=2000, chunk=37, hot=hot)
     got = suffix_dedup.deduplicated(spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, uid int"), cfg).collect()
     assert Counter(map(tuple, got)) == Counter(brute(rows, 12))
 
 
+def test_a_run_of_one_byte_is_few_rows():
+    rows = [x for x in suffix_dedup._segments(b"a" * 5_000_000, suffix_dedup.DedupConfig())]
+    assert sum(len(x[0]) for x in rows) < 20 and sum(int(x[7].sum()) for x in rows) == 5_000_000 - 199
+
+
+def test_a_passage_in_many_surroundings(spark):
+    rng = random.Random(9)
+    passage = text(rng, 60, 10**6)
+    rows = [(i, f"{rng.random()} {passage} {rng.random()}" if i % 2 else text(rng, 60, 10**6)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (4096, 20):
+        got = suffix_dedup.deduplicated(df, suffix_dedup.DedupConfig(hot=hot)).collect()
+        assert Counter(map(tuple, got)) == Counter(brute(rows, 200))
+
+
 def test_suffix_dedup_of_passages(spark):
     rng = random.Random(8)
     passage = text(rng, 80)
