@@ -1,7 +1,8 @@
 """Document quality by attention over passages (multiple-instance learning).
 
 Every passage of a document is encoded; gated attention weighs the passages and the weighted representation gives the
-score. Only documents carry labels: the attention weights are learned from them alone.
+score. Only documents carry labels: the attention weights are learned from them alone, from every passage of a bounded
+sample of labelled documents. Scoring has no bound; of a long text only what attention needs is held.
 
 Defined results: null text is an empty text, which is one empty passage and gets a score like any other; repeated rows
 come back once for each row; a null doc_id counts as the empty string in the fold rule; labels that are null or
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import words
-from skarn.runtime import dealt, ship, table
+from skarn.runtime import dealt, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -27,9 +28,10 @@ class QualityConfig:
     hidden: int = 24
     gate: int = 12
     epochs: int = 40
-    #: The sample that is learned from: documents, and evenly spaced passages of each, at most. Scoring has no bound.
+    #: The sample of labelled documents that is learned from, whole documents in the order of a hash: their number, and
+    #: the passages they have together, at most.
     learn_documents: int = 4000
-    learn_passages: int = 32
+    learn_passages: int = 100_000
 
 
 _PUNCT = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -40,11 +42,8 @@ _CLASSES = 8 + len(_PUNCT)
 _EXTRA = 6
 
 
-def features(texts: list[bytes], cfg: QualityConfig) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each passage, and for each text the number of its passages (1 at least)."""
-    rows: list[np.ndarray] = []
-    count = np.zeros(len(texts), np.int64)
-    owner: list[np.ndarray] = []
+def blocks(texts: list[bytes], cfg: QualityConfig):
+    """For one byte array after the other, the features of its passages and the number of the text of each."""
     for buf, at, which in words.pieces(texts):
         length = np.diff(np.append(at, len(buf)))
         n = np.maximum(1, -(-(length - 1) // cfg.passage_bytes))
@@ -70,10 +69,16 @@ def features(texts: list[bytes], cfg: QualityConfig) -> tuple[np.ndarray, np.nda
         letters = np.bincount(of, weights=ends - starts, minlength=total)
         some = np.maximum(1, held)
         extra = np.stack([same[0] / some, same[1] / some, distinct / some, letters / some / 10, np.log1p(held), np.log1p(size)], 1)
-        rows.append(np.concatenate([kinds / size[:, None], bag / some[:, None], extra], 1).astype(np.float32))
-        count += np.bincount(which, weights=n, minlength=len(texts)).astype(np.int64)
-        owner.append(np.repeat(np.asarray(which), n))
-    return (np.concatenate(rows) if rows else np.zeros((0, _CLASSES + cfg.buckets + _EXTRA), np.float32)), count
+        yield np.concatenate([kinds / size[:, None], bag / some[:, None], extra], 1).astype(np.float32), np.repeat(np.asarray(which), n)
+
+
+def features(texts: list[bytes], cfg: QualityConfig) -> tuple[np.ndarray, np.ndarray]:
+    """One row for each passage, and for each text the number of its passages (1 at least)."""
+    rows, owner = [np.zeros((0, _CLASSES + cfg.buckets + _EXTRA), np.float32)], [np.zeros(0, np.int64)]
+    for x, of in blocks(texts, cfg):
+        rows.append(x)
+        owner.append(of)
+    return np.concatenate(rows), np.bincount(np.concatenate(owner), minlength=len(texts))
 
 
 class AttentionMIL:
@@ -85,23 +90,55 @@ class AttentionMIL:
         h, a = cfg.hidden, cfg.gate
         self.p = {"W": g.normal(0, width**-0.5, (width, h)), "b": np.zeros(h), "V": g.normal(0, h**-0.5, (h, a)), "U": g.normal(0, h**-0.5, (h, a)), "w": g.normal(0, a**-0.5, a), "c": g.normal(0, h**-0.5, h), "d": np.zeros(1)}
 
-    def forward(self, x: np.ndarray, count: np.ndarray):
+    def encoded(self, x: np.ndarray):
+        """(representations, the two halves of the gate, attention before the softmax) of passages."""
         p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        first = np.cumsum(count) - count
         h = np.tanh(((x - self.mean) / self.scale) @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * s) @ p["w"]
+        return h, t, s, (t * s) @ p["w"]
+
+    def pooled(self, h: np.ndarray, e: np.ndarray, count: np.ndarray):
+        """(attention, weighted representations, scores) of bags of successive passages."""
+        first = np.cumsum(count) - count
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), count))
         alpha = e / np.repeat(np.add.reduceat(e, first), count)
         z = np.add.reduceat(alpha[:, None] * h, first)
-        logit = z @ p["c"] + p["d"]
-        return h, t, s, alpha, z, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = z @ self.p["c"].astype(np.float32) + self.p["d"].astype(np.float32)
+        return alpha, z, 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+    def forward(self, x: np.ndarray, count: np.ndarray):
+        h, t, s, e = self.encoded(x)
+        return (h, t, s, *self.pooled(h, e, count))
 
     def score(self, x: np.ndarray, count: np.ndarray) -> np.ndarray:
         if self.rate is not None:
             return np.full(len(count), self.rate)
         return self.forward(x, count)[-1].astype(np.float64)
 
+    def score_texts(self, texts: list[bytes], cfg: QualityConfig) -> np.ndarray:
+        """The scores of whole texts; the features of one byte array are held at a time."""
+        if self.rate is not None or not texts:
+            return np.full(len(texts), self.rate or 0.0)
+        held = []
+        for x, of in blocks(texts, cfg):
+            h, _, _, e = self.encoded(x)
+            held.append((h, e, of))
+        h, e, of = (np.concatenate(v) for v in zip(*held, strict=True))
+        return self.pooled(h, e, np.bincount(of, minlength=len(texts)))[-1].astype(np.float64)
+
+    def gradients(self, x: np.ndarray, count: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss of some bags."""
+        p, first = self.p, np.cumsum(count) - count
+        h, t, s, alpha, z, prob = self.forward(x, count)
+        dl = ((prob - y) / len(y)).astype(np.float32)
+        of = np.repeat(np.arange(len(y)), count)
+        dz = dl[:, None] * p["c"]
+        da = (dz[of] * h).sum(1)
+        de = alpha * (da - np.repeat(np.add.reduceat(alpha * da, first), count))
+        dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
+        dh = (alpha[:, None] * dz[of] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
+        return {"c": z.T @ dl, "d": dl.sum()[None], "w": (t * s).T @ de, "V": h.T @ dt, "U": h.T @ ds, "W": ((x - self.mean) / self.scale).T @ dh, "b": dh.sum(0)}
+
     def fit(self, x: np.ndarray, count: np.ndarray, y: np.ndarray, cfg: QualityConfig, batch: int = 64) -> AttentionMIL:
         if len(np.unique(y)) < 2:
             self.rate = (float(y.sum()) + 1) / (len(y) + 2)
@@ -115,16 +152,7 @@ class AttentionMIL:
                 bags = order[lo : lo + batch]
                 n = count[bags]
                 at = np.repeat(first[bags] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                xb, seg = x[at], np.cumsum(n) - n
-                h, t, s, alpha, z, prob = self.forward(xb, n)
-                dl = ((prob - y[bags]) / len(bags)).astype(np.float32)
-                p, of = self.p, np.repeat(np.arange(len(bags)), n)
-                dz = dl[:, None] * p["c"]
-                da = (dz[of] * h).sum(1)
-                de = alpha * (da - np.repeat(np.add.reduceat(alpha * da, seg), n))
-                dt, ds = de[:, None] * p["w"] * s * (1 - t * t), de[:, None] * p["w"] * t * s * (1 - s)
-                dh = (alpha[:, None] * dz[of] + dt @ p["V"].T + ds @ p["U"].T) * (1 - h * h)
-                grad = {"c": z.T @ dl, "d": dl.sum()[None], "w": (t * s).T @ de, "V": h.T @ dt, "U": h.T @ ds, "W": ((xb - self.mean) / self.scale).T @ dh, "b": dh.sum(0)}
+                p, grad = self.p, self.gradients(x[at], n, y[bags])
                 step += 1
                 rate = 5e-3 * (1 - 0.9 * epoch / cfg.epochs)
                 for k in p:
@@ -140,13 +168,16 @@ def fold(doc_id, parts: int):
 
 
 def learn(docs: DataFrame, labels: DataFrame, cfg: QualityConfig | None = None, held_out=None) -> AttentionMIL:
-    """Fits the model on labels whose id is not held out (a function of the id column, crc32 mod 3 = 1 by default)."""
+    """Fits the model on labels whose id is not held out (a function of the id column, crc32 mod 3 = 1 by default).
+
+    Rows of equal doc_id and text count once for each label."""
     cfg = cfg or QualityConfig()
     held = held_out or (lambda c: fold(c, 3) == 1)
     chosen = (
         labels.where("doc_id is not null and quality in (0, 1)")
         .where(~held(F.col("doc_id")))
         .select("doc_id", F.col("quality").cast("int"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
         .limit(cfg.learn_documents)
     )
@@ -156,21 +187,26 @@ def learn(docs: DataFrame, labels: DataFrame, cfg: QualityConfig | None = None,
 
         for batch, texts in words.batches(it):
             x, n = features(texts, cfg)
-            out, at = [], 0
-            for k in n.tolist():
-                own = x[at : at + k]
-                at += k
-                out.append(own[np.unique(np.linspace(0, k - 1, min(k, cfg.learn_passages)).astype(int))].astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "quality", "x"])
+            cut = np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n), pa.array([x[a : a + k].astype(np.float16).tobytes() for a, k in zip(cut.tolist(), n.tolist(), strict=True)], pa.binary())], names=["doc_id", "quality", "h", "n", "x"])
 
     ship(docs.sparkSession)
     # The sample is at most learn_documents rows of two numbers, so its broadcast has a fixed bound.
-    joined = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = sorted(joined.mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r.doc_id, r.quality, bytes(r.x)))
+    joined = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.xxhash64("text").alias("h"), "text")
+    bags = joined.mapInArrow(run, "doc_id long, quality int, h long, n long, x binary").groupBy("doc_id", "quality", "h").agg(F.first("n").alias("n"), F.first("x").alias("x"))
+    bags = written(bags, "bags")
+    # Repeated ids may have made more of them again. A document that no longer fits is passed over, the next ones may fit.
+    picked, left = [], cfg.learn_passages
+    for r in bags.select("doc_id", "quality", "h", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "h").limit(cfg.learn_documents).collect():
+        if r.n <= left:
+            picked.append((r.doc_id, r.quality, r.h))
+            left -= r.n
+    within = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int, h long")
+    rows = sorted(bags.join(F.broadcast(within), ["doc_id", "quality", "h"]).collect(), key=lambda r: (r.doc_id, r.quality, r.h))
     width = _CLASSES + cfg.buckets + _EXTRA
-    bags = [np.frombuffer(r.x, np.float16).reshape(-1, width).astype(np.float32) for r in rows]
+    x = [np.frombuffer(r.x, np.float16).reshape(-1, width).astype(np.float32) for r in rows]
     model = AttentionMIL(width, cfg)
-    return model.fit(np.concatenate(bags) if bags else np.zeros((0, width), np.float32), np.array([len(b) for b in bags], np.int64), np.array([r.quality for r in rows], np.int64), cfg)
+    return model.fit(np.concatenate(x) if x else np.zeros((0, width), np.float32), np.array([len(b) for b in x], np.int64), np.array([r.quality for r in rows], np.int64), cfg)
 
 
 def scored(docs: DataFrame, model: AttentionMIL, cfg: QualityConfig | None = None, name: str = "score") -> DataFrame:
@@ -183,8 +219,7 @@ def scored(docs: DataFrame, model: AttentionMIL, cfg: QualityConfig | None = Non
         import pyarrow as pa
 
         for batch, texts in words.batches(it, "_t"):
-            x, n = features(texts, cfg)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x, n))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score_texts(texts, cfg))], names=[*names, "score"])
 
     # Columns go by place, so clashing names do no harm.
     plain = docs.toDF(*names).withColumn("_t", F.col(names[docs.columns.index("text")]).cast("string"))
