@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -56,6 +57,14 @@ def test_language_corners(spark):
 # --- quality
 
 
+def plain_score(m, rows):
+    """The score of one bag, passage by passage."""
+    h = [np.tanh((x - m.mean) / m.scale @ m.p["W"] + m.p["b"]) for x in rows.astype(float)]
+    e = np.array([(np.tanh(v @ m.p["V"]) / (1 + np.exp(-(v @ m.p["U"])))) @ m.p["w"] for v in h])
+    a = np.exp(e) / np.exp(e).sum()
+    return 1 / (1 + math.exp(-(sum(w * v for w, v in zip(a, h, strict=True)) @ m.p["c"] + m.p["d"][0])))
+
+
 def test_gradients():
     cfg = quality.QualityConfig(hidden=5, gate=3, epochs=1)
     g = np.random.default_rng(0)
@@ -63,15 +72,67 @@ def test_gradients():
     m = quality.AttentionMIL(7, cfg)
 
     def loss():
-        p = m.forward(x, count)[-1].astype(float)
+        p = np.array([plain_score(m, x[a : a + n]) for a, n in zip(np.cumsum(count) - count, count, strict=True)])
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
+    grad = m.gradients(x, count, y)
+    for k, p in m.p.items():
+        for i in range(min(p.size, 6)):
+            was, ends = p.flat[i], []
+            for d in (1e-4, -1e-4):
+                p.flat[i] = was + d
+                ends.append(loss())
+            p.flat[i] = was
+            assert grad[k].flat[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, abs=2e-5), k
     before = loss()
     for _ in range(150):
         m.fit(x, count, y, quality.QualityConfig(hidden=5, gate=3, epochs=3))
     assert loss() < 0.3 * before
     whole = m.score(x, count)
-    assert np.allclose(whole, [m.score(x[a : a + n], np.array([n]))[0] for a, n in zip(np.cumsum(count) - count, count, strict=True)], atol=1e-5)
+    assert np.allclose(whole, [plain_score(m, x[a : a + n]) for a, n in zip(np.cumsum(count) - count, count, strict=True)], atol=1e-5)
+
+
+def plain_features(t, cfg):
+    """Class shares, word-bucket shares and the rest of a text, passage by passage, without numpy's bulk operations."""
+    flat = t + b"\n"
+    cuts = [flat[a : a + cfg.passage_bytes] for a in range(0, max(1, len(flat) - 1), cfg.passage_bytes)]
+    if len(cuts) > 1 and len(flat) - 1 == cfg.passage_bytes * (len(cuts) - 1):
+        cuts = cuts[:-1]
+    out = []
+    for i, c in enumerate(cuts):
+        c = c if i + 1 < len(cuts) else flat[i * cfg.passage_bytes :]
+        begun = [m for m in re.finditer(rb"[^\x20\x09-\x0D]+", flat) if i * cfg.passage_bytes <= m.start() < i * cfg.passage_bytes + len(c)]
+        ws = [m.group().lower() for m in begun]
+        n = max(1, len(ws))
+        h = [int(quality.words.hashed_texts([w])[0][0]) for w in ws]
+        kinds = np.bincount([int(quality._CLASS[x]) for x in c], minlength=quality._CLASSES) / len(c)
+        bag = np.bincount([v % cfg.buckets for v in h], minlength=cfg.buckets) / n
+        same = [sum(a == b for a, b in zip(ws[d:], ws, strict=False)) / n for d in (1, 2)]
+        out.append([*kinds, *bag, *same, len(set(ws)) / n, sum(map(len, ws)) / n / 10, math.log1p(len(ws)), math.log1p(len(c))])
+    return np.array(out)
+
+
+def test_scores_equal_plain_ones(docs):
+    cfg = quality.QualityConfig(passage_bytes=64)
+    texts = [b"", b"a", b"x y x y y", b"b" * 64, b"b" * 65, *(t.encode()[:1500] for _, t, _ in docs[:40])]
+    x, n = quality.features(texts, cfg)
+    m, g = quality.AttentionMIL(x.shape[1], cfg), np.random.default_rng(1)
+    m.p["c"] = g.normal(size=m.p["c"].shape) * 5
+    got, at = m.score_texts(texts, cfg), np.cumsum(n) - n
+    for i, t in enumerate(texts):
+        rows = plain_features(t, cfg)
+        assert np.allclose(x[at[i] : at[i] + n[i]], rows, atol=1e-5) and got[i] == pytest.approx(plain_score(m, rows), abs=1e-4)
+
+
+def test_every_passage_is_learned(spark):
+    """A label that only the last of 400 passages explains."""
+    rows = [(i, "plain words of no kind " * 9000 + ("zebra! zebra! " * 30 if i % 2 else "")) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    cfg = quality.QualityConfig(epochs=60)
+    model = quality.learn(df, labels.where("doc_id < 40"), cfg, held_out=lambda c: F.lit(False))
+    got = {r.doc_id: r.score for r in quality.scored(df, model, cfg).collect()}
+    assert sum((got[i] >= 0.5) == (i % 2 == 1) for i in range(40, 60)) >= 18
 
 
 def test_quality(spark):
@@ -109,6 +170,49 @@ def test_base_spans_equal_plain_matching(docs):
         assert pii.base_spans(t) == plain_spans(t)
 
 
+def test_long_runs_of_digits_take_linear_time():
+    for t in ("7" * 1_000_000, "1." * 500_000, "12 " * 3000 + "9" * 500_000, "1.2.3" * 200_000):
+        began = time.perf_counter()
+        pii.base_spans(t)
+        pii.candidates(t[:100_000])
+        assert time.perf_counter() - began < 5
+    dotted = "".join(random.Random(4).choice("0123456789..") for _ in range(20_000))
+    assert [m.span() for m in pii._IP_RUNS.finditer(dotted)] == [m.span() for m in pii._IP.finditer(dotted)]
+
+
+def plain_tree_score(trees, x):
+    total, inner = trees.start, len(trees.feature[0])
+    for f, c, v in zip(trees.feature, trees.cut, trees.leaf, strict=True):
+        node = 0
+        while node < inner:
+            node = 2 * node + (2 if x[f[node]] > c[node] else 1)
+        total += v[node - inner]
+    return 1 / (1 + math.exp(-total))
+
+
+def plain_find(t, trees):
+    """Added spans: the best candidate that is over its threshold and touches no base span and none taken before it."""
+    taken = [(s, e) for s, e, _ in plain_spans(t)]
+    scored = sorted(((-plain_tree_score(trees, pii.describe(t, c)), i, c) for i, c in enumerate(pii.candidates(t))), key=lambda x: x[:2])
+    out = []
+    for score, _, (s, e, k) in scored:
+        if -score >= trees.threshold[k] and all(e <= a or s >= b for a, b in taken):
+            taken.append((s, e))
+            out.append((s, e, k))
+    return sorted(out, key=lambda x: (x[0], pii.KINDS.index(x[2])))
+
+
+def test_added_spans_equal_plain_choice(docs):
+    trees = pii.model()
+    made = [t for t, _, _ in pii.examples(150, 5)]
+    found = 0
+    for t in [*made, *(t for _, t, _ in docs if "+" in t or "@" in t)][:400]:
+        base, added = pii.find(t, trees)
+        assert added == plain_find(t, trees)
+        found += len(added)
+    assert found > 20
+
+
 def test_unseen_examples():
     trees, seen = pii.model(), pii.examples(1500, 77)
     score = trees.score(np.array([pii.describe(t, s) for t, s, _ in seen]))
@@ -180,7 +284,56 @@ def small(cfg, seed=0):
     return lm.AttentionLM(cfg, after, class_of), texts
 
 
-SMALL = lm.LMConfig(vocabulary=41, edge=40, classes=5, block=8, width=4, own=41, shared=1, embedding=6, passes=6)
+SMALL = lm.LMConfig(vocabulary=41, edge=40, classes=5, block=8, width=4, own=41, shared=1, embedding=6, passes=6, every=1, batch=8)
+
+
+def test_gradients_of_the_attention_model():
+    m, texts = small(SMALL)
+    m.fit(texts)
+    m.p = {k: v.astype(float) for k, v in m.p.items()}
+    m.freeze()
+    inputs, targets, first, _ = m.windows(texts[:6])
+    begins = np.zeros(len(inputs), bool)
+    begins[first] = True
+    before = np.roll(inputs, 1, 0)
+    n = (targets >= 0).sum()
+
+    def loss():
+        m.freeze()
+        within = sum(m.within[m.class_of[x], y][y >= 0].sum(dtype=float) for x, y in zip(inputs, targets, strict=True))
+        return -(m.score(texts[:6]).sum() - within) * math.log(10) / n
+
+    grad = m.gradients(inputs, targets, before, begins)
+    for k, p in m.p.items():
+        for i in np.argsort(-np.abs(grad[k]).reshape(-1))[:3]:
+            was, ends = p.flat[i], []
+            for d in (1e-4, -1e-4):
+                p.flat[i] = was + d
+                ends.append(loss())
+            p.flat[i] = was
+            assert grad[k].flat[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=0.05, abs=1e-4), k
+
+
+def test_all_training_windows_are_learned(spark):
+    """The steps of every task count: the windows of all training rows, of whole texts, and of no other ones."""
+    cfg = lm.LMConfig(held=500)
+    rows = [(i % 3 == 2, np.random.default_rng(i).integers(0, 300, 20_000 if i == 4 else 30).astype("<u2").tobytes()) for i in range(40)] + [(False, b""), (False, None)]
+    model = lm.learned(spark.createDataFrame(rows, "held_out boolean, ids binary").repartition(3), cfg)
+    blocks = [-(-(len(x or b"") // 2 + 1) // cfg.block) for out, x in rows if not out]
+    # One in `every` of each text, give or take one at its ends, and one of each at least.
+    assert sum(max(1, n // cfg.every) for n in blocks) <= model.learned <= sum(-(-n // cfg.every) for n in blocks) and model.score([np.arange(20)])[0] < 0
+    every = lm.learned(spark.createDataFrame(rows, "held_out boolean, ids binary").repartition(3), lm.LMConfig(held=500, every=1))
+    assert every.learned == sum(blocks)
+
+
+def test_the_corpus_is_what_the_model_knows(spark):
+    """Trained on two kinds of text, the model finds an unseen text of either kind likelier than its words shuffled."""
+    rng = random.Random(3)
+    lines = ["the cat sat on the mat and the dog ran to the house", "one two three four five six seven eight nine ten"]
+    rows = [(i, " ".join(rng.choice(lines) for _ in range(8))) for i in range(300)]
+    shuffled = [(1000 + i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in rows[:40]]
+    got = {r.doc_id: r.score for r in lm.scored(spark.createDataFrame(rows + shuffled, "doc_id long, text string"), F.col("doc_id") >= 1000).collect()}
+    assert sum(got[i] > got[1000 + i] for i in range(40)) == 40
 
 
 def test_windows_score_each_token_once_and_causally():
