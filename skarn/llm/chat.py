@@ -9,8 +9,8 @@ The built-in template marks each turn with its role and escapes control strings
 `read` gets back from its output are the turns as they went in.
 
 Defined results: null text and null role are empty; rows of a conversation are ordered by turn, then role, then text
-(nulls first), so ties and repeated rows have one order and all count; rows with a null conv_id form one conversation
-with a null conv_id; other columns are ignored; an empty table gives the extra conversations alone."""
+(nulls first), so ties and repeated rows have one order and all count; rows with a null conv_id belong to no other row,
+each is a conversation with a null conv_id; other columns are ignored; an empty table gives the extra conversations alone."""
 
 from __future__ import annotations
 
@@ -122,7 +122,9 @@ def loss_text(f: Formatted, messages: Messages, role: str = "assistant") -> str:
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the ordered (role, text) of each conversation."""
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    each = rows.select(F.col("conv_id").cast("long").alias("conv_id"), own.alias("own"), "turn", "role", "text")
+    return each.groupBy("conv_id", "own").agg(F.transform(F.sort_array(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns")).drop("own")
 
 
 def digests(rows: DataFrame, template: Template = marked_turns, reader: Callable[[str], Messages] = read) -> DataFrame:
@@ -170,13 +172,13 @@ def _sql_escaped(x: str) -> str:
 
 OP6_SQL = f"""
 WITH rows AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '{HOSTILE}' UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}')
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{HOSTILE}', NULL UNION ALL SELECT -1, 1, 'assistant', '{HOSTILE}', NULL)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
   CAST(sum({len(START + MIDDLE + END)} + length({_sql_escaped("role")}) + length({_sql_escaped("text")})) AS BIGINT) AS formatted_chars,
   false AS rewrites_history
-FROM rows GROUP BY conv_id
+FROM rows GROUP BY conv_id, own
 """

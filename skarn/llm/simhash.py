@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from skarn.llm import similar
 from skarn.llm.components import connected_components
 from skarn.llm.words import batches
-from skarn.runtime import dealt, scratch, ship, table, written
+from skarn.runtime import dealt, filtered_early, marked, scratch, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -156,8 +156,13 @@ def links(distinct: DataFrame, cfg: SimHashConfig) -> DataFrame:
 
     low = (1 << 64) - 1
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("hi").bitwiseAND(F.lit(signed(m >> 64))), F.col("lo").bitwiseAND(F.lit(signed(m & low)))) for i, m in enumerate(masks)])
-    dealt = distinct.select("node", "hi", "lo", F.explode(keys).alias("shard")).withColumn("n", F.expr("count(1) over (partition by shard)")).where("n > 1")
-    whole = dealt.where(F.col("n") <= cfg.tree_nodes).select("shard", "node", "hi", "lo", F.lit(True).alias("grows"), F.lit(True).alias("asks"))
+    dealt = distinct.select("node", "hi", "lo", F.explode(keys).alias("shard"))
+    # Counted in parts, so that no task holds a shard before it is cut.
+    size = written(dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    with filtered_early(distinct.sparkSession):
+        dealt = written(dealt.join(marked(size, "shard"), "shard"), "dealt")
+    # Only shards that a tree may hold are brought together.
+    whole = dealt.where(F.col("n") <= cfg.tree_nodes).select("shard", "node", "hi", "lo", F.lit(True).alias("grows"), F.lit(True).alias("asks")).repartition("shard").sortWithinPartitions("shard")
     # A shard over the bound falls into parts by a hash; the tree of each part is searched by that part and by all later ones.
     over = dealt.where(F.col("n") > cfg.tree_nodes).withColumn("parts", F.ceil(F.col("n") / cfg.tree_nodes).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = over.select("shard", "node", "hi", "lo", "part", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))

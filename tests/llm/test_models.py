@@ -34,6 +34,33 @@ def test_document_vector_is_the_sum_of_bound_letters():
     assert some and langid.bundle(at, n, cfg).astype(int).tolist() == want.tolist()
 
 
+def test_predictions_equal_plain_ones(spark):
+    """Learning, centring and cosine, letter by letter."""
+    cfg, rng = langid.LangConfig(size=64), random.Random(2)
+    letters = np.random.default_rng(cfg.seed).choice(np.array([-1, 1], np.int8), (40, 64)).astype(float)
+    kinds = {"x": "abc de", "y": "bcd fé", "z": "xyz a"}
+    rows = [(i, "".join(rng.choice(kinds[k]) for _ in range(rng.randrange(3, 40))), k) for i, k in enumerate(list(kinds) * 20)]
+
+    def vector(t):
+        code, out = [0], np.zeros(64)
+        for c in [*(int(langid.letter_classes()[ord(c)]) for c in t), 0]:
+            if c or code[-1]:
+                code.append(c)
+        for a, b, c in zip(code, code[1:], code[2:], strict=False):
+            out += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+        return out
+
+    unit = lambda v: v / max(1e-12, np.linalg.norm(v))
+    protos = {k: unit(sum(unit(vector(t)) for i, t, x in rows[:30] if x == k)) for k in kinds}
+    centre = sum(protos.values()) / 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.predicted(df, langid.learn(df.where("doc_id < 30").select("lang", "text"), cfg), cfg).collect()}
+    for i, t, _ in rows:
+        cos = {k: float(unit(p - centre) @ unit(unit(vector(t)) - centre)) for k, p in protos.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert got[i].lang_pred == best and got[i].score == pytest.approx((1 + cos[best]) / 2, abs=1e-4)
+
+
 def test_languages(spark, docs):
     got = langid.op2_langid(spark, DATA).collect()
     lang = {d: x for d, _, x in docs}

@@ -70,6 +70,45 @@ def test_two_for_the_smallest():
     assert packing.plan(np.zeros(11, int), 10) == []
 
 
+def plain_best_two_fit(lengths, room):
+    """Bins piece by piece: the longest piece that fits again and again, then two for the smallest if they fill more."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held, free = [], room
+        for k in list(left):
+            if k <= free:
+                held.append(k)
+                left.remove(k)
+                free -= k
+        small = min(held)
+        pairs = [(left[i] + left[j], left[i], left[j]) for i in range(len(left)) for j in range(i + 1, len(left)) if left[i] + left[j] <= free + small]
+        if free and pairs and max(pairs)[0] > small:
+            held.remove(small)
+            left.append(small)
+            for k in max(pairs)[1:]:
+                held.append(k)
+                left.remove(k)
+            left.sort(reverse=True)
+        bins.append(sum(held))
+    return bins
+
+
+def test_plans_equal_plain_best_two_fit():
+    rng = np.random.default_rng(8)
+    for length, n in ((8, 25), (30, 40), (100, 60), (100, 30)):
+        for _ in range(10):
+            lengths = rng.integers(1, length + 1, n).tolist()
+            bins = [sum(k * c for k, c in held.items()) for held, times in packing.plan(np.bincount(lengths, minlength=length + 1), length) for _ in range(times)]
+            assert sorted(bins) == sorted(plain_best_two_fit(lengths, length))
+
+
+def test_words_that_a_polynomial_could_not_tell_apart(spark, ids):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    flat, n = subwords.Subwords()([one.encode(), two.encode()])
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [whole(ids, one), whole(ids, two)]
+
+
 def test_packing(spark, ids):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["word", "the", "Zebra!"]) for _ in range(rng.randrange(60)))) for i in range(80)] + [(90, "long " * 300), (91, None), (92, ""), (93, "same same"), (93, "same same"), (None, "none")]
@@ -219,7 +258,9 @@ def test_conversations_against_sql(spark):
 
 
 def test_conversation_corners(spark):
-    rows = [(1, 2, "assistant", "b", 0), (1, 1, "user", None, 0), (1, 2, "assistant", "a", 0), (None, None, None, "x", 0), (2, 1, "assistant", "y" * 100000, 0)]
-    got = {r.conv_id: r for r in chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")).collect()}
+    rows = [(1, 2, "assistant", "b", 0), (1, 1, "user", None, 0), (1, 2, "assistant", "a", 0), (None, None, None, "x", 0), (None, 1, "user", "z", 0), (2, 1, "assistant", "y" * 100000, 0)]
+    found = chat.digests(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int")).collect()
+    got = {r.conv_id: r for r in found}
     assert (got[1].n_turns, got[1].loss_chars, got[None].loss_chars, got[2].loss_chars) == (3, 2, 0, 100000)
+    assert [r.n_turns for r in found if r.conv_id is None] == [1, 1]
     assert chat.digests(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

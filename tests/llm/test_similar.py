@@ -267,6 +267,61 @@ def test_parts_around_a_replaced_block_count_together(tokens, gap):
     assert [i for i, _ in found] == [0] and found[0][1] >= tokens - gap
 
 
+def plain_stretches(same, least, identity):
+    """All stretches, each time the best of all parts of what is left on either side, trying every pair of ends."""
+    if len(same) < least:
+        return 0
+    value = np.where(same, 1 - identity, -identity)
+    best = max(((value[a:b].sum().round(9), -a, -(b - a)) for a in range(len(same)) for b in range(a + 1, len(same) + 1)), default=(0, 0, 0))
+    if best[0] <= 0:
+        return 0
+    a, b = -best[1], -best[1] - best[2]
+    own = int(b - a) if b - a >= least and same[a:b].mean() >= identity else 0
+    return own + plain_stretches(same[:a], least, identity) + plain_stretches(same[b:], least, identity)
+
+
+def plain_leaks(doc, items, cfg):
+    """Every diagonal on which some mask fits in full, token by token."""
+    found, shortest = set(), min(map(len, cfg.masks))
+    tokens = lambda t: "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in t).split()
+    d = tokens(doc)
+    for i, text_ in items:
+        t = tokens(text_)
+        masks = cfg.masks if len(t) >= shortest else ("1" * len(t),)
+        covered = set()
+        for shift in range(-len(t) + 1, len(d)):
+            met = any(all(d[q + shift + j] == t[q + j] for j, c in enumerate(m) if c == "1") for m in masks for q in range(len(t) - len(m) + 1) if 0 <= q + shift and q + shift + len(m) <= len(d))
+            if t and met:
+                lo, hi = max(0, -shift), min(len(t), len(d) - shift)
+                same = np.array([d[q + shift] == t[q] for q in range(lo, hi)])
+                for a, b in dc.stretches(same, min(cfg.stretch, len(t)), cfg.identity):
+                    covered |= set(range(lo + a, lo + b))
+        if t and len(covered) >= min(len(t), max(cfg.covered_tokens, -(-len(t) // 2))):
+            found.add((i, len(covered)))
+    return found
+
+
+def test_leaks_equal_brute_force():
+    rng, cfg = random.Random(15), dc.SeedConfig()
+    items = [(i, " ".join(f"t{rng.randrange(8)}" if i % 2 else f"u{rng.randrange(500)}" for _ in range(rng.randrange(2, 34)))) for i in range(25)]
+    texts = []
+    for _ in range(60):
+        parts = [edited(rng, t, rng.choice([0, 0.1, 0.3])) if rng.random() < 0.8 else " ".join(t.split()[: rng.randrange(1, 20)]) for _, t in rng.sample(items, 2)]
+        texts.append(f"{text(rng, rng.randrange(9))} {parts[0]}, {text(rng, rng.randrange(5))} {parts[1].upper()}!")
+    index = dc.SeedIndex(items, cfg)
+    for t, got in zip(texts, dc.leaks([t.encode() for t in texts], index, cfg), strict=True):
+        assert {(index.ids[i], n) for i, n in got} == plain_leaks(t, items, cfg)
+
+
+def test_stretches_cover_as_much_as_trying_all_ends():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.4, 0.6, 0.8])
+        got = dc.stretches(same, 8, 0.65)
+        assert all(b - a >= 8 and same[a:b].mean() >= 0.65 for a, b in got) and all(b <= c for (_, b), (c, _) in zip(sorted(got), sorted(got)[1:], strict=False))
+        assert bool(got) == bool(plain_stretches(same, 8, 0.65))
+
+
 def test_short_items_are_found_whole():
     cfg = dc.SeedConfig()
     index = dc.SeedIndex([(1, "What is the capital of Peru?"), (2, "Lima"), (3, " ".join(f"t{i}" for i in range(20))), (4, "")], cfg)
