@@ -4,8 +4,9 @@ A seed is a mask over successive tokens: positions marked 0 do not count, so a r
 it is. Benchmark and document positions with equal seed hashes are hits; each hit's diagonal is verified by comparing
 tokens around it, tolerating substitutions.
 
-The benchmark is the stated query set: it is read in blocks of bounded size, each block's seed table goes to all tasks,
-and the documents are passed over without a shuffle.
+The benchmark is the stated query set: it is read in blocks of bounded size, one after the other, each block's seed table
+goes to all tasks, and the documents are passed over without a shuffle. Hits are counted as stretches of diagonals, and
+equal diagonals of a document and an item are verified once, so repetitive texts cost no more than others.
 
 Tokens are runs of letters and digits with A-Z lower-cased (other characters count as letters). Defined results: null
 and empty texts hold nothing; benchmark rows without a token are not searched; items with fewer tokens than the shortest
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm import words
-from skarn.runtime import dealt, ship, table
+from skarn.runtime import dealt, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -60,8 +61,13 @@ class SeedIndex:
             at = at[place[at] == 0] if len(mask) < shortest else at
             found.append((seeds(flat, mask, k)[at] if len(at) else np.zeros(0, np.uint64), owner[at], place[at]))
         h, self.owner, self.place = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(h, kind="stable")
-        self.h, self.owner, self.place = h[order], self.owner[order], self.place[order]
+        # Places of one seed that follow one another in an item are a run: what hits it hits a stretch of diagonals.
+        order = np.lexsort((self.place, self.owner, h))
+        h, owner, place = h[order], self.owner[order], self.place[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
+        begin = np.flatnonzero(new)
+        self.h, self.owner, self.first, self.last = h[begin], owner[begin], place[begin], place[np.append(begin, len(h))[1:] - 1]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.h >> np.uint64(42)).astype(np.int64)] = True
 
@@ -99,16 +105,66 @@ def stretches(same: np.ndarray, least: int, identity: float) -> list[tuple[int,
     return found
 
 
-def verified(doc: np.ndarray, item: np.ndarray, shifts: list[int], cfg: SeedConfig) -> int:
-    """Tokens of the item that lie in verified stretches on any of the diagonals (document place - item place)."""
-    hit = np.zeros(len(item), bool)
-    for shift in shifts:
-        lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
-        for start, end in stretches(doc[lo + shift : hi + shift] == item[lo:hi], min(cfg.stretch, len(item)), cfg.identity):
-            hit[lo + start : lo + end] = True
+#: Numbers held at once for the hits of a document, and bytes for the diagonals that are compared.
+HITS, DIAGONALS = 1 << 21, 1 << 24
+
+
+def verified(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray, cfg: SeedConfig) -> int:
+    """Tokens of the item that lie in verified stretches on any of the diagonals (document place - item place).
+
+    Diagonals with the same equal places are looked at once, and one that could add nothing to what is covered is not, so
+    a text of one repeated phrase takes as many steps as it has different diagonals."""
+    n, hit = len(item), np.zeros(len(item), bool)
+    least = math.ceil(round(cfg.identity * min(cfg.stretch, n), 6))
+    weight = words.mix(np.arange(1, n + 1, dtype=np.uint64))
+    # Places outside the document equal no token; at its ends a diagonal is shorter.
+    seen: set[int] = set()
+    padded = np.concatenate([np.zeros(n, np.uint64), doc, np.zeros(n, np.uint64)])
+    inside = np.zeros(len(padded), bool)
+    inside[n : n + len(doc)] = True
+    step = max(1, DIAGONALS // max(n, 1))
+    for lo in range(0, len(shifts), step):
+        own = shifts[lo : lo + step] + n
+        h, count = np.zeros(len(own), np.uint64), np.zeros(len(own), np.int64)
+        for j in range(n):
+            same = (padded[own + j] == item[j]) & inside[own + j]
+            h += same * weight[j]
+            count += same
+        # The cut at the document's ends is part of a diagonal.
+        left, right = np.maximum(0, n - own), np.minimum(n, len(doc) + n - own)
+        h += words.mix((left * (n + 1) + right).astype(np.uint64))
+        _, first = np.unique(h, return_index=True)
+        first = first[count[first] >= least]
+        for k in first[np.argsort(-count[first], kind="stable")].tolist():
+            if int(h[k]) in seen:
+                continue
+            if hit.all():
+                return n
+            seen.add(int(h[k]))
+            a, b, at = int(left[k]), int(right[k]), int(own[k])
+            same = padded[at + a : at + b] == item[a:b]
+            equal = np.flatnonzero(same)
+            if hit[a + equal[0] : a + equal[-1] + 1].all():
+                continue
+            for start, end in stretches(same, min(cfg.stretch, n), cfg.identity):
+                hit[a + start : a + end] = True
     return int(hit.sum())
 
 
+def _diagonals(doc: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, n_items: int) -> list[tuple[int, int, np.ndarray]]:
+    """(document, item, diagonals) from stretches of diagonals low to high, each counted in a difference array."""
+    key = doc * n_items + item
+    order = np.argsort(key, kind="stable")
+    key, low, high = key[order], low[order], high[order]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
+    out = []
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        base, top = int(low[a:b].min()), int(high[a:b].max())
+        open_ = np.bincount(low[a:b] - base, minlength=top - base + 2) - np.bincount(high[a:b] - base + 1, minlength=top - base + 2)
+        out.append((int(key[a]) // n_items, int(key[a]) % n_items, np.flatnonzero(np.cumsum(open_) > 0) + base))
+    return out
+
+
 def leaks(texts: list[bytes], index: SeedIndex, cfg: SeedConfig) -> list[list[tuple[int, int]]]:
     """For each text the items it leaks: (item's place in the block, tokens covered)."""
     tokens = words.hashed_texts(texts, between=words.NOT_ALNUM)
@@ -117,7 +173,7 @@ def leaks(texts: list[bytes], index: SeedIndex, cfg: SeedConfig) -> list[list[tu
     if not size.sum() or not len(index.h):
         return out
     flat, first = np.concatenate(tokens), np.cumsum(size) - size
-    met: dict[tuple[int, int], set[int]] = {}
+    met: dict[tuple[int, int], list[np.ndarray]] = {}
     for k, mask in enumerate(index.masks):
         h = seeds(flat, mask, k)
         at = np.flatnonzero(index.filter[(h >> np.uint64(42)).astype(np.int64)])
@@ -130,12 +186,20 @@ def leaks(texts: list[bytes], index: SeedIndex, cfg: SeedConfig) -> list[list[tu
             # One place of a whole item is enough.
             one = np.unique(np.stack([doc, lo]), axis=1, return_index=True)[1]
             at, doc, lo, hi = (x[one] for x in (at, doc, lo, hi))
-        for p, d, a, b in zip(*(x[hi > lo].tolist() for x in (at, doc, lo, hi)), strict=True):
-            for j in range(a, b):
-                met.setdefault((d, int(index.owner[j])), set()).add(int(p - first[d] - index.place[j]))
-    for (d, i), shifts in met.items():
+        at, doc, lo, n = (x[hi > lo] for x in (at, doc, lo, hi - lo))
+        part = np.cumsum(n) // HITS
+        for c in np.unique(part).tolist():
+            own = part == c
+            run = np.repeat(lo[own] - (np.cumsum(n[own]) - n[own]), n[own]) + np.arange(int(n[own].sum()))
+            d, p = np.repeat(doc[own], n[own]), np.repeat(at[own] - first[doc[own]], n[own])
+            for i, j, shifts in _diagonals(d, index.owner[run], p - index.last[run], p - index.first[run], len(index.size)):
+                had = met.setdefault((i, j), [])
+                had.append(shifts)
+                if len(had) > 16:
+                    had[:] = [np.unique(np.concatenate(had))]
+    for (d, i), held in met.items():
         n = int(index.size[i])
-        covered = verified(tokens[d], index.tokens[i], sorted(shifts), cfg)
+        covered = verified(tokens[d], index.tokens[i], np.unique(np.concatenate(held)), cfg)
         if covered >= min(n, max(cfg.covered_tokens, math.ceil(cfg.covered * n))):
             out[d].append((i, covered))
     return out
@@ -168,6 +232,10 @@ def marked(docs: DataFrame, benchmark: DataFrame, cfg: SeedConfig | None = None,
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(now, kind)], names=[*names, "leaks"])
 
         plain = plain.withColumn("_t", F.col(names[docs.columns.index("text")]).cast("string")).mapInArrow(run, schema)
+        if blocks > 1:
+            # A block is done with before the next one is made, so the driver holds one of them.
+            plain = written(plain, "decontaminated")
+            sent.destroy()
     return plain.toDF(*docs.columns, name)
 
 
