@@ -75,51 +75,186 @@ def base_spans(text: str) -> list[Span]:
 
 _ANY_DIGIT = re.compile(r"[0-9]")
 _AT = r"(?:@|\(at\)|\[at\]|\{at\})"
-_NUMBERS = re.compile(r"[0-9][0-9\x20()./:-]*[0-9]")
-_GROUP = re.compile(r"[0-9]+")
 _WIDE_EMAIL = re.compile(r"[^\s@<>,;:\"()\[\]{}]{1,64}\x20?" + _AT + r"\x20?[^\s@<>,;:\"()\[\]{}]{1,64}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\})\x20?[A-Za-z0-9-]{2,24}){0,3}", re.I)
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20at\x20[A-Za-z0-9-]{1,64}(?:\x20dot\x20[A-Za-z0-9-]{2,24}){1,3}", re.I)
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 
 
-def _parts(text: str, start: int, end: int) -> list[Span]:
-    """Proposals in a run of numbers: each stretch of 7 to 42 characters from the start of a group of digits to the end
-    of one, so that a number next to others is proposed alone too."""
-    out: list[Span] = []
-    groups = [m.span() for m in _GROUP.finditer(text, start, end)]
-    for i, (s, _) in enumerate(groups):
-        n, dots, at = 0, 0, s
-        lead = s
-        if lead and text[lead - 1] == "(":
-            lead -= 1
-        if lead and text[lead - 1] == "+":
-            lead -= 1
-        for j in range(i, len(groups)):
-            a, b = groups[j]
-            if b - s > 42:
+#: Groups of digits whose proposals are described and scored at once.
+BLOCK = 4096
+
+
+class Numbers:
+    """A text's runs of numbers, in arrays: proposals, and their features for many at once.
+
+    A run is a stretch of digits and the signs that numbers have between them, from its first digit to its last. A
+    proposal is a stretch of 7 to 42 characters of a run from the start of a group of digits to the end of one, so that a
+    number next to others is proposed alone too."""
+
+    def __init__(self, text: str):
+        self.text = text
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n, self.c = len(c), np.concatenate([c, np.zeros(44, np.uint32)])
+        self.digit = (self.c >= 48) & (self.c < 58)
+        edge = np.diff(np.concatenate([[0], self.digit.view(np.int8)]))
+        self.begin, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        inside = self.digit | _IN_RUN[np.minimum(self.c, 127)] & (self.c < 128)
+        self.run = np.cumsum(~inside)[self.begin]
+        self.place = None
+
+    def proposals(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, kinds) that begin at the groups lo to hi."""
+        out = []
+        first = np.arange(lo, min(hi, len(self.begin)))
+        size = np.concatenate([[0], np.cumsum(self.end - self.begin)])
+        s = self.begin[first]
+        lead = s - ((s > 0) & (self.c[s - 1] == 40))
+        lead = lead - ((lead > 0) & (self.c[lead - 1] == 43))
+        dot = np.concatenate([[0], np.cumsum(self.c == 46)])
+        for k in range(22):
+            own = np.flatnonzero(first + k < len(self.begin))
+            if not len(own):
                 break
-            n += b - a
-            dots += text.count(".", at, a)
-            at = b
-            if n > 19:
+            j = first[own] + k
+            e, n = self.end[j], size[j + 1] - size[first[own]]
+            fit = (self.run[j] == self.run[first[own]]) & (e - s[own] <= 42) & (n <= 19)
+            # No longer stretch from the same group fits, either.
+            first_left = own[fit]
+            e, n, b = e[fit], n[fit], s[first_left]
+            wide, dots = e - b >= 7, dot[e] - dot[b]
+            for kind, ok, at in ((3, (n >= 7) & (n <= 15), lead[first_left]), (2, (n >= 13) & (n <= 19), b), (1, (dots == 3) & (n >= 4) & (n <= 12), b)):
+                keep = wide & ok
+                out.append(np.stack([at[keep], e[keep], np.full(int(keep.sum()), kind)]))
+            if len(first_left) < len(first):
+                first, s, lead = first[first_left], s[first_left], lead[first_left]
+        return tuple(np.concatenate(out, 1)) if out else tuple(np.zeros((3, 0), np.int64))
+
+    def _prepare(self) -> None:
+        """Running counts over the text, made when the first proposal is described."""
+        up = lambda x: np.concatenate([[0], np.cumsum(x)]).astype(np.int32)
+        c = self.c
+        self.count = {k: up(c == ord(k)) for k in "(-. /:"}
+        self.digits = up(self.digit)
+        value = (c[self.digit] - 48).astype(np.int64)
+        twice, even = value * 2 - 9 * (value > 4), np.arange(len(value)) % 2 == 0
+        self.value = value
+        self.odd_last, self.even_last = up(np.where(even, twice, value)), up(np.where(even, value, twice))
+        self.each = [up(value == d) for d in range(10)]
+        letters, back = np.unique(c[: self.n], return_inverse=True)
+        chars = [chr(x) if not 0xD800 <= x < 0xE000 else " " for x in letters.tolist()]
+        flags = np.array([(x.isalpha(), x.lower()[-1].isalnum(), x.lower()[0].isalnum()) for x in chars], bool).reshape(-1, 3)[back]
+        pad = np.zeros((44, 3), bool)
+        alpha, self.alnum_last, self.alnum_first = np.concatenate([flags, pad]).T
+        self.alpha = up(alpha)
+        low = np.array([ord(x.lower()) if len(x.lower()) == 1 else 0 for x in chars], np.uint32)[back].tobytes().decode("utf-32-le", "replace") if self.n else ""
+        # Where each cue begins.
+        self.cues = [[(np.array([m.start() for m in re.finditer(re.escape(w), low)], np.int64), len(w)) for w in words] for words in (_GOOD, _BAD)]
+        double = np.zeros(len(c), bool)
+        signs = (c == 46) | (c == 58) | (c == 47) | (c == 45)
+        double[:-1] = ((c[:-1] == 32) & (c[1:] == 32)) | (signs[:-1] & signs[1:])
+        self.double = up(double)
+        closing = (c == 46) | (c == 32) | (c == 93) | (c == 41) | (c == 125)
+        self.closing = np.maximum.accumulate(np.where(closing, np.arange(len(c)), -1))
+        # Runs of signs between groups, each with a number for its characters.
+        sign = signs | (c == 32)
+        edge = np.diff(np.concatenate([[0], sign.view(np.int8), [0]]))
+        self.sign_begin, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # What stands in a proposal is at most 42 characters long; longer runs of signs differ from all of those.
+        h = np.zeros(len(ends), np.uint64)
+        for k in range(44):
+            own = np.flatnonzero(self.sign_begin + k < ends)
+            if not len(own):
                 break
-            if b - s < 7:
-                continue
-            if 7 <= n <= 15:
-                out.append((lead, b, "phone"))
-            if 13 <= n <= 19:
-                out.append((s, b, "card"))
-            if dots == 3 and 4 <= n <= 12:
-                out.append((s, b, "ip"))
-    return out
-
-
-def candidates(text: str) -> list[Span]:
-    """Overlapping proposals of all kinds, high in recall; a number is proposed as each kind that it may be."""
+            h[own] = (h[own] + c[self.sign_begin[own] + k].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        self.sign_id = np.unique(h, return_inverse=True)[1]
+        self.place = True
+
+    def _ahead(self, at: np.ndarray, step: int) -> np.ndarray:
+        """How close the next digit stands, from `at` on in steps of 1 or -1: see `_beside`."""
+        sign = np.isin(self.c, [ord(x) for x in " ()./:+-"])
+        gap = np.zeros(len(at), np.int64)
+        open_ = np.ones(len(at), bool)
+        for k in range(3):
+            p = at + step * k
+            open_ &= (p >= 0) & (p < self.n) & sign[np.clip(p, 0, None)]
+            gap += open_
+        p = at + step * gap
+        there = (p >= 0) & (p < self.n) & self.digit[np.clip(p, 0, None)]
+        one = np.where(self.c[np.clip(at, 0, None)] == 32, 2.0, 3.0)
+        return np.where(there, np.where(gap == 0, 4.0, np.where(gap > 1, 1.0, one)), 0.0)
+
+    def features(self, s: np.ndarray, e: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """The rows that `describe` gives for these proposals."""
+        if self.place is None:
+            self._prepare()
+        c, n = self.c, len(s)
+        d0, d1 = self.digits[s], self.digits[e]
+        count = {k: v[e] - v[s] for k, v in self.count.items()}
+        g0 = np.searchsorted(self.begin, s)
+        groups = np.searchsorted(self.begin, e) - g0
+        wide = int(groups.max(initial=1))
+        at = np.minimum(g0[:, None] + np.arange(wide), len(self.begin) - 1)
+        there = np.arange(wide) < groups[:, None]
+        size = (self.end - self.begin)[at]
+        most, least = np.where(there, size, 0).max(1), np.where(there, size, 1 << 20).min(1)
+        last = size[np.arange(n), groups - 1]
+        total = np.where((d1 - d0 - 1 + d0) % 2 == 0, self.even_last[d1] - self.even_last[d0], self.odd_last[d1] - self.odd_last[d0])
+        plain = (d1 - d0 + count["."] == e - s) & (count["."] == 3) & (groups == 4)
+        quad = np.zeros(n, bool)
+        for i in np.flatnonzero(plain & (most < 5)).tolist():
+            quad[i] = all(int(x) < 256 for x in self.text[s[i] : e[i]].split("."))
+        tail = e - np.maximum(self.closing[e - 1] + 1, s)
+        before, after, after2 = c[s - 1] * (s > 0), c[e], c[e + 1]
+        signs = lambda x, of: np.isin(x, [ord(k) for k in of])
+        # At the end of a text the padding is neither letter nor digit.
+        cues = []
+        for words in self.cues:
+            v = np.zeros(n, np.int64)
+            for begin, length in words:
+                i = np.searchsorted(begin, s - length, side="right")
+                v += (i > 0) & (begin[np.maximum(i - 1, 0)] >= np.maximum(s - 32, 0)) if len(begin) else 0
+            cues.append(v)
+        value = np.append(self.value, [0, 0])
+        v0, v1 = value[d0], np.where(d1 - d0 > 1, value[d0 + 1], -1)
+        distinct = sum((x[d1] > x[d0]).astype(np.int64) for x in self.each)
+        a = np.minimum(g0 + 1, len(self.begin) - 1)
+        gap1 = self.begin[a] - self.end[g0]
+        b = np.minimum(g0 + 2, len(self.begin) - 1)
+        gap2 = self.begin[b] - self.end[a]
+        dash = signs(c, "-/.")
+        date = self.digit[s] & (groups >= 3) & (size[:, 0] <= 4) & (gap1 == 1) & dash[self.end[g0]] & (self.end[a] - self.begin[a] <= 2) & (gap2 == 1) & dash[self.end[a]]
+        shape = (groups == 3) & (size[:, 0] == 3) & (size[:, min(1, wide - 1)] == 3) & (size[:, min(2, wide - 1)] == 4)
+        r0 = np.searchsorted(self.sign_begin, s)
+        runs = np.searchsorted(self.sign_begin, e) - r0
+        many = int(runs.max(initial=0))
+        kinds = np.zeros(n, np.int64)
+        if many:
+            ids = np.where(np.arange(many) < runs[:, None], self.sign_id[np.minimum(r0[:, None] + np.arange(many), len(self.sign_id) - 1)], -1)
+            ids = np.sort(ids, 1)
+            kinds = (ids[:, 0] >= 0) + ((ids[:, 1:] != ids[:, :-1]) & (ids[:, 1:] >= 0)).sum(1)
+        none = np.zeros(n)
+        return np.stack([
+            *(kind == k for k in range(4)),
+            e - s, d1 - d0, groups, most, size[:, 0], last,
+            total % 10 == 0, c[s] == 43, count["("] > 0, count["-"], count["."], count[" "], count["/"], count[":"],
+            quad, self.alpha[e] - self.alpha[s], tail, none, none,
+            none, none,
+            (s > 0) & self.alnum_last[s - 1], (s > 0) & signs(before, "#-_/=.,$€£"),
+            self.alnum_first[e], signs(after, "-_/%.") & self.alnum_first[e + 1], after == 37,
+            cues[0], cues[1],
+            (v0 >= 3) & (v0 <= 6), distinct <= 2, ((v0 == 1) & (v1 == 9)) | ((v0 == 2) & (v1 == 0)),
+            date, self.double[np.maximum(e - 1, s)] > self.double[s], shape,
+            self._ahead(s - 1, -1), self._ahead(e, 1), least, most == least, kinds,
+        ], 1).astype(np.float64)
+
+
+_IN_RUN = np.zeros(128, bool)
+_IN_RUN[[ord(c) for c in " ()./:-"]] = True
+
+
+def others(text: str) -> list[Span]:
+    """Overlapping proposals that are no plain runs of numbers: addresses in other spellings, and IPv6."""
     out: list[Span] = []
-    if _ANY_DIGIT.search(text):
-        for m in _NUMBERS.finditer(text):
-            out += _parts(text, *m.span())
     if "::" in text or text.count(":") >= 3:
         out += [(*m.span(), "ip") for m in _IPV6.finditer(text) if m.end() - m.start() >= 5]
     low = text.lower() if ("(" in text or "[" in text or "{" in text) else ""
@@ -130,6 +265,17 @@ def candidates(text: str) -> list[Span]:
     return out
 
 
+def candidates(text: str) -> list[Span]:
+    """Overlapping proposals of all kinds, high in recall; a number is proposed as each kind that it may be."""
+    out: list[Span] = []
+    if _ANY_DIGIT.search(text):
+        numbers = Numbers(text)
+        s, e, k = numbers.proposals(0, len(numbers.begin))
+        order = np.lexsort((-k, e, np.searchsorted(numbers.begin, s)))
+        out = [(a, b, KINDS[c]) for a, b, c in zip(s[order].tolist(), e[order].tolist(), k[order].tolist(), strict=True)]
+    return out + others(text)
+
+
 _GOOD = ("tel", "phone", "call", "fax", "mobile", "cell", "contact", "mail", "write", "reach", "ip", "host", "server", "address", "login", "card", "visa", "credit", "debit", "paid", "account")
 _BAD = ("order", "isbn", "no.", "id", "version", "ver", "build", "page", "date", "time", "ref", "invoice", "serial", "sku", "token", "password", "hash", "section", "chapter", "ratio", "score", "$", "€", "£")
 
@@ -318,25 +464,62 @@ class Taken:
         i = bisect_left(self.starts, end)
         return not i or self.ends[i - 1] <= start
 
+    def clear(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of many intervals are free."""
+        if not self.starts:
+            return np.ones(len(starts), bool)
+        i = np.searchsorted(np.array(self.starts), ends)
+        return (i == 0) | (np.array(self.ends)[np.maximum(i - 1, 0)] <= starts)
+
     def take(self, start: int, end: int) -> None:
         i = bisect_left(self.starts, start)
         self.starts.insert(i, start)
         self.ends.insert(i, end)
 
 
+def _scored(x: np.ndarray, trees: Trees) -> np.ndarray:
+    """Scores, made once for rows that are alike (told apart by a 64-bit hash)."""
+    h = (x.view(np.uint64) * _WEIGHT[: x.shape[1]]).sum(1)
+    h ^= h >> np.uint64(29)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    return trees.score(x[first])[back]
+
+
+_WEIGHT = np.random.default_rng(11).integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def find(text: str, trees: Trees) -> tuple[list[Span], list[Span]]:
-    """(base spans, added spans), each by start, then kind."""
+    """(base spans, added spans), each by start, then kind.
+
+    Proposals are described and scored in blocks; those that reach their threshold are kept, as numbers."""
     base, added = base_spans(text), []
     taken = Taken(base)
-    free = [c for c in candidates(text) if taken.free(c[0], c[1])]
-    if free:
-        score = trees.score(np.array([describe(text, c) for c in free]))
-        for i in np.argsort(-score, kind="stable").tolist():
-            s, e, k = free[i]
-            if score[i] >= trees.threshold[k] and taken.free(s, e):
-                taken.take(s, e)
-                added.append(free[i])
+    floor = np.array([trees.threshold[k] for k in KINDS])
+    held = []
+    if _ANY_DIGIT.search(text):
+        numbers = Numbers(text)
+        for lo in range(0, len(numbers.begin), BLOCK):
+            s, e, k = numbers.proposals(lo, lo + BLOCK)
+            free = taken.clear(s, e)
+            s, e, k = s[free], e[free], k[free]
+            if len(s):
+                score = _scored(numbers.features(s, e, k), trees)
+                good = score >= floor[k]
+                held.append((s[good], e[good], k[good], score[good], np.searchsorted(numbers.begin, s[good])))
     place = {k: i for i, k in enumerate(KINDS)}
+    more = [c for c in others(text) if taken.free(c[0], c[1])]
+    for lo in range(0, len(more), BLOCK):
+        own = more[lo : lo + BLOCK]
+        score, k = trees.score(np.array([describe(text, c) for c in own])), np.array([place[c[2]] for c in own])
+        good = score >= floor[k]
+        held.append((np.array([c[0] for c in own])[good], np.array([c[1] for c in own])[good], k[good], score[good], len(text) + lo + np.flatnonzero(good)))
+    if held:
+        s, e, k, score, order = (np.concatenate(x) for x in zip(*held, strict=True))
+        # Best first; of equal ones the first in the text, the shorter, then by kind.
+        for i in np.lexsort((-k, e, order, -score)).tolist():
+            if taken.free(int(s[i]), int(e[i])):
+                taken.take(int(s[i]), int(e[i]))
+                added.append((int(s[i]), int(e[i]), KINDS[k[i]]))
     return tuple(sorted(x, key=lambda s: (s[0], place[s[2]], s[1])) for x in (base, added))
 
 

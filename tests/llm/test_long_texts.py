@@ -51,3 +51,54 @@ def test_blocks_give_the_same(spark):
     bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"), (8, "a b c d e f g h i j k l m n o p q"), (9, None)], "item_id long, text string")
     rows = [sorted((r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in decontaminate.marked(docs, bench, cfg).collect()) for cfg in (None, decontaminate.SeedConfig(block_bytes=40))]
     assert rows[0] == rows[1] == [(0, []), (1, [7]), (2, [8])]
+
+
+# --- personal data
+
+
+def test_features_of_many_proposals_at_once():
+    from skarn.llm import pii
+
+    parts = [*"0123456789" * 4, *"  ()./:-+@#$€,%abİdotTelKΣ\n", "tel ", "order ", "(at)", " dot ", "192.168.", "+49 ", "call "]
+    texts = ["".join(R.choice(parts) for _ in range(R.randint(0, 80))) for _ in range(800)] + [t for t, _, _ in pii.examples(300, 9)]
+    n = 0
+    for t in texts:
+        numbers = pii.Numbers(t)
+        found = numbers.proposals(0, len(numbers.begin))
+        halves = [numbers.proposals(a, a + 3) for a in range(0, len(numbers.begin), 3)]
+        assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(r for h in halves for r in zip(*(x.tolist() for x in h), strict=True))
+        if len(found[0]):
+            n += len(found[0])
+            assert np.array_equal(numbers.features(*found), np.array([pii.describe(t, (a, b, pii.KINDS[k])) for a, b, k in zip(*found, strict=True)]))
+    assert n > 1000
+
+
+def test_proposals_against_all_stretches():
+    from skarn.llm import pii
+
+    for _ in range(300):
+        t = "".join(R.choice("0123456789 .-(+x:") for _ in range(R.randint(0, 50)))
+        want = set()
+        for i in range(len(t)):
+            for j in range(i + 7, min(len(t), i + 42) + 1):
+                s, digits = t[i:j], sum(c.isdigit() for c in t[i:j])
+                whole = s[0].isdigit() and s[-1].isdigit() and not t[:i][-1:].isdigit() and not t[j:][:1].isdigit()
+                if not whole or any(c not in "0123456789 ().:/-" for c in s):
+                    continue
+                lead = i - (t[:i][-1:] == "(")
+                lead -= t[:lead][-1:] == "+"
+                want |= {(lead, j, "phone")} if 7 <= digits <= 15 else set()
+                want |= {(i, j, "card")} if 13 <= digits <= 19 else set()
+                want |= {(i, j, "ip")} if s.count(".") == 3 and 4 <= digits <= 12 else set()
+        assert {c for c in pii.candidates(t) if c not in pii.others(t)} == want
+
+
+@pytest.mark.parametrize("unit", ["1 ", "7:", "ab", "+1 2-3", "4111111111111111 "])
+def test_a_megabyte_of_numbers(unit):
+    from skarn.llm import pii
+
+    trees, text = pii.model(), unit * (1_000_000 // len(unit))
+    began, before = time.monotonic(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    pii.find(text, trees)
+    assert time.monotonic() - began < 60 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+    assert pii.find(text[:200] + " mail a@b.org", trees)[0][-1][2] == "email"

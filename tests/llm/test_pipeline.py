@@ -115,8 +115,8 @@ def test_no_column_name_clashes_with_the_stages_own(spark, tmp_path):
 
 def test_stages_on_awkward_tables(spark, tmp_path):
     """Nulls, empty and repeated rows, clashing names, empty tables: every stage keeps its columns and does not fail."""
-    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, leaks string, pii string, root long, row long, hi string, part int, quality string"
-    extra = (0.5, "l", "p", 1, 2, "h", 3, "q")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, score double, leaks string, pii string, root long, row long, hi string, part int, quality string, added_0 long, Added_1 string, _corpus_pipeline_new int"
+    extra = (0.5, "l", "p", 1, 2, "h", 3, "q", 4, "a", 5)
     good = "The leave is twenty days and the form is here. " * 8
     rows = [(1, good, "en", "s", 9, *extra), (1, good, "en", "s", 9, *extra), (None, good + "mail a.b@c.de", "en", "s", 9, *extra), (None, None, None, None, None, *extra), (3, "", "en", "s", 0, *extra), (4, "x " * 200000, "en", "s", 0, *extra), (5, "call +1 (555) 123-4567", None, "s", None, *extra)]
     spark.createDataFrame([(1, 1, 0), (None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
