@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators import answer, catalog, chunk, evaluate, index, search, store
+from skarn.operators import answer, catalog, chunk, clean, evaluate, index, search, segments
 from skarn.plugins import overlap_reranker
 from skarn.settings import DEFAULT, Settings
+from skarn.runtime import ship, written
 from skarn.sources import config, files
 
 
@@ -21,49 +22,59 @@ def read_catalog(spark: SparkSession, path: str | None) -> DataFrame:
         return catalog.checked(catalog.parsed(spark, f.read()))
 
 
-def index_folder(spark: SparkSession, folder: str, path: str, labels: DataFrame, dry_run: bool = False, s: Settings = DEFAULT) -> DataFrame:
-    """Brings the index in step with the folder's readable files and writes the search tables; returns the plan."""
-    readable = files.listed(spark, folder, s).where("status = 'supported'")
-    chunks = f"{path.rstrip('/')}/chunks"
+def index_folder(spark: SparkSession, folder: str, path: str, labels: DataFrame, dry_run: bool = False, s: Settings = DEFAULT, parsers: dict | None = None) -> DataFrame:
+    """Brings the index in step with the folder's files and returns the plan: (source, action, detail).
+
+    Texts are read as they are, tables as records; other kinds by `parsers`. What was read once is kept beside the index by
+    the file's hash, failures too, so a file is parsed once; one that cannot be read is `unreadable` with its error."""
+    ship(spark)
+    known = files.listed(spark, folder, s).where("status = 'supported'")
+    kept = f"{path.rstrip('/')}/read"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(kept)
+    cache = spark.read.parquet(kept) if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+    pages, new = files.read_cached(known, cache, s.pipeline_version, lambda some: files.read_pages(some, s, parsers))
+    pages = written(pages, "pages")
+    if not dry_run and not new.isEmpty():
+        new.write.mode("append").parquet(kept)
+    lost = pages.where("error is not null").groupBy("source").agg(F.min("error").alias("error"))
+    warned = files.warnings(pages.where("error is null").withColumn("ocr", F.lit(False)), s).groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("warning")), "; ").alias("warning"))
 
     def build(changed: DataFrame) -> DataFrame:
-        pages = files.read_text_pages(changed.select("source", "content"), s).where("error is null")
-        return chunk.chunked(pages, s=s)
+        own = pages.where("error is null").join(changed.select("source"), "source", "left_semi").select("source", "number", "markdown")
+        clear = clean.without_repeated(own.where("number is not null"), s).select("source", "number", "markdown")
+        return chunk.chunked(own.where("number is null").unionByName(clear), s=s)
 
-    plan = index.sync(spark, readable, labels, chunks, build, dry_run, s)
-    if not dry_run:
-        stored = index.read_index(spark, chunks)
-        store.write(stored.select(F.col("point_id").alias("doc_id"), "text"), f"{path.rstrip('/')}/search", s)
-    return plan
+    plan = index.sync(spark, known, labels, path, build, dry_run, s, unreadable=lost)
+    return plan.join(warned, "source", "left").select("source", "action", F.concat_ws("; ", F.nullif("detail", F.lit("")), "warning").alias("detail"))
 
 
-def indexed(spark: SparkSession, path: str, labels: DataFrame) -> tuple[DataFrame, store.Stored]:
-    """(the chunks with their labels, the search tables)."""
-    chunks = index.read_index(spark, f"{path.rstrip('/')}/chunks")
-    if chunks is None:
+def indexed(spark: SparkSession, path: str) -> tuple[DataFrame, segments.Snapshot]:
+    """(the chunks with the labels they were indexed under, the snapshot that is searched)."""
+    found = segments.read(spark, path)
+    if found is None:
         raise FileNotFoundError(f"nothing is indexed at {path}")
-    return catalog.labelled(chunks.withColumnRenamed("point_id", "doc_id"), labels).withColumn("ocr", F.lit(False)), store.read(spark, f"{path.rstrip('/')}/search")
+    return found.docs.withColumnRenamed("point_id", "doc_id").withColumn("ocr", F.lit(False)), found
 
 
-def hits(questions: DataFrame, chunks: DataFrame, stored: store.Stored, levels: tuple[str, ...], s: Settings = DEFAULT) -> DataFrame:
+def hits(questions: DataFrame, chunks: DataFrame, stored: segments.Snapshot, levels: tuple[str, ...], s: Settings = DEFAULT) -> DataFrame:
     """The best chunks of each question (question_id, text) that these levels may see, reranked, with their source's fields."""
     found = search.search(questions, chunks, levels, mode="sparse", reranker=overlap_reranker, s=s, stored=stored)
     kept = found.select("question_id", "doc_id", "rank", "score")
     return kept.join(chunks, "doc_id")
 
 
-def ask(spark: SparkSession, path: str, labels: DataFrame, question: str, role: str, s: Settings = DEFAULT) -> DataFrame:
+def ask(spark: SparkSession, path: str, question: str, role: str, s: Settings = DEFAULT) -> DataFrame:
     """One question answered for a role, with its citations and what could not be verified."""
-    chunks, stored = indexed(spark, path, labels)
+    chunks, stored = indexed(spark, path)
     asked = spark.createDataFrame([(1, question)], "question_id int, text string")
     got = answer.with_sources(asked.withColumnRenamed("text", "question"), hits(asked, chunks, stored, s.roles[role], s))
     return answer.answered(got, s=s)
 
 
-def evaluate_retrieval(spark: SparkSession, path: str, labels: DataFrame, questions_toml: str, runs: str, s: Settings = DEFAULT) -> str:
+def evaluate_retrieval(spark: SparkSession, path: str, questions_toml: str, runs: str, s: Settings = DEFAULT) -> str:
     """Searches every question of a set as its role, stores the results as a run and returns the run's id."""
     asked = config.questions(spark, questions_toml, s)
-    chunks, stored = indexed(spark, path, labels)
+    chunks, stored = indexed(spark, path)
     roles = spark.createDataFrame([(k, list(v)) for k, v in s.roles.items()], "role string, access_levels array<string>")
     found = None
     for role in s.roles:

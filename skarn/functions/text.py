@@ -66,6 +66,11 @@ def normalize(c: Column) -> Column:
     return collapse(F.replace(F.regexp_replace(turkish_lower(c), "[*`]", ""), _lit("’"), _lit("'")))
 
 
+def phrase_words(c: Column) -> Column:
+    """The runs of letters and digits of the normalized text, in order: what a phrase's words are looked up in."""
+    return _all(normalize(c), r"[\p{L}\p{N}]+")
+
+
 def phrase_pattern(phrase: Column) -> Column:
     """A pattern that finds a normalized phrase where a word starts; its right edge is open."""
     quoted = F.concat(_lit(r"\Q"), F.replace(phrase, _lit(r"\E"), _lit(r"\E\\E\Q")), _lit(r"\E"))

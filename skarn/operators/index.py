@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.operators import segments
 from skarn.operators.catalog import labelled
 from skarn.runtime import written
 from skarn.settings import DEFAULT, Settings
@@ -51,44 +52,34 @@ def sync_plan(current: DataFrame, stored: DataFrame, dry_run: bool = False) -> D
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored index, or None before the first sync."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(path) if fs.exists(at) and any(st.getPath().getName().startswith("source=") for st in fs.listStatus(at)) else None
+    """The indexed rows, or None before the first sync."""
+    found = segments.read(spark, path)
+    return found.docs.drop("shard", "place", "words") if found else None
 
 
-def sync(spark: SparkSession, files: DataFrame, catalog: DataFrame, path: str, build, dry_run: bool = False, s: Settings = DEFAULT, model: str = "none") -> DataFrame:
-    """Brings the index at `path` (partitioned by source) in step with files (source, file_hash, ...).
+def sync(spark: SparkSession, files: DataFrame, catalog: DataFrame, path: str, build, dry_run: bool = False, s: Settings = DEFAULT, model: str = "none", unreadable: DataFrame | None = None) -> DataFrame:
+    """Brings the index at `path` in step with files (source, file_hash, ...).
 
-    build(changed files) gives their rows (source, chunk_index, ...). The new partitions are computed in full before
-    any old one is replaced, each source is replaced as a whole, and what is gone is removed last. Without any file
-    nothing is touched. Returns the plan that was carried out."""
+    build(changed files) gives their rows (source, chunk_index, text, ...). They are written as one segment that also
+    deletes the old rows of changed and removed files, and the new version is put in place at the end: a crash leaves the
+    index as it was, files that did not change are not written again, and an open reader keeps what it reads. Without any
+    file nothing is touched. unreadable: (source, error) of files that could not be read; what is indexed of them stays.
+    Returns the plan that was carried out."""
     if files.isEmpty():
         raise SyncError("no readable document: nothing was indexed or removed")
-    current = fingerprints(files.select("source", "file_hash"), catalog, s, model)
-    old = read_index(spark, path)
-    stored = stored_fingerprints(old) if old is not None else spark.createDataFrame([], "source string, stored array<string>")
-    plan = written(sync_plan(current, stored, dry_run), "plan")
-    if dry_run:
+    labels = labelled(files.select("source", "file_hash"), catalog, s).withColumn("fingerprint", fingerprint(F.col("file_hash"), s, model)).drop("file_hash")
+    old = segments.read(spark, path)
+    stored = stored_fingerprints(old.docs) if old else spark.createDataFrame([], "source string, stored array<string>")
+    plan = sync_plan(labels.select("source", "fingerprint", "catalogued"), stored, dry_run)
+    if unreadable is not None:
+        plan = plan.join(unreadable, "source", "left").select("source", F.when(F.col("error").isNull(), F.col("action")).otherwise("unreadable").alias("action"), F.coalesce("error", "detail").alias("detail"))
+    plan = written(plan, "plan")
+    stale = plan.where("action in ('index', 'remove')").select("source")
+    if dry_run or stale.isEmpty():
         return plan
     changed = plan.where("action = 'index'").select("source")
-    if not changed.isEmpty():
-        rows = build(files.join(changed, "source", "left_semi")).join(current.select("source", "fingerprint"), "source")
-        rows = written(rows.withColumn("point_id", point_id(F.col("fingerprint"), F.col("chunk_index"))), "rows")
-        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            rows.repartition("source").write.mode("overwrite").partitionBy("source").parquet(path)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-    # Removals are few: sources whose file is gone, or that have no chunk any more.
-    gone = [r.source for r in plan.where("action = 'remove'").select("source").toLocalIterator()]
-    if not changed.isEmpty():
-        gone += [r.source for r in changed.join(rows.select("source").distinct(), "source", "left_anti").toLocalIterator()]
-    jvm = spark.sparkContext._jvm
-    for source in gone:
-        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)
-        at = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/source={name}")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    rows = build(files.join(changed, "source", "left_semi")).join(labels.drop("catalogued"), "source")
+    rows = written(rows.withColumn("point_id", point_id(F.col("fingerprint"), F.col("chunk_index"))), "rows")
+    gone = old.docs.join(stale, "source", "left_semi").select("shard", "place") if old else None
+    segments.add(spark, path, rows, gone, "point_id", s)
     return plan

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.text import query_tokens, search_tokens
+from skarn.operators import segments
 from skarn.settings import DEFAULT, Settings
 
 #: Rows of a question or query-vector table that are broadcast at once; more go in blocks.
@@ -54,25 +55,12 @@ def top(scored: DataFrame, k: int, key: str = "doc_id", question: str = "questio
 
 
 def sparse_topk(questions: DataFrame, weighted: DataFrame, rarity: DataFrame, k: int = DEFAULT.prefetch, allowed: DataFrame | None = None, key: str = "doc_id", s: Settings = DEFAULT) -> DataFrame:
-    """(question_id, key, score, rank): the inverted index joined on the words of questions (question_id, text).
+    """(question_id, key, score, rank) over words that are not stored: all of them joined on those of the questions.
 
-    allowed: the keys that may be found at all. Questions' words are joined with their rarity first, so the postings
-    meet a small table; Spark broadcasts it when its measured size allows."""
-    scored = sparse_scores(questions, weighted, rarity, key, s)
-    return top(scored if allowed is None else scored.join(allowed.select(key), key, "left_semi"), k, key)
-
-
-def sparse_scores(questions: DataFrame, weighted: DataFrame, rarity: DataFrame, key: str = "doc_id", s: Settings = DEFAULT) -> DataFrame:
-    """(question_id, key, score) of every text that shares a word with a question.
-
-    Stored postings lie in folders by `part`, a hash of the word; the words of the questions then prune the folders."""
+    allowed: the keys that may be found at all. What is stored is searched by `segments.sparse_topk`."""
     asked = questions.select("question_id", F.explode(query_tokens(F.col("text"), s)).alias("term")).join(rarity.select("term", "idf"), "term")
-    on = ["term"]
-    if "part" in weighted.columns:
-        from skarn.operators.store import part
-
-        on, asked = ["part", "term"], asked.withColumn("part", part(F.col("term")))
-    return weighted.select(key, *on, "weight").join(asked, on).groupBy("question_id", key).agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
+    scored = weighted.select(key, "term", "weight").join(asked, "term").groupBy("question_id", key).agg(F.round(F.sum(F.col("idf") * F.col("weight")), 6).alias("score"))
+    return top(scored if allowed is None else scored.join(allowed.select(key), key, "left_semi"), k, key)
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -124,7 +112,8 @@ def search(
 ) -> DataFrame:
     """Candidates, optional reranking, threshold and top k in one plan.
 
-    stored: the index that `store.read` gives; without it the texts are cut into words for this search alone.
+    stored: the snapshot that `segments.read` gives, whose bitmaps hold the labels; without it the texts are cut into words
+    for this search alone.
 
     index: (doc_id, text, access_level, status). A hybrid question without any search word is searched by its vector
     alone; a sparse one then finds nothing. Each leg gives `prefetch` rows at most."""
@@ -135,11 +124,10 @@ def search(
     legs = []
     if mode != "dense":
         if stored is not None:
-            weighted, rarity = stored.postings, stored.rarity
+            legs.append(segments.sparse_topk(questions, stored, s.prefetch, levels, superseded, s).withColumnRenamed(stored.key, "doc_id"))
         else:
             post = postings(index.select("doc_id", "text"), s)
-            weighted, rarity = weights(post, s), idf(post, index.count())
-        legs.append(sparse_topk(questions, weighted, rarity, s.prefetch, seen, s=s))
+            legs.append(sparse_topk(questions, weights(post, s), idf(post, index.count()), s.prefetch, seen, s=s))
     if mode != "sparse":
         if vectors is None or query_vectors is None:
             raise ValueError(f"mode {mode} needs vectors")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators import store
+from skarn.operators import segments
+from skarn.operators.catalog import labelled
 from skarn.runtime import goes_with_session, parallelism, shared_path, table
 from skarn.settings import DEFAULT
 
@@ -39,15 +40,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> store.Stored:
-    """The search index of `documents`, which the first search of a session writes."""
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(labelled(documents(spark, sf_dir).select("doc_id", "text", "source"), catalog(spark)))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> segments.Snapshot:
+    """The search index of `documents` with their labels, which the first search of a session writes."""
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _STORED:
         path = shared_path(spark, "index")
-        store.write(spread(documents(spark, sf_dir).select("doc_id", "text")), path)
+        segments.write(labelled_documents(spark, sf_dir), path)
         goes_with_session(spark, path)
         _STORED[at] = path
-    return store.read(spark, _STORED[at])
+    return segments.read(spark, _STORED[at])
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.citations import shortened, unverified
 from skarn.functions.text import page_label, rewritten, sigmoid, verdict, without_thoughts
-from skarn.operators import answer, chunk, index, logs, search, tabular
+from skarn.operators import answer, chunk, index, logs, search, segments, tabular
 from skarn.operators import evaluate as V
 from skarn.operators.catalog import labelled
 from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, roles, sparse_sql, spread, stored, tokens_sql
@@ -126,6 +126,28 @@ def synced_index(spark, sf_dir: str) -> DataFrame:
     return actions.join(left, "source", "left")
 
 
+def segmented_index(spark, sf_dir: str) -> DataFrame:
+    """The index after three syncs (all; then without src0 and with src1 changed; then with src2 changed, too), by source:
+    documents, postings, words and weights as they are searched, and what a reader from before the second sync sees."""
+    path = shared_path(spark, "segmented")
+    file = lambda d: d.groupBy("source").agg(F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).cast("string").alias("file_hash"))
+    rows = lambda d: lambda changed: d.join(changed.select("source"), "source").select("source", F.col("doc_id").cast("int").alias("chunk_index"), "text")
+    docs, first = spread(documents(spark, sf_dir).select("doc_id", "source", "text")), None
+    for k in range(3):
+        more = F.concat("text", F.lit(" zzadded"))
+        now = docs.where(F.lit(k == 0) | (F.col("source") != "src0")).withColumn("text", F.when(F.col("source").isin(*(f"src{i}" for i in range(1, k + 1))), more).otherwise(F.col("text")))
+        index.sync(spark, file(now), catalog(spark), path, rows(now))
+        first = first or segments.read(spark, path)
+    goes_with_session(spark, path)
+    last = segments.read(spark, path)
+    held = last.table("postings").select("shard", F.explode(F.arrays_zip("docs", "tfs", "weights")).alias("x")).select("shard", F.col("x.docs").alias("place"), F.col("x.tfs").alias("tf"), F.col("x.weights").alias("weight"))
+    own = last.docs.select("shard", "place", "source").join(held, ["shard", "place"], "left").groupBy("source")
+    own = own.agg(F.count_distinct("shard", "place").alias("docs"), F.count("tf").alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("words"), F.round(F.coalesce(F.sum("weight"), F.lit(0.0)), 2).alias("weight"))
+    before = first.docs.groupBy("source").agg(F.count("*").alias("old_docs"))
+    total = last.rarity.agg(F.count("*").alias("terms"), F.sum("df").alias("df"))
+    return before.join(own, "source", "full_outer").crossJoin(total).withColumns({"texts": F.lit(last.size).cast("long"), "segments": F.lit(len(last.segments)).cast("long")})
+
+
 def point_ids(spark, sf_dir: str) -> DataFrame:
     """The id under which every document is stored."""
     return documents(spark, sf_dir).select("doc_id", index.point_id(F.sha2("source", 256), F.col("doc_id")).alias("point_id"))
@@ -325,7 +347,7 @@ def chunk_checks(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_support, parsed_documents, reading_warnings, ocr_pages, inspection_pages, table_files, sheet_numbers, stored_log, stored_runs, rescored_runs, synced_index, point_ids, search_reranked, missing_facts, answer_ranks,
+        file_support, parsed_documents, reading_warnings, ocr_pages, inspection_pages, table_files, sheet_numbers, stored_log, stored_runs, rescored_runs, synced_index, segmented_index, point_ids, search_reranked, missing_facts, answer_ranks,
         source_ranks, answer_routes, leaked_hits, source_headers, generated_answers, standalone_questions, model_replies, judged_answers, phrase_checks, citation_checks, status_rules, confidential_checks, ingestion_checks,
         verify_facts, excerpts, logistic_scores, admin_counts, chunk_checks,
     )
@@ -359,6 +381,12 @@ ORACLES = {
     "rescored_runs": """SELECT coalesce(d.source, 'gone') AS type, count(*) AS n, CAST(sum(quality) AS BIGINT) AS good FROM labels l LEFT JOIN (SELECT doc_id, source FROM documents WHERE lang = 'en') d USING (doc_id) GROUP BY 1""",
     "synced_index": """SELECT source, 'index' AS first_action, CASE source WHEN 'src0' THEN 'remove' WHEN 'src1' THEN 'index' ELSE 'unchanged' END AS second_action,
   CASE WHEN source <> 'src0' THEN count(*) END AS chunks, CASE WHEN source <> 'src0' THEN count(DISTINCT doc_id) END AS points, CASE WHEN source <> 'src0' THEN CAST(sum(length(text) + CASE WHEN source = 'src1' THEN 1 ELSE 0 END) AS BIGINT) END AS chars FROM documents GROUP BY source""",
+    "segmented_index": f"""WITH now AS (SELECT source, {tokens_sql("CASE WHEN source IN ('src1', 'src2') THEN text || ' zzadded' ELSE text END")} AS t, doc_id FROM documents WHERE source <> 'src0'),
+p AS (SELECT source, doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT source, doc_id, len(t) AS length, unnest(t) AS term FROM now) GROUP BY ALL),
+own AS (SELECT source, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words, round(sum(round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / 60.0)), 4)), 2) AS weight FROM p GROUP BY source),
+n AS (SELECT source, count(*) AS docs FROM now GROUP BY source), total AS (SELECT count(DISTINCT term) AS terms, count(*) AS df FROM p)
+SELECT o.source, o.old_docs, n.docs, coalesce(own.postings, CASE WHEN n.docs > 0 THEN 0 END) AS postings, coalesce(own.words, CASE WHEN n.docs > 0 THEN 0 END) AS words, coalesce(own.weight, CASE WHEN n.docs > 0 THEN 0.0 END) AS weight,
+  terms, df, (SELECT count(*) FROM now) AS texts, 3 AS segments FROM (SELECT source, count(*) AS old_docs FROM documents GROUP BY source) o LEFT JOIN n USING (source) LEFT JOIN own USING (source) CROSS JOIN total""",
     "point_ids": "SELECT doc_id, sha256(sha256(source) || '/' || doc_id) AS point_id FROM documents",
     "search_reranked": f"""WITH {LABELS_SQL}, {POSTINGS_SQL}, {ASKED_SQL}, {sparse_sql(_VISIBLE)},
 q AS (SELECT item_id AS question_id, list_distinct({tokens_sql("text")}) AS words FROM benchmark),

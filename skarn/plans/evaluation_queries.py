@@ -12,7 +12,7 @@ from skarn.operators import evaluate as V
 from skarn.operators import logs
 from skarn.operators.catalog import labelled
 from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
-from skarn.plans.search_queries import _seen, _sparse, overlap_hits
+from skarn.plans.search_queries import _sparse, overlap_hits
 from skarn.runtime import shared_dir, table, written
 from skarn.settings import DEFAULT
 from skarn.sources.config import against_index
@@ -150,7 +150,7 @@ def evidence_in_index(spark, sf_dir: str) -> DataFrame:
 
 def answer_questions(spark, sf_dir: str) -> DataFrame:
     """Every benchmark item answered from its five best internal documents by the extractive generator."""
-    hits = _sparse(spark, sf_dir, _seen(spark, sf_dir), k=DEFAULT.top_k).join(labelled(documents(spark, sf_dir).select("doc_id", "source", "text"), catalog(spark)), "doc_id")
+    hits = _sparse(spark, sf_dir, ("internal",), k=DEFAULT.top_k).join(labelled(documents(spark, sf_dir).select("doc_id", "source", "text"), catalog(spark)), "doc_id")
     none = F.lit(None).cast("int")
     hits = hits.withColumns({"heading_path": F.lit(""), "page_start": none, "page_end": none, "ocr": F.lit(False)})
     asked = answer.with_sources(questions(spark, sf_dir).select("question_id", F.col("text").alias("question")), hits)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.text import query_tokens, search_tokens
 from skarn.operators import search as S
-from skarn.operators import store
+from skarn.operators import segments
 from skarn.operators.catalog import labelled
-from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, roles, sparse_sql, spread, stored, tokens_sql
+from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, labelled_documents, questions, roles, sparse_sql, spread, stored, tokens_sql
 from skarn.plugins import overlap_score
 from skarn.runtime import goes_with_session, shared_path, table
 from skarn.settings import DEFAULT
@@ -33,16 +33,16 @@ def bm25_weights(spark, sf_dir: str) -> DataFrame:
 def index_documents(spark, sf_dir: str) -> DataFrame:
     """Indexes all documents anew and counts what is stored."""
     path = shared_path(spark, "indexed")
-    store.write(spread(documents(spark, sf_dir).select("doc_id", "text")), path)
+    index = segments.write(labelled_documents(spark, sf_dir), path)
     goes_with_session(spark, path)
-    index = store.read(spark, path)
-    sums = index.postings.agg(F.count("*").alias("postings"), F.sum("tf").alias("words"), F.round(F.sum("weight"), 2).alias("weight"))
+    total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    sums = index.table("postings").agg(F.sum(F.size("docs")).alias("postings"), F.sum(total(F.transform("tfs", lambda x: x.cast("long")), F.lit(0).cast("long"))).alias("words"), F.round(F.sum(total("weights", F.lit(0.0))), 2).alias("weight"))
     return sums.crossJoin(index.rarity.agg(F.count("*").alias("terms"))).withColumn("texts", F.lit(index.size).cast("long"))
 
 
-def _sparse(spark, sf_dir: str, allowed=None, k: int = DEFAULT.prefetch) -> DataFrame:
-    index = stored(spark, sf_dir)
-    return S.sparse_topk(questions(spark, sf_dir), index.postings, index.rarity, k, allowed)
+def _sparse(spark, sf_dir: str, levels: tuple[str, ...] | None = None, k: int = DEFAULT.prefetch) -> DataFrame:
+    """The k best documents of every question, all of them or those that may be seen."""
+    return segments.sparse_topk(questions(spark, sf_dir), stored(spark, sf_dir), k, levels)
 
 
 def _seen(spark, sf_dir: str, levels=("internal",)) -> DataFrame:
@@ -51,7 +51,12 @@ def _seen(spark, sf_dir: str, levels=("internal",)) -> DataFrame:
 
 def bm25_topk(spark, sf_dir: str) -> DataFrame:
     """The 20 best current internal documents for every benchmark item as a question."""
-    return _sparse(spark, sf_dir, _seen(spark, sf_dir))
+    return _sparse(spark, sf_dir, ("internal",))
+
+
+def topk_blocks(spark, sf_dir: str) -> DataFrame:
+    """For the same search: blocks of postings of each question's words, and how many of them its bounds left to read."""
+    return segments.sparse_topk(questions(spark, sf_dir), stored(spark, sf_dir), levels=("internal",), count=True)
 
 
 def _query_vectors(spark, sf_dir: str) -> DataFrame:
@@ -69,26 +74,24 @@ def hybrid_rrf(spark, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     asked = questions(spark, sf_dir).select("question_id").join(vectors.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id")
     dense = S.dense_topk(asked, vectors.select(F.col("vec_id").alias("doc_id"), "embedding").join(seen.select("doc_id"), "doc_id", "left_semi"), key="doc_id")
-    return S.fused([_sparse(spark, sf_dir, seen), dense], DEFAULT.prefetch)
+    return S.fused([_sparse(spark, sf_dir, ("internal",)), dense], DEFAULT.prefetch)
 
 
 def search_access_filtered(spark, sf_dir: str) -> DataFrame:
-    """What each role finds, and how much of it is restricted: scores are made once, and each hit goes to the roles that
-    may see it."""
-    index = stored(spark, sf_dir)
-    current = labelled(documents(spark, sf_dir).select("doc_id", "source"), catalog(spark)).where("status = 'active'").select("doc_id", "access_level")
-    scored = S.sparse_scores(questions(spark, sf_dir), index.postings, index.rarity)
-    may = roles(spark).select("role", F.explode("access_levels").alias("access_level"))
-    seen = scored.join(current, "doc_id").join(F.broadcast(may), "access_level")
-    rank = F.row_number().over(Window.partitionBy("role", "question_id").orderBy(F.desc("score"), "doc_id"))
-    hits = seen.withColumn("rank", rank).where(F.col("rank") <= DEFAULT.prefetch)
+    """What each role finds, and how much of it is restricted: roles that see the same are searched for at once."""
+    found = None
+    for levels in dict.fromkeys(DEFAULT.roles.values()):
+        who = F.broadcast(roles(spark).where(F.col("access_levels") == F.array(*map(F.lit, levels))).select("role"))
+        part = _sparse(spark, sf_dir, levels).crossJoin(who)
+        found = part if found is None else found.unionByName(part)
+    hits = found.join(stored(spark, sf_dir).docs.select("doc_id", "access_level"), "doc_id")
     return hits.groupBy("role", "question_id").agg(F.count("*").alias("hits"), F.count_if(F.col("access_level") == "restricted").alias("restricted"))
 
 
 def overlap_hits(spark, sf_dir: str) -> DataFrame:
     """The 20 candidates of every question with their word overlap, from the stored words: no text is read."""
     asked = questions(spark, sf_dir).select("question_id", query_tokens(F.col("text")).alias("asked"))
-    both = _sparse(spark, sf_dir).join(stored(spark, sf_dir).words, "doc_id").join(asked, "question_id")
+    both = _sparse(spark, sf_dir).join(stored(spark, sf_dir).docs.select("doc_id", "words"), "doc_id").join(asked, "question_id")
     return both.withColumn("overlap", overlap_score(F.col("asked"), F.col("words"))).drop("asked", "words")
 
 
@@ -99,7 +102,7 @@ def rerank_threshold_topk(spark, sf_dir: str) -> DataFrame:
 
 def leak_check(spark, sf_dir: str) -> DataFrame:
     """Hits of the least role that it may not see: none, counted."""
-    hits = _sparse(spark, sf_dir, _seen(spark, sf_dir))
+    hits = _sparse(spark, sf_dir, ("internal",))
     both = hits.join(labelled(documents(spark, sf_dir).select("doc_id", "source"), catalog(spark)).select("doc_id", "access_level"), "doc_id")
     return both.agg(F.count("*").alias("hits"), F.count_if(F.col("access_level") != "internal").alias("leaks"))
 
@@ -108,7 +111,7 @@ _VISIBLE = "access_level = 'internal' AND status = 'active'"
 _CURRENT = "status = 'active'"
 _DENSE = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, term_document_frequency, bm25_weights, index_documents, bm25_topk, dense_topk, hybrid_rrf, search_access_filtered, rerank_threshold_topk, leak_check)}
+QUERIES = {f.__name__: f for f in (tokenize_documents, term_document_frequency, bm25_weights, index_documents, bm25_topk, topk_blocks, dense_topk, hybrid_rrf, search_access_filtered, rerank_threshold_topk, leak_check)}
 
 ORACLES = {
     "tokenize_documents": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.citations import best_piece
 from skarn.functions.text import query_tokens, search_tokens
+from skarn.runtime import ship
 
 
 class TokenCounter(Protocol):
@@ -91,6 +92,7 @@ class HashEmbedder:
 
 def embedded(df: DataFrame, text: str, embedder: Embedder, name: str = "embedding", batch: int = 64) -> DataFrame:
     """Adds the embeddings of a text column, batch by batch in the order of the rows."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("array<float>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:

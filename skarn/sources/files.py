@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from skarn.operators.clean import main_text
 from skarn.operators.logs import SCHEMA as LOG_SCHEMA
-from skarn.operators.tabular import TabularError, decoded
-from skarn.runtime import written
+from skarn.operators.tabular import TabularError, cells_of_files, decoded, grid_markdown
+from skarn.runtime import ship, written
 from skarn.settings import DEFAULT, Settings
 
 
@@ -38,8 +39,8 @@ def listed(spark: SparkSession, folder: str, s: Settings = DEFAULT) -> DataFrame
 def read_text_pages(files: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(source, number, markdown, error) of text, Markdown and HTML files (source, content); one page without number.
 
-    A file that cannot be read gives a row with its error, so that it does not stop the others. Other formats need a
-    parser of their own."""
+    A file that cannot be read gives a row with its error, so that it does not stop the others."""
+    ship(files.sparkSession)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -56,6 +57,23 @@ def read_text_pages(files: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return files.select("source", "content").mapInPandas(run, "source string, number int, markdown string, error string")
 
 
+def read_pages(files: DataFrame, s: Settings = DEFAULT, parsers: dict | None = None) -> DataFrame:
+    """(source, number, markdown, error) of files of any supported kind: texts, tables as records (a sheet a page), and what
+    `parsers` read (suffix -> function of files that gives such rows). A kind that no one reads gives an error row."""
+    kind, parsers = suffix(F.col("source")), parsers or {}
+    own = files.where(kind.isin("csv", "xlsx"))
+    cells = cells_of_files(own)
+    broken = cells.where("error is not null").select("source", F.lit(None).cast("int").alias("number"), F.lit("").alias("markdown"), "error")
+    sheets = cells.where("error is null")
+    number = F.nullif(F.regexp_extract("table", r"#(\d+)$", 1), F.lit("")).cast("int")
+    tables = grid_markdown(sheets).join(sheets.select("table", "source").distinct(), "table").select("source", number.alias("number"), "markdown", F.lit(None).cast("string").alias("error"))
+    out = read_text_pages(files.where(kind.isin("txt", "md", "html", "htm")), s).unionByName(broken).unionByName(tables)
+    for k, parse in parsers.items():
+        out = out.unionByName(parse(files.where(kind == k)).select("source", "number", "markdown", "error"))
+    read = ("csv", "xlsx", "txt", "md", "html", "htm", *parsers)
+    return out.unionByName(files.where(~kind.isin(*read)).select("source", F.lit(None).cast("int").alias("number"), F.lit("").alias("markdown"), F.concat(F.lit("no parser for ."), kind).alias("error")))
+
+
 def read_cached(files: DataFrame, cache: DataFrame | None, version: int, parse) -> tuple[DataFrame, DataFrame]:
     """(pages of all files, pages that the cache lacked): files whose (hash, version) the cache has are not parsed.
 
@@ -82,15 +100,40 @@ def needs_ocr(text_layer: Column, s: Settings = DEFAULT) -> Column:
     return F.length(F.trim(F.coalesce(text_layer, F.lit("")))) < s.ocr_min_chars
 
 
-def read_log(spark: SparkSession, path: str, month: str | None = None) -> DataFrame:
-    """Log rows; blank and broken lines are left out."""
-    rows = spark.read.schema(f"{LOG_SCHEMA}, month string, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
-    rows = rows.where("_broken is null and time is not null").drop("_broken")
-    return rows.where(F.col("month") == month) if month else rows
+def _at(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    rows.withColumn("month", F.date_format("time", "yyyy-MM")).write.mode("append").partitionBy("month").json(path)
+def read_log(spark: SparkSession, path: str, month: str | None = None) -> DataFrame:
+    """Log rows of batches that are committed, and of files that others have put there; blank and broken lines are left out."""
+    rows = spark.read.schema(f"{LOG_SCHEMA}, month string, _attempt string, _broken string").option("columnNameOfCorruptRecord", "_broken").json(path)
+    rows = rows.where("_broken is null and time is not null").drop("_broken")
+    rows = rows.where(F.col("month") == month) if month else rows
+    marks, fs = _at(spark, f"{path.rstrip('/')}/_batches")
+    other = rows.where("_attempt is null")
+    if fs.exists(marks):
+        other = other.unionByName(rows.join(spark.read.text(marks.toString()).select(F.col("value").alias("_attempt")), "_attempt", "left_semi"))
+    return other.drop("_attempt")
+
+
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Adds a batch of rows once. Rows carry the attempt that wrote them, and a marker under the batch's id, put in place by
+    a rename, says which attempt counts: one that was killed half-way leaves nothing that is read, and a batch that is
+    sent again adds nothing. Returns whether it was added."""
+    spark, attempt = rows.sparkSession, uuid.uuid4().hex
+    mark, fs = _at(spark, f"{path.rstrip('/')}/_batches/{batch or attempt}")
+    if fs.exists(mark):
+        return False
+    rows.withColumns({"month": F.date_format("time", "yyyy-MM"), "_attempt": F.lit(attempt)}).write.mode("append").partitionBy("month").json(path)
+    aside, _ = _at(spark, f"{path.rstrip('/')}/_batches/_{attempt}")
+    out = fs.create(aside, False)
+    out.write(bytearray(attempt.encode()))
+    out.close()
+    if fs.exists(mark) or not fs.rename(aside, mark):
+        fs.delete(aside, False)
+        return False
+    return True
 
 
 def save_run(results: DataFrame, path: str, run_id: str) -> None:
