@@ -82,7 +82,7 @@ def evaluate_retrieval(spark: SparkSession, path: str, questions_toml: str, runs
         part = hits(own, chunks, stored, s.roles[role], s)
         found = part if found is None else found.unionByName(part)
     n = found.groupBy("question_id").agg(F.count("*").alias("hits"))
-    lost = config.against_index(asked, chunks.select("source", "text")).groupBy("question_id").agg(F.collect_list("problem").alias("not_indexed"))
+    lost = config.against_index(asked, stored).groupBy("question_id").agg(F.collect_list("problem").alias("not_indexed"))
     leaked = evaluate.leaks(found, asked, roles).groupBy("question_id").agg(F.collect_list("leak").alias("leaks"))
     rows = asked.join(evaluate.source_rank(found, asked), "question_id").join(evaluate.missing_evidence(found, asked).select("question_id", "evidence_total", "missing"), "question_id")
     none = F.expr("cast(array() as array<string>)")

@@ -272,7 +272,7 @@ def _asked(index: Snapshot, questions: DataFrame, tokens) -> list[tuple]:
     return sorted((r["number"], r["df"], r["term"], r["idf"]) for r in rows.collect())
 
 
-def _of_words(table: DataFrame, words: list[str]) -> DataFrame:
+def of_words(table: DataFrame, words: list[str]) -> DataFrame:
     """The rows of these words: values in the scan, or a join with a bounded table of them."""
     if len(words) <= PUSHED:
         return table.where(F.col("term").isin(words))
@@ -352,7 +352,7 @@ def kth(x: np.ndarray, k: int) -> float:
 def _scored(index: Snapshot, asked: list[list], floor: np.ndarray, k: int, levels, superseded: bool, count: bool) -> DataFrame:
     """(number, shard, place, score) of every shard's best; with `count`, (number, shard, there, read)."""
     spark = index.spark
-    post = _of_words(index.table("postings"), sorted({t for own in asked for t, _ in own})).select("shard", "term", "docs", "weights", "most")
+    post = of_words(index.table("postings"), sorted({t for own in asked for t, _ in own})).select("shard", "term", "docs", "weights", "most")
     bits = index.bits.withColumn("own", F.col("shard") + 0).drop("shard")
     sent = spark.sparkContext.broadcast((asked, floor))
 
@@ -377,10 +377,11 @@ def _scored(index: Snapshot, asked: list[list], floor: np.ndarray, k: int, level
     return post.groupBy("shard").cogroup(bits.groupBy("own")).applyInArrow(run, shape)
 
 
-def _blocks(questions: DataFrame, rows: int) -> list[DataFrame]:
+def blocks_of(questions: DataFrame, rows: int, key: str = "question_id") -> list[DataFrame]:
+    """The frame in parts of about so many rows."""
     n = questions.count()
     parts = max(1, -(-n // rows))
-    return [questions if parts == 1 else questions.where(F.pmod(F.xxhash64("question_id"), F.lit(parts)) == b) for b in range(parts)]
+    return [questions if parts == 1 else questions.where(F.pmod(F.xxhash64(key), F.lit(parts)) == b) for b in range(parts)]
 
 
 def sparse_topk(questions: DataFrame, index: Snapshot, k: int = DEFAULT.prefetch, levels: tuple[str, ...] | None = None, superseded: bool = False, s: Settings = DEFAULT, block_rows: int = 20_000, count: bool = False) -> DataFrame:
@@ -391,7 +392,7 @@ def sparse_topk(questions: DataFrame, index: Snapshot, k: int = DEFAULT.prefetch
     of hits. count: (question_id, there, read) instead, the blocks of its words' postings and those that were needed."""
     ship(index.spark)
     found = None
-    for block in _blocks(questions, block_rows):
+    for block in blocks_of(questions, block_rows):
         own = block.select("question_id", "text").collect()
         ids = {i: r["question_id"] for i, r in enumerate(own)}
         numbered = index.spark.createDataFrame([(i, r["text"]) for i, r in enumerate(own)], "number long, text string")

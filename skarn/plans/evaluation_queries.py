@@ -9,9 +9,9 @@ from skarn.functions.citations import best_piece, citations, fact_keys
 from skarn.functions.text import contains_phrase, normalize
 from skarn.operators import answer
 from skarn.operators import evaluate as V
-from skarn.operators import logs
+from skarn.operators import logs, phrases
 from skarn.operators.catalog import labelled
-from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, tokens_sql
+from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, sparse_sql, spread, stored, tokens_sql
 from skarn.plans.search_queries import _sparse, overlap_hits
 from skarn.runtime import shared_dir, table, written
 from skarn.settings import DEFAULT
@@ -145,7 +145,24 @@ def evidence_in_index(spark, sf_dir: str) -> DataFrame:
     """Benchmark items as facts expected in any of the sources: those that no document holds, and a file that is missing."""
     named = F.array(*(F.lit(f"src{i}") for i in (*range(20), 77)))
     asked = questions(spark, sf_dir).select(F.col("question_id").cast("int"), F.lit(None).cast("string").alias("known_gap"), named.alias("sources"), F.array(F.array("text")).alias("evidence"))
-    return against_index(asked, spread(documents(spark, sf_dir).select("source", "text"))).select("question_id", F.sha2("problem", 256).alias("problem"), "blocking")
+    return against_index(asked, stored(spark, sf_dir)).select("question_id", F.sha2("problem", 256).alias("problem"), "blocking")
+
+
+def phrase_documents(spark, sf_dir: str) -> DataFrame:
+    """Of every benchmark item's first words, as phrases of one to five words with an open edge, and of the whole item: how
+    many documents hold them, and the first one."""
+    n = F.least(F.col("question_id") % 5 + 1, F.size(F.split("text", " ")))
+    asked = questions(spark, sf_dir).select("question_id", "text", F.array_join(F.slice(F.split("text", " "), 1, n.cast("int")), " ").alias("some"))
+    both = asked.select(F.col("question_id").alias("item_id"), F.posexplode(F.array("some", "text")).alias("kind", "phrase")).withColumn("phrase_id", F.col("item_id") * 2 + F.col("kind"))
+    found = phrases.holding(stored(spark, sf_dir), both.select("phrase_id", "phrase")).groupBy("phrase_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
+    return both.join(found, "phrase_id", "left").select("item_id", "kind", F.coalesce("docs", F.lit(0)).alias("docs"), "first_doc")
+
+
+def rerank_proximity(spark, sf_dir: str) -> DataFrame:
+    """All 20 candidates of every question with the shortest stretches that hold its words, scored by them."""
+    hits = phrases.proximity(stored(spark, sf_dir), questions(spark, sf_dir), _sparse(spark, sf_dir).select("question_id", "doc_id"))
+    score = phrases.proximity_score(*(F.col(c) for c in ("words", "held", "window", "in_order")))
+    return hits.select("question_id", "doc_id", "words", "held", "window", "in_order", F.round(score, 6).alias("score"))
 
 
 def answer_questions(spark, sf_dir: str) -> DataFrame:
@@ -167,7 +184,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         parse_citations, fact_counts, best_excerpt, eval_ranks, eval_retrieval, eval_threshold_study, quality_by_label, compare_runs, compare_settings,
-        log_summary, log_errors, log_gaps, log_last, stream_daily_outcomes, evidence_in_index, answer_questions, normalized_phrases,
+        log_summary, log_errors, log_gaps, log_last, stream_daily_outcomes, evidence_in_index, phrase_documents, rerank_proximity, answer_questions, normalized_phrases,
     )
 }
 
@@ -239,5 +256,21 @@ SELECT coalesce(o.key, n.key) AS key, o.value AS old_value, n.value AS new_value
 b AS (SELECT item_id, text, {_NORM.format("text")} AS p FROM benchmark), near AS (SELECT item_id, t, p FROM b JOIN d ON contains(t, p)),
 miss AS (SELECT item_id, text FROM b WHERE item_id NOT IN (SELECT item_id FROM near WHERE regexp_matches(t, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape(p))))
 SELECT CAST(item_id AS INT) AS question_id, sha256(problem) AS problem, true AS blocking FROM (SELECT item_id, 'src77 is not indexed' AS problem FROM benchmark UNION ALL SELECT item_id, 'no chunk holds ' || text FROM miss)""",
+    "phrase_documents": f"""WITH d AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents),
+b AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark), each AS (SELECT item_id, 0 AS kind, array_to_string(w[1:least(item_id % 5 + 1, len(w))], ' ') AS phrase FROM b UNION ALL SELECT item_id, 1, text FROM b),
+p AS (SELECT item_id, kind, {_NORM.format("phrase")} AS p FROM each), near AS (SELECT item_id, kind, doc_id FROM p JOIN d ON contains(t, p)
+  WHERE regexp_matches(t, CASE WHEN regexp_matches(p, '^\p{{Nd}}') THEN '(^|[^\p{{L}}\p{{N}}.,]|(^|[^\p{{Nd}}])[.,])' WHEN regexp_matches(p, '^[\p{{L}}\p{{N}}]') THEN '(^|[^\p{{L}}\p{{N}}])' ELSE '' END || regexp_escape(p)))
+SELECT item_id, CAST(kind AS INTEGER) AS kind, count(doc_id) AS docs, min(doc_id) AS first_doc FROM p LEFT JOIN near USING (item_id, kind) GROUP BY item_id, kind""",
+    "rerank_proximity": f"""WITH {_BM},
+q AS (SELECT item_id AS question_id, list_distinct(w) AS any_order, w FROM (SELECT item_id, regexp_extract_all({_NORM.format("text")}, '[\p{{L}}\p{{N}}]+') AS w FROM benchmark)),
+f AS (SELECT question_id, len(any_order) AS words, list_filter(w, lambda x, i: list_position(w, x) = i) AS sought FROM q),
+d AS (SELECT doc_id, regexp_extract_all({_NORM.format("text")}, '[\p{{L}}\p{{N}}]+') AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM sparse)),
+l AS (SELECT question_id, doc_id, words, list_filter(list_transform(sought, lambda x: list_filter(range(1, len(t) + 1), lambda i: t[i] = x)), lambda y: len(y) > 0) AS lists FROM sparse JOIN f USING (question_id) JOIN d USING (doc_id)),
+s AS (SELECT question_id, doc_id, any_value(words) AS words, any_value(len(lists)) AS held,
+  min(CASE WHEN list_bool_and(list_transform(lists, lambda y: list_max(y) >= s)) THEN list_max(list_transform(lists, lambda y: list_min(list_filter(y, lambda x: x >= s)))) - s + 1 END) AS "window",
+  min(CASE WHEN list_contains(lists[1], s) THEN list_reduce(lists[2:], lambda a, y: [list_min(list_filter(y, lambda x: x > a[1]))], [s])[1] - s + 1 END) AS in_order
+  FROM (SELECT *, unnest(flatten(lists)) AS s FROM l) GROUP BY question_id, doc_id)
+SELECT question_id, doc_id, CAST(words AS INTEGER) AS words, CAST(coalesce(held, 0) AS INTEGER) AS held, CAST(coalesce("window", 0) AS INTEGER) AS "window", CAST(coalesce(in_order, 0) AS INTEGER) AS in_order,
+  round(coalesce(CASE WHEN words > 0 THEN held / words * (0.6 + 0.3 * coalesce(held / "window", 0) + 0.1 * coalesce(held / in_order, 0)) END, 0), 6) AS score FROM (SELECT question_id, doc_id, l.words, s.held, "window", in_order FROM l LEFT JOIN s USING (question_id, doc_id))""",
     "normalized_phrases": f"SELECT item_id, {_NORM.format('text')} AS phrase FROM benchmark",
 }

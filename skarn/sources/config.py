@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.functions.text import contains_normalized, normalize
+from skarn.operators import phrases
+from skarn.operators.segments import Snapshot
 from skarn.settings import DEFAULT, Settings
 
 # The fields of a user and of a question.
@@ -81,15 +83,23 @@ def questions(spark: SparkSession, text: str, s: Settings = DEFAULT) -> DataFram
     return spark.createDataFrame(rows, QUESTION_SCHEMA)
 
 
-def against_index(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+def against_index(asked: DataFrame, chunks: DataFrame | Snapshot) -> DataFrame:
     """(question_id, problem, blocking): expected files that are not indexed, and evidence in none of their chunks.
 
-    Evidence that a known gap lacks is a finding and does not block a run."""
+    In a snapshot, phrases are looked up by the positions of their words; each different one once, in whatever files. Chunks
+    that are not indexed are searched one by one. Evidence that a known gap lacks is a finding and does not block a run."""
+    indexed = isinstance(chunks, Snapshot)
     wanted = asked.select("question_id", "known_gap", F.explode("sources").alias("source"))
-    gone = wanted.join(chunks.select("source").distinct(), "source", "left_anti").select("question_id", F.concat("source", F.lit(" is not indexed")).alias("problem"), F.lit(True).alias("blocking"))
+    gone = wanted.join((chunks.docs if indexed else chunks).select("source").distinct(), "source", "left_anti").select("question_id", F.concat("source", F.lit(" is not indexed")).alias("problem"), F.lit(True).alias("blocking"))
     facts = asked.select("question_id", "known_gap", "sources", F.posexplode("evidence").alias("fact", "phrases"))
-    near = facts.select("question_id", "fact", F.transform("phrases", normalize).alias("p"), F.explode("sources").alias("source")).join(chunks.select("source", normalize(F.col("text")).alias("t")), "source")
-    held = near.where(F.exists("p", lambda p: contains_normalized(F.col("t"), p))).select("question_id", "fact").distinct()
+    each = facts.select("question_id", "fact", "sources", F.explode("phrases").alias("phrase")).withColumn("phrase_id", F.xxhash64("phrase"))
+    if indexed:
+        found = phrases.holding(chunks, each.select("phrase_id", "phrase").distinct(), "source").select("phrase_id", "source").distinct()
+    else:
+        near = each.select("phrase_id", normalize(F.col("phrase")).alias("p"), F.explode("sources").alias("source")).distinct()
+        both = near.join(chunks.select("source", normalize(F.col("text")).alias("t")), "source")
+        found = both.where(contains_normalized(F.col("t"), F.col("p"))).select("phrase_id", "source").distinct()
+    held = each.select("question_id", "fact", "phrase_id", F.explode("sources").alias("source")).join(found, ["phrase_id", "source"]).select("question_id", "fact").distinct()
     lost = facts.join(held, ["question_id", "fact"], "left_anti").select("question_id", F.concat(F.lit("no chunk holds "), F.array_join("phrases", " / ")).alias("problem"), F.col("known_gap").isNull().alias("blocking"))
     return gone.unionByName(lost)
 
