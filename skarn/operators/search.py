@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skarn.functions.text import query_tokens, search_tokens
 from skarn.operators import segments
+from skarn.operators.vectors import Cells
+from skarn.operators.vectors import topk as nearest_topk
 from skarn.settings import DEFAULT, Settings
 
 #: Rows of a question or query-vector table that are broadcast at once; more go in blocks.
@@ -102,7 +104,7 @@ def search(
     index: DataFrame,
     levels: tuple[str, ...],
     mode: str = "hybrid",
-    vectors: DataFrame | None = None,
+    vectors: DataFrame | Cells | None = None,
     query_vectors: DataFrame | None = None,
     reranker=None,
     superseded: bool = False,
@@ -115,6 +117,8 @@ def search(
     stored: the snapshot that `segments.read` gives, whose bitmaps hold the labels; without it the texts are cut into words
     for this search alone.
 
+    vectors: stored cells with labels, or a frame (doc_id, embedding).
+
     index: (doc_id, text, access_level, status). A hybrid question without any search word is searched by its vector
     alone; a sparse one then finds nothing. Each leg gives `prefetch` rows at most."""
     if mode not in ("hybrid", "dense", "sparse"):
@@ -131,7 +135,10 @@ def search(
     if mode != "sparse":
         if vectors is None or query_vectors is None:
             raise ValueError(f"mode {mode} needs vectors")
-        legs.append(dense_topk(query_vectors, vectors.join(seen.select("doc_id"), "doc_id", "left_semi"), s.prefetch, "doc_id"))
+        if isinstance(vectors, Cells):
+            legs.append(nearest_topk(query_vectors, vectors, s.prefetch, levels, superseded).withColumnRenamed(vectors.key, "doc_id"))
+        else:
+            legs.append(dense_topk(query_vectors, vectors.join(seen.select("doc_id"), "doc_id", "left_semi"), s.prefetch, "doc_id"))
     limit = max(k, s.prefetch) if reranker else k
     hits = fused(legs, limit, s=s) if len(legs) > 1 else legs[0].where(F.col("rank") <= limit)
     hits = hits.join(seen.select("doc_id", "text", "access_level"), "doc_id").join(questions.select("question_id", F.col("text").alias("question")), "question_id")

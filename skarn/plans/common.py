@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators import segments
+from skarn.operators import embedding, segments, vectors
 from skarn.operators.catalog import labelled
 from skarn.runtime import goes_with_session, parallelism, shared_path, table
 from skarn.settings import DEFAULT
@@ -55,6 +55,34 @@ def stored(spark: SparkSession, sf_dir: str) -> segments.Snapshot:
     return segments.read(spark, _STORED[at])
 
 
+def stored_vectors(spark: SparkSession, sf_dir: str) -> vectors.Cells:
+    """The vectors in cells, with the labels of document i at vector i; written by the first search of a session."""
+    at = (spark.sparkContext.applicationId, f"{sf_dir}/vectors")
+    if at not in _STORED:
+        path = shared_path(spark, "vectors")
+        labels = labelled(documents(spark, sf_dir).select("doc_id", "source"), catalog(spark)).select(F.col("doc_id").alias("vec_id"), "access_level", "status")
+        vectors.write(table(spark, sf_dir, "embeddings").join(labels, "vec_id", "left"), path)
+        goes_with_session(spark, path)
+        _STORED[at] = path
+    return vectors.read(spark, _STORED[at])
+
+
+def embedder(spark: SparkSession, sf_dir: str) -> tuple[embedding.Embedder, vectors.Cells]:
+    """What is learned from `documents`, and their vectors in cells; made by the first search of a session."""
+    at = (spark.sparkContext.applicationId, f"{sf_dir}/embedder")
+    if at not in _LEARNED:
+        path = shared_path(spark, "embedder")
+        learned = embedding.learn(stored(spark, sf_dir), path)
+        vectors.write(learned.documents, f"{path}/cells", "doc_id")
+        goes_with_session(spark, path)
+        _LEARNED[at] = learned
+    learned = _LEARNED[at]
+    return learned, vectors.read(spark, f"{learned.path}/cells", "doc_id")
+
+
+_LEARNED: dict[tuple[str, str], embedding.Embedder] = {}
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All items of `benchmark` as questions."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")

@@ -259,12 +259,12 @@ SELECT CAST(item_id AS INT) AS question_id, sha256(problem) AS problem, true AS
     "phrase_documents": f"""WITH d AS (SELECT doc_id, {_NORM.format("text")} AS t FROM documents),
 b AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark), each AS (SELECT item_id, 0 AS kind, array_to_string(w[1:least(item_id % 5 + 1, len(w))], ' ') AS phrase FROM b UNION ALL SELECT item_id, 1, text FROM b),
 p AS (SELECT item_id, kind, {_NORM.format("phrase")} AS p FROM each), near AS (SELECT item_id, kind, doc_id FROM p JOIN d ON contains(t, p)
-  WHERE regexp_matches(t, CASE WHEN regexp_matches(p, '^\p{{Nd}}') THEN '(^|[^\p{{L}}\p{{N}}.,]|(^|[^\p{{Nd}}])[.,])' WHEN regexp_matches(p, '^[\p{{L}}\p{{N}}]') THEN '(^|[^\p{{L}}\p{{N}}])' ELSE '' END || regexp_escape(p)))
+  WHERE regexp_matches(t, CASE WHEN regexp_matches(p, '^\\p{{Nd}}') THEN '(^|[^\\p{{L}}\\p{{N}}.,]|(^|[^\\p{{Nd}}])[.,])' WHEN regexp_matches(p, '^[\\p{{L}}\\p{{N}}]') THEN '(^|[^\\p{{L}}\\p{{N}}])' ELSE '' END || regexp_escape(p)))
 SELECT item_id, CAST(kind AS INTEGER) AS kind, count(doc_id) AS docs, min(doc_id) AS first_doc FROM p LEFT JOIN near USING (item_id, kind) GROUP BY item_id, kind""",
     "rerank_proximity": f"""WITH {_BM},
-q AS (SELECT item_id AS question_id, list_distinct(w) AS any_order, w FROM (SELECT item_id, regexp_extract_all({_NORM.format("text")}, '[\p{{L}}\p{{N}}]+') AS w FROM benchmark)),
+q AS (SELECT item_id AS question_id, list_distinct(w) AS any_order, w FROM (SELECT item_id, regexp_extract_all({_NORM.format("text")}, '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark)),
 f AS (SELECT question_id, len(any_order) AS words, list_filter(w, lambda x, i: list_position(w, x) = i) AS sought FROM q),
-d AS (SELECT doc_id, regexp_extract_all({_NORM.format("text")}, '[\p{{L}}\p{{N}}]+') AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM sparse)),
+d AS (SELECT doc_id, regexp_extract_all({_NORM.format("text")}, '[\\p{{L}}\\p{{N}}]+') AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM sparse)),
 l AS (SELECT question_id, doc_id, words, list_filter(list_transform(sought, lambda x: list_filter(range(1, len(t) + 1), lambda i: t[i] = x)), lambda y: len(y) > 0) AS lists FROM sparse JOIN f USING (question_id) JOIN d USING (doc_id)),
 s AS (SELECT question_id, doc_id, any_value(words) AS words, any_value(len(lists)) AS held,
   min(CASE WHEN list_bool_and(list_transform(lists, lambda y: list_max(y) >= s)) THEN list_max(list_transform(lists, lambda y: list_min(list_filter(y, lambda x: x >= s)))) - s + 1 END) AS "window",

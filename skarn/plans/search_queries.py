@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from skarn.functions.text import query_tokens, search_tokens
 from skarn.operators import search as S
-from skarn.operators import segments
+from skarn.operators import segments, vectors
 from skarn.operators.catalog import labelled
-from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, labelled_documents, questions, roles, sparse_sql, spread, stored, tokens_sql
-from skarn.plugins import overlap_score
+from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, labelled_documents, questions, embedder, roles, sparse_sql, spread, stored, stored_vectors, tokens_sql
+from skarn.plugins import overlap_reranker, overlap_score
 from skarn.runtime import goes_with_session, shared_path, table
 from skarn.settings import DEFAULT
 
@@ -45,10 +45,6 @@ def _sparse(spark, sf_dir: str, levels: tuple[str, ...] | None = None, k: int =
     return segments.sparse_topk(questions(spark, sf_dir), stored(spark, sf_dir), k, levels)
 
 
-def _seen(spark, sf_dir: str, levels=("internal",)) -> DataFrame:
-    return S.visible(labelled(documents(spark, sf_dir).select("doc_id", "source"), catalog(spark)), levels)
-
-
 def bm25_topk(spark, sf_dir: str) -> DataFrame:
     """The 20 best current internal documents for every benchmark item as a question."""
     return _sparse(spark, sf_dir, ("internal",))
@@ -65,15 +61,32 @@ def _query_vectors(spark, sf_dir: str) -> DataFrame:
 
 def dense_topk(spark, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every hundredth one, by exact inner product."""
-    return S.dense_topk(_query_vectors(spark, sf_dir), table(spark, sf_dir, "embeddings"))
+    return vectors.topk(_query_vectors(spark, sf_dir), stored_vectors(spark, sf_dir))
+
+
+def dense_cells(spark, sf_dir: str) -> DataFrame:
+    """For the same search: how many cells and vectors there are, and how many its bounds left to read."""
+    return vectors.topk(_query_vectors(spark, sf_dir), stored_vectors(spark, sf_dir), count=True)
+
+
+def search_hybrid(spark, sf_dir: str) -> DataFrame:
+    """The whole search by words and by learned vectors: candidates that may be seen, fused, reranked, cut at five."""
+    learned, cells = embedder(spark, sf_dir)
+    docs, asked = labelled_documents(spark, sf_dir), questions(spark, sf_dir)
+    found = S.search(asked, docs, ("internal",), "hybrid", cells, learned.questions(asked), overlap_reranker, stored=stored(spark, sf_dir))
+    return found.select("question_id", "doc_id", "score", "rank", "old_rank")
+
+
+def learned_topk(spark, sf_dir: str) -> DataFrame:
+    """The 20 documents nearest to every question by learned vectors alone, that may be seen."""
+    learned, cells = embedder(spark, sf_dir)
+    return vectors.topk(learned.questions(questions(spark, sf_dir)), cells, levels=("internal",))
 
 
 def hybrid_rrf(spark, sf_dir: str) -> DataFrame:
     """Keyword and vector legs fused by rank; vector i stands for document i and for question i."""
-    seen = _seen(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = questions(spark, sf_dir).select("question_id").join(vectors.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id")
-    dense = S.dense_topk(asked, vectors.select(F.col("vec_id").alias("doc_id"), "embedding").join(seen.select("doc_id"), "doc_id", "left_semi"), key="doc_id")
+    asked = questions(spark, sf_dir).select("question_id").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector")), "question_id")
+    dense = vectors.topk(asked, stored_vectors(spark, sf_dir), levels=("internal",)).withColumnRenamed("vec_id", "doc_id")
     return S.fused([_sparse(spark, sf_dir, ("internal",)), dense], DEFAULT.prefetch)
 
 
@@ -111,7 +124,7 @@ _VISIBLE = "access_level = 'internal' AND status = 'active'"
 _CURRENT = "status = 'active'"
 _DENSE = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
-QUERIES = {f.__name__: f for f in (tokenize_documents, term_document_frequency, bm25_weights, index_documents, bm25_topk, topk_blocks, dense_topk, hybrid_rrf, search_access_filtered, rerank_threshold_topk, leak_check)}
+QUERIES = {f.__name__: f for f in (tokenize_documents, term_document_frequency, bm25_weights, index_documents, bm25_topk, topk_blocks, dense_topk, dense_cells, learned_topk, search_hybrid, hybrid_rrf, search_access_filtered, rerank_threshold_topk, leak_check)}
 
 ORACLES = {
     "tokenize_documents": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)",
