@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions.text import contains_normalized, normalize, phrase_words
 from skarn.operators.segments import Snapshot, blocks_of, of_words
-from skarn.runtime import ship
+from skarn.runtime import ship, written
 
 #: Words stand at most so many places apart in a text; a text's place and a position are one number.
 _PLACES = 32
@@ -114,10 +114,12 @@ def candidates(index: Snapshot, phrases: DataFrame, block_rows: int = 20_000) ->
 def holding(index: Snapshot, phrases: DataFrame, *columns: str) -> DataFrame:
     """(phrase_id, key, columns) of the texts that hold a phrase (phrase_id, phrase) at the start of a word. Texts are
     normalized where they may hold it, and nowhere else."""
-    found = candidates(index, phrases)
+    found = written(candidates(index, phrases), "may_hold")
     names = dict.fromkeys(("shard", "place", index.key, *columns))
-    both = found.join(index.docs.select(*names, F.col("text").alias("_held")), ["shard", "place"]).join(phrases.select("phrase_id", normalize(F.col("phrase")).alias("_sought")), "phrase_id")
-    return both.where(contains_normalized(normalize(F.coalesce("_held", F.lit(""))), F.col("_sought"))).select("phrase_id", index.key, *(c for c in columns if c != index.key))
+    texts = index.docs.select(*names, F.col("text").alias("_text")).join(found.select("shard", "place").distinct(), ["shard", "place"], "left_semi")
+    texts = texts.withColumn("_held", normalize(F.coalesce("_text", F.lit("")))).drop("_text")
+    both = found.join(texts, ["shard", "place"]).join(phrases.select("phrase_id", normalize(F.col("phrase")).alias("_sought")), "phrase_id")
+    return both.where(contains_normalized(F.col("_held"), F.col("_sought"))).select("phrase_id", index.key, *(c for c in columns if c != index.key))
 
 
 def proximity(index: Snapshot, questions: DataFrame, hits: DataFrame) -> DataFrame:

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from skarn.functions.citations import shortened, unverified
 from skarn.functions.text import page_label, rewritten, sigmoid, verdict, without_thoughts
-from skarn.operators import answer, chunk, index, logs, search, segments, tabular
+from skarn.operators import answer, chunk, delimited, index, logs, search, segments, tabular
 from skarn.operators import evaluate as V
 from skarn.operators.catalog import labelled
 from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, documents, questions, roles, sparse_sql, spread, stored, tokens_sql
 from skarn.plans.evaluation_queries import _HELD, _NORM, _log
 from skarn.plans.search_queries import _sparse
 from skarn.plugins import overlap_reranker, routed
-from skarn.runtime import goes_with_session, shared_path, table
+from skarn.runtime import goes_with_session, shared_path, table, written
 from skarn.settings import DEFAULT
 from skarn.sources import files as sources
 from skarn.sources.config import is_admin
@@ -81,6 +81,27 @@ def sheet_numbers(spark, sf_dir: str) -> DataFrame:
     return tabular.numbers_as_text(lines, "quantity", "pattern").select("l_orderkey", "l_linenumber", "shown")
 
 
+def delimited_splits(spark, sf_dir: str) -> DataFrame:
+    """Order lines written as delimited files with line breaks and quotes in their values, and read again in parts of 256 KB
+    wherever those fall: the rows of each first value, and a sum over all others."""
+    path = shared_path(spark, "delimited")
+    l = table(spark, sf_dir, "lineitem")
+    note = F.concat(F.lit('"'), F.when(F.col("l_linenumber") % 3 == 0, F.lit('say ""so"";\n')).otherwise(F.lit("")), F.col("l_linestatus"), F.when(F.col("l_linenumber") % 2 == 0, F.lit("\n;;\n\n")).otherwise(F.lit("")), F.lit('"'))
+    l.select(F.concat_ws(";", F.col("l_returnflag"), F.col("l_orderkey").cast("string"), note, F.col("l_linenumber").cast("string"))).write.text(path)
+    goes_with_session(spark, path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for n in names:
+        spark.conf.set(n, "262144")
+    try:
+        found = written(delimited.rows(spark, path), "rows")
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
+    v = lambda i: F.get("values", i)
+    return found.groupBy(v(0).alias("flag")).agg(F.count("*").alias("n"), F.sum(v(1).cast("long")).alias("orders"), F.sum(v(3).cast("long")).alias("lines"), F.sum(F.length(v(2))).alias("chars"), F.count_if(F.size("values") != 4).alias("broken"))
+
+
 def stored_log(spark, sf_dir: str) -> DataFrame:
     """Events appended to a question log by month and read back, a row for each month."""
     path = shared_path(spark, "log")
@@ -347,7 +368,7 @@ def chunk_checks(spark, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        file_support, parsed_documents, reading_warnings, ocr_pages, inspection_pages, table_files, sheet_numbers, stored_log, stored_runs, rescored_runs, synced_index, segmented_index, point_ids, search_reranked, missing_facts, answer_ranks,
+        file_support, parsed_documents, reading_warnings, ocr_pages, inspection_pages, table_files, delimited_splits, sheet_numbers, stored_log, stored_runs, rescored_runs, synced_index, segmented_index, point_ids, search_reranked, missing_facts, answer_ranks,
         source_ranks, answer_routes, leaked_hits, source_headers, generated_answers, standalone_questions, model_replies, judged_answers, phrase_checks, citation_checks, status_rules, confidential_checks, ingestion_checks,
         verify_facts, excerpts, logistic_scores, admin_counts, chunk_checks,
     )
@@ -375,6 +396,8 @@ ORACLES = {
   FROM (SELECT *, CASE c_custkey % 4 WHEN 0 THEN ';' WHEN 1 THEN ',' WHEN 2 THEN ' ' ELSE '|' END AS s FROM customer)""",
     "sheet_numbers": """SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) WHEN 1 THEN translate(format('{:,.2f}', l_quantity), ',.', '.,') || ' TL'
   WHEN 2 THEN '%' || translate(format('{:.1f}', l_quantity * 100), '.', ',') ELSE translate(format('{:,.0f}', l_quantity), ',', '.') || ' €' END AS shown FROM lineitem""",
+    "delimited_splits": """SELECT l_returnflag AS flag, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders, CAST(sum(l_linenumber) AS BIGINT) AS lines,
+  CAST(sum(length(trim(regexp_replace(CASE WHEN l_linenumber % 3 = 0 THEN 'say "so"; ' ELSE '' END || l_linestatus || CASE WHEN l_linenumber % 2 = 0 THEN ' ;; ' ELSE '' END, '\\s+', ' ', 'g')))) AS BIGINT) AS chars, 0 AS broken FROM lineitem GROUP BY 1""",
     "stored_log": """SELECT strftime(ts, '%Y-%m') AS month, count(*) AS rows, round(sum(value), 2) AS retrieval_ms, count(*) FILTER (WHERE event_type = 'error' OR event_id % 17 = 0) AS errors, count(DISTINCT user_id) AS users FROM events GROUP BY 1""",
     "stored_runs": """SELECT change, count(*) AS n FROM (SELECT CASE WHEN n > o THEN 'fixed' WHEN n < o THEN 'broken' ELSE 'same' END AS change FROM (
   SELECT CASE WHEN quality = 1 THEN 2 ELSE 0 END AS o, CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END AS n FROM labels)) GROUP BY change""",

@@ -162,7 +162,7 @@ def rerank_proximity(spark, sf_dir: str) -> DataFrame:
     """All 20 candidates of every question with the shortest stretches that hold its words, scored by them."""
     hits = phrases.proximity(stored(spark, sf_dir), questions(spark, sf_dir), _sparse(spark, sf_dir).select("question_id", "doc_id"))
     score = phrases.proximity_score(*(F.col(c) for c in ("words", "held", "window", "in_order")))
-    return hits.select("question_id", "doc_id", "words", "held", "window", "in_order", F.round(score, 6).alias("score"))
+    return hits.select("question_id", "doc_id", "words", "held", "window", "in_order", F.round(score + 1e-9, 6).alias("score"))
 
 
 def answer_questions(spark, sf_dir: str) -> DataFrame:
@@ -271,6 +271,6 @@ s AS (SELECT question_id, doc_id, any_value(words) AS words, any_value(len(lists
   min(CASE WHEN list_contains(lists[1], s) THEN list_reduce(lists[2:], lambda a, y: [list_min(list_filter(y, lambda x: x > a[1]))], [s])[1] - s + 1 END) AS in_order
   FROM (SELECT *, unnest(flatten(lists)) AS s FROM l) GROUP BY question_id, doc_id)
 SELECT question_id, doc_id, CAST(words AS INTEGER) AS words, CAST(coalesce(held, 0) AS INTEGER) AS held, CAST(coalesce("window", 0) AS INTEGER) AS "window", CAST(coalesce(in_order, 0) AS INTEGER) AS in_order,
-  round(coalesce(CASE WHEN words > 0 THEN held / words * (0.6 + 0.3 * coalesce(held / "window", 0) + 0.1 * coalesce(held / in_order, 0)) END, 0), 6) AS score FROM (SELECT question_id, doc_id, l.words, s.held, "window", in_order FROM l LEFT JOIN s USING (question_id, doc_id))""",
+  round(coalesce(CASE WHEN words > 0 THEN held / words * (0.6 + 0.3 * coalesce(held / "window", 0) + 0.1 * coalesce(held / in_order, 0)) END, 0) + 1e-9, 6) AS score FROM (SELECT question_id, doc_id, l.words, s.held, "window", in_order FROM l LEFT JOIN s USING (question_id, doc_id))""",
     "normalized_phrases": f"SELECT item_id, {_NORM.format('text')} AS phrase FROM benchmark",
 }
