@@ -241,6 +241,20 @@ def generated_answers(spark, sf_dir: str) -> DataFrame:
     return answer.generated(spread(documents(spark, sf_dir).select("doc_id", F.concat(F.lit("About "), F.col("source")).alias("prompt"), (F.col("doc_id") % 4 == 0).alias("local_only"))), _PROVIDERS, attempts=2, first_wait=0.0).select("doc_id", "reply", "provider", F.array_join("passed", "; ").alias("passed"), "error")
 
 
+def journaled_answers(spark, sf_dir: str) -> DataFrame:
+    """The same by way of a journal: each different prompt is asked once, by four lanes, and the second run asks no one."""
+    asked = spread(documents(spark, sf_dir).select("doc_id", F.concat(F.lit("About "), F.col("source")).alias("prompt"), (F.col("doc_id") % 4 == 0).alias("local_only")))
+    path = shared_path(spark, "journal")
+    answer.generated(asked, _PROVIDERS, attempts=2, first_wait=0.0, journal=path, lanes=4).write.format("noop").mode("overwrite").save()
+    goes_with_session(spark, path)
+    nobody = [answer.Provider(p.name, _gone, p.local) for p in _PROVIDERS]
+    return answer.generated(asked, nobody, attempts=1, journal=path, lanes=4).select("doc_id", "reply", "provider", F.array_join("passed", "; ").alias("passed"), "error")
+
+
+def _gone(messages: list[dict]) -> str:
+    raise ValueError("nobody should be asked")
+
+
 def _busy(messages: list[dict]) -> str:
     raise answer.Unavailable("busy")
 
@@ -369,7 +383,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_support, parsed_documents, reading_warnings, ocr_pages, inspection_pages, table_files, delimited_splits, sheet_numbers, stored_log, stored_runs, rescored_runs, synced_index, segmented_index, point_ids, search_reranked, missing_facts, answer_ranks,
-        source_ranks, answer_routes, leaked_hits, source_headers, generated_answers, standalone_questions, model_replies, judged_answers, phrase_checks, citation_checks, status_rules, confidential_checks, ingestion_checks,
+        source_ranks, answer_routes, leaked_hits, source_headers, generated_answers, journaled_answers, standalone_questions, model_replies, judged_answers, phrase_checks, citation_checks, status_rules, confidential_checks, ingestion_checks,
         verify_facts, excerpts, logistic_scores, admin_counts, chunk_checks,
     )
 }
@@ -428,6 +442,8 @@ h AS (SELECT *, concat_ws(', ', CASE WHEN pages <> '' THEN 'p. ' || pages END, C
 k AS (SELECT *, '[1] ' || source || CASE WHEN doc_id % 2 = 0 THEN ' > A > B' ELSE '' END || CASE WHEN details <> '' THEN ' (' || details || ')' ELSE '' END AS header FROM h)
 SELECT doc_id, header, pages, sha256('Sources:' || chr(10) || chr(10) || header || chr(10) || regexp_replace(text, '^\\[[^\\n]*\\]\\n', '') || chr(10) || chr(10) || 'Question: Why?') AS prompt FROM k""",
     "generated_answers": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lower('About ' || source) ELSE upper('About ' || source) END AS reply, CASE WHEN doc_id % 4 = 0 THEN 'house' ELSE 'cloud' END AS provider,
+  CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'busy: busy' END AS passed, CAST(NULL AS VARCHAR) AS error FROM documents""",
+    "journaled_answers": """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lower('About ' || source) ELSE upper('About ' || source) END AS reply, CASE WHEN doc_id % 4 = 0 THEN 'house' ELSE 'cloud' END AS provider,
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'busy: busy' END AS passed, CAST(NULL AS VARCHAR) AS error FROM documents""",
     "standalone_questions": """SELECT conv_id, turn, sha256(CASE WHEN first < turn THEN 'and then after that?' ELSE text END) AS searched_as FROM (
   SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations WHERE role = 'user' AND trim(text) <> '')""",
