@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.llm import words
 from skarn.runtime import dealt, ship, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -148,7 +149,7 @@ class Numbers:
         self.alpha = up(alpha)
         low = np.array([ord(x.lower()) if len(x.lower()) == 1 else 0 for x in chars], np.uint32)[back].tobytes().decode("utf-32-le", "replace") if self.n else ""
         # Where each cue begins.
-        self.cues = [[(np.array([m.start() for m in re.finditer(re.escape(w), low)], np.int64), len(w)) for w in words] for words in (_GOOD, _BAD)]
+        self.cues = [[(np.array([m.start() for m in re.finditer(re.escape(w), low)], np.int64), len(w)) for w in listed] for listed in (_GOOD, _BAD)]
         double = np.zeros(len(c), bool)
         signs = (c == 46) | (c == 58) | (c == 47) | (c == 45)
         double[:-1] = ((c[:-1] == 32) & (c[1:] == 32)) | (signs[:-1] & signs[1:])
@@ -208,9 +209,9 @@ class Numbers:
         signs = lambda x, of: np.isin(x, [ord(k) for k in of])
         # At the end of a text the padding is neither letter nor digit.
         cues = []
-        for words in self.cues:
+        for own in self.cues:
             v = np.zeros(n, np.int64)
-            for begin, length in words:
+            for begin, length in own:
                 i = np.searchsorted(begin, s - length, side="right")
                 v += (i > 0) & (begin[np.maximum(i - 1, 0)] >= np.maximum(s - 32, 0)) if len(begin) else 0
             cues.append(v)
@@ -561,6 +562,7 @@ def with_spans(docs: DataFrame, name: str = "pii") -> DataFrame:
                     # Only a changed text is carried, so that clean ones do not travel twice.
                     out.append({"base": said(base), "spans": said(base + added), **dict(zip(KINDS, n, strict=True)), "redacted": redacted(text, base + added) if base or added else None})
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, shape).cast(_small(shape))], names=[*names, "pii"])
+        words.trim()
 
     return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
 

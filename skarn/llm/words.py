@@ -124,6 +124,20 @@ def hashed_texts(texts: list[bytes], lower: bool = True, between: np.ndarray = S
     return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker that runs one operator after another else keeps the most that each of
+    them has used."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def batches(it, column: str = "text", most: int = 4 << 20):
     """Arrow batches as (batch, list of bytes), cut so that the texts of one are about `most` bytes; null is empty."""
     import pyarrow as pa
@@ -137,3 +151,4 @@ def batches(it, column: str = "text", most: int = 4 << 20):
         cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a), [x or b"" for x in text.slice(a, b - a).to_pylist()]
+    trim()
