@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators import answer, catalog, chunk, clean, evaluate, index, search, segments
+from skarn.operators import answer, catalog, chunk, clean, embedding, evaluate, index, logs, search, segments, vectors
 from skarn.plugins import overlap_reranker
 from skarn.settings import DEFAULT, Settings
 from skarn.runtime import ship, written
@@ -45,9 +45,26 @@ def index_folder(spark: SparkSession, folder: str, path: str, labels: DataFrame,
         return chunk.chunked(own.where("number is null").unionByName(clear), s=s)
 
     plan = index.sync(spark, known, labels, path, build, dry_run, s, unreadable=lost)
+    if not dry_run:
+        _learned(spark, path)
     return plan.join(warned, "source", "left").select("source", "action", F.concat_ws("; ", F.nullif("detail", F.lit("")), "warning").alias("detail"))
 
 
+def _learned(spark: SparkSession, path: str) -> None:
+    """Learns vectors of the newest version, unless that was done; they lie beside it under its number."""
+    found = segments.read(spark, path)
+    at = f"{path.rstrip('/')}/learned-{found.version}" if found else None
+    if found is None or not found.size or _stands(spark, f"{at}/cells/about"):
+        return
+    learned = embedding.learn(found, at)
+    vectors.write(learned.documents, f"{at}/cells", found.key)
+
+
+def _stands(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def indexed(spark: SparkSession, path: str) -> tuple[DataFrame, segments.Snapshot]:
     """(the chunks with the labels they were indexed under, the snapshot that is searched)."""
     found = segments.read(spark, path)
@@ -57,23 +74,40 @@ def indexed(spark: SparkSession, path: str) -> tuple[DataFrame, segments.Snapsho
 
 
 def hits(questions: DataFrame, chunks: DataFrame, stored: segments.Snapshot, levels: tuple[str, ...], s: Settings = DEFAULT) -> DataFrame:
-    """The best chunks of each question (question_id, text) that these levels may see, reranked, with their source's fields."""
-    found = search.search(questions, chunks, levels, mode="sparse", reranker=overlap_reranker, s=s, stored=stored)
+    """The best chunks of each question (question_id, text) that these levels may see, reranked, with their source's fields.
+
+    By words and by learned vectors where this version has them, else by words alone; a blank question is refused."""
+    at = f"{stored.path}/learned-{stored.version}"
+    hybrid = {}
+    if _stands(stored.spark, f"{at}/cells/about"):
+        learned = embedding.read(stored.spark, at, stored.key)
+        hybrid = {"vectors": vectors.read(stored.spark, f"{at}/cells", stored.key), "query_vectors": learned.questions(questions, s)}
+    found = search.search(questions, chunks, levels, mode="hybrid" if hybrid else "sparse", reranker=overlap_reranker, s=s, stored=stored, **hybrid)
     kept = found.select("question_id", "doc_id", "rank", "score")
     return kept.join(chunks, "doc_id")
 
 
-def ask(spark: SparkSession, path: str, question: str, role: str, s: Settings = DEFAULT) -> DataFrame:
-    """One question answered for a role, with its citations and what could not be verified."""
+def ask(spark: SparkSession, path: str, question: str, role: str, s: Settings = DEFAULT, log: str | None = None, user: str | None = None) -> DataFrame:
+    """One question answered for a role, with its citations and what could not be verified; kept in the log if there is one."""
     chunks, stored = indexed(spark, path)
     asked = spark.createDataFrame([(1, question)], "question_id int, text string")
     got = answer.with_sources(asked.withColumnRenamed("text", "question"), hits(asked, chunks, stored, s.roles[role], s))
-    return answer.answered(got, s=s)
+    said = answer.answered(got, s=s)
+    if log is not None:
+        said = written(said, "said")
+        files.append_log(logs.asked(said, role, user, s), log)
+    return said
 
 
-def evaluate_retrieval(spark: SparkSession, path: str, questions_toml: str, runs: str, s: Settings = DEFAULT) -> str:
-    """Searches every question of a set as its role, stores the results as a run and returns the run's id."""
+def evaluate_retrieval(spark: SparkSession, path: str, questions_toml: str, runs: str, s: Settings = DEFAULT, only: tuple[int, ...] = ()) -> str:
+    """Searches every question of a set (or `only` some, all of which it must have) as its role, stores the results as a run
+    and returns the run's id."""
     asked = config.questions(spark, questions_toml, s)
+    if only:
+        asked = asked.where(F.col("question_id").isin(*only))
+        unknown = sorted(set(only) - {r["question_id"] for r in asked.select("question_id").collect()})
+        if unknown:
+            raise config.ConfigError(f"no question has the id {', '.join(map(str, unknown))}")
     chunks, stored = indexed(spark, path)
     roles = spark.createDataFrame([(k, list(v)) for k, v in s.roles.items()], "role string, access_levels array<string>")
     found = None

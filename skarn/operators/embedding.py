@@ -169,6 +169,12 @@ class Embedder:
         return asked.select("question_id").join(whole.select("question_id", F.when(length > 0, F.transform("v", lambda x: x / length)).alias("vector")), "question_id", "left")
 
 
+def read(spark: SparkSession, path: str, key: str) -> Embedder:
+    """What `learn` has left at a path."""
+    values = spark.read.parquet(f"{path.rstrip('/')}/values").first()["values"]
+    return Embedder(spark, path.rstrip("/"), key, np.array(values))
+
+
 def learn(index: Snapshot, path: str, size: int = 64, passes: int = 2) -> Embedder:
     """Learns from a snapshot and stores vectors of words and documents at the path."""
     spark, parts = index.spark, parallelism(index.spark)
@@ -187,6 +193,7 @@ def learn(index: Snapshot, path: str, size: int = 64, passes: int = 2) -> Embedd
     # The larger part of each small vector is positive, so that signs do not depend on the library.
     vector *= np.where(np.abs(vector.max(0)) >= np.abs(vector.min(0)), 1.0, -1.0)
     _turned(words, vector * np.where(value > value.max() * 1e-9, 1 / np.where(value > 0, value, 1), 0)).join(index.rarity.select("term", "idf"), "term").write.parquet(f"{path.rstrip('/')}/words")
+    spark.createDataFrame([(value.tolist(),)], "values array<double>").write.parquet(f"{path.rstrip('/')}/values")
     known = spark.read.parquet(f"{path.rstrip('/')}/words").select("term", "v")
     length = F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, x: a + x * x))
     y = _times(post, known, size).select("shard", "place", F.when(length > 0, F.transform("y", lambda x: x / length)).alias("embedding")).where("embedding is not null")

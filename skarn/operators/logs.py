@@ -15,6 +15,19 @@ SCHEMA = (
 )
 
 
+def asked(said: DataFrame, role: str, user: str | None, s: Settings = DEFAULT) -> DataFrame:
+    """Log rows of answered questions (question, sources, answer, citations, unverified)."""
+    empty = said.sparkSession.createDataFrame([], SCHEMA)
+    confidential = F.exists("sources", lambda x: x["access_level"].isin(*s.local_only))
+    rows = said.select(
+        F.current_timestamp().cast("timestamp_ntz").alias("time"), F.lit(user).cast("string").alias("user"), F.lit(role).alias("role"), "question", F.col("question").alias("searched_as"),
+        F.transform("sources", lambda x: F.struct(x["source"].alias("source"), x["heading_path"].alias("heading"), F.lit(None).cast("double").alias("score"), x["access_level"].alias("access_level"))).alias("sources"),
+        F.transform("citations.numbers", lambda n: n.cast("int")).alias("cited"), F.transform("citations.invalid", lambda n: n.cast("int")).alias("invalid_citations"), "citations.not_found", F.col("answer").isNotNull().alias("llm_asked"),
+        confidential.alias("confidential"), F.transform("unverified", lambda u: u["fact"]).alias("unverified"),
+    )
+    return empty.unionByName(rows, allowMissingColumns=True)
+
+
 def outcome() -> Column:
     return F.when(F.col("error").isNotNull(), "error").when(~F.coalesce("llm_asked", F.lit(False)), "nothing found").when(F.coalesce("not_found", F.lit(False)), "not found").otherwise("answered")
 
