@@ -109,12 +109,12 @@ def stretches(same: np.ndarray, least: int, identity: float) -> list[tuple[int,
 HITS, DIAGONALS = 1 << 21, 1 << 24
 
 
-def verified(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray, cfg: SeedConfig) -> int:
+def verified(doc: np.ndarray, item: np.ndarray, shifts: np.ndarray | list[int], cfg: SeedConfig) -> int:
     """Tokens of the item that lie in verified stretches on any of the diagonals (document place - item place).
 
     Diagonals with the same equal places are looked at once, and one that could add nothing to what is covered is not, so
     a text of one repeated phrase takes as many steps as it has different diagonals."""
-    n, hit = len(item), np.zeros(len(item), bool)
+    n, hit, shifts = len(item), np.zeros(len(item), bool), np.asarray(shifts, np.int64)
     least = math.ceil(round(cfg.identity * min(cfg.stretch, n), 6))
     weight = words.mix(np.arange(1, n + 1, dtype=np.uint64))
     # Places outside the document equal no token; at its ends a diagonal is shorter.
