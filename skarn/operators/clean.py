@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.functions.html import main_text
 from skarn.functions.text import is_line_candidate, is_page_number, line_key
-from skarn.runtime import ship
 from skarn.settings import DEFAULT, Settings
 
 
@@ -43,71 +39,6 @@ def without_repeated(pages: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return both.select("source", "number", F.trim(F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")).alias("markdown"), "removed")
 
 
-class _Main(HTMLParser):
-    """Collects text by the outermost wanted element, without noise elements."""
-
-    _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-    _BREAK = frozenset("p div section article main li ul ol table tr h1 h2 h3 h4 h5 h6 header blockquote pre br".split())
-
-    def __init__(self, noise: tuple[str, ...], attributes: str):
-        super().__init__(convert_charrefs=True)
-        self.noise, self.attributes = frozenset(noise), re.compile(attributes, re.I)
-        self.stack: list[tuple[str, bool, str | None]] = []
-        self.found: dict[str, list[str]] = {"main": [], "article": [], "body": [], "": []}
-        self.closed: set[str] = set()
-
-    def handle_starttag(self, tag, attrs):
-        named = dict(attrs)
-        noisy = tag in self.noise or any(self.attributes.search(named.get(k) or "") for k in ("class", "id"))
-        self._say("\n" if tag in self._BREAK else "")
-        if tag not in self._VOID:
-            root = tag if tag in self.found and tag not in self.closed and all(r != tag for _, _, r in self.stack) else None
-            self.stack.append((tag, noisy, root))
-
-    def handle_endtag(self, tag):
-        if any(t == tag for t, _, _ in self.stack):
-            while self.stack:
-                t, _, root = self.stack.pop()
-                if root:
-                    self.closed.add(root)
-                if t == tag:
-                    break
-        self._say("\n" if tag in self._BREAK else "")
-
-    def handle_data(self, data):
-        self._say(data)
-
-    def _say(self, data: str):
-        if not data or any(noisy for _, noisy, _ in self.stack):
-            return
-        self.found[""].append(data)
-        for _, _, root in self.stack:
-            if root:
-                self.found[root].append(data)
-
-    def text(self) -> str:
-        for k in ("main", "article", "body", ""):
-            if k in self.closed or any(root == k for _, _, root in self.stack) or not k:
-                lines = (" ".join(x.split()) for x in "".join(self.found[k]).split("\n"))
-                return "\n".join(x for x in lines if x)
-        return ""
-
-
-def main_text(html: str | None, s: Settings = DEFAULT) -> str:
-    """The text of the first main, else article, else body element, else of everything, without noise elements."""
-    if not html:
-        return ""
-    p = _Main(s.noise_tags, s.noise_attributes)
-    p.feed(html)
-    p.close()
-    return p.text()
-
-
 def with_main_text(pages: DataFrame, html: str = "html", name: str = "text", s: Settings = DEFAULT) -> DataFrame:
-    ship(pages.sparkSession)
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda h: main_text(h, s))
-
-    return pages.withColumn(name, run(F.col(html)))
+    """The pages with the main text of each (`functions.html.main_text`)."""
+    return pages.withColumn(name, main_text(F.col(html), s))

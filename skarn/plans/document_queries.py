@@ -181,6 +181,24 @@ walk AS (SELECT doc_id, pos, words, 0 AS part, words + 1 AS used FROM items WHER
 chunks AS (SELECT doc_id, part, count(*) AS lines, CAST(sum(words) AS BIGINT) AS words FROM walk GROUP BY doc_id, part)"""
 _WORDS = "unnest(regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+'))"
 
+#: Pieces of a page, and a walk over its tags with the elements that are open, the root and what hides the text.
+_MAIN_TEXT = r"""WITH RECURSIVE pieces AS (SELECT page_id, unnest(t) AS piece, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT page_id,
+  regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|<[!?][^>]*>|<script[\s>].*?(?:</script\s*>|\z)|<style[\s>].*?(?:</style\s*>|\z)|</?[a-z](?:[^''">]|"[^"]*"|''[^'']*'')*>|[^<]+|<') AS t FROM pages)),
+named AS (SELECT *, lower(regexp_extract(piece, '(?i)^</?([a-z][^\s/>]*)', 1)) AS name, piece LIKE '</%' AS ends FROM pieces),
+tags AS (SELECT page_id, pos, name, ends, NOT ends AND (name IN ('nav', 'footer', 'aside', 'noscript', 'form') OR regexp_matches(piece, '(?is)\s(class|id)\s*=\s*("[^"]*|''[^'']*|[^\s>]*)(cookie|consent|banner|breadcrumb|navbar|sidebar)')) AS noisy,
+  row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM named
+  WHERE name NOT IN ('', 'script', 'style', 'area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr') AND piece NOT LIKE '%/>'),
+roots AS (SELECT page_id, CASE WHEN bool_or(name = 'main') THEN 'main' WHEN bool_or(name = 'article') THEN 'article' WHEN bool_or(name = 'body') THEN 'body' END AS root FROM tags WHERE NOT ends GROUP BY page_id),
+walk AS (SELECT page_id, 0::BIGINT AS n, -1::BIGINT AS pos, CAST([] AS VARCHAR[]) AS open, NULL::BIGINT AS root_depth, false AS left_root, NULL::BIGINT AS hidden, root FROM (SELECT DISTINCT page_id FROM pages) LEFT JOIN roots USING (page_id)
+  UNION ALL SELECT page_id, n, pos, now, CASE WHEN opens THEN len(was) ELSE root_depth END, left_root OR (ends AND coalesce(root_depth >= len(now), false)),
+    CASE WHEN ends AND hidden >= len(now) THEN NULL WHEN hidden IS NULL AND noisy AND (root IS NULL OR root_depth IS NOT NULL) THEN len(was) ELSE hidden END, root
+  FROM (SELECT w.page_id, t.n, t.pos, t.ends, t.noisy, w.open AS was, w.root_depth, w.left_root, w.hidden, w.root, NOT t.ends AND t.name = w.root AND w.root_depth IS NULL AS opens,
+    CASE WHEN NOT t.ends THEN list_append(w.open, t.name) WHEN list_contains(w.open, t.name) THEN w.open[1:len(w.open) - list_position(list_reverse(w.open), t.name)] ELSE w.open END AS now
+    FROM walk w JOIN tags t ON t.page_id = w.page_id AND t.n = w.n + 1)),
+seen AS (SELECT p.page_id, p.pos, p.piece, p.name, (w.root IS NULL OR (w.root_depth IS NOT NULL AND NOT w.left_root)) AND w.hidden IS NULL AS shown FROM named p ASOF JOIN walk w ON p.page_id = w.page_id AND p.pos >= w.pos),
+said AS (SELECT page_id, string_agg(CASE WHEN name IN ('p', 'div', 'section', 'article', 'main', 'li', 'ul', 'ol', 'table', 'tr', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'header', 'blockquote', 'pre', 'br') THEN CASE WHEN shown OR before THEN chr(10) ELSE '' END WHEN NOT shown OR (piece LIKE '<_%') THEN ''
+  ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(piece, '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') END, '' ORDER BY pos) AS text FROM (SELECT *, lag(shown, 1, false) OVER (PARTITION BY page_id ORDER BY pos) AS before FROM seen) GROUP BY page_id)
+SELECT page_id, coalesce(regexp_replace(regexp_replace(regexp_replace(text, '[\t\x0B\f\r \x1c-\x1f\p{Z}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g'), '') AS text FROM (SELECT DISTINCT page_id FROM pages) LEFT JOIN said USING (page_id)"""
 ORACLES = {
     "catalog_labels": f"WITH {LABELS_SQL} SELECT doc_id, source, access_level, status, replaced_by, catalogued FROM labelled",
     "catalog_violations": """WITH r AS (SELECT CAST(doc_id AS INT) AS entry, CASE WHEN doc_id % 17 = 0 THEN '' WHEN doc_id % 10 = 1 THEN 'f' || (doc_id - 1) ELSE 'f' || doc_id END AS file, doc_id AS n,
@@ -199,6 +217,7 @@ SELECT order_key, page_start, page_end, EXISTS (SELECT 1 FROM lineitem WHERE l_o
   CASE WHEN strftime(o_orderdate, '%H:%M:%S') = '00:00:00' THEN strftime(o_orderdate, '%d.%m.%Y') ELSE strftime(o_orderdate, '%d.%m.%Y %H:%M') END || ' | Column 4: ' || trim(o_orderpriority) AS record FROM orders""",
     "history_last3": """SELECT conv_id, turn, coalesce(array_to_string(h, ' / '), '') AS history, coalesce(len(h), 0) AS n_history FROM (
   SELECT conv_id, turn, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS h FROM conversations WHERE role = 'user' AND trim(text) <> '')""",
+    "html_main_text": _MAIN_TEXT,
     "greedy_chunks": f"WITH RECURSIVE {_GREEDY} SELECT doc_id, part, lines, words FROM chunks",
     "chunk_size_stats": f"WITH RECURSIVE {_GREEDY} SELECT source, count(*) AS chunks, min(words) AS least, median(words) AS median, max(words) AS most FROM chunks JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source), ())",
     "fingerprints": f"WITH {_PRINTS} SELECT source, fingerprint, catalogued FROM prints",

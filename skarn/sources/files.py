@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.operators.clean import main_text
+from skarn.functions.html import main_text
 from skarn.operators.logs import SCHEMA as LOG_SCHEMA
 from skarn.operators.tabular import TabularError, cells_of_files, decoded, grid_markdown
 from skarn.runtime import ship, written
@@ -47,14 +46,14 @@ def read_text_pages(files: DataFrame, s: Settings = DEFAULT) -> DataFrame:
             rows = []
             for source, content in zip(pdf["source"], pdf["content"], strict=True):
                 try:
-                    text = decoded(bytes(content))
-                    text = main_text(text, s) if re.search(r"\.html?$", source, re.I) else text
-                    rows.append((source, None, text, None))
+                    rows.append((source, None, decoded(bytes(content)), None))
                 except TabularError as e:
                     rows.append((source, None, "", str(e)))
             yield pd.DataFrame(rows, columns=["source", "number", "markdown", "error"]).astype({"number": "Int32"})
 
-    return files.select("source", "content").mapInPandas(run, "source string, number int, markdown string, error string")
+    read = files.select("source", "content").mapInPandas(run, "source string, number int, markdown string, error string")
+    web = suffix(F.col("source")).isin("html", "htm")
+    return read.withColumn("markdown", F.when(web, main_text(F.when(web, F.col("markdown")), s)).otherwise(F.col("markdown")))
 
 
 def read_pages(files: DataFrame, s: Settings = DEFAULT, parsers: dict | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from skarn.functions.html import main_text
 from skarn.operators import catalog, chunk, clean, evaluate, index, logs, search, tabular
 from skarn.plugins import HashEmbedder, count_words, embedded, extractive_generator, overlap_reranker, routed
 from skarn.settings import DEFAULT
@@ -119,8 +120,8 @@ def test_repeated_lines(spark):
         ("<div><p>unclosed <aside>n", "unclosed"),
     ],
 )
-def test_main_text(html, text):
-    assert clean.main_text(html) == text
+def test_main_text(spark, html, text):
+    assert spark.createDataFrame([(html,)], "html string").select(main_text(F.col("html"))).first()[0] == text
 
 
 @pytest.mark.parametrize("x, pattern, said", [(1234.5, "#,##0.00", "1.234,50"), (0.15, "0%", "%15"), (-50000, '#,##0 "TL"', "-50.000 TL"), (0.085, "0.0%", "%8,5"), (2026, "General", "2026"), (1.5, None, "1,5"), (3, "[$₺-41F]0;-0", "3 ₺")])
