@@ -76,10 +76,19 @@ def missing_files(catalog: DataFrame, files: DataFrame) -> DataFrame:
 def with_ocr(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """Adds whether a chunk's page range holds a page read by OCR; no range, no page.
 
-    Pages are turned into one sorted array for each source, so the range test is no range join."""
-    read = pages.where("ocr and number is not null").groupBy("source").agg(F.collect_set("number").alias("ocr_pages"))
-    inside = F.exists(F.coalesce("ocr_pages", F.expr("cast(array() as array<int>)")), lambda p: (p >= F.col("page_start")) & (p <= F.col("page_end")))
-    return chunks.join(read, "source", "left").withColumn("ocr", F.coalesce(inside, F.lit(False))).drop("ocr_pages")
+    Pages are bits of a number for each 64 of a source, and so are the pages of a range: the two meet by equal blocks, so
+    that no source comes together in one row and no range is compared with pages outside its blocks."""
+    block = lambda c: F.floor(c / 64).cast("long")
+    bit = lambda c: F.pmod(c, F.lit(64)).cast("int")
+    all_, number = F.lit(-1).cast("long"), F.col("number")
+    read = pages.where("ocr and number is not null").groupBy("source", block(number).alias("block")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(number))).alias("read"))
+    first, last = F.col("page_start"), F.col("page_end")
+    ranges = chunks.where(first <= last).select("source", first, last).distinct().withColumn("block", F.explode(F.sequence(block(first), block(last))))
+    above = F.when(F.col("block") == block(first), F.call_function("shiftleft", all_, bit(first))).otherwise(all_)
+    below = F.when(F.col("block") == block(last), F.call_function("shiftrightunsigned", all_, 63 - bit(last))).otherwise(all_)
+    mark = "ocr" + "_" * max(map(len, chunks.columns))  # A name that no column has.
+    found = ranges.join(read, ["source", "block"]).where(F.col("read").bitwiseAND(above).bitwiseAND(below) != 0).select("source", "page_start", "page_end", F.lit(True).alias(mark)).distinct()
+    return chunks.join(found, ["source", "page_start", "page_end"], "left").select(*(chunks.columns), F.coalesce(mark, F.lit(False)).alias("ocr"))
 
 
 def entry_text(file: str, access_level: str, status: str = "active", effective_date: datetime.date | None = None, replaced_by: str | None = None) -> str:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skarn.plans import document_queries, engine_queries, evaluation_queries, search_queries
+from skarn.plans import chunk_queries, document_queries, engine_queries, evaluation_queries, search_queries
 
-_PARTS = (search_queries, document_queries, evaluation_queries, engine_queries)
+_PARTS = (search_queries, document_queries, chunk_queries, evaluation_queries, engine_queries)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 
 #: Columns that Spark gives as 32-bit integers where DuckDB counts in 64 bits.

@@ -98,12 +98,6 @@ def chunk_size_stats(spark, sf_dir: str) -> DataFrame:
     return sizes.groupingSets([["source"], []], "source").agg(F.count("*").alias("chunks"), F.min("words").alias("least"), F.median("words").alias("median"), F.max("words").alias("most"))
 
 
-def chunk_documents(spark, sf_dir: str) -> DataFrame:
-    """Structured chunks of every document, each a file of one page."""
-    pages = spread(documents(spark, sf_dir)).select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("source"), F.lit(None).cast("int").alias("number"), F.col("text").alias("markdown"))
-    return chunk.chunked(pages)
-
-
 def _files(spark, sf_dir: str) -> DataFrame:
     """Each source as a file. Its hash is a sum over its texts, so no task ever holds a source, and their order is none."""
     digest = F.conv(F.substring(F.sha2(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("text")), 256), 1, 12), 16, 10).cast("decimal(38,0)")
@@ -153,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_labels, catalog_violations, missing_catalog_files, ocr_range_flag, repeated_lines, clean_repeated_lines, html_main_text, records_from_rows, history_last3, greedy_chunks,
-        chunk_size_stats, chunk_documents, fingerprints, sync_plan, sync_actions, duplicate_keys, lost_words, line_profile,
+        chunk_size_stats, fingerprints, sync_plan, sync_actions, duplicate_keys, lost_words, line_profile,
     )
 }
 

@@ -98,6 +98,18 @@ def test_ocr_ranges(spark):
     assert sorted((r.source, r.page_start or 0, r.ocr) for r in catalog.with_ocr(chunks, pages).collect()) == [("a", 0, False), ("a", 1, True), ("a", 3, False), ("b", 1, False)]
 
 
+def test_ocr_pages_of_one_long_source(spark):
+    import random
+
+    r = random.Random(3)
+    pages = [("long", n, r.random() < 0.02) for n in range(-5, 3_000)] + [("long", None, True), (None, 1, True), ("none", 64, None)]
+    ranges = [("long", a, a + r.choice([0, 1, 5, 63, 64, 200])) for a in (r.randint(-4, 3_100) for _ in range(2_000))] + [("long", 5, 4), ("long", None, 3), ("long", 3, None), (None, 1, 1), ("none", 1, 99), ("other", 1, 1)]
+    read = {n for s, n, o in pages if s == "long" and o and n is not None}
+    chunks = spark.createDataFrame([(*x, i) for i, x in enumerate(ranges)], "source string, page_start int, page_end int, block int")
+    got = {x.block: x.ocr for x in catalog.with_ocr(chunks, spark.createDataFrame(pages, "source string, number int, ocr boolean")).collect()}
+    assert got == {i: s == "long" and None not in (a, b) and any(n in read for n in range(a, b + 1)) for i, (s, a, b) in enumerate(ranges)}
+
+
 # --- cleaning and tables
 
 
