@@ -8,8 +8,9 @@ All of it is learned from all training documents, whole. Classes come from how o
 (summed over the corpus in buckets), the second factor and the output layer's start from how often each subword follows
 each class: these are counts over every place of every text. For the attention weights every task starts from the same
 ones and takes Adam steps over windows of each of its documents, and the tasks' weights are averaged by their numbers of
-windows. One window in `every` of a document takes part, spread evenly over the whole text from a place that its content
-decides, and one of each document at least, so the steps grow with the corpus and behave alike at every size.
+windows. Every window of every training document takes part, so the steps grow with the corpus and behave alike at
+every size. (A caller may set `every`: then one window in so many of a document does, spread evenly over the whole text from
+a place that its content decides, and one of each document at least.)
 
 The base adds, over the words of a text and one end, the logarithms of add-one estimates from word counts over all
 training documents. Words are told apart by 64-bit hashes. Frequent words, at most `head` of them, are looked up where
@@ -50,7 +51,7 @@ class LMConfig:
     neighbours: int = 24
     #: Passes over all training documents, and of which windows of each one is learned from; 1 takes all of them.
     passes: int = 1
-    every: int = 8
+    every: int = 1
     #: Windows of a gradient step, and its rate.
     batch: int = 256
     rate: float = 8e-3
@@ -69,14 +70,20 @@ _MOST = np.float32(40)
 
 def _by_slot(slot: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     """The sum of the rows of x for each slot."""
-    order = np.argsort(slot, kind="stable")
-    ranked = slot[order]
+    # Numbers of two bytes are sorted by counting.
+    order = np.argsort(slot.astype(np.uint16) if n <= 1 << 16 else slot, kind="stable")
+    ranked = slot.take(order)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     out = np.zeros((n, x.shape[1]), np.float32)
-    out[ranked[first]] = np.add.reduceat(x[order], first, axis=0)
+    out[ranked[first]] = np.add.reduceat(x.take(order, 0), first, axis=0)
     return out
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, by a product: numpy's own sum over a short axis is several times slower."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(*x.shape[:-1], 1)
+
+
 class AttentionLM:
     """Weights and tables of the model."""
 
@@ -136,21 +143,21 @@ class AttentionLM:
         """Attention weights and outputs of blocks, given the blocks before them (masked where a text begins)."""
         q, k, v, _ = self.tables
         m = self.cfg.block
-        pair = self.slot[np.concatenate([before, inputs], 1)]
-        s = np.matmul(q[pair[:, m:]], k[pair].transpose(0, 2, 1))
+        pair = self.slot.take(np.concatenate([before, inputs], 1))
+        s = np.matmul(q.take(pair[:, m:], 0), k.take(pair, 0).transpose(0, 2, 1))
         s += self.bias
         s[begins, :, :m] = -1e4
         # Part of the model: no score counts for more than this, so no power overflows.
         np.minimum(s, _MOST, out=s)
         np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        return pair, s, np.matmul(s, v[pair])
+        s /= _sums(s)
+        return pair, s, np.matmul(s, v.take(pair, 0))
 
     def logits(self, x: np.ndarray, pair: np.ndarray, out: np.ndarray) -> np.ndarray:
         """Scores of the next class at each place."""
         logit = (out.reshape(-1, self.cfg.width) @ self.p["o"]).reshape(*x.shape, -1)
-        logit += self.tables[3][pair[:, self.cfg.block :]]
-        logit += self.p["b"][self.class_of[x]]
+        logit += self.tables[3].take(pair[:, self.cfg.block :], 0)
+        logit += self.p["b"].take(self.class_of.take(x), 0)
         return np.clip(logit, -_MOST, _MOST, out=logit)
 
     def score(self, texts: list[np.ndarray], most: int = 256) -> np.ndarray:
@@ -166,9 +173,10 @@ class AttentionLM:
             logit = self.logits(x, pair, out)
             there = y >= 0
             safe = np.where(there, y, 0)
-            hit = np.take_along_axis(logit, self.class_of[safe][..., None], 2)[..., 0]
+            hit = logit.reshape(-1).take(np.arange(0, logit.size, self.cfg.classes) + self.class_of.take(safe).reshape(-1)).reshape(y.shape)
             np.exp(logit, out=logit)
-            each = (hit - np.log(logit.sum(2))) * np.float32(0.4342944819) + self.within[self.class_of[x], safe]
+            within = self.within.reshape(-1).take(self.class_of.take(x) * self.cfg.vocabulary + safe)
+            each = (hit - np.log(_sums(logit)[..., 0])) * np.float32(0.4342944819) + within
             total[a : a + most] = np.where(there, each, 0).sum(1, dtype=np.float64)
         return np.add.reduceat(total, first) if len(texts) else np.zeros(0)
 
@@ -180,22 +188,23 @@ class AttentionLM:
         cur = pair[:, m:]
         dl = self.logits(x, pair, out)
         np.exp(dl, out=dl)
-        dl /= dl.sum(2, keepdims=True)
         there = y >= 0
-        i, j = np.nonzero(there)
-        dl[i, j, self.class_of[y[i, j]]] -= 1
-        dl *= (there / np.float32(max(1, there.sum())))[..., None].astype(np.float32)
-        q, k, v, _ = (t[s] for t, s in zip(self.tables, (cur, pair, pair, cur[:0]), strict=True))
-        d_out = dl @ p["o"].T
-        d_att = np.matmul(d_out, v.transpose(0, 2, 1))
-        ds = att * (d_att - (att * d_att).sum(2, keepdims=True))
+        each = there / np.float32(max(1, there.sum()))
+        dl *= (each[..., None] / _sums(dl)).astype(np.float32)
+        dl.reshape(-1, cfg.classes)[np.arange(y.size), self.class_of.take(np.where(there, y, 0)).reshape(-1)] -= each.reshape(-1).astype(np.float32)
+        q, k, v = (t.take(s, 0) for t, s in zip(self.tables[:3], (cur, pair, pair), strict=True))
+        d_out = (flat(dl) @ p["o"].T).reshape(out.shape)
+        ds = np.matmul(d_out, v.transpose(0, 2, 1))
+        # The mean of these under the attention is the product of both outputs.
+        ds -= _sums(d_out * out)
+        ds *= att
         dq, dk, dv = np.matmul(ds, k) * np.float32(cfg.width**-0.5), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(att.transpose(0, 2, 1), d_out)
         n, d = len(p["E"]), cfg.width
-        by_cur = _by_slot(cur.reshape(-1), np.concatenate([flat(dq), flat(dl @ p["u"].T)], 1), n)
+        by_cur = _by_slot(cur.reshape(-1), np.concatenate([flat(dq), flat(dl) @ p["u"].T], 1), n)
         by_pair = _by_slot(pair.reshape(-1), np.concatenate([flat(dk), flat(dv)], 1), n)
-        grad = {"o": flat(out).T @ flat(dl), "u": flat(p["E"][cur]).T @ flat(dl), "q": p["E"].T @ by_cur[:, :d], "k": p["E"].T @ by_pair[:, :d], "v": p["E"].T @ by_pair[:, d:]}
+        grad = {"o": flat(out).T @ flat(dl), "u": flat(p["E"].take(cur, 0)).T @ flat(dl), "q": p["E"].T @ by_cur[:, :d], "k": p["E"].T @ by_pair[:, :d], "v": p["E"].T @ by_pair[:, d:]}
         grad["E"] = by_cur[:, :d] @ p["q"].T + by_cur[:, d:] + by_pair[:, :d] @ p["k"].T + by_pair[:, d:] @ p["v"].T
-        grad["b"] = _by_slot(self.class_of[x].reshape(-1), flat(dl), cfg.classes)
+        grad["b"] = _by_slot(self.class_of.take(x).reshape(-1), flat(dl), cfg.classes)
         grad["r"] = np.bincount(self.distance[~self.future], ds.sum(0)[~self.future], 2 * m).astype(np.float32)
         return grad
 

@@ -353,6 +353,12 @@ def test_all_training_windows_are_learned(spark):
     assert every.learned == sum(blocks)
 
 
+def test_steps_take_every_window_unless_told_otherwise():
+    """Of the query's own settings: all windows of long and short texts, wherever they stand."""
+    m, texts = small(lm.LMConfig(vocabulary=41, edge=40, classes=5, block=8, width=4, own=41, shared=1, embedding=6))
+    assert lm.LMConfig().every == 1 and m.learn(texts) == sum(-(-(len(t) + 1) // 8) for t in texts)
+
+
 def test_the_corpus_is_what_the_model_knows(spark):
     """Trained on two kinds of text, the model finds an unseen text of either kind likelier than its words shuffled."""
     rng = random.Random(3)
