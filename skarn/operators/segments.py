@@ -1,6 +1,7 @@
 """The stored search index, in segments: what a sync adds is one segment, and readers hold a snapshot.
 
-A segment holds documents in shards of a few thousand; a shard is searched by one task. Its tables:
+A segment holds documents in shards of a few thousand; a shard is searched by one task. The first three of its tables are
+written in one pass, so that a text is shuffled and cut into words once. Its tables:
 
 * `docs`: shard, place in the shard (by key), the columns that were given, and the distinct search words of the text;
 * `postings` (shard, term, docs, tfs, weights, most): a search word's places, counts, weights and largest weight;
@@ -25,9 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from skarn.functions.text import phrase_words, query_tokens, search_tokens
-from skarn.runtime import parallelism, scratch, ship, written
+from skarn.runtime import concurrent_writers, parallelism, scratch, ship, written
 from skarn.settings import DEFAULT, Settings
 
 #: A bitmap has 32,768 places; shards are dealt by a hash, so their average stays well below.
@@ -35,6 +37,12 @@ SHARD_DOCS, SHARD_BYTES, LEAST_DOCS = 16_384, 64 << 20, 512
 #: Words of a search that are pushed into the scan as values; more are joined.
 PUSHED = 200
 TABLES = ("docs", "postings", "places", "terms", "bits")
+#: Those that one pass writes, each as a column of its own beside `kind`, with what the last two hold.
+TOGETHER = {
+    "docs": None,
+    "postings": "shard int, term string, docs array<int>, tfs array<int>, weights array<double>, most double",
+    "places": "shard int, term string, docs array<int>, tfs array<int>, at array<int>",
+}
 
 
 class Conflict(RuntimeError):
@@ -92,7 +100,7 @@ class Snapshot:
         return sum(s["docs"] - s["gone"] for s in self.segments)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(*(f"{self.path}/{s['id']}/{name}" for s in self.segments))
+        return _table(self.spark, [f"{self.path}/{s['id']}" for s in self.segments], name)
 
     @property
     def bits(self) -> DataFrame:
@@ -123,6 +131,12 @@ class Snapshot:
         return rows.join(self.docs.select("shard", "place", self.key), ["shard", "place"]).drop("shard", "place")
 
 
+def _table(spark: SparkSession, segments: list[str], name: str) -> DataFrame:
+    if name not in TOGETHER:
+        return spark.read.parquet(*(f"{x}/{name}" for x in segments))
+    return spark.read.parquet(*(f"{x}/rows/kind={name}" for x in segments)).select(f"{name}.*")
+
+
 def read(spark: SparkSession, path: str, version: int | None = None) -> Snapshot | None:
     """The newest snapshot, or an older one; None where nothing is indexed."""
     path = path.rstrip("/")
@@ -130,12 +144,27 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> Snapshot
     return Snapshot(spark, path, m["version"], tuple(m["segments"]), m["key"]) if m["segments"] else None
 
 
-def _inverted(weigh: bool, s: Settings):
-    """A function over Arrow batches (shard, place, words), in order: rows of the inverted index of each shard."""
+def _inverted(s: Settings):
+    """A function over Arrow batches (shard, place, found, said, docs), in order: the rows of `TOGETHER`, each shard's
+    documents and then its inverted indexes of both kinds of words."""
     import pyarrow as pa
 
-    def made(shard: int, parts: list):
-        words = pa.chunked_array([p.column(2) for p in parts]).combine_chunks()
+    ints, numbers = pa.list_(pa.int32()), pa.list_(pa.float64())
+    lists = {
+        "postings": pa.struct([("shard", pa.int32()), ("term", pa.string()), ("docs", ints), ("tfs", ints), ("weights", numbers), ("most", pa.float64())]),
+        "places": pa.struct([("shard", pa.int32()), ("term", pa.string()), ("docs", ints), ("tfs", ints), ("at", ints)]),
+    }
+
+    def one_kind(name: str, x, docs):
+        """Rows of one kind; docs: the type of documents."""
+        types = {"docs": docs, **lists}
+        cols = [x if n == name else pa.nulls(len(x), t) for n, t in types.items()]
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), *cols], names=["kind", *types])
+
+    def made(shard: int, parts: list, weigh: bool):
+        words = pa.chunked_array([p.column(2 if weigh else 3) for p in parts]).combine_chunks()
+        if isinstance(words, pa.ChunkedArray):
+            words = pa.concat_arrays(words.chunks)
         place = np.concatenate([np.asarray(p.column(1)) for p in parts])
         size = np.diff(np.asarray(words.offsets))
         found = words.flatten().dictionary_encode()
@@ -163,24 +192,32 @@ def _inverted(weigh: bool, s: Settings):
             cols |= {"weights": listed(pa.array(w)), "most": pa.array(np.maximum.reduceat(w, first))}
         else:
             cols["at"] = pa.ListArray.from_arrays(pa.array(np.append(begin[first], len(code)).astype(np.int32)), pa.array(at.astype(np.int32)))
-        return pa.RecordBatch.from_pydict(cols)
+        kind = lists["postings" if weigh else "places"]
+        return pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(cols.values(), kind, strict=True)], fields=list(kind))
+
+    def inverted(shard: int, parts: list, docs):
+        for name in lists:
+            if (x := made(shard, parts, name == "postings")) is not None:
+                yield one_kind(name, x, docs)
 
     def run(it):
-        held, shard = [], None
+        held, shard, docs = [], None, None
         for batch in it:
+            docs = batch.column(4).type
             ids = np.asarray(batch.column(0))
             cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
                 if held and int(ids[a]) != shard:
-                    if (rows := made(shard, held)) is not None:
-                        yield rows
+                    yield from inverted(shard, held, docs)
                     held = []
-                shard = int(ids[a])
-                held.append(batch.slice(a, b - a))
-        if held and (rows := made(shard, held)) is not None:
-            yield rows
+                shard, own = int(ids[a]), batch.slice(a, b - a)
+                yield one_kind("docs", own.column(4), docs)
+                # The texts are not needed any more.
+                held.append(own.select([0, 1, 2, 3]))
+        if held:
+            yield from inverted(shard, held, docs)
 
     return run
 
@@ -201,16 +238,24 @@ def add(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame | None
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     with scratch(spark):
+        part = rows.where(F.col(key).isNotNull()).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
+        # Both windows go by the partition and the order that are there: texts are moved once.
+        once = part.withColumn("copy", F.row_number().over(Window.partitionBy("shard", key).orderBy(key))).where("copy = 1").drop("copy")
+        cut = once.withColumn("place", (F.row_number().over(Window.partitionBy("shard").orderBy(key)) - 1).cast("int")).withColumn("shard", F.col("shard") + base)
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-        dealt = rows.where(F.col(key).isNotNull()).withColumns({"shard": (F.pmod(F.xxhash64(key), F.lit(shards)) + base).cast("int"), "found": search_tokens(text, s), "said": phrase_words(text)})
-        once = dealt.withColumn("copy", F.row_number().over(Window.partitionBy("shard", key).orderBy(key))).where("copy = 1").drop("copy")
-        cut = written(once.withColumn("place", (F.row_number().over(Window.partitionBy("shard").orderBy(key)) - 1).cast("int")), "cut")
-        cut.withColumn("words", F.array_distinct("found")).drop("found", "said").write.parquet(f"{at}/docs")
-        ordered = lambda c: cut.select("shard", "place", c).withColumn("part", F.col("shard") - base).repartitionById(shards, "part").sortWithinPartitions("shard", "place").drop("part")
-        ordered("found").mapInArrow(_inverted(True, s), "shard int, term string, docs array<int>, tfs array<int>, weights array<double>, most double").write.parquet(f"{at}/postings")
-        ordered("said").mapInArrow(_inverted(False, s), "shard int, term string, docs array<int>, tfs array<int>, at array<int>").write.parquet(f"{at}/places")
-        labels = cut.groupBy("shard", "access_level", "status").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cast(place + 1 as bigint)))").alias("bits")).withColumn("gone", F.lit(False))
-        df = spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("df"))
+        cut = cut.withColumns({"found": search_tokens(text, s), "said": phrase_words(text)})
+        own = [c for c in rows.columns if c not in ("shard", "place", "words", "found", "said")]
+        cut = cut.select("shard", "place", "found", "said", F.struct(*own, "shard", "place", F.array_distinct("found").alias("words")).alias("docs"))
+        shape = StructType([StructField("kind", StringType()), StructField("docs", cut.schema["docs"].dataType), *(StructField(n, StructType.fromDDL(d)) for n, d in TOGETHER.items() if d)])
+        with concurrent_writers(spark):
+            cut.mapInArrow(_inverted(s), shape).write.partitionBy("kind").parquet(f"{at}/rows")
+        for kind in TOGETHER:
+            fs, there = _fs(spark, f"{at}/rows/kind={kind}")
+            if not fs.exists(there):
+                spark.createDataFrame([], shape).drop("kind").write.parquet(f"{at}/rows/kind={kind}")
+        now_written = lambda kind: _table(spark, [at], kind)
+        labels = now_written("docs").groupBy("shard", "access_level", "status").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cast(place + 1 as bigint)))").alias("bits")).withColumn("gone", F.lit(False))
+        df = now_written("postings").groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("df"))
         lost = 0
         if gone is not None:
             gone = written(gone.select("shard", "place").distinct(), "gone")
@@ -222,7 +267,7 @@ def add(spark: SparkSession, path: str, rows: DataFrame, gone: DataFrame | None
             df = df.unionByName(less)
         labels.select("shard", "access_level", "status", "gone", "bits").write.parquet(f"{at}/bits")
         df.write.parquet(f"{at}/terms")
-        count = spark.read.parquet(f"{at}/docs").count()
+        count = now_written("docs").count()
     kept = [x for x in now["segments"] if x["id"] not in replacing]
     manifest = {"version": now["version"] + 1, "key": key, "next_shard": base + shards, "segments": [*kept, {"id": name, "docs": count, "gone": lost, "shards": shards}]}
     _swap(spark, path, manifest)

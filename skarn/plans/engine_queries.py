@@ -153,7 +153,7 @@ def segmented_index(spark, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "segmented")
     file = lambda d: d.groupBy("source").agg(F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).cast("string").alias("file_hash"))
     rows = lambda d: lambda changed: d.join(changed.select("source"), "source").select("source", F.col("doc_id").cast("int").alias("chunk_index"), "text")
-    docs, first = spread(documents(spark, sf_dir).select("doc_id", "source", "text")), None
+    docs, first = documents(spark, sf_dir).select("doc_id", "source", "text"), None
     for k in range(3):
         more = F.concat("text", F.lit(" zzadded"))
         now = docs.where(F.lit(k == 0) | (F.col("source") != "src0")).withColumn("text", F.when(F.col("source").isin(*(f"src{i}" for i in range(1, k + 1))), more).otherwise(F.col("text")))

@@ -103,6 +103,11 @@ def filtered_early(spark: SparkSession):
     return _set(spark, {f"{conf}enabled": "true", f"{conf}applicationSideScanSizeThreshold": "1b", f"{conf}creationSideThreshold": "1g", f"{conf}expectedNumItems": "4000000"})
 
 
+def concurrent_writers(spark: SparkSession):
+    """While this holds, a write by a few values of a column keeps a file open for each instead of sorting all rows."""
+    return _set(spark, {"spark.sql.maxConcurrentOutputFileWriters": "8"})
+
+
 def marked(df: DataFrame, key: str) -> DataFrame:
     """The frame under a condition on its key (long) that always holds: Spark filters by sides that have a condition."""
     return df.where(f"{key} >= -9223372036854775808")

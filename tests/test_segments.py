@@ -153,3 +153,14 @@ def test_a_batch_of_log_rows_counts_once(spark, tmp_path):
     frame(0).withColumns({"month": F.date_format("time", "yyyy-MM"), "_attempt": F.lit("dead")}).write.mode("append").partitionBy("month").json(path)
     assert files.read_log(spark, path).count() == 3
     assert files.append_log(frame(3), path) and files.read_log(spark, path).count() == 6
+
+
+def test_texts_are_moved_once(spark, tmp_path):
+    """What a new segment shuffles stays below the size of its texts and keys, however many tables it writes."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 200))) for i in range(2000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    moved = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = moved()
+    ix = segments.write(d, str(tmp_path / "ix"))
+    assert moved() - before < 1.5 * sum(len(t) for _, t in rows) and ix.size == 2000 and ix.docs.count() == 2000
