@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skarn.operators import embedding, segments
+from skarn.runtime import written
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,14 @@ def test_deleted_documents_have_no_vector(spark, tmp_path):
     ix = segments.add(spark, path, spark.createDataFrame([(4, "gamma delta")], "doc_id long, text string"), ix.docs.where("doc_id = 1").select("shard", "place"))
     model = embedding.learn(ix, str(tmp_path / "model"), size=3, passes=2)
     assert {r["doc_id"] for r in model.documents.collect()} == {2, 4}
+
+
+def test_postings_are_not_shuffled_by_passes(spark, learned):
+    # A group of shards reads its own bucket; only the words' vectors are exchanged.
+    ix, _ = learned
+    with embedding._by_group(ix, 2) as post:
+        words = ix.rarity.select("term", "idf").limit(5)
+        plan = embedding._times(post, written(post.select("grp", "term").distinct(), "pairs"), words, 8)._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("FlatMapCoGroupsInArrow") :].split("Exchange")[0]
+        assert "skarn_weights" in below and "Bucketed: true" in below
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("skarn_weights")]
