@@ -38,14 +38,18 @@ def leaks(hits: DataFrame, questions: DataFrame, roles: DataFrame) -> DataFrame:
 
 def phrase_problems(answer: Column, must: Column, any_of: Column, must_not: Column, answerable: Column) -> Column:
     """What an answer lacks, and what it must not say."""
-    text = normalize(answer)
-    has = lambda p: contains_normalized(text, normalize(p))
-    none = F.when((F.size(any_of) > 0) & ~F.exists(any_of, has), F.when(answerable, F.concat(F.lit("none of "), F.array_join(any_of, ", "))).otherwise(F.lit("does not say that the information is missing")))
-    return F.concat(
-        F.transform(F.filter(must, lambda p: ~has(p)), lambda p: F.concat(F.lit("missing "), p)),
-        F.array_compact(F.array(none)),
-        F.transform(F.filter(must_not, has), lambda p: F.concat(F.lit("contains "), p)),
-    )
+
+    def problems(text: Column) -> Column:
+        has = lambda p: contains_normalized(text, normalize(p))
+        none = F.when((F.size(any_of) > 0) & ~F.exists(any_of, has), F.when(answerable, F.concat(F.lit("none of "), F.array_join(any_of, ", "))).otherwise(F.lit("does not say that the information is missing")))
+        return F.concat(
+            F.transform(F.filter(must, lambda p: ~has(p)), lambda p: F.concat(F.lit("missing "), p)),
+            F.array_compact(F.array(none)),
+            F.transform(F.filter(must_not, has), lambda p: F.concat(F.lit("contains "), p)),
+        )
+
+    # As a variable, the answer's normal form is made once and not for each phrase.
+    return F.get(F.transform(F.array(normalize(answer)), problems), 0)
 
 
 def citation_problems(answer: Column, shown: Column, expected: Column, answerable: Column, asked: Column, s: Settings = DEFAULT) -> Column:
