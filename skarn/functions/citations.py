@@ -50,7 +50,7 @@ def number_key(c: Column) -> Column:
 def facts_written(text: Column) -> Column:
     """(key, written) of every code (a digit and a letter, joined by - _ /) and of every number outside of codes."""
     codes = F.filter(_all(text, CODE), lambda x: x.rlike(_IS_CODE))
-    rest = F.regexp_replace(fold(text), r"(?=[\p{L}\p{N}\-_/]*\p{Nd})(?=[\p{L}\p{N}\-_/]*\p{L})" + r"(?<![\p{L}\p{N}])" + CODE, " ")
+    rest = F.regexp_replace(fold(text), r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}]++[-_/])(?=[\p{L}\p{N}\-_/]*\p{Nd})(?=[\p{L}\p{N}\-_/]*\p{L})" + CODE, " ")
     return F.concat(
         F.transform(codes, lambda x: F.struct(F.concat(F.lit("code:"), F.regexp_replace(fold(x), "[-_/]", "")).alias("key"), x.alias("written"))),
         F.transform(_all(rest, NUMBER), lambda x: F.struct(number_key(x).alias("key"), x.alias("written"))),

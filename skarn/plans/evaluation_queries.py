@@ -33,7 +33,7 @@ def fact_counts(spark, sf_dir: str) -> DataFrame:
     """Distinct number keys of every document, parts of numbers included."""
     d = spread(documents(spark, sf_dir).select("doc_id", "text"))
     keys = F.filter(fact_keys(F.col("text"), True), lambda k: ~k.startswith("code:"))
-    return d.select("doc_id", F.size(keys).alias("n"), F.concat_ws(",", F.array_sort(keys)).alias("keys"))
+    return d.select("doc_id", keys.alias("keys")).select("doc_id", F.size("keys").alias("n"), F.concat_ws(",", F.array_sort("keys")).alias("keys"))
 
 
 def best_excerpt(spark, sf_dir: str) -> DataFrame:
