@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.html import main_text
-from skarn.functions.text import is_line_candidate, is_page_number, line_key
+from skarn.functions.text import is_line_candidate, is_page_number, line_key, stripped
 from skarn.settings import DEFAULT, Settings
 
 
@@ -36,7 +36,7 @@ def without_repeated(pages: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("out"), F.trim("line")))).alias("removed"),
     )
     text = F.array_join(F.transform("kept", lambda x: x["line"]), "\n")
-    return both.select("source", "number", F.trim(F.regexp_replace(F.regexp_replace(text, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")).alias("markdown"), "removed")
+    return both.select("source", "number", stripped(F.regexp_replace(text, "\n{3,}", "\n\n"), " \t\n\x0b\f\r").alias("markdown"), "removed")
 
 
 def with_main_text(pages: DataFrame, html: str = "html", name: str = "text", s: Settings = DEFAULT) -> DataFrame:

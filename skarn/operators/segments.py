@@ -464,5 +464,7 @@ def sparse_topk(questions: DataFrame, index: Snapshot, k: int = DEFAULT.prefetch
             named = hits.join(F.broadcast(names), "number").join(index.table("docs").select("shard", "place", index.key), ["shard", "place"])
             rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), index.key))
             part = named.withColumn("rank", rank).where(F.col("rank") <= k).select("question_id", index.key, "score", "rank")
+            # Once they are written, hits are known to be few: no one then shuffles the texts to join them.
+            part = written(part, "hits")
         found = part if found is None else found.unionByName(part)
     return found

@@ -367,3 +367,41 @@ def test_plugins(spark):
     assert df.select(overlap_reranker(F.col("q"), F.lit("days off")).alias("x")).first().x == 0.5
     assert count_words(" a  b ") == 2
     assert [r.r for r in spark.createDataFrame([(["internal"],), (["restricted"],)], "l array<string>").select(routed(F.col("l"), DEFAULT.local_only).alias("r")).collect()] == ["any", "local"]
+
+
+def test_table_files_are_read_once(spark):
+    files = [(f"{i}.csv", f"Key;Name\n{i};x\n;y".encode()) for i in range(3)] + [("empty.csv", b"")]
+    cells = tabular.cells_of_files(spark.createDataFrame(files, "source string, content binary"))
+    found = tabular.grid_markdown(cells.unionByName(spark.createDataFrame([("n", "n", "T", 1, 1, "", None)], cells.schema)))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {r.table: r.markdown for r in found.collect()} == {**{f"{i}.csv": f"Key: {i} | Name: x\n\ny" for i in range(3)}, "n": ""}
+
+
+def test_files_share_frames(spark, monkeypatch):
+    monkeypatch.setattr(tabular, "FRAME_ROWS", 3)
+    made = []
+    frame = tabular.pd.DataFrame
+    monkeypatch.setattr(tabular.pd, "DataFrame", lambda rows, **k: made.append(len(rows)) or frame(rows, **k))
+
+    class Files:
+        sparkSession = spark
+
+        def select(self, *names):
+            return self
+
+        def mapInPandas(self, run, shape):
+            return list(run(iter([frame({"source": [f"{i}.csv" for i in range(4)], "content": [b"a;b"] * 4})])))
+
+    assert sum(map(len, tabular.cells_of_files(Files()))) == 8 and made == [4, 4]
+
+
+def test_an_answer_is_normalized_once(spark):
+    some = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    assert str(evaluate.phrase_problems(F.col("said_so"), some, some, some, F.lit(True))).count("said_so") == 1
+
+
+def test_pages_are_cut_once(spark):
+    pages = spark.createDataFrame([("f", 1, "# A\n\ntext\n\n# B\n\nmore")], "source string, number int, markdown string")
+    found = chunk.sections(chunk.blocks(pages))
+    assert "markdown" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.path for r in found.collect()) == [["A"], ["B"]]

@@ -164,3 +164,10 @@ def test_texts_are_moved_once(spark, tmp_path):
     before = moved()
     ix = segments.write(d, str(tmp_path / "ix"))
     assert moved() - before < 1.5 * sum(len(t) for _, t in rows) and ix.size == 2000 and ix.docs.count() == 2000
+
+
+def test_hits_are_known_to_be_few(spark, tmp_path):
+    d = docs(spark)
+    hits = segments.sparse_topk(asked(spark), segments.write(d, str(tmp_path / "ix")), 5)
+    assert int(str(hits._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+    assert hits.count() > 0

@@ -110,3 +110,18 @@ def test_excerpts(spark):
     assert value(spark, C.best_piece, "", "x") == ""
     assert value(spark, lambda c: C.shortened(c, 12), "one two  three four") == "one two …"
     assert value(spark, lambda c: C.shortened(c, 40), " one  two ") == "one two"
+
+
+def test_long_runs_without_a_mark_take_one_pass(spark):
+    import time
+
+    began = time.perf_counter()
+    text = F.concat(F.repeat(F.lit("ab"), 200_000), F.lit(" x-1"))
+    assert spark.range(1).select(C.fact_keys(text).alias("k")).first()["k"] == ["code:x1"]
+    assert time.perf_counter() - began < 20
+
+
+def test_white_space_of_all_kinds(spark):
+    texts = [(" a\u2003 b\t", "a b"), ("\u3000x  y", "x y"), ("\n\na \x85 b", "a b"), ("\u200b z", "\u200b z"), ("a\u00a0b", "a b"), ("", ""), ("*a`b*", "ab")]
+    rows = spark.createDataFrame(texts, "t string, said string").select(T.normalize(F.col("t")).alias("n"), "said", T.stripped(F.concat(F.lit("\u2009\n"), "said", F.lit(" \r\u1680"))).alias("s")).collect()
+    assert all(r.n == r.said and r.s == r.said for r in rows)
