@@ -110,8 +110,9 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
 
 
 def contains_normalized(text: Column, phrase: Column) -> Column:
-    """The same for sides that are normalized already. Patterns are made only where the phrase stands in the text at all."""
-    return F.when(F.contains(text, phrase), F.regexp_like(text, phrase_pattern(phrase))).otherwise(F.when(text.isNotNull() & phrase.isNotNull(), F.lit(False)))
+    """The same for sides that are normalized already. Patterns are made only where the phrase stands in the text at all, and
+    nowhere after a space, which ends any word."""
+    return F.when(text.startswith(phrase) | F.contains(text, F.concat(_lit(" "), phrase)), F.lit(True)).when(F.contains(text, phrase), F.regexp_like(text, phrase_pattern(phrase))).otherwise(F.when(text.isNotNull() & phrase.isNotNull(), F.lit(False)))
 
 
 def overlap_words(c: Column) -> Column:

@@ -1,19 +1,22 @@
 """Phrases and proximity from stored positions.
 
 A phrase stands in a text at the start of a word, its right edge open. All its runs of letters and digits but the last are
-then whole words of the text, one right after the other, so the positions of those words, met rarest first, give all
-texts that may hold it; only these are looked at. A phrase of one open word is looked up among the words that begin so.
+then whole words of the text, one right after the other, and the last one begins the word after them. So the positions
+of these words, met rarest first, give all texts that may hold it; only these are looked at. A phrase that is one open
+word and begins with a letter stands in just the texts with a word that begins so: no text is looked at for it.
 
 The window of a question in a text is the shortest stretch of words that holds all of its words that the text has."""
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.text import contains_normalized, normalize, phrase_words
-from skarn.operators.segments import Snapshot, blocks_of, of_words
+from skarn.operators.segments import IN_BITS, Snapshot, blocks_of, of_words
 from skarn.runtime import ship, written
 
 #: Words stand at most so many places apart in a text; a text's place and a position are one number.
@@ -26,9 +29,7 @@ def occurrences(docs: np.ndarray, tfs: np.ndarray, at: np.ndarray) -> np.ndarray
 
 
 def following(words: list[str], held: dict[str, np.ndarray]) -> np.ndarray:
-    """Places of the texts in which the words follow one another; held: occurrences by word."""
-    if any(w not in held for w in words):
-        return np.zeros(0, np.int64)
+    """Occurrences of the first word at which the words follow one another, ascending; held: occurrences by word."""
     order = sorted(range(len(words)), key=lambda i: len(held[words[i]]))
     found = held[words[order[0]]] - order[0]
     for i in order[1:]:
@@ -37,7 +38,7 @@ def following(words: list[str], held: dict[str, np.ndarray]) -> np.ndarray:
         found = found[other[at] == found]
         if not len(found):
             break
-    return np.unique(found >> _PLACES)
+    return found
 
 
 def window(lists: list[np.ndarray], ordered: bool = False) -> int:
@@ -69,57 +70,110 @@ def _lists(table):
         yield term, d[lo:hi], t[lo:hi], a[cuts[1][i] : cuts[1][i + 1]]
 
 
+def beginning(begin: str, terms: list[str]) -> range:
+    """Which of some sorted terms begin so."""
+    lo = bisect_left(terms, begin)
+    return range(lo, bisect_left(terms, True, lo, key=lambda t: not t.startswith(begin)))
+
+
 def _looking(sent):
-    """A function over a shard's rows: in which of its texts the words of each phrase follow one another."""
+    """A function over a shard's rows: in which of its texts the words of each phrase follow one another, and a word that
+    begins as its open one comes next."""
 
     def run(table):
         import pyarrow as pa
 
-        held = {term: occurrences(d, t, a) for term, d, t, a in _lists(table)}
-        found = [(i, following(w, held)) for i, w in enumerate(sent.value)]
-        n = [len(x) for _, x in found]
-        place = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"number": np.repeat([i for i, _ in found], n).astype(np.int64), "shard": np.full(len(place), table.column("shard")[0].as_py() if table.num_rows else 0, np.int32), "place": place.astype(np.int32)})
+        rows = sorted(_lists(table), key=lambda x: x[0])
+        terms, own = [x[0] for x in rows], {x[0]: x[1:] for x in rows}
+        held: dict[str, np.ndarray] = {}
+
+        def at(term):
+            if term not in held:
+                held[term] = occurrences(*own[term])
+            return held[term]
+
+        def found(words, begin):
+            if any(w not in own for w in words):
+                return np.zeros(0, np.int64)
+            starts = following(words, {w: at(w) for w in words}) if words else None
+            if begin is None or (starts is not None and not len(starts)):
+                return np.zeros(0, np.int64) if starts is None else np.unique(starts >> _PLACES)
+            next_ = [terms[i] for i in beginning(begin, terms)]
+            if starts is None:
+                return np.unique(np.concatenate([np.zeros(0, np.int64), *(own[t][0] for t in next_)]))
+            # Open words may be many, and are looked up among the few starts, not the reverse.
+            hit = np.zeros(len(starts), bool)
+            for t in next_:
+                other = occurrences(*own[t]) - len(words)
+                i = np.minimum(np.searchsorted(starts, other), len(starts) - 1)
+                hit[i[starts[i] == other]] = True
+            return np.unique(starts[hit] >> _PLACES)
+
+        places = [found(*x) for x in sent.value]
+        n = [len(x) for x in places]
+        place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        return pa.table({"number": np.repeat(np.arange(len(n)), n).astype(np.int64), "shard": np.full(len(place), table.column("shard")[0].as_py() if table.num_rows else 0, np.int32), "place": place.astype(np.int32)})
 
     return run
 
 
+def _of_words(places: DataFrame, words: set[str], begins: set[str]) -> DataFrame:
+    """The rows of these words and of all that begin as one of `begins`."""
+    if not begins:
+        return of_words(places, sorted(words))
+    spark = places.sparkSession
+    cuts = F.array(*(F.substring("term", 1, n) for n in sorted({len(b) for b in begins})))
+    terms = places.select("term").distinct().select("term", F.explode(F.array_distinct(cuts)).alias("begin"))
+    terms = terms.join(F.broadcast(spark.createDataFrame([(b,) for b in begins], "begin string")), "begin", "left_semi").select("term")
+    # Once they are written, words are known to be few: no one then shuffles the places to join them.
+    terms = written(terms.unionByName(spark.createDataFrame([(w,) for w in words], "term string")).distinct(), "terms")
+    return places.join(terms, "term", "left_semi")
+
+
 def candidates(index: Snapshot, phrases: DataFrame, block_rows: int = 20_000) -> DataFrame:
-    """(phrase_id, shard, place) of all texts that may hold a phrase (phrase_id, phrase), by positions alone.
+    """(phrase_id, shard, place, sure) of all texts that may hold a phrase (phrase_id, phrase), by positions alone; sure:
+    they do hold it.
 
     Phrases go in blocks of bounded size. One without a letter or digit may stand in any text."""
     ship(index.spark)
     out = None
     runs = phrases.where("phrase is not null").select("phrase_id", normalize(F.col("phrase")).alias("p"), phrase_words(F.col("phrase")).alias("runs"))
     # Where the phrase ends in a letter or digit, its last run may go on.
-    whole = runs.withColumn("whole", F.when(F.col("p").rlike(r"[\p{L}\p{N}]$"), F.slice("runs", 1, F.greatest(F.size("runs") - 1, F.lit(0)))).otherwise(F.col("runs")))
-    places = index.table("places")
-    for block in blocks_of(whole.where("size(whole) > 0"), block_rows, "phrase_id"):
-        asked = block.select("phrase_id", "whole").collect()
-        ids, words = [r["phrase_id"] for r in asked], [r["whole"] for r in asked]
-        if not ids:
+    open_ = F.col("p").rlike(r"[\p{L}\p{N}]$") & (F.size("runs") > 0)
+    cut = runs.select(
+        "phrase_id", "runs", F.when(open_, F.slice("runs", 1, F.size("runs") - 1)).otherwise(F.col("runs")).alias("whole"), F.when(open_, F.element_at("runs", -1)).alias("begin"),
+        # A number that comes after a digit and a point is none of its own, which only the text tells.
+        (open_ & (F.get("runs", 0) == F.col("p")) & ~F.col("p").rlike(r"^\p{Nd}")).alias("sure"),
+    )
+    places = index.table("places").select("shard", "term", "docs", "tfs", "at")
+    for block in blocks_of(cut.where("size(runs) > 0"), block_rows, "phrase_id"):
+        asked = block.select("phrase_id", "whole", "begin", "sure").collect()
+        if not asked:
             continue
-        rows = of_words(places, sorted({w for x in words for w in x})).select("shard", "term", "docs", "tfs", "at")
-        hits = rows.groupBy("shard").applyInArrow(_looking(index.spark.sparkContext.broadcast(words)), "number long, shard int, place int")
-        names = index.spark.createDataFrame(list(enumerate(ids)), f"number long, phrase_id {dict(phrases.dtypes)['phrase_id']}")
-        part = hits.join(F.broadcast(names), "number").select("phrase_id", "shard", "place")
+        rows = _of_words(places, {w for r in asked for w in r["whole"]}, {r["begin"] for r in asked if r["begin"] is not None})
+        sent = index.spark.sparkContext.broadcast([(r["whole"], r["begin"]) for r in asked])
+        hits = rows.groupBy("shard").applyInArrow(_looking(sent), "number long, shard int, place int")
+        names = index.spark.createDataFrame([(i, r["phrase_id"], r["sure"]) for i, r in enumerate(asked)], f"number long, phrase_id {dict(phrases.dtypes)['phrase_id']}, sure boolean")
+        part = hits.join(F.broadcast(names), "number").select("phrase_id", "shard", "place", "sure")
         out = part if out is None else out.unionByName(part)
-    open_ = whole.where("size(whole) = 0 and size(runs) > 0").select("phrase_id", F.get("runs", 0).alias("begin"))
-    begun = places.join(F.broadcast(open_), F.col("term").startswith(F.col("begin"))).select("phrase_id", "shard", F.explode("docs").alias("place")).distinct()
-    bare = whole.where("size(runs) = 0").select("phrase_id").crossJoin(index.table("docs").select("shard", "place"))
-    rest = begun.unionByName(bare)
-    return rest if out is None else out.unionByName(rest)
+    bare = cut.where("size(runs) = 0").select("phrase_id").crossJoin(index.table("docs").select("shard", "place")).withColumn("sure", F.lit(False))
+    return bare if out is None else out.unionByName(bare)
 
 
 def holding(index: Snapshot, phrases: DataFrame, *columns: str) -> DataFrame:
     """(phrase_id, key, columns) of the texts that hold a phrase (phrase_id, phrase) at the start of a word. Texts are
-    normalized where they may hold it, and nowhere else."""
+    moved and normalized where they may hold one that positions do not settle, once for all phrases, and nowhere else."""
     found = written(candidates(index, phrases), "may_hold")
-    names = dict.fromkeys(("shard", "place", index.key, *columns))
-    texts = index.docs.select(*names, F.col("text").alias("_text")).join(found.select("shard", "place").distinct(), ["shard", "place"], "left_semi")
-    texts = texts.withColumn("_held", normalize(F.coalesce("_text", F.lit("")))).drop("_text")
-    both = found.join(texts, ["shard", "place"]).join(phrases.select("phrase_id", normalize(F.col("phrase")).alias("_sought")), "phrase_id")
-    return both.where(contains_normalized(F.col("_held"), F.col("_sought"))).select("phrase_id", index.key, *(c for c in columns if c != index.key))
+    names = list(dict.fromkeys((index.key, *columns)))
+    sure = found.where("sure").drop("sure").join(index.docs.select("shard", "place", *names), ["shard", "place"]).select("phrase_id", *names)
+    sought = phrases.select("phrase_id", normalize(F.col("phrase")).alias("sought"))
+    unsure = found.where("not sure").join(sought, "phrase_id").groupBy("shard", "place").agg(F.collect_list(F.struct("phrase_id", "sought")).alias("_asked"))
+    # A few kilobytes for each shard keep all other texts from being shuffled.
+    bits = found.where("not sure").groupBy("shard").agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cast(place + 1 as bigint)))").alias("bits"))
+    texts = index.docs.select("shard", "place", F.struct(*names).alias("_own"), F.coalesce("text", F.lit("")).alias("_text")).join(F.broadcast(bits), "shard").where(F.expr(IN_BITS)).drop("bits")
+    both = texts.join(unsure, ["shard", "place"]).select("_own", normalize(F.col("_text")).alias("_held"), "_asked").select("_own", "_held", F.explode("_asked").alias("_one"))
+    held = both.where(contains_normalized(F.col("_held"), F.col("_one.sought"))).select("_one.phrase_id", *(F.col("_own")[n].alias(n) for n in names))
+    return sure.unionByName(held)
 
 
 def proximity(index: Snapshot, questions: DataFrame, hits: DataFrame) -> DataFrame:

@@ -43,6 +43,8 @@ TOGETHER = {
     "postings": "shard int, term string, docs array<int>, tfs array<int>, weights array<double>, most double",
     "places": "shard int, term string, docs array<int>, tfs array<int>, at array<int>",
 }
+#: Whether a place is in a bitmap; in none if that is null.
+IN_BITS = "coalesce(shiftright(cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int), cast(place % 8 as int)) & 1, 0) = 1"
 
 
 class Conflict(RuntimeError):
@@ -113,9 +115,7 @@ class Snapshot:
         if not any(s["gone"] for s in self.segments):
             return docs
         gone = self.bits.where("gone").groupBy("shard").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-        byte = "cast(conv(hex(substring(bits, cast(place div 8 as int) + 1, 1)), 16, 10) as int)"
-        deleted = F.expr(f"coalesce(shiftright({byte}, cast(place % 8 as int)) & 1, 0) = 1")
-        return docs.join(gone, "shard", "left").where(~deleted).drop("bits")
+        return docs.join(gone, "shard", "left").where(~F.expr(IN_BITS)).drop("bits")
 
     @property
     def rarity(self) -> DataFrame:

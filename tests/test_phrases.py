@@ -32,6 +32,16 @@ def test_phrases_against_every_text(spark, tmp_path, monkeypatch):
     assert sorted((a, b) for a, b, _ in phrases.holding(ix, asked, "text").collect()) == want
 
 
+def test_positions_settle_open_words(spark, tmp_path):
+    rows = [(i, "leave early" if i % 3 else "leaves, leave-taking and 3.20 days") for i in range(60)]
+    ix = segments.write(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "ix"))
+    asked = spark.createDataFrame([(1, "lea"), (2, "leave ea"), (3, "20"), (4, "leave tak"), (5, "zz")], "phrase_id int, phrase string")
+    found = phrases.candidates(ix, asked).groupBy("phrase_id", "sure").count().collect()
+    # The open word after the first one narrows the texts; a lone one settles them, unless it is a number.
+    assert sorted(map(tuple, found)) == [(1, True, 60), (2, False, 40), (3, False, 20), (4, False, 20)]
+    assert sorted((r[0], r[1]) for r in phrases.holding(ix, asked).groupBy("phrase_id").count().collect()) == [(1, 60), (2, 40)]
+
+
 def test_windows_against_all_choices():
     r = random.Random(8)
     for _ in range(300):
