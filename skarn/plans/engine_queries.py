@@ -14,7 +14,7 @@ from skarn.plans.common import ASKED_SQL, LABELS_SQL, POSTINGS_SQL, catalog, doc
 from skarn.plans.evaluation_queries import _HELD, _NORM, _log
 from skarn.plans.search_queries import _sparse
 from skarn.plugins import overlap_reranker, routed
-from skarn.runtime import goes_with_session, shared_path, table, written
+from skarn.runtime import goes_with_session, shared_path, table
 from skarn.settings import DEFAULT
 from skarn.sources import files as sources
 from skarn.sources.config import is_admin
@@ -94,7 +94,7 @@ def delimited_splits(spark, sf_dir: str) -> DataFrame:
     for n in names:
         spark.conf.set(n, "262144")
     try:
-        found = written(delimited.rows(spark, path), "rows")
+        found = delimited.rows(spark, path)
     finally:
         for n, v in zip(names, before, strict=True):
             spark.conf.set(n, v)

@@ -53,6 +53,31 @@ def test_cuts_anywhere(spark, tmp_path, size):
         assert [rows[i] for i in sorted(rows)] == want and sorted(rows) == list(range(1, len(want) + 1))
 
 
+def test_lines_stay_where_they_are(spark, tmp_path):
+    """Only rows that a cut goes through are shuffled, whatever the settings are when the rows are read."""
+    (tmp_path / "f.csv").write_bytes(made(3000, ";", 5).encode())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in names}
+    for k in names:
+        spark.conf.set(k, "4096")
+    try:
+        rows = delimited.rows(spark, str(tmp_path))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and plan.count("Exchange") <= 1
+    want = plain(made(3000, ";", 5), ";")
+    assert [r["values"] for r in rows.orderBy("row_no").collect()] == want
+
+
+def test_values_do_not_depend_on_who_reads_them(spark, tmp_path):
+    """Rows with a lone carriage return, which the csv module refuses, and the white space of others."""
+    (tmp_path / "f.csv").write_bytes("\ufeffa,b\n1\r2,x\n\x1c,\u2003y\u00a0\n\r\r\n\"p\"q,\"r\"\"\"\r\n".encode())
+    got = [r["values"] for r in delimited.rows(spark, str(tmp_path)).orderBy("row_no").collect()]
+    assert got == [["a", "b"], ["1 2", "x"], ["\x1c", "y"], [], ["pq", 'r"']]
+
+
 def test_not_utf8_is_said(spark, tmp_path):
     (tmp_path / "old.csv").write_bytes("a;ş\n".encode("cp1254"))
     with pytest.raises(Exception, match="is not UTF-8"):
