@@ -129,12 +129,11 @@ def duplicate_keys(spark, sf_dir: str) -> DataFrame:
 
 def lost_words(spark, sf_dir: str) -> DataFrame:
     """Words that cleaning takes away, with multiplicity."""
-    word = lambda c: F.explode(F.regexp_extract_all(c, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")
-    pages = spread(_pages(spark, sf_dir))
-    before = pages.select(word(F.col("markdown"))).groupBy("word").agg(F.count("*").alias("n"))
-    after = clean.without_repeated(pages, _SHARE).select(word(F.col("markdown"))).groupBy("word").agg(F.count("*").alias("m"))
-    both = before.join(after, "word", "left").withColumn("lost", F.col("n") - F.coalesce("m", F.lit(0)))
-    return both.where("lost > 0").select("word", "lost")
+    lost = clean.marked_lines(spread(_pages(spark, sf_dir)), _SHARE).where("out")
+    # Words stand in one line each, so those of the lines taken out are all that is lost; equal lines are cut into words once.
+    lines = lost.groupBy("line").agg(F.count("*").alias("n"))
+    words = lines.select("n", F.explode(F.regexp_extract_all("line", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    return words.groupBy("word").agg(F.sum("n").alias("lost"))
 
 
 def line_profile(spark, sf_dir: str) -> DataFrame:

@@ -120,6 +120,14 @@ def test_repeated_lines(spark):
     assert out[None] == ("kept", ["Company Ltd 9", "Page 7"])
 
 
+def test_lines_out_are_marked(spark):
+    """Rows with one number are one page, however often a line's hash is counted; a line counts once for each page."""
+    pages = [("a", 1, "head\nx 1\nhead"), ("a", 1, "head\nonce"), ("a", 2, "Head \npage 3"), ("b", 1, "twice\nhead"), ("b", 1, "twice"), ("b", 2, "other"), ("b", None, "twice"), ("c", 3, None)]
+    marked = clean.marked_lines(spark.createDataFrame(pages, "source string, number int, markdown string"))
+    assert sorted(r.line for r in marked.where("out").collect()) == ["Head ", "head", "head", "head", "page 3"]
+    assert marked.where("not out").count() == 7
+
+
 @pytest.mark.parametrize(
     "html, text",
     [
