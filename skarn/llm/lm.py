@@ -9,8 +9,9 @@ All of it is learned from all training documents, whole. Classes come from how o
 each class: these are counts over every place of every text. For the attention weights every task starts from the same
 ones and takes Adam steps over windows of each of its documents, and the tasks' weights are averaged by their numbers of
 windows. Every window of every training document takes part, so the steps grow with the corpus and behave alike at
-every size. (A caller may set `every`: then one window in so many of a document does, spread evenly over the whole text from
-a place that its content decides, and one of each document at least.)
+every size. After its first steps, over single windows from all over its texts, a task takes neighbouring windows in
+runs, which share the keys and values of their blocks. (A caller may set `every`: then one window in so many of a
+document does, spread evenly over the whole text from a place that its content decides, and one of each at least.)
 
 The base adds, over the words of a text and one end, the logarithms of add-one estimates from word counts over all
 training documents. Words are told apart by 64-bit hashes. Frequent words, at most `head` of them, are looked up where
@@ -54,6 +55,9 @@ class LMConfig:
     every: int = 1
     #: Windows of a gradient step, and its rate.
     batch: int = 256
+    #: Neighbouring windows that a step takes together, once a task has taken so many steps over single ones.
+    run: int = 16
+    settled: int = 64
     rate: float = 8e-3
     #: Weight of the within-class distribution beside the counts after a class.
     prior: float = 20.0
@@ -74,8 +78,10 @@ def _by_slot(slot: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
     order = np.argsort(slot.astype(np.uint16) if n <= 1 << 16 else slot, kind="stable")
     ranked = slot.take(order)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    out = np.zeros((n, x.shape[1]), np.float32)
-    out[ranked[first]] = np.add.reduceat(x.take(order, 0), first, axis=0)
+    out = np.zeros((n, x.shape[1]), x.dtype)
+    # Two columns are added at once, as a complex one.
+    two = np.ascontiguousarray(x).view(np.complex64) if x.dtype == np.float32 and x.shape[1] % 2 == 0 else x
+    out.view(two.dtype)[ranked[first]] = np.add.reduceat(two.take(order, 0), first, axis=0)
     return out
 
 
@@ -84,6 +90,12 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(*x.shape[:-1], 1)
 
 
+def _clipped(x: np.ndarray) -> None:
+    """To the model's bounds; it is seldom outside, and looking costs less than writing."""
+    if x.max(initial=0) > _MOST or x.min(initial=0) < -_MOST:
+        np.clip(x, -_MOST, _MOST, out=x)
+
+
 class AttentionLM:
     """Weights and tables of the model."""
 
@@ -110,16 +122,16 @@ class AttentionLM:
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         at = np.arange(cfg.block)[:, None] + cfg.block - np.arange(w)[None]
         self.distance, self.future = np.clip(at, 0, w - 1), at < 0
-        self.adam, self.step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
+        self.adam, self.step = np.zeros((2, sum(v.size for v in self.p.values())), np.float32), 0
         #: Windows that the last pass has learned from.
         self.learned = 0
         self.freeze()
 
     def freeze(self) -> None:
-        """Tables by embedding slot."""
+        """Tables by embedding slot, for scores."""
         p, scale = self.p, np.float32(self.cfg.width**-0.5)
         self.tables = (p["E"] @ p["q"] * scale, p["E"] @ p["k"], p["E"] @ p["v"], p["E"] @ p["u"])
-        self.bias = np.where(self.future, np.float32(-1e4), p["r"][self.distance])
+        self.both = np.concatenate(self.tables[1:3], 1)
 
     def windows(self, texts: list[np.ndarray]):
         """(inputs, targets, first block of a text, blocks by text) of texts; -1 where a text has ended."""
@@ -139,73 +151,114 @@ class AttentionLM:
         inputs[first * m] = self.cfg.edge
         return inputs.reshape(-1, m), targets.reshape(-1, m), first, blocks
 
-    def attend(self, inputs: np.ndarray, before: np.ndarray, begins: np.ndarray):
-        """Attention weights and outputs of blocks, given the blocks before them (masked where a text begins)."""
-        q, k, v, _ = self.tables
-        m = self.cfg.block
-        pair = self.slot.take(np.concatenate([before, inputs], 1))
-        s = np.matmul(q.take(pair[:, m:], 0), k.take(pair, 0).transpose(0, 2, 1))
-        s += self.bias
+    def attend(self, q: np.ndarray, kv: np.ndarray, begins: np.ndarray):
+        """Powers, the inverse of their sums and attention outputs of blocks, from the queries of their places and the keys
+        and values of these and of the blocks before them (masked where a text begins)."""
+        d, m = self.cfg.width, self.cfg.block
+        s = np.matmul(q, kv[..., :d].swapaxes(-1, -2))
+        s += np.where(self.future, np.float32(-1e4), self.p["r"][self.distance])
         s[begins, :, :m] = -1e4
         # Part of the model: no score counts for more than this, so no power overflows.
-        np.minimum(s, _MOST, out=s)
+        if s.max(initial=0) > _MOST:
+            np.minimum(s, _MOST, out=s)
         np.exp(s, out=s)
-        s /= _sums(s)
-        return pair, s, np.matmul(s, v.take(pair, 0))
+        inverse = 1 / _sums(s)
+        # Outputs are a quarter as wide as the powers: these are left as they are.
+        out = np.matmul(s, kv[..., d:])
+        out *= inverse
+        return s, inverse, out
 
-    def logits(self, x: np.ndarray, pair: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Scores of the next class at each place."""
-        logit = (out.reshape(-1, self.cfg.width) @ self.p["o"]).reshape(*x.shape, -1)
-        logit += self.tables[3].take(pair[:, self.cfg.block :], 0)
-        logit += self.p["b"].take(self.class_of.take(x), 0)
-        return np.clip(logit, -_MOST, _MOST, out=logit)
+    def pairs(self, runs: np.ndarray) -> np.ndarray:
+        """Of runs of places (n, places, x), each block beside the one before it: (n, blocks - 1, two blocks, x), not copied."""
+        m, (n, places, x), (by_run, by_place, by_x) = self.cfg.block, runs.shape, runs.strides
+        return np.ndarray((n, places // m - 1, 2 * m, x), runs.dtype, runs, 0, (by_run, m * by_place, by_place, by_x))
 
     def score(self, texts: list[np.ndarray], most: int = 256) -> np.ndarray:
         """log10 probability of each text, its end included."""
         inputs, targets, first, _ = self.windows(texts)
         begins = np.zeros(len(inputs), bool)
         begins[first] = True
-        before = np.roll(inputs, 1, axis=0)
+        m, c = self.cfg.block, self.cfg.classes
+        # The block before the first one is masked: the text's own stands for it.
+        slots, kinds = self.slot.take(np.concatenate([inputs[:1], inputs])), self.class_of.take(inputs)
         total = np.zeros(len(inputs))
         for a in range(0, len(inputs), most):
-            x, y = inputs[a : a + most], targets[a : a + most]
-            pair, _, out = self.attend(x, before[a : a + most], begins[a : a + most])
-            logit = self.logits(x, pair, out)
+            y, run, kind = targets[a : a + most], slots[a : a + most + 1].reshape(-1), kinds[a : a + most]
+            own = run[m:]
+            q, kv = self.tables[0].take(own, 0).reshape(-1, m, self.cfg.width), self.pairs(self.both.take(run, 0)[None])[0]
+            _, _, out = self.attend(q, kv, begins[a : a + most])
+            logit = out.reshape(-1, self.cfg.width) @ self.p["o"]
+            logit += self.tables[3].take(own, 0)
+            logit += self.p["b"].take(kind.reshape(-1), 0)
+            _clipped(logit)
             there = y >= 0
             safe = np.where(there, y, 0)
-            hit = logit.reshape(-1).take(np.arange(0, logit.size, self.cfg.classes) + self.class_of.take(safe).reshape(-1)).reshape(y.shape)
+            hit = logit.reshape(-1).take(np.arange(0, logit.size, c) + self.class_of.take(safe).reshape(-1)).reshape(y.shape)
             np.exp(logit, out=logit)
-            within = self.within.reshape(-1).take(self.class_of.take(x) * self.cfg.vocabulary + safe)
-            each = (hit - np.log(_sums(logit)[..., 0])) * np.float32(0.4342944819) + within
+            within = self.within.reshape(-1).take(kind * self.cfg.vocabulary + safe)
+            each = (hit - np.log(_sums(logit)).reshape(y.shape)) * np.float32(0.4342944819) + within
             total[a : a + most] = np.where(there, each, 0).sum(1, dtype=np.float64)
         return np.add.reduceat(total, first) if len(texts) else np.zeros(0)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, before: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss of the class predictions of some blocks."""
-        cfg, p, m = self.cfg, self.p, self.cfg.block
+    def gradients(self, x: np.ndarray, y: np.ndarray, before: np.ndarray, begins: np.ndarray, most: int = 256) -> dict[str, np.ndarray]:
+        """Of the mean loss of the class predictions of some runs of blocks, each with the block before it. They are taken
+        about `most` blocks at a time, so that what one operation leaves is still in the cache for the next, and summed up."""
+        cfg, p, m, d = self.cfg, self.p, self.cfg.block, self.cfg.width
         flat = lambda a: a.reshape(-1, a.shape[-1])
-        pair, att, out = self.attend(x, before, begins)
-        cur = pair[:, m:]
-        dl = self.logits(x, pair, out)
-        np.exp(dl, out=dl)
-        there = y >= 0
-        each = there / np.float32(max(1, there.sum()))
-        dl *= (each[..., None] / _sums(dl)).astype(np.float32)
-        dl.reshape(-1, cfg.classes)[np.arange(y.size), self.class_of.take(np.where(there, y, 0)).reshape(-1)] -= each.reshape(-1).astype(np.float32)
-        q, k, v = (t.take(s, 0) for t, s in zip(self.tables[:3], (cur, pair, pair), strict=True))
-        d_out = (flat(dl) @ p["o"].T).reshape(out.shape)
-        ds = np.matmul(d_out, v.transpose(0, 2, 1))
-        # The mean of these under the attention is the product of both outputs.
-        ds -= _sums(d_out * out)
-        ds *= att
-        dq, dk, dv = np.matmul(ds, k) * np.float32(cfg.width**-0.5), np.matmul(ds.transpose(0, 2, 1), q), np.matmul(att.transpose(0, 2, 1), d_out)
-        n, d = len(p["E"]), cfg.width
-        by_cur = _by_slot(cur.reshape(-1), np.concatenate([flat(dq), flat(dl) @ p["u"].T], 1), n)
-        by_pair = _by_slot(pair.reshape(-1), np.concatenate([flat(dk), flat(dv)], 1), n)
-        grad = {"o": flat(out).T @ flat(dl), "u": flat(p["E"].take(cur, 0)).T @ flat(dl), "q": p["E"].T @ by_cur[:, :d], "k": p["E"].T @ by_pair[:, :d], "v": p["E"].T @ by_pair[:, d:]}
-        grad["E"] = by_cur[:, :d] @ p["q"].T + by_cur[:, d:] + by_pair[:, :d] @ p["k"].T + by_pair[:, d:] @ p["v"].T
-        grad["b"] = _by_slot(self.class_of.take(x).reshape(-1), flat(dl), cfg.classes)
-        grad["r"] = np.bincount(self.distance[~self.future], ds.sum(0)[~self.future], 2 * m).astype(np.float32)
+        # Keys and values come of one product, and so do both parts of the output layer.
+        scaled, kv, ou = p["q"] * np.float32(d**-0.5), np.concatenate([p["k"], p["v"]], 1), np.concatenate([p["o"], p["u"]])
+        slots, kinds = self.slot.take(np.concatenate([before, x], 1)), self.class_of.take(x)
+        there, long = y >= 0, x.shape[1] // m
+        goal, each = self.class_of.take(np.where(there, y, 0)), (there / np.float32(max(1, there.sum()))).astype(np.float32)
+        begins = begins.reshape(len(x), long)
+        g_e, g_b = (np.empty((*a.shape, n), ou.dtype) for a, n in ((slots, cfg.embedding), (x, cfg.classes)))
+        g_q, g_kv, g_ou, g_r = (np.zeros_like(a) for a in (scaled, kv, ou, self.distance.astype(ou.dtype)))
+        step = max(1, most // long)
+        for a in range(0, len(x), step):
+            part = slice(a, a + step)
+            e = p["E"].take(slots[part], 0)
+            n = len(e)
+            both = (flat(e) @ kv).reshape(n, -1, 2 * d)
+            # Outputs of the attention beside the embeddings of the places themselves.
+            last = np.empty((n, long * m, d + cfg.embedding), e.dtype)
+            last[..., d:] = e[:, m:]
+            cur = e[:, m:].reshape(-1, cfg.embedding)
+            q, seen = (cur @ scaled).reshape(n, long, m, d), self.pairs(both)
+            s, inverse, out = self.attend(q, seen, begins[part])
+            last[..., :d] = out.reshape(n, -1, d)
+            dl = np.matmul(flat(last), ou, out=flat(g_b[part]))
+            dl += p["b"].take(kinds[part].reshape(-1), 0)
+            _clipped(dl)
+            np.exp(dl, out=dl)
+            w = each[part].reshape(-1, 1)
+            dl *= w / _sums(dl)
+            dl.reshape(-1)[np.arange(0, dl.size, cfg.classes) + goal[part].reshape(-1)] -= w[:, 0]
+            g_ou += flat(last).T @ dl
+            d_last = dl @ ou.T
+            d_out = d_last[:, :d].reshape(out.shape) * inverse
+            ds = np.matmul(d_out, seen[..., d:].swapaxes(-1, -2))
+            # The mean of these under the attention is the product of both outputs.
+            ds -= _sums(d_out * out)
+            ds *= s
+            # A block's own keys and values, and those of the block before: each lies in two windows of its run.
+            d_kv, d_both = np.empty(seen.shape, both.dtype), np.empty_like(both)
+            np.matmul(ds.swapaxes(-1, -2), q, out=d_kv[..., :d])
+            np.matmul(s.swapaxes(-1, -2), d_out, out=d_kv[..., d:])
+            by = d_both.reshape(n, long + 1, m, -1)
+            by[:, :-1] = d_kv[:, :, :m]
+            by[:, -1] = 0
+            by[:, 1:] += d_kv[:, :, m:]
+            dq = np.matmul(ds, seen[..., :d]).reshape(-1, d)
+            g_q += cur.T @ dq
+            g_kv += flat(e).T @ flat(d_both)
+            g_r += ds.reshape(-1, *g_r.shape).sum(0)
+            np.matmul(flat(d_both), kv.T, out=flat(g_e[part]))
+            dq = dq @ scaled.T
+            dq += d_last[:, d:]
+            g_e[part, m:] += dq.reshape(n, -1, cfg.embedding)
+        grad = {"E": _by_slot(slots.reshape(-1), flat(g_e), len(p["E"])), "q": g_q * np.float32(d**-0.5), "k": g_kv[:, :d], "v": g_kv[:, d:], "o": g_ou[:d], "u": g_ou[d:]}
+        grad["b"] = _by_slot(kinds.reshape(-1), flat(g_b), cfg.classes)
+        grad["r"] = np.bincount(self.distance[~self.future], g_r[~self.future], 2 * m).astype(np.float32)
         return grad
 
     def learn(self, texts: list[np.ndarray]) -> int:
@@ -217,24 +270,46 @@ class AttentionLM:
         begins = np.zeros(len(inputs), bool)
         begins[first] = True
         before = np.roll(inputs, 1, axis=0)
-        # The first block of a text decides where its series of blocks starts; a shorter text takes part with one of its own.
-        start = (inputs[first].astype(np.int64) * np.arange(1, 2 * cfg.block, 2)).sum(1) % np.minimum(cfg.every, blocks)
-        chosen = np.flatnonzero((np.arange(len(inputs)) - np.repeat(first, blocks)) % cfg.every == np.repeat(start, blocks))
-        order = np.random.default_rng(4).permutation(chosen)
-        for lo in range(0, len(order), cfg.batch):
-            rows = order[lo : lo + cfg.batch]
+        if cfg.every > 1:
+            # The first block of a text decides where its series of blocks starts; a shorter text takes part with one of its own.
+            start = (inputs[first].astype(np.int64) * np.arange(1, 2 * cfg.block, 2)).sum(1) % np.minimum(cfg.every, blocks)
+            chosen = np.flatnonzero((np.arange(len(inputs)) - np.repeat(first, blocks)) % cfg.every == np.repeat(start, blocks))
+            inputs, targets, before, begins, run = inputs[chosen], targets[chosen], before[chosen], begins[chosen], 1
+        else:
+            run = min(cfg.run, cfg.batch) if self.step >= cfg.settled else 1
+        total = len(inputs)
+        # Runs of neighbours share the keys and values of their blocks; the last one is filled up with blocks of no target.
+        # First steps, which move the weights most, take windows from all over the texts.
+        more = -total % run
+        inputs, targets, begins = (np.concatenate([a, np.full((more, *a.shape[1:]), v, a.dtype)]) for a, v in ((inputs, cfg.edge), (targets, -1), (begins, True)))
+        inputs, targets, before, begins = inputs.reshape(-1, run * cfg.block), targets.reshape(-1, run * cfg.block), before[::run], begins.reshape(-1, run)
+        order, batch = np.random.default_rng(4).permutation(len(inputs)), max(1, cfg.batch // run)
+        # All weights in a row, and views of them by name: a step is a few operations on the whole.
+        flat = self.packed().astype(np.float32)
+        cut = np.cumsum([v.size for v in p.values()])[:-1]
+        for k, v in zip(p, np.split(flat, cut), strict=True):
+            p[k] = v.reshape(p[k].shape)
+        # The moments are ten and a hundred times Adam's own, which spares two products.
+        m1, m2 = self.adam
+        for lo in range(0, len(order), batch):
+            rows = order[lo : lo + batch]
             grad = self.gradients(inputs[rows], targets[rows], before[rows], begins[rows])
+            g = np.concatenate([grad[k].reshape(-1) for k in p])
             self.step += 1
             # The rate falls with the steps of a task, so that the weights settle.
             rate = np.float32(cfg.rate / (1 + self.step / 1000) * (1 - 0.99**self.step) ** 0.5 / (1 - 0.9**self.step))
-            for n, (m1, m2) in self.adam.items():
-                m1 *= np.float32(0.9)
-                m1 += np.float32(0.1) * grad[n]
-                m2 *= np.float32(0.99)
-                m2 += np.float32(0.01) * grad[n] * grad[n]
-                p[n] -= rate * m1 / (np.sqrt(m2) + np.float32(1e-8))
-            self.freeze()
-        return len(chosen)
+            m1 *= np.float32(0.9)
+            m1 += g
+            m2 *= np.float32(0.99)
+            g *= g
+            m2 += g
+            np.sqrt(m2, out=g)
+            g += np.float32(1e-7)
+            np.divide(m1, g, out=g)
+            g *= rate
+            flat -= g
+        self.freeze()
+        return total
 
     def fit(self, texts: list[np.ndarray]) -> AttentionLM:
         for _ in range(self.cfg.passes):
@@ -245,7 +320,7 @@ class AttentionLM:
         """A model of its own weights, with no steps taken."""
         own = copy.copy(self)
         own.p = {k: v.copy() for k, v in self.p.items()}
-        own.adam, own.step = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}, 0
+        own.adam, own.step = np.zeros_like(self.adam), 0
         return own
 
     def packed(self) -> np.ndarray:
@@ -307,7 +382,10 @@ def _summed(training: DataFrame, index, size: int, cfg: LMConfig) -> np.ndarray:
         for batch in it:
             # Each count costs a pass over all places, so many ids are counted at once.
             for texts in _ids(batch.column(0), 16 * cfg.held):
-                flat = np.concatenate([y for t in texts for y in ([cfg.edge], t)] + [[cfg.edge]]).astype(np.int64)
+                begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+                flat, inside = np.full(begin[-1] + 1, cfg.edge, np.int64), np.ones(begin[-1] + 1, bool)
+                inside[begin] = False
+                flat[inside] = np.concatenate(texts)
                 for places in index(flat[:-1], flat[1:]):
                     n += np.bincount(places, minlength=size)
         at = np.flatnonzero(n)
@@ -323,17 +401,16 @@ def learned(tokens: DataFrame, cfg: LMConfig) -> AttentionLM:
     """The model of the token rows (held_out, ids) that are not held out."""
     training, c, v, b = tokens.where("not held_out").select("ids"), cfg.classes, cfg.vocabulary, cfg.neighbours
 
-    def bucket(x):
-        return (x * 2654435761 >> 9) % b
+    bucket = (np.arange(v) * 2654435761 >> 9) % b
 
     def beside(left, right):
-        yield right * (2 * b) + bucket(left)
-        yield left * (2 * b) + b + bucket(right)
+        yield right * (2 * b) + bucket.take(left)
+        yield left * (2 * b) + b + bucket.take(right)
 
     sc = tokens.sparkSession.sparkContext
     class_of = classes(_summed(training, beside, 2 * b * v, cfg).reshape(v, -1), cfg)
     sent = sc.broadcast(class_of)
-    after = _summed(training, lambda left, right: [sent.value[left] * v + right], c * v, cfg)
+    after = _summed(training, lambda left, right: [sent.value.take(left) * v + right], c * v, cfg)
     model = AttentionLM(cfg, after.reshape(c, v), class_of)
     for _ in range(cfg.passes):
         model.learned = _round(training, model, cfg)
@@ -388,21 +465,28 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def _looked_up(texts: list[bytes], known: np.ndarray, value: np.ndarray):
+def _looked_up(texts: list[bytes], known: np.ndarray, value: np.ndarray, direct: words.Direct):
     """For each text its words, how many are known, and the sum of their values; then the other words' hashes and how
-    often each occurs, all in a row, and where each text's begin."""
+    often each occurs, all in a row, and where each text's begin. direct holds places of known words."""
     found = words.hashed_texts(texts)
     size = np.array([len(f) for f in found], np.int64)
-    w, inverse = np.unique(np.concatenate(found), return_inverse=True)
-    at = np.searchsorted(known, w)
-    at[at == len(known)] = 0
-    hit = known[at] == w if len(known) else np.zeros(len(w), bool)
+    h = np.concatenate(found)
+    at, common = direct.get(h)
+    # Only words that are not met at their own place are sorted.
+    left = np.flatnonzero(~common)
+    w, inverse = np.unique(h.take(left), return_inverse=True)
+    place = np.searchsorted(known, w)
+    place[place == len(known)] = 0
+    hit = known[place] == w if len(known) else np.zeros(len(w), bool)
+    direct.put(w[hit], place[hit])
+    common[left] = hit[inverse]
+    at[left] = place[inverse]
     doc = np.repeat(np.arange(len(texts)), size)
-    common = hit[inverse]
-    log = value[at[inverse[common]]] if len(known) else np.zeros(0)
+    log = value.take(at[common]) if len(known) else np.zeros(0)
     seen = np.bincount(doc[common], minlength=len(texts))
     sums = np.bincount(doc[common], weights=log, minlength=len(texts)).astype(np.float64)
-    rare = np.sort(doc[~common] * (1 << 32) + inverse[~common])
+    inverse = inverse[~hit[inverse]]
+    rare = np.sort(doc[~common] * (1 << 32) + inverse)
     new = np.ones(len(rare), bool)
     new[1:] = rare[1:] != rare[:-1]
     first = np.flatnonzero(new)
@@ -418,9 +502,10 @@ def token_table(docs: DataFrame, known, cfg: LMConfig) -> DataFrame:
     def run(it):
         import pyarrow as pa
 
-        subword = subwords(cfg.tokenizer)
+        subword, direct = subwords(cfg.tokenizer), words.Direct()
+        direct.put(known.value[0], np.arange(len(known.value[0])))
         for batch, texts in words.batches(it, most=3 << 20):
-            size, seen, sums, w, k, cut = _looked_up(texts, *known.value)
+            size, seen, sums, w, k, cut = _looked_up(texts, *known.value, direct)
             flat, count = subword(texts)
             flat, ends = flat.astype("<u2"), np.concatenate([[0], np.cumsum(count)])
             ids = pa.array([flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())

@@ -41,38 +41,53 @@ class Subwords:
         self.most = most
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        # Whether a word of ASCII letters goes to the model as it is, in lower case: normalizer and splitter leave it whole.
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        normal, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.plain = bool(normal and splitter) and normal.normalize_str(letters.upper()) == letters and [x for x, _ in splitter.pre_tokenize_str(letters)] == [letters]
         self._forget()
 
     def _forget(self) -> None:
         self.hash, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint32)
+        # For most units: where its ids begin, and in the lower half how many they are.
+        self.direct = words.Direct()
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _encode_each(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all in a row, number of ids of each). Units of letters alone go to the tokenizer in one string; its
-        ids end a unit where the vocabulary says so."""
+        """(ids of all in a row, number of ids of each). Units of ASCII letters go to the tokenizer's model, other units of
+        letters to the tokenizer in one string; its ids end a unit where the vocabulary says so."""
         text = [w.decode("utf-8", "replace") for w in new]
+        size, rest, parts, placed = np.zeros(len(new), np.int32), np.ones(len(new), bool), [], []
+        if self.plain:
+            model, ids = self.tokenizer.model, []
+            own = [i for i, t in enumerate(text) if t.isascii() and t.isalpha()]
+            for i in own:
+                found = model.tokenize(text[i].lower())
+                size[i] = len(found)
+                ids += [x.id for x in found]
+            rest[own] = False
+            parts, placed = [np.array(ids, np.uint32)], [np.array(own, np.int64)]
         # A letter whose lower case is more than a letter (a dotted capital I) ends a unit early.
-        plain = np.array([t.isalpha() and (t.isascii() or t.lower().isalpha()) for t in text], bool)
-        size, parts = np.zeros(len(new), np.int32), []
-        letters = [t for t, p in zip(text, plain.tolist(), strict=True) if p]
-        if letters:
-            ids = self.encode(" ".join(letters))
+        joined = [i for i in np.flatnonzero(rest).tolist() if text[i].isalpha() and text[i].lower().isalpha()]
+        if joined:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(text[i] for i in joined)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(letters):
-                size[plain] = np.diff(np.concatenate([[0], cut]))
+            if len(cut) == len(joined):
+                size[joined] = np.diff(np.concatenate([[0], cut]))
+                rest[joined] = False
                 parts.append(ids)
-            else:
-                plain[:] = False
-        if not plain.all():
-            rest = np.flatnonzero(~plain)
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([text[i] for i in rest.tolist()], add_special_tokens=False)]
-            size[rest] = [len(x) for x in found]
+                placed.append(np.array(joined))
+        if rest.any():
+            left = np.flatnonzero(rest)
+            found = [x.ids for x in self.tokenizer.encode_batch_fast([text[i] for i in left.tolist()], add_special_tokens=False)]
+            size[left] = [len(x) for x in found]
             parts.append(np.array([i for x in found for i in x], np.uint32))
-        # Plain units stand first, then the others: put them back in order.
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            placed.append(left)
+        # Units stand by the way they went: put them back in order.
+        order = np.concatenate(placed) if placed else np.zeros(0, np.int64)
         at = np.empty(len(new), np.int64)
         at[order] = np.cumsum(size[order]) - size[order]
         flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
@@ -107,15 +122,20 @@ class Subwords:
         if not parts:
             return np.zeros(0, np.uint32), count
         h = np.concatenate([p[3] for p in parts])
-        order = np.argsort(h)
+        number, met = self.direct.get(h)
+        # Only units that are not met at their own place are sorted.
+        order = np.flatnonzero(~met)
+        order = order.take(np.argsort(h.take(order)))
         ranked = h[order]
-        new = np.ones(len(h), bool)
+        new = np.ones(len(order), bool)
         new[1:] = ranked[1:] != ranked[:-1]
         distinct, chosen = ranked[new], order[new]
         del ranked
         lost = self._missing(distinct)
         if len(self.hash) + int(lost.sum()) > self.most:
             self._forget()
+            if met.any():  # at a place that is forgotten now
+                return self(texts)
             lost[:] = True
         if lost.any():
             begin = np.cumsum([0, *(len(p[1]) for p in parts)])
@@ -130,11 +150,11 @@ class Subwords:
             self._learn(distinct[lost], text)
         del parts, h
         place = np.searchsorted(self.hash, distinct)
-        inverse = np.empty(len(order), np.int32)
-        inverse[order] = np.cumsum(new) - 1
-        del order, new
-        n = self.size[place][inverse]
-        start = self.start[place][inverse]
+        both = self.start[place].astype(np.int64) << 32 | self.size[place]
+        self.direct.put(distinct, both)
+        number[order] = both[np.cumsum(new) - 1]
+        del order, new, met
+        n, start = (number & 0xFFFFFFFF).astype(np.int32), (number >> 32).astype(np.int32)
         count = np.bincount(np.concatenate(owner), weights=n, minlength=len(texts)).astype(np.int64)
         total = int(n.sum())
         out = self.flat[np.repeat(start - (np.cumsum(n) - n).astype(np.int32), n) + np.arange(total, dtype=np.int32)]

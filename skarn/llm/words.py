@@ -124,6 +124,27 @@ def hashed_texts(texts: list[bytes], lower: bool = True, between: np.ndarray = S
     return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
 
 
+class Direct:
+    """Numbers of 64-bit hashes, each at the place that its first bits name: one look instead of a search. Of hashes that
+    share a place the last one is kept, so a hash that is not found may still have been put."""
+
+    def __init__(self, bits: int = 20):
+        self.bits = np.uint64(64 - bits)
+        # No hash at its own place: the first bits differ.
+        self.key = ~(np.arange(1 << bits, dtype=np.uint64) << self.bits)
+        self.number = np.zeros(1 << bits, np.int64)
+
+    def put(self, h: np.ndarray, number: np.ndarray) -> None:
+        at = (h >> self.bits).astype(np.intp)
+        self.number[at] = number
+        self.key[at] = h
+
+    def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, whether each was found); a number that was not found means nothing."""
+        at = (h >> self.bits).astype(np.intp)
+        return self.number.take(at), self.key.take(at) == h
+
+
 def trim() -> None:
     """Gives freed memory back to the system: a worker that runs one operator after another else keeps the most that each of
     them has used."""

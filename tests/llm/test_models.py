@@ -341,6 +341,50 @@ def test_gradients_of_the_attention_model():
             assert grad[k].flat[i] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=0.05, abs=1e-4), k
 
 
+def test_runs_of_windows_have_the_gradients_of_their_windows():
+    """Windows taken in runs, over the ends of texts too, against each taken alone; a run is filled up without effect."""
+    m, texts = small(SMALL)
+    m.fit(texts)
+    inputs, targets, first, _ = m.windows(texts)
+    begins = np.zeros(len(inputs), bool)
+    begins[first] = True
+    before, n = np.roll(inputs, 1, 0), len(inputs) // 4 * 4 - 1
+    alone = m.gradients(inputs[:n], targets[:n], before[:n], begins[:n])
+    filled = targets[: n + 1].copy()
+    filled[n] = -1
+    runs = m.gradients(inputs[: n + 1].reshape(-1, 32), filled.reshape(-1, 32), before[: n + 1 : 4], begins[: n + 1].reshape(-1, 4), most=12)
+    for k, g in alone.items():
+        assert np.allclose(runs[k], g, atol=1e-6) and np.abs(g).max() > 1e-4, k
+
+
+def test_steps_over_runs_take_every_window_once():
+    m, texts = small(lm.LMConfig(vocabulary=41, edge=40, classes=5, block=8, width=4, own=41, shared=1, embedding=6, batch=32, run=4, settled=0))
+    taken, plain = [], m.gradients
+    m.gradients = lambda x, y, before, begins: taken.append(y.reshape(-1, 8)) or plain(x, y, before, begins)
+    _, targets, _, _ = m.windows(texts)
+    assert m.learn(texts) == len(targets)
+    assert Counter(map(bytes, np.concatenate(taken))) - Counter([bytes(np.full(8, -1, np.int32))]) - Counter(map(bytes, targets)) <= Counter({bytes(np.full(8, -1, np.int32)): 3})
+    assert not Counter(map(bytes, targets)) - Counter(map(bytes, np.concatenate(taken)))
+
+
+def test_words_that_share_a_place_are_still_looked_up():
+    """Known words, two of them at one place of the table, and unknown ones, text by text."""
+    texts = [b"a b c a", b"", b"d d a e", b"c"]
+    h = {w: int(lm.words.hashed_texts([w.encode()])[0][0]) for w in "abcde"}
+    known = np.sort(np.array([h["a"], h["b"], h["c"]], np.uint64))
+    value = np.arange(3) + 1.0
+    of = {int(k): v for k, v in zip(known, value, strict=True)}
+    for bits in (1, 20):
+        direct = lm.words.Direct(bits)
+        direct.put(known, np.arange(3))
+        for _ in range(2):
+            size, seen, sums, w, k, cut = lm._looked_up(texts, known, value, direct)
+            assert size.tolist() == [4, 0, 4, 1] and seen.tolist() == [4, 0, 1, 1]
+            assert sums.tolist() == [sum(of.get(h[x], 0) for x in t.decode().split()) for t in texts]
+            rare = [dict(zip(w.view(np.uint64)[a:b].tolist(), k[a:b].tolist(), strict=True)) for a, b in zip(cut, cut[1:], strict=False)]
+            assert rare == [{}, {}, {h["d"]: 2, h["e"]: 1}, {}]
+
+
 def test_all_training_windows_are_learned(spark):
     """The steps of every task count: the windows of all training rows, of whole texts, and of no other ones."""
     cfg = lm.LMConfig(held=500)
