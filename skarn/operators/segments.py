@@ -128,7 +128,8 @@ class Snapshot:
         """(key, term, tf, weight), one row for each document and search word."""
         each = self.table("postings").select("shard", "term", F.explode(F.arrays_zip("docs", "tfs", "weights")).alias("x"))
         rows = each.select("shard", F.col("x.docs").alias("place"), "term", F.col("x.tfs").cast("long").alias("tf"), F.col("x.weights").alias("weight"))
-        return rows.join(self.docs.select("shard", "place", self.key), ["shard", "place"]).drop("shard", "place")
+        # Spark takes a list of postings for one, and would broadcast them all.
+        return rows.hint("merge").join(self.docs.select("shard", "place", self.key), ["shard", "place"]).drop("shard", "place")
 
 
 def _table(spark: SparkSession, segments: list[str], name: str) -> DataFrame:

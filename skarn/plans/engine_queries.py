@@ -161,9 +161,12 @@ def segmented_index(spark, sf_dir: str) -> DataFrame:
         first = first or segments.read(spark, path)
     goes_with_session(spark, path)
     last = segments.read(spark, path)
-    held = last.table("postings").select("shard", F.explode(F.arrays_zip("docs", "tfs", "weights")).alias("x")).select("shard", F.col("x.docs").alias("place"), F.col("x.tfs").alias("tf"), F.col("x.weights").alias("weight"))
-    own = last.docs.select("shard", "place", "source").join(held, ["shard", "place"], "left").groupBy("source")
-    own = own.agg(F.count_distinct("shard", "place").alias("docs"), F.count("tf").alias("postings"), F.coalesce(F.sum("tf"), F.lit(0)).alias("words"), F.round(F.coalesce(F.sum("weight"), F.lit(0.0)), 2).alias("weight"))
+    each = last.table("postings").select("shard", F.explode(F.arrays_zip("docs", "tfs", "weights")).alias("x"))
+    # Summed by document before they meet them, and merged: Spark takes a list of postings for one, and would broadcast them all.
+    # Weights have four places; as whole numbers their sum is exact, so halves always round up.
+    held = each.groupBy("shard", F.col("x.docs").alias("place")).agg(F.count("*").alias("postings"), F.sum("x.tfs").alias("words"), F.sum(F.round(F.col("x.weights") * 10_000).cast("long")).alias("weight"))
+    own = last.docs.select("shard", "place", "source").join(held.hint("merge"), ["shard", "place"], "left").groupBy("source")
+    own = own.agg(F.count("*").alias("docs"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("postings", "words")), F.round(F.coalesce(F.sum("weight"), F.lit(0)) / 10_000, 2).alias("weight"))
     before = first.docs.groupBy("source").agg(F.count("*").alias("old_docs"))
     total = last.rarity.agg(F.count("*").alias("terms"), F.sum("df").alias("df"))
     return before.join(own, "source", "full_outer").crossJoin(total).withColumns({"texts": F.lit(last.size).cast("long"), "segments": F.lit(len(last.segments)).cast("long")})

@@ -171,3 +171,18 @@ def test_hits_are_known_to_be_few(spark, tmp_path):
     hits = segments.sparse_topk(asked(spark), segments.write(d, str(tmp_path / "ix")), 5)
     assert int(str(hits._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
     assert hits.count() > 0
+
+
+def test_postings_are_never_broadcast(spark, tmp_path):
+    """Spark takes a list for one row, so postings of any number look small to it."""
+    from skarn.plans.engine_queries import segmented_index
+
+    for df in (segmented_index(spark, DATA), segments.write(docs(spark), str(tmp_path / "ix")).postings):
+        above, exploded = [], False
+        for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+            at = len(line) - len(line.lstrip(" :+-"))
+            above = [x for x in above if x[0] < at] + [(at, line[at:])]
+            if "Generate explode" in line:
+                exploded = True
+                assert not any("Broadcast" in x and "Exchange" in x for _, x in above)
+        assert exploded and df.count() > 0
