@@ -242,6 +242,9 @@ def _linked_rows(docs: DataFrame, cfg: SimHashConfig) -> DataFrame:
     return same.unionByName(ends.select("x", "y")).distinct()
 
 
+_MICROS = "yyyy-MM-dd\\'T\\'HH:mm:ss.SSSSSS"
+
+
 def one_of_each(docs: DataFrame, cfg: similar.SimilarConfig | None = None) -> DataFrame:
     """The rows of docs but for all except one of each group of near-duplicates: the one with the smallest doc_id (a
     null one last; of several the one whose doc_id and text have the smallest hash), and of rows that are alike in both
@@ -260,8 +263,12 @@ def one_of_each(docs: DataFrame, cfg: similar.SimilarConfig | None = None) -> Da
         stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select(F.col("x.row").alias("row"))
         stays = written(stays, "stays", keep=True)
     again = own.withColumn("row", row).join(stays, "row")
-    # Columns go by place, so no name of theirs clashes with the two that are added. Maps have no order and no hash.
-    hashed = ", ".join(n for n, t in own.dtypes if "map<" not in t and "variant" not in t)
+    # Columns go by place, so no name of theirs clashes with the two that are added. Maps have no order and no hash; these
+    # are hashed as they are written.
+    unhashed = [n for n, t in own.dtypes if "map<" in t or "variant" in t]
+    hashed = ", ".join(n for n in names if n not in unhashed)
+    if unhashed:
+        hashed += f", to_json(struct({', '.join(unhashed)}), map('ignoreNullFields', 'false', 'timestampFormat', '{_MICROS}XXX', 'timestampNTZFormat', '{_MICROS}'))"
     return again.withColumn("copy", F.expr(f"row_number() over (partition by row, {names[docs.columns.index('doc_id')]}, xxhash64({names[docs.columns.index('text')]}) order by xxhash64({hashed}))")).where("copy = 1").select(*names).toDF(*docs.columns)
 
 
