@@ -32,7 +32,7 @@ def postings(docs: DataFrame, s: Settings = DEFAULT, key: str = "doc_id") -> Dat
 def weights(post: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """Adds the stored BM25 weight, four decimals, without the rarity of the word; the average length is a setting."""
     norm = s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("length") / s.bm25_average)
-    return post.withColumn("weight", F.round(F.col("tf") * (s.bm25_k1 + 1) / (F.col("tf") + norm), 4))
+    return post.withColumn("weight", F.round(F.col("tf") * F.lit(round((s.bm25_k1 + 1) * 1e6)) / 1e6 / (F.col("tf") + norm), 4))
 
 
 def idf(post: DataFrame, docs: Column | int) -> DataFrame:

@@ -189,7 +189,8 @@ def _inverted(s: Settings):
         cols = {"shard": pa.array(np.full(len(first), shard, np.int32)), "term": found.dictionary.take(pa.array(word[first])), "docs": listed(pa.array(place[own].astype(np.int32))), "tfs": listed(pa.array(tf.astype(np.int32)))}
         if weigh:
             # Rounded as SQL does: halves go up.
-            w = np.floor(tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * size[own] / s.bm25_average)) * 1e4 + 0.5) / 1e4
+            # The product is that of decimals, as in SQL: tf * 2.2 in doubles is too large for some tf.
+            w = np.floor(tf * round((s.bm25_k1 + 1) * 1e6) / 1e6 / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * size[own] / s.bm25_average)) * 1e4 + 0.5) / 1e4
             cols |= {"weights": listed(pa.array(w)), "most": pa.array(np.maximum.reduceat(w, first))}
         else:
             cols["at"] = pa.ListArray.from_arrays(pa.array(np.append(begin[first], len(code)).astype(np.int32)), pa.array(at.astype(np.int32)))
